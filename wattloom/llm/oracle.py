@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from . import decontaminate as dc
+from . import licenses as lic
+from . import url_filter as uf
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP10 = f"""
@@ -10,6 +14,85 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(t: str) -> str:
+    t = f"regexp_replace(lower(coalesce({t}, '')), {_q(lic.COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = f"' ' || regexp_replace({t}, {_q(lic.NOT_WORD)}, ' ', 'g') || ' '"
+    for a, b in lic.EQUIVALENT:
+        t = f"replace({t}, ' {a} ', ' {b} ')"
+    return f"trim({t})"
+
+
+OP5 = f"""
+WITH known AS (
+  SELECT sha256({_canonical("text")}) AS canonical_sha256, min(license_id) AS license_id
+  FROM (VALUES {", ".join(f"({_q(i)}, {_q(t)})" for i, t in lic.KNOWN)}) v(license_id, text) GROUP BY 1),
+d AS (SELECT doc_id, sha256({_canonical("text")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, d.canonical_sha256, license_id, license_id IS NOT NULL AS matched FROM d LEFT JOIN known USING (canonical_sha256)
+"""
+
+
+def _op3() -> str:
+    rules = sorted(uf.RULES, key=lambda r: (-len(r[0]), r[0]))
+    fits = lambda r: f"(host = {_q(r.split('/', 1)[0])} OR ends_with(host, {_q('.' + r.split('/', 1)[0])})) AND starts_with(path, {_q('/' + r.split('/', 1)[1])})"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_q(r)}" for r, _ in rules) + " END"
+    action = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_q(a)}" for r, a in rules) + " END"
+    typed = f"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{uf.NUMBER}') THEN '#' WHEN regexp_matches(s, '{uf.HEX}') AND regexp_matches(s, '[0-9]') THEN '%' ELSE '=' || s END)"
+    sql = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+base AS (SELECT *, {rule} AS rule, {action} AS action, {typed} AS segs FROM u),
+l0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (action = 'block') AS nb, count(*) FILTER (action = 'allow') AS na, '' AS prefix, '' AS shape FROM base GROUP BY host, segs)"""
+    for k in range(uf.LEVELS):
+        sql += f""",
+w{k} AS (SELECT host, prefix FROM (SELECT host, prefix, segs[{k + 1}] AS seg, sum(n) AS n FROM l{k} WHERE segs[{k + 1}] LIKE '=%' GROUP BY ALL)
+  GROUP BY host, prefix HAVING count(*) >= {uf.MIN_CHILDREN} AND count(*) >= {uf.MIN_DISTINCT_SHARE} * sum(n)),
+p{k} AS (SELECT l{k}.*, CASE WHEN w{k}.host IS NOT NULL AND segs[{k + 1}] LIKE '=%' THEN '*' ELSE segs[{k + 1}] END AS part FROM l{k} LEFT JOIN w{k} USING (host, prefix)),
+l{k + 1} AS (SELECT host, segs, n, nb, na, prefix || coalesce('/' || part, '') AS prefix, shape || coalesce(CASE WHEN part LIKE '=%' THEN '/=' ELSE '/' || part END, '') AS shape FROM p{k})"""
+    k = uf.LEVELS
+    return sql + f""",
+c AS (SELECT *, prefix || CASE WHEN len(segs) > {k} THEN '/' || array_to_string(segs[{k + 1}:], '/') ELSE '' END AS template FROM l{k}),
+t AS (SELECT host, shape, template, sum(nb)::DOUBLE AS b, sum(nb + na)::DOUBLE AS m FROM c GROUP BY ALL HAVING sum(nb + na) > 0),
+tp AS (SELECT *, sum(b) OVER (PARTITION BY host, shape) / sum(m) OVER (PARTITION BY host, shape) AS p, sum(m) OVER (PARTITION BY host, shape) AS pm FROM t),
+ts AS (SELECT *, (b / m - p) * (b / m - p) <= {uf.Z * uf.Z} * p * (1 - p) * (1 / m + 1 / pm) AS alike FROM tp),
+tm AS (SELECT *, sum(b) FILTER (alike) OVER (PARTITION BY host, shape) AS mb, sum(m) FILTER (alike) OVER (PARTITION BY host, shape) AS mm FROM ts),
+bad AS (SELECT host, template FROM tm WHERE CASE WHEN alike THEN mm ELSE m END >= {uf.MIN_LABELLED}
+  AND (CASE WHEN alike THEN mb ELSE b END + {uf.SMOOTHING * uf.PRIOR}) / (CASE WHEN alike THEN mm ELSE m END + {uf.SMOOTHING}) >= {uf.PURITY}),
+badsegs AS (SELECT DISTINCT c.host, c.segs FROM c JOIN bad USING (host, template) WHERE c.host <> '')
+SELECT page_id, base.host, path, rule, coalesce(action, CASE WHEN badsegs.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM base LEFT JOIN badsegs ON base.host = badsegs.host AND base.segs = badsegs.segs
+"""
+
+
+def _op9() -> str:
+    toks = lambda t: f"list_filter(string_split(trim(regexp_replace(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    parts = []
+    for mask in dc.MASKS:
+        ones = [i for i, c in enumerate(mask) if c == "1"]
+        key = " || ' ' || ".join(f"h[p + {o}]" for o in ones)
+        parts.append((mask, key, len(mask)))
+    seeds = lambda t, i: " UNION ALL ".join(f"SELECT {i} AS id, p - 1 AS pos, '{m} ' || {key} AS seed FROM (SELECT *, unnest(range(1, len(h) - {n} + 2)) AS p FROM {t})" for m, key, n in parts)
+    span, w = min(map(len, dc.MASKS)), dc.WINDOW
+    inside = lambda s: f"greatest(low, least({s}, high - len_))"
+    agree = lambda s: f"len(list_filter(range(0, len_), lambda j: ih[{s} + j + 1] = dh[{s} + shift + j + 1]))"
+    return f"""
+WITH d AS (SELECT doc_id, {toks("text")} AS h FROM documents), b AS (SELECT item_id, {toks("text")} AS h FROM benchmark),
+ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
+hit AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift, bs.pos AS pos FROM ds JOIN bs USING (seed)),
+a AS (SELECT hit.*, d.h AS dh, b.h AS ih, greatest(0, -shift) AS low, least(len(b.h), len(d.h) - shift) AS high, least({w}, len(b.h)) AS len_ FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+s AS (SELECT *, {inside("pos")} AS s1, {inside(f"pos + {span} - len_")} AS s2 FROM a WHERE high - low >= len_),
+m AS (SELECT doc_id, item_id, len_, greatest({agree("s1")}, {agree("s2")}) AS matched FROM s)
+SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM m WHERE matched >= ceil({dc.SHARE} * len_) GROUP BY doc_id, item_id
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op3_url_filter": _op3(),
+    "op5_license_scan": OP5,
+    "op9_decontaminate": _op9(),
     "op10_exact_dedup": OP10,
 }
