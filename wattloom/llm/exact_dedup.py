@@ -44,8 +44,8 @@ def tree_merge(rows: DataFrame, keep: str = "min", fan_in: int = 8, rounds: int
             return runs.select(*KEY, "keep_id", "n")
 
 
-def groups(rows: DataFrame, keep: str = "min", hot_groups: int = 256) -> DataFrame:
-    """Per row of ``rows``: id, digest, keep_id, n.
+def groups(rows: DataFrame, keep: str = "min", hot_groups: int = 256, carry: list[str] | None = None) -> DataFrame:
+    """Per row of ``rows``: id, digest, keep_id, n and the columns in ``carry``.
 
     Rows without a copy need no partner. Of the rest, at most ``hot_groups`` of the largest groups (of 1,000 rows or
     more) are broadcast, and their rows leave the join by a salted key; all other groups meet their rows in a
@@ -57,7 +57,7 @@ def groups(rows: DataFrame, keep: str = "min", hot_groups: int = 256) -> DataFra
     hot = hot.withColumnsRenamed({"keep_id": "hot_id", "n": "hot_n"})
     dealt = rows.join(F.broadcast(hot), KEY, "left").withColumn("salt", F.when(F.col("hot_n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(4096))))
     found = dealt.join(cold, [*KEY, "salt"], "left")
-    return found.select("id", "digest", F.coalesce("hot_id", "keep_id", "id").alias("keep_id"), F.coalesce("hot_n", "n", F.lit(1)).cast("long").alias("n"))
+    return found.select("id", "digest", F.coalesce("hot_id", "keep_id", "id").alias("keep_id"), F.coalesce("hot_n", "n", F.lit(1)).cast("long").alias("n"), *(carry or []))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
