@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +42,8 @@ def ascii_lower(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """df, marked for broadcast only where a count of its rows is within the bound; otherwise Spark shuffles."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def schema_with(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with the fields of a DDL string after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
