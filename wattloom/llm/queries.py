@@ -13,6 +13,7 @@ from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .licenses import license_scan
+from .pii import find_pii
 from .toxicity import toxicity
 from .url_filter import url_filter
 
@@ -29,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_extract": op2_html_extract,
     "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
