@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .licenses import license_scan
 from .pii import find_pii
+from .sentencepiece_codec import encode_digests
 from .toxicity import toxicity
 from .url_filter import url_filter
 
@@ -38,6 +39,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
