@@ -128,6 +128,11 @@ def flatten_one(value: str | None) -> tuple[list[str], int, int, int, list[str]]
     return list(refs), count["recovered"], count["nested"], count["dropped"], unmatched
 
 
-@F.pandas_udf(FLAT)
-def flatten_refs(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([flatten_one(v) for v in values], columns=["refs", "recovered", "nested", "dropped", "unmatched"])
+def flatten_refs(values: Column) -> Column:
+    """flatten_one of a column, as a struct."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([flatten_one(v) for v in s], columns=["refs", "recovered", "nested", "dropped", "unmatched"])
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, FLAT)(values)

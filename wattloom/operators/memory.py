@@ -100,7 +100,7 @@ def apply_outcomes(reasoning: DataFrame, memories: DataFrame, outcomes: DataFram
         "pending_refs": F.when(some, F.array_except(F.coalesce("pending_refs", F.array()), "_all")).otherwise(F.col("pending_refs")), "adjudicated": F.when(some, F.concat(F.coalesce("adjudicated", F.array()), "_all")).otherwise(F.col("adjudicated")),
     })
     touched = hits.groupBy("ref").agg(F.count("*").alias("touched"))
-    report = state.join(touched.select(F.regexp_extract("ref", CHECKPOINT_REF, 1).cast("long").alias("reasoning_id"), "touched"), "reasoning_id", "left")
+    report = state.join(touched.select(F.regexp_extract("ref", CHECKPOINT_REF, 1).try_cast("long").alias("reasoning_id"), "touched"), "reasoning_id", "left")
     n = F.coalesce("touched", F.lit(0))
     report = report.select("reasoning_id", "outcome", "seq", F.when(F.col("state").isin("conflict", "unknown"), F.col("state")).when(n > 0, "ok").otherwise("ok_no_propagation").alias("result"), n.alias("touched"))
     return new_reasoning, m.select(memories.columns), report

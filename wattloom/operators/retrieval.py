@@ -121,4 +121,5 @@ def embed(texts: Column, provider: Callable[[pd.Series], pd.Series] | None = Non
             out.append((v / n if n else v).tolist() if t else None)
         return pd.Series(out)
 
+    hashed.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(provider or hashed, "array<float>")(texts)

@@ -1,2 +1,31 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries that run streams to their end: windows of a stream, and what it leaves to a batch run."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.adapters import telemetry_of_events
+from ..sources.scratch import scratch_dir
+from ..streaming import jobs
+from . import sql
+from .windows import _start
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that a stream over the events emits, and the tail that only a batch run gives."""
+    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # event time in order, as a device sends it
+    rows = telemetry_of_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    jobs.start_windows(stream, f"{root}/out", f"{root}/cp", available_now=True).awaitTermination()
+    done = spark.read.parquet(f"{root}/out").drop("batch")
+    all_ = done.unionByName(jobs.tail_windows(rows, done), allowMissingColumns=True)
+    return all_.select("charger_id", _start(), "msg_count", "status_changes", "anomaly_score")
+
+
+QUERIES = {"stream_windows": stream_windows}
+ORACLE = {"stream_windows": f"WITH {sql.windows('5 minutes')} SELECT charger_id, {sql.ts('window_start')} AS window_start, msg_count, status_changes, anomaly_score FROM win"}

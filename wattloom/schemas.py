@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 STATUSES = ("Available", "Preparing", "Charging", "SuspendedEVSE", "SuspendedEV", "Finishing", "Faulted", "Unavailable")
 CATEGORIES = ("electrical", "mechanical", "thermal", "firmware", "network", "environmental")
 OUTCOMES = ("fixed", "different_fault", "no_fault_found")
@@ -35,8 +33,9 @@ GATE_CONFIDENCE, GATE_CONFIRMATIONS, GATE_SIMILARITY = 0.85, 3, 0.55
 MERGE_DISTANCE, SUPERSEDE_DISTANCE, COMPACT_DISTANCE, SCOPE_BOOST = 0.15, 0.40, 0.20, 0.95
 DECAY, DEPRECATE_BELOW = "0.95", "0.30"
 
-TELEMETRY = T.StructType.fromDDL(
+#: As DDL texts, which need no session.
+TELEMETRY = (
     "charger_id string, connector_id tinyint, ts timestamp, status string, transaction_id string, energy_wh bigint, power_w int, voltage_v decimal(6,2), current_a decimal(6,2), "
     "soc_percent smallint, temp_c decimal(5,2), error_code string, vendor_error string, fan_rpm int, earth_leak_ma decimal(5,2), contactor_cycles int, signal_dbm smallint"
 )
-CDC = T.StructType.fromDDL("type string, table string, data array<map<string,string>>")
+CDC = "type string, table string, data array<map<string,string>>"
