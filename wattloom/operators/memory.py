@@ -75,14 +75,10 @@ def apply_outcomes(reasoning: DataFrame, memories: DataFrame, outcomes: DataFram
 
     A memory is touched once for each checkpoint that is in its pending or source references and not yet in its
     adjudicated list (column adjudicated: array of checkpoint references). Positive: the reference moves from pending
-    to source, verified_confirmations + 1, a session memory becomes verified, an escalated checkpoint confirmed.
+    to source, verified_confirmations + 1, a session memory becomes verified, an escalated checkpoint that moved one confirmed.
     Negative: it leaves pending, verified_contradictions + 1. Confidence follows from the new counters.
     """
     state = resolve_outcomes(reasoning, outcomes)
-    stamped = state.filter("state = 'stamped'").select("reasoning_id", "outcome").withColumnsRenamed({"reasoning_id": "_r", "outcome": "_o"})
-    r = reasoning.join(stamped, reasoning["id"] == stamped["_r"], "left")
-    better = (F.col("_o") == POSITIVE_OUTCOME) & (F.col("resolution") == "escalated")
-    new_reasoning = r.withColumns({"verified_outcome": F.coalesce("verified_outcome", "_o"), "resolution": F.when(better, "confirmed").otherwise(F.col("resolution"))}).select(reasoning.columns)
     # what counts for memories: the outcome that stands for each checkpoint, whether new or repeated
     good = state.filter("state IN ('stamped', 'same')").groupBy("reasoning_id").agg(F.first("outcome").alias("outcome"))
     good = good.select(F.concat(F.lit("agent_reasoning:"), F.col("reasoning_id").cast("string")).alias("ref"), "outcome")
@@ -99,8 +95,13 @@ def apply_outcomes(reasoning: DataFrame, memories: DataFrame, outcomes: DataFram
         "source_refs": F.when(some, F.array_distinct(F.concat(F.coalesce("source_refs", F.array()), "_up"))).otherwise(F.col("source_refs")),
         "pending_refs": F.when(some, F.array_except(F.coalesce("pending_refs", F.array()), "_all")).otherwise(F.col("pending_refs")), "adjudicated": F.when(some, F.concat(F.coalesce("adjudicated", F.array()), "_all")).otherwise(F.col("adjudicated")),
     })
-    touched = hits.groupBy("ref").agg(F.count("*").alias("touched"))
-    report = state.join(touched.select(F.regexp_extract("ref", CHECKPOINT_REF, 1).try_cast("long").alias("reasoning_id"), "touched"), "reasoning_id", "left")
+    touched = hits.groupBy("ref").agg(F.count("*").alias("touched"), F.first("outcome").alias("stands")).select(F.regexp_extract("ref", CHECKPOINT_REF, 1).try_cast("long").alias("reasoning_id"), "touched", "stands")
+    report = state.join(touched.drop("stands"), "reasoning_id", "left")
+    stamped = state.filter("state = 'stamped'").select(F.col("reasoning_id").alias("_r"), F.col("outcome").alias("_o"))
+    moved = touched.filter(F.col("stands") == POSITIVE_OUTCOME).select(F.col("reasoning_id").alias("_t"))
+    r = reasoning.join(stamped, reasoning["id"] == stamped["_r"], "left").join(moved, reasoning["id"] == moved["_t"], "left")
+    better = F.col("_t").isNotNull() & (F.col("resolution") == "escalated")
+    new_reasoning = r.withColumns({"verified_outcome": F.coalesce("verified_outcome", "_o"), "resolution": F.when(better, "confirmed").otherwise(F.col("resolution"))}).select(reasoning.columns)
     n = F.coalesce("touched", F.lit(0))
     report = report.select("reasoning_id", "outcome", "seq", F.when(F.col("state").isin("conflict", "unknown"), F.col("state")).when(n > 0, "ok").otherwise("ok_no_propagation").alias("result"), n.alias("touched"))
     return new_reasoning, m.select(memories.columns), report

@@ -173,7 +173,7 @@ ORACLE = {
     "evidence_validation": "WITH e AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'Bad Ref ' || event_id WHEN 1 THEN 'nowhere:' || event_id WHEN 2 THEN 'agent_reasoning:' || event_id * 2 ELSE 'fleet_memory:' || event_id % 3000 END AS ref FROM events) SELECT id, ref, CASE id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'unknown_prefix' WHEN 2 THEN CASE WHEN NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id = e.id * 2) THEN 'not_found' END ELSE CASE WHEN NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.id % 3000) THEN 'not_found' END END AS reason FROM e",
     "verify_outcomes": f"{_OUT}, t AS (SELECT ref, count(*) AS touched FROM h GROUP BY ref) SELECT reasoning_id, seq, CASE WHEN state IN ('conflict', 'unknown') THEN state WHEN touched > 0 THEN 'ok' ELSE 'ok_no_propagation' END AS result, coalesce(touched, 0) AS touched FROM st LEFT JOIN t ON ref = 'agent_reasoning:' || reasoning_id",
     "verify_outcomes_memories": f"{_OUT}, v AS (SELECT mem.id, CASE WHEN pos > 0 AND provenance = 'session' THEN 'verified' ELSE provenance END AS provenance, (verified_confirmations + coalesce(pos, 0))::INTEGER AS c, (verified_contradictions + coalesce(neg, 0))::INTEGER AS k, p.id IS NOT NULL AS hit, mem.confidence, len(list_filter(pending_refs, lambda x: NOT list_contains(coalesce(refs, []), x))) AS pending, coalesce(len(refs), 0) + CASE WHEN mem.id % 9 = 0 THEN 2 ELSE 0 END AS audited FROM mem LEFT JOIN p USING (id)) SELECT id, provenance, c AS verified_confirmations, k AS verified_contradictions, CASE WHEN hit THEN {sql.confidence('provenance', 'c', 'k')} ELSE confidence::DOUBLE END AS confidence, pending::INTEGER AS pending, audited::INTEGER AS audited FROM v",
-    "verify_outcomes_checkpoints": f"{_OUT} SELECT rea.id, coalesce(rea.verified_outcome, x.outcome) AS verified_outcome, CASE WHEN x.outcome = 'fixed' AND resolution = 'escalated' THEN 'confirmed' ELSE resolution END AS resolution FROM rea LEFT JOIN (SELECT * FROM st WHERE state = 'stamped') x ON x.reasoning_id = rea.id",
+    "verify_outcomes_checkpoints": f"{_OUT} SELECT rea.id, coalesce(rea.verified_outcome, x.outcome) AS verified_outcome, CASE WHEN resolution = 'escalated' AND 'agent_reasoning:' || rea.id::VARCHAR IN (SELECT ref FROM h WHERE outcome = 'fixed') THEN 'confirmed' ELSE resolution END AS resolution FROM rea LEFT JOIN (SELECT * FROM st WHERE state = 'stamped') x ON x.reasoning_id = rea.id",
     "supersede_prior": f"WITH {sql.REASONING}, f AS (SELECT charger_id, min(id) AS by_ FROM rea WHERE id % 10 = 0 AND resolution = 'confirmed' GROUP BY 1) SELECT id, CASE WHEN resolution = 'confirmed' AND superseded_by IS NULL AND created_at > TIMESTAMP '{LATE}' - INTERVAL 10 DAY AND by_ IS NOT NULL THEN by_ ELSE superseded_by END AS superseded_by FROM rea LEFT JOIN f USING (charger_id) WHERE id % 10 > 0",
     "tag_groups": f"{_GROUP.replace('__DAYS__', '10')}, r AS (SELECT *, row_number() OVER (PARTITION BY tag_key ORDER BY id) AS rn FROM live) SELECT tag_key, count(*) AS n, CASE WHEN count(DISTINCT model) = 1 THEN 'model:ACME-' || min(model) WHEN count(DISTINCT environment) = 1 THEN 'environment:' || min(environment) ELSE 'global' END AS scope, string_agg(charger_id, ',' ORDER BY id) FILTER (rn <= 5) AS chargers, min_by(observation, id) AS sample FROM r GROUP BY tag_key HAVING count(*) >= 3",
     "consolidate": f"{_GROUP.replace('__DAYS__', '7')}, g AS (SELECT tag_key FROM live GROUP BY 1 HAVING count(*) >= 3) SELECT id, CASE WHEN id IN (SELECT id FROM live JOIN g USING (tag_key)) THEN 'promoted' ELSE resolution END AS resolution FROM rea",
