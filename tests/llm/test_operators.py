@@ -1,0 +1,370 @@
+"""The dealt operators: against brute force on small fixtures, and on nulls, empty tables, ties and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from wattloom.llm import components, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, oracle, pii, queries, sentencepiece_codec, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+LONG = "wort " * 60_000
+DOCS = [(1, None, None), (2, "", "en"), (3, "  \n", "en"), (4, "Hello there, General Kenobi speaks", "en"), (5, "hello THERE, General Kenobi speaks", "en"), (5, "hello THERE, General Kenobi speaks", "en"), (6, LONG, "de"), (7, "Ä ö ß 中文 😀 \x00", None), (8, "123 456", "en")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns that clash with what operators make."""
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in DOCS], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("own") for c in ("id", "digest", "score", "keep_id", "lang_pred", "mixture", "n", "seed", "rank", "_own_x")})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.filter("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts_of(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+# exact dedup ---------------------------------------------------------------------------------------------------------
+
+
+def test_dedup_brute_force(odd):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    norm = [(i, (t or "").translate(lower)) for i, t, _ in DOCS]
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(odd).collect())
+    want = sorted((i, k := max(j for j, u in norm if u == t), sum(u == t for _, u in norm), i == k, hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
+    assert got == want
+
+
+def test_dedup_many_lanes_and_hot_group(spark):
+    df = spark.range(0, 6000, 1, 40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "HOT").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("text"))
+    got = exact_dedup.exact_dedup(df)
+    want = df.groupBy(F.lower("text").alias("t")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    assert got.select("keep_id", "group_size").distinct().exceptAll(want.select("keep_id", "group_size")).count() == 0
+    assert got.count() == 6000
+    assert got.filter("kept").count() == want.count()
+    least = exact_dedup.exact_dedup(df, keep="min").filter("group_size = 4000").select("keep_id").distinct().collect()
+    assert [r.keep_id for r in least] == [1]
+
+
+# n-gram Jaccard join -------------------------------------------------------------------------------------------------
+
+
+def brute_links(texts, n=5, threshold=0.8):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"\w+", (t or "").lower())
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    inverted, common = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for g in s:
+            inverted[g].append(i)
+    for v in inverted.values():
+        for a in range(len(v)):
+            for b in range(a):
+                common[v[a], v[b]] += 1
+    root, links = {i: i for i in sets}, Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), c in common.items():
+        if c >= threshold * (len(sets[a]) + len(sets[b]) - c) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    return {i: (find(i), links[i]) for i in sets}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_jaccard_brute_force(docs, block):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs, block_texts=block).collect()}
+    assert got == brute_links(texts_of(docs))
+
+
+def test_jaccard_near_copies_and_hot_group(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate([7 + i % 100 for i in range(60)])] + [(100 + i, " ".join(base)) for i in range(50)] + [(200, " ".join(base[:60])), (201, "one two"), (202, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df, block_texts=16).collect()}
+    assert got == brute_links(dict(rows))
+
+
+def test_jaccard_odd(odd, empty):
+    got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(odd).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    assert jaccard_join.jaccard_join(empty).count() == 0
+
+
+def test_bands():
+    bands, rows = jaccard_join.bands_and_rows(0.8, 0.9999, 192)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
+    assert bands * rows <= 192
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (7, 7), (400, 400)] + [(1000, 1000 + i) for i in range(200)]
+    got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {got[i] for i in range(31)} == {0}
+    assert (got[300], got[400], got[1199]) == (100, 400, 1000)
+
+
+def test_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
+    got = jaccard_join.intersections(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30))
+
+
+# decontamination -----------------------------------------------------------------------------------------------------
+
+
+def test_decontaminate(spark, odd, empty):
+    item = " ".join(f"b{i}" for i in range(30))
+    words = item.split()
+    swapped = " ".join(w if i % 7 else "zzz" for i, w in enumerate(words))
+    rows = [(1, f"start here {item} and on"), (2, f"more text {swapped} end"), (3, "b1 b5 b9 " * 20), (4, " ".join(f"c{i}" for i in range(40))), (5, " ".join(words[5:20])), (6, None), (7, item[:20]), (8, item.upper().replace(" ", ", "))]
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string").withColumn("doc_id", F.lit(9))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("own"))
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()) == [(1, 1), (2, 1), (5, 1), (8, 1)]
+    assert decontaminate.overlaps(empty, bench).count() == 0
+    assert decontaminate.overlaps(odd, bench.filter("false")).count() == 0
+
+
+def test_decontaminate_in_blocks(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == whole
+    assert whole
+
+
+# licences, urls ------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, odd, empty):
+    mit = licenses.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit), (2, mit.upper().replace("SUBLICENSE", "sublicence")), (3, mit + " and more"), (4, None), (5, "Released under the MIT licence"), (6, "© me\n(c) you\nAll rights reserved")]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: "MIT", 6: None}
+    assert licenses.license_scan(odd).filter("matched").count() == 0
+    assert licenses.license_scan(empty).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "https://WWW.Example.COM/en/7?x"), (2, "http://a.com/en/x"), (3, "x://b.example.net/de/81#y"), (4, "x://b.net/de/8"), (5, "no scheme"), (6, None), (7, "x://com/en/"), (8, "x://notcom/en/"), (9, "x://a.org/es/1?://z.com/en/"), (10, "x://y.example.com/en/8"), (11, "x://h.org?q/es/")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {
+        1: ("www.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("a.com", "/en/x", "com/en/", "block"), 3: ("b.example.net", "/de/81", "example.net/de/8", "block"), 4: ("b.net", "/de/8", "net/de/", "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
+        7: ("com", "/en/", "com/en/", "block"), 8: ("notcom", "/en/", None, "allow"), 9: ("a.org", "/es/1", "org/es/", "block"), 10: ("y.example.com", "/en/8", "com/en/", "block"), 11: ("h.org", "", None, "allow"),
+    }
+
+
+def test_url_templates_are_rejected_by_purity(spark):
+    rows = [(i, f"http://h.io/spam/{i}.html") for i in range(40)] + [(100 + i, f"http://h.io/news/{i}") for i in range(40)] + [(200 + i, f"http://h.io/tag/word{i}x/{i}") for i in range(40)]
+    labels = [(i, "block") for i in range(30)] + [(100 + i, "allow") for i in range(30)] + [(200 + i, "block") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("label", F.lit("own"))
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, [], spark.createDataFrame(labels, "page_id long, label string")).collect()}
+    assert {got[i] for i in range(40)} == {"block"}
+    assert {got[i] for i in range(100, 140)} == {"allow"}
+    assert {got[i] for i in range(200, 240)} == {"block"}  # words became a wildcard, so unlabelled ones go too
+
+
+# html ----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<p>A &amp; b\n  c<p>d<br>e&nbsp;f", "A & b c\nd\ne f"), ("<body><nav>menu</nav><article><h1>T</h1><p>x <b>y</b>z<aside>no</aside></article><footer>f</footer>", "T\nx yz"),
+        ("<div class='sidebar'>no</div><div id=content>yes<div class=comments>no</div></div><form>no</form>", "yes"), ("<script>var a='<p>no</p>'</script><style>p{}</style>yes<!-- no -->", "yes"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<article><p>a<b>bold<p>c</article>", "abold\nc"), ("<main><header>title</header>x</main>", "title\nx"), ("<<p>1 < 2 <3</p>", "<\n1 < 2 <3"),
+    ],
+)
+def test_html_pages(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_html_templates(spark):
+    page = "<html><body><div>Brand</div><div>Home | News</div><div>Imprint</div><p>Story {0} here</p><p>shared line</p><div>{1}</div></body></html>"
+    rows = [(i, "http://h.io/x", page.format(i, i * 7)) for i in range(40)] + [(99, None, None), (100, "http://few.io/", page.format(1, 2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("own"), "text": F.lit("own"), "known": F.lit(1)})
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.html_extract(df).collect()}
+    assert got[3] == ("Story 3 here\n21", 15)  # what every page of the host has is its template
+    assert got[99] == ("", 0)
+    assert got[100][0].startswith("Brand")
+    assert html_extract.html_extract(df.filter("false")).count() == 0
+
+
+# personal data -------------------------------------------------------------------------------------------------------
+
+
+def brute_pii(x):
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d[::-1])) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_pii_base(docs):
+    rng = np.random.default_rng(5)
+    cases = [t or "" for t in texts_of(docs).values()] + ["".join(rng.choice(list("0123456789@.+- ()aB%"), rng.integers(0, 60))) for _ in range(3000)] + ["4539578763621486", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "é a@b.cd", "0" * 3000 + ".1.2.3"]
+    assert [pii.base_spans(c) for c in cases] == [brute_pii(c) for c in cases]
+
+
+def test_pii_query(spark, odd, empty):
+    rows = [(1, 'mail me a.b@c.de now, token = "8a4e6e1f6463a8c2573135e353846cd2315d3e1e" and Dr. Anna Smith'), (2, None)] + [(10 + i, f"password={hashlib.md5(str(i).encode()).hexdigest()[:18]} is set") for i in range(30)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans.startswith("email:8:16,secret:31:71")
+    assert (got[1].n_email, got[1].base_sha256) == (1, hashlib.sha256(b"email:8:16").hexdigest())
+    assert (got[2].spans, got[2].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
+    assert got[15].spans == "secret:9:27"
+    assert pii.find_pii(odd).count() == len(DOCS)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_reliabilities():
+    counts = {("a", (1, 1, 0, 0)): 80, ("a", (-1, -1, 0, 0)): 100, ("a", (1, 0, 0, -1)): 5}
+    share, p = pii.reliabilities(counts)
+    assert 0.3 < share["a"] < 0.6
+    assert p[0, 1, 2] > 0.8 > p[0, 0, 2]
+
+
+# language, toxicity --------------------------------------------------------------------------------------------------
+
+
+def test_language(docs, odd, empty):
+    r = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert [zlib.crc32(str(i).encode()) % 5 == 0 for i in r.doc_id] == r.held_out.tolist()
+    held = r[r.held_out & r.lang.notna()]
+    assert (held.lang == held.lang_pred).mean() > 0.95
+    assert r.score.between(0, 1).all()
+    got = {x.doc_id: x.lang_pred for x in language_id.language_id(odd).collect()}
+    assert (got[1], got[2], got[3], got[8]) == ("und", "und", "und", "und")
+    assert got[7] != "und"
+    assert language_id.language_id(empty).count() == 0
+
+
+def test_language_mixture(docs):
+    model = language_id.train(docs)
+    t = docs.filter("lang = 'en'").first().text[:3000] + " " + docs.filter("lang = 'fr'").first().text[:3000]
+    pi = dict(zip(model.languages, language_id.proportions(model, [language_id.words_of(t)])[0], strict=True))
+    assert pi["en"] > 0.15
+    assert pi["fr"] > 0.15
+    assert pi["en"] + pi["fr"] > 0.9
+
+
+def test_toxicity(spark, odd, empty):
+    rng = np.random.default_rng(3)
+    clean = ["the", "house", "stands", "near", "water", "and", "people", "walk", "there", "often"]
+    rows, labels = [], []
+    for i in range(1200):
+        w = list(rng.choice(clean, 30))
+        if i % 4 == 0:
+            w[5] = "idiot" if i % 8 else "stupid"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(5000 + k, f"people walk there {w} near the house") for k, w in enumerate(["1d10t", "i d i o t", "i.d.i.o.t", "idiooooot", "IDIOT!!!", "st*pid"])] + [(6000, None), (6001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("own"))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("text", F.lit("own"))
+    r = toxicity.toxicity(df, lab).toPandas().set_index("doc_id")
+    assert [zlib.crc32(str(i).encode()) % 3 == 1 for i in r.index] == r.held_out.tolist()
+    y = {i: t for i, t in labels}
+    assert all(r.predicted[i] == y[i] for i in y)
+    assert r.predicted[list(range(5000, 5006))].tolist() == [1] * 6
+    assert r.predicted[[6000, 6001]].tolist() == [0, 0]
+    assert toxicity.toxicity(odd, lab).count() == len(DOCS)
+    assert toxicity.toxicity(odd, lab.filter("false")).filter("predicted = 1").count() == 0
+    assert toxicity.toxicity(empty, lab).count() == 0
+
+
+# SentencePiece -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+
+
+def test_pieces_equal_the_library(docs, library):
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        coder = sentencepiece_codec.Coder(f.read())
+    rng = np.random.default_rng(9)
+    parts = ["a", "e", "th", " ", "  ", "the ", "ing", "é", "中", "😀", "\n", "0", "▁", "    ", "er", "<0x0A>", "<s>", "\x00", "un"]
+    cases = ["", " ", "a" * 300, " " * 40 + "x", "中文字符测试" * 20, LONG[:9000]] + ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(1000)] + [t or "" for t in texts_of(docs).values()]
+    got = coder.encode_batch(cases)
+    assert got == [library.encode(c) for c in cases]
+    assert [coder.decode(g) for g in got] == [c.replace("▁", " ") for c in cases]
+
+
+def test_codec_frames(odd, empty, library):
+    enc = sentencepiece_codec.encode(odd)
+    got = [(r.text, list(r.token_ids), r.decoded) for r in sentencepiece_codec.decode(enc).collect()]
+    assert all(ids == library.encode(t or "") and back == (t or "") for t, ids, back in got)
+    assert sentencepiece_codec.encode_digests(odd).filter("round_trip").count() == len(DOCS)
+    assert sentencepiece_codec.encode(empty).count() == 0
+
+
+# pipeline and queries ------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_brute_force(spark, docs):
+    """Each stage against plain Python on what the stage before has kept."""
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, SF)
+        have, kept = texts_of(now), {r.doc_id for r in out.collect()}
+        assert kept <= set(have)
+        if name == "language_id":
+            assert all(re.search(r"[^\W\d_]", have[i] or "") for i in kept)
+            assert len(kept) > 0.97 * len(have)
+        elif name == "exact_dedup":
+            last = {}
+            for i, t in have.items():
+                k = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+                last[k] = max(i, last.get(k, i))
+            assert kept == set(last.values())
+        elif name == "jaccard_join":
+            assert kept == {root for root, _ in brute_links(have).values()}
+        elif name == "decontaminate":
+            con = duckdb.connect()
+            con.register("documents", now.toPandas())
+            con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+            assert kept == set(have) - {r[0] for r in con.sql(oracle.ORACLE["op9_decontaminate"]).fetchall()}
+        assert out.columns[: len(docs.columns)] == docs.columns
+        now = out
+
+
+def test_pipeline_odd(spark, odd, empty):
+    for df, n in ((odd, 4), (empty, 0)):
+        now = df
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SF)
+        assert now.drop("token_ids").columns == df.columns
+        assert now.count() <= n
+
+
+@pytest.mark.parametrize("name", ["op2_html_extract", "op4_pii", "op6_sentencepiece"])
+def test_queries_cover_their_tables(spark, name):
+    n = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op2') else 'documents'}.parquet").count()
+    assert queries.QUERIES[name](spark, SF).count() == n

@@ -137,7 +137,7 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int =
     """
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], dtype=np.float64)
-    v = np.array([k[1] for k in keys], dtype=np.int64).reshape(len(keys), -1) + 1
+    v = np.array([k[1] for k in keys], dtype=np.int64).reshape(len(keys), 4) + 1
     kinds = sorted({k[0] for k in keys})
     kind = np.array([kinds.index(k[0]) for k in keys])
     start = np.array([[[0.5, 0.3, 0.2]], [[0.15, 0.35, 0.5]]]).reshape(2, 3)
