@@ -44,6 +44,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "16m") -> None:
+    """Bounds what one Arrow batch brings to a Python worker, by rows and by bytes; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def schema_with(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with the fields of a DDL string after its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import schema_with, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_CHARS = 6_000_000
-CACHE_UNITS = 400_000
+CHUNK_CHARS = 3_000_000
+CACHE_UNITS = 250_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _coders: dict[int, Coder] = {}
 
@@ -43,7 +44,9 @@ class Coder:
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in ids if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
-        self.silent = {i for i in ids if sp.is_control(i)}
+        #: what a piece shows; bytes of ASCII are characters, the others (high) only make one together
+        self.shown = ["" if sp.is_control(i) else chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else self.pieces[i] for i in ids]
+        self.high = frozenset(i for i, b in self.byte_of.items() if b > 127)
         self.normal = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.pieces[i]: i for i in self.normal}
         self.score = np.array([sp.get_score(i) for i in ids])
@@ -90,7 +93,7 @@ class Coder:
         """For keys q * (size + 1) + p: whether q and p stand next to each other in the encoding of qp."""
         some, back = np.unique(keys, return_inverse=True)
         fits, wide = self.fits, self.size + 1
-        if len(fits) > 3_000_000:
+        if len(fits) > 600_000:
             fits.clear()
         out = np.empty(len(some), dtype=bool)
         for k, key in enumerate(some.tolist()):
@@ -111,17 +114,18 @@ class Coder:
 
     def suffixes(self, text: np.ndarray) -> np.ndarray:
         """Positions of ``text``, sorted by what begins there as far as the longest piece reaches (prefix doubling)."""
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-        order, k = np.argsort(rank, kind="stable"), 1
-        while k < self.length:
+        far = np.concatenate([text + 2, np.zeros(2, dtype=np.int64)])  # code points have 21 bits: three make a first key
+        key, k = (far[:-2] << 42) | (far[1:-1] << 21) | far[2:], 3
+        while True:
+            order = np.argsort(key)
+            if k >= self.length:
+                break
+            key = key[order]
+            rank = np.empty_like(key)
+            rank[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
             ahead = np.zeros_like(rank)
             ahead[:-k] = rank[k:]
-            key = rank * (len(text) + 2) + ahead
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.empty_like(rank)
-            new[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
-            rank, k = new, k * 2
+            key, k = rank * (len(text) + 2) + ahead, k * 2
         return order
 
     def ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,35 +163,37 @@ class Coder:
         text = np.frombuffer("\0".join(new).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         stops = (begin + sizes)[:-1]
         text[stops] = -1  # between units; no piece has it
-        order = self.suffixes(text)
+        order = self.suffixes(text).astype(np.int32)
         low, high = self.ranges(text, order)
         found = np.flatnonzero(low < high)
         many = (high - low)[found]
         flat = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        start, piece = order[flat], np.repeat(self.by_text[found], many)
+        start, piece = order[flat], np.repeat(self.by_text[found].astype(np.int32), many)
+        del order, flat
         # characters that no piece has are edges of their own
         covered = np.zeros(len(text), dtype=bool)
         covered[start[self.lengths[piece] == 1]] = True
         covered[stops] = True
         alone = np.flatnonzero(~covered)
-        start, piece = np.concatenate([start, alone]), np.concatenate([piece, np.full(len(alone), self.size)])
+        start, piece = np.concatenate([start, alone.astype(np.int32)]), np.concatenate([piece, np.full(len(alone), self.size, dtype=np.int32)])
         known = piece < self.size
         known[known] = ~self.whole(piece[known])
         start, piece = start[~known], piece[~known]
-        end = start + self.lengths[piece]
-        of = np.repeat(np.arange(len(new)), sizes + 1)[start]
-        away = end - begin[of]  # edges by the distance of their end from the unit's beginning
-        by = np.argsort(away, kind="stable")
-        start, piece, end, away, first = start[by], piece[by], end[by], away[by], (start == begin[of])[by]
+        end = start + self.lengths[piece].astype(np.int32)
+        from_ = np.repeat(begin, sizes + 1).astype(np.int32)[start]
+        away = end - from_  # edges by the distance of their end from the unit's beginning
+        by = np.argsort(away.astype(np.uint16) if len(away) and away.max() < 1 << 16 else away, kind="stable")
+        start, piece, end, away, first = start[by], piece[by], end[by], away[by], (start == from_)[by]
+        del from_, by
         cuts = np.flatnonzero(np.diff(away)) + 1
-        last = np.full(len(text) + 2, -1, dtype=np.int64)  # the piece that the encoding of a prefix ends with, by its end
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(by)]]), strict=True):
+        last = np.full(len(text) + 2, -1, dtype=np.int32)  # the piece that the encoding of a prefix ends with, by its end
+        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(start)]]), strict=True):
             s, p, e = start[a:b], piece[a:b], end[a:b]
             good = first[a:b].copy()
             rest = np.flatnonzero(~good)
             before = last[s[rest]]
             rest, before = rest[before >= 0], before[before >= 0]
-            good[rest[self.pairs_fit(before * (self.size + 1) + p[rest])]] = True
+            good[rest[self.pairs_fit(before.astype(np.int64) * (self.size + 1) + p[rest])]] = True
             last[e[good]] = p[good]
         length, ends, chosen = self.lengths.tolist(), (begin + sizes).tolist(), last.tolist()
         for unit, b, at in zip(new, begin.tolist(), ends, strict=True):
@@ -204,30 +210,24 @@ class Coder:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        new = list({u for s in split for u in s if u not in self.units})
+        have = set(chain.from_iterable(split))
+        if len(self.units) > CACHE_UNITS:  # what this batch uses again stays
+            self.units = {u: x for u in have if (x := self.units.get(u)) is not None}
+        new = [u for u in have if u not in self.units]
         if new:
             self.learn_units(new)
         get = self.units.__getitem__
-        return [[i for u in s for i in get(u)] for s in split]
+        return [list(chain.from_iterable(map(get, s))) for s in split]
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.silent:
-                out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+        else:  # bytes of one character stand side by side; runs of bytes are decoded together
+            out: list[str] = []
+            for raw, run in groupby(ids, self.byte_of.__contains__):
+                out.append(bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", "replace") if raw else "".join(map(self.shown.__getitem__, run)))
+            text = "".join(out)
+        text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -258,6 +258,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
 
     Null and empty texts have no tokens. Spaces are kept as they are; U+2581 in a text counts as a space.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("token_ids")
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
 
@@ -287,6 +288,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     round_trip says that decoding gives the text back, with U+2581 read as a space; null counts as empty.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
 
