@@ -48,7 +48,7 @@ def start_windows(telemetry: DataFrame, out: str, checkpoint: str, available_now
 
 def start_raw(telemetry: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """The raw rows, in the order of the schema, as Parquet."""
-    w = telemetry.select([F.col(c) for c in TELEMETRY.fieldNames()]).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    w = telemetry.select([F.col(f.split()[0]) for f in TELEMETRY.split(", ")]).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")).start()
 
 
