@@ -214,6 +214,22 @@ def test_html_templates(spark):
     assert html_extract.html_extract(df.filter("false")).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    page = "<html><body><nav>Home</nav><article><h1>Title {0}</h1><div>Tell your friends</div><p>Story {0} here</p><div>All prices with tax</div></article><footer>Imprint</footer></body></html>"
+    rows = [(i, "http://h.io/x", page.format(i)) for i in range(20)] + [(50, "http://few.io/", page.format(50))]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i} here" for i in range(20))
+    assert got[50] == "Title 50\nTell your friends\nStory 50 here\nAll prices with tax"  # one page has no template
+
+
+def test_html_classes_nest():
+    blocks = html_extract.blocks_of("<body><div>a</div><article><i>b</i><p>text</p><i>c</i></article><div>d</div></body>")
+    known = {html_extract.token_of(k): 1 if t in "ad" else 2 for k, _, t in blocks if t in "abcd"}
+    tree = html_extract.nest(blocks, known)
+    assert (tree[1][1], tree[2][1]) == (None, 1)
+    assert all(t not in "abcd" for _, (_, _, t) in html_extract.slots(blocks, known))
+
+
 # personal data -------------------------------------------------------------------------------------------------------
 
 

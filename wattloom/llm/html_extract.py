@@ -4,9 +4,10 @@ A page is a sequence of tokens: tags, told apart by their path, and text nodes w
 the same occurrence vector (how often they occur in which page) are an equivalence class. The vectors of all pages of
 a host are never gathered: each token keeps the sum of a hash of (page, count) over the pages, which two tokens share
 exactly if their vectors do. Such sums add up in any order, so a host with a third of all pages is pre-aggregated like
-any other. Classes that occur in enough pages are valid; tokens of valid classes, nested by their paths, are the
-host's template, and what lies between them are its slots. A page's text is what its slots hold, without the text of
-the template and without the regions whose element or name says that they are not the article.
+any other. Classes that occur in enough pages are valid, and their tokens are the host's template. On a page, classes
+nest by their paths, and what lies between their tokens are the slots, of any page. A page's text is what its slots
+hold; afterwards the slots are checked by region: where some lie in an article or main element, only these count, and
+regions whose element or name says that they are not the article never do.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pandas as pd
 import xxhash
@@ -173,7 +175,7 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
                     counts[key] += 1
                     counts["/" + path] += 1
                 for token, c in counts.items():
-                    t = (host, xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63))
+                    t = (host, token_of(token))
                     v = xxhash.xxh64_intdigest(f"{page_id} {c}".encode()) >> 16  # 48 bits: sums of 32,768 pages stay exact in a long, more wrap as one
                     e = n.setdefault(t, [0, 0])
                     e[0] += 1
@@ -185,7 +187,7 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, token) of the template: tokens of valid equivalence classes.
+    """(host, token, class) of the template: tokens of valid equivalence classes.
 
     A class is valid if it spans enough pages of the host and has MIN_TOKENS tokens, at least: one line that many
     articles share is no template.
@@ -194,18 +196,58 @@ def template(pages: DataFrame) -> DataFrame:
     sums = occurrence_sums(pages).filter(F.col("pages") >= MIN_PAGES).join(size, "host")
     sums = stored(sums.filter(F.col("pages") >= MIN_SHARE * F.col("all")).select("host", "token", "pages", "vector"))
     valid = sums.groupBy("host", "pages", "vector").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_TOKENS)
-    return sums.join(valid, ["host", "pages", "vector"], "left_semi").select("host", "token")
+    return sums.join(valid, ["host", "pages", "vector"], "left_semi").select("host", "token", F.xxhash64("pages", "vector").alias("class"))
 
 
-def extract(page: str | None, known: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the slots of one page, given the template's tokens.
+def token_of(key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    An article or main region is a slot as a whole: what pages repeat in it is theirs. Without one, the slots are
-    what lies between the template's text blocks.
+
+def nest(blocks: list[tuple[str, str, str]], known: Mapping[int, int]) -> dict[int, tuple[tuple[str, ...], int | None]]:
+    """Of each class on a page: its root, the path that its tokens share, and the class that it is nested in.
+
+    That is the class with the longest root around its own, of equal roots the one that begins before it.
+    """
+    roots: dict[int, tuple[str, ...]] = {}  # in the order that classes begin on the page
+    for key, path, _ in blocks:
+        parts = tuple(path.split("/"))
+        for c in dict.fromkeys((known.get(token_of("/" + path)), known.get(token_of(key)))):
+            if c in roots:  # two elements of one path have their parent in common
+                old = roots[c]
+                roots[c] = old[: next((i for i, (a, b) in enumerate(zip(old, parts[:-1])) if a != b), min(len(old), len(parts) - 1))]
+            elif c is not None:
+                roots[c] = parts
+    tree: dict[int, tuple[tuple[str, ...], int | None]] = {}
+    last: dict[tuple[str, ...], int] = {}
+    for c, root in sorted(roots.items(), key=lambda x: len(x[1])):  # stable: outer roots first, then as they begin
+        tree[c] = root, next((last[root[:k]] for k in range(len(root), -1, -1) if root[:k] in last), None)
+        last[root] = c
+    return tree
+
+
+def slots(blocks: list[tuple[str, str, str]], known: Mapping[int, int]) -> list[tuple[int | None, tuple[str, str, str]]]:
+    """(class, block) of the blocks that the template does not hold: the innermost class that the slot is of."""
+    if not known:
+        return [(None, b) for b in blocks]
+    inner = {root: c for c, (root, _) in nest(blocks, known).items()}
+    out = []
+    for b in blocks:
+        if token_of(b[0]) not in known:
+            parts = tuple(b[1].split("/"))
+            out.append((next((inner[parts[:k]] for k in range(len(parts), -1, -1) if parts[:k] in inner), None), b))
+    return out
+
+
+def extract(page: str | None, known: Mapping[int, int] = MappingProxyType({})) -> str:
+    """The text of the slots of one page, given the class of each of the template's tokens.
+
+    The template decides on every page, inside articles too. Regions only check the slots that are left: those outside
+    an article or main element go, if the page has one.
     """
-    inside = [b for b in blocks_of(page) if "!" not in b[1]]
-    scope = [b for b in inside if _ARTICLE.search(b[1])]
-    kept = scope or [b for b in inside if xxhash.xxh64_intdigest(b[0].encode()) - (1 << 63) not in known]
+    blocks = blocks_of(page)
+    kept = [b for _, b in slots(blocks, known) if "!" not in b[1]]
+    if any(_ARTICLE.search(p) for _, p, _ in blocks if "!" not in p):
+        kept = [b for b in kept if _ARTICLE.search(b[1])]
     return "\n".join(text for _, _, text in kept)
 
 
@@ -220,19 +262,19 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     found = stored(template(base.select("page_id", "host", "html")))
     # a token is in MIN_SHARE of its host's pages, so a host has at most the mean number of blocks a page / MIN_SHARE
-    by_host = found.groupBy("host").agg(F.collect_set("token").alias("known"))
+    by_host = found.groupBy("host").agg(F.map_from_entries(F.collect_set(F.struct("token", "class"))).alias("known"))
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     with_template = base.join(F.broadcast(by_host) if few else by_host, "host", "left")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[str, set[int]] = {}
+        sets: dict[str, dict[int, int]] = {}
         for pdf in _batches(it):
             texts = []
             for h, page, known in zip(pdf["host"], pdf["html"], pdf["known"], strict=True):
                 if h not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[h] = set(known.tolist()) if known is not None else set()
+                    sets[h] = dict(known) if known is not None else {}
                 texts.append(extract(page, sets[h]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
