@@ -1,6 +1,7 @@
 """The dealt operators: against brute force on small fixtures, and on nulls, empty tables, ties and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -157,6 +158,26 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     assert whole
 
 
+def test_decontaminate_every_substitution(spark):
+    """Aligned overlaps with every choice of substituted tokens, against the best window by brute force."""
+    cases = [(n, k) for n in range(1, 15) for k in (0, 1, 2)] + [(14, 3), (15, 3), (16, 3)]
+    bench, rows, want = [], [], set()
+    for n, k in cases:
+        if n < k:
+            continue
+        item = 100 * n + k
+        inner = [f"b{item}x{i}" for i in range(n)]
+        long = n >= decontaminate.WINDOW  # then the overlap lies inside a longer item
+        bench.append((item, " ".join([f"p{item}", *inner, f"q{item}"] if long else inner)))
+        for out in itertools.combinations(range(n), k):
+            rows.append((len(rows), " ".join(["one", *("zzz" if i in out else w for i, w in enumerate(inner)), "more", "word"])))
+            w = min(n, decontaminate.WINDOW)
+            if max(w - sum(s <= i < s + w for i in out) for s in range(n - w + 1)) >= 0.8 * w - 1e-9:
+                want.add((len(rows) - 1, item))
+    b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b).collect()} == want
+
+
 # licences, urls ------------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 A mask such as 11010111 hashes the tokens under its ones and ignores those under its zeros, so a substituted token
 under a zero, or outside the mask, does not break the hit. Hashes of every position of every document meet those of
-every benchmark position by a hash join; at each hit the aligned window of WINDOW tokens around it is compared token
-by token, and the pair counts where at least SHARE of them agree (the whole item where it is shorter than the
-window). DataFrame functions only; documents are never shuffled, only verified pairs are.
+every benchmark position by a hash join; at each hit every aligned window of WINDOW tokens that holds it is compared
+token by token, and the pair counts where at least SHARE of them agree (the whole item where it is shorter than the
+window). The masks leave no two substitutions in a window without a hit. An item shorter than the window meets
+documents by the run of tokens that must be intact in it. DataFrame functions only; documents are never shuffled, only
+verified pairs are.
 
 The benchmark is the stated query set. It is joined in blocks of at most BLOCK_ITEMS items and each block's seeds are
 broadcast, so what is broadcast has a fixed bound however large the benchmark is.
@@ -12,6 +14,8 @@ broadcast, so what is broadcast has a fixed bound however large the benchmark is
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +37,13 @@ def hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column) -> Column:
+def intact(length: int) -> str:
+    """The mask of the run of tokens that agrees in an item of so many tokens, wherever its substitutions are."""
+    need = math.ceil(SHARE * length)
+    return "1" * -(-need // (length - need + 1))
+
+
+def seeds(h: Column, masks: Iterable[str] = MASKS) -> Column:
     """array<struct<seed, pos>> (pos from 0) of every mask at every position that the mask fits."""
     n = F.size(h)
 
@@ -43,37 +53,45 @@ def seeds(h: Column) -> Column:
         last = n - F.lit(len(mask))
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(at(i).alias("seed"), i.alias("pos")))).otherwise(F.array().cast("array<struct<seed:bigint,pos:int>>"))
 
-    return F.concat(*[of(m) for m in MASKS])
+    return F.concat(F.array().cast("array<struct<seed:bigint,pos:int>>"), *[of(m) for m in masks])
 
 
-def _window_matches(start: Column, length: Column) -> Column:
-    """Agreeing tokens of the window of the item's tokens [start, start + length) and the document's aligned ones."""
-    a, b = F.slice("item_h", start + 1, length), F.slice("doc_h", start + F.col("shift") + 1, length)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _most_matches(first: Column, last: Column, length: Column) -> Column:
+    """The most agreeing tokens in a window of ``length`` that begins at one of the item's tokens first to last."""
+    n = last - first + length
+    a, b = F.slice("item_h", first + 1, n), F.slice("doc_h", first + F.col("shift") + 1, n)
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.array_max(F.transform(F.sequence(F.lit(1), last - first + 1), lambda k: F.aggregate(F.slice(same, k, length), F.lit(0), lambda s, x: s + x)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified pairs (doc_id, item_id, matched): matched is the largest number of agreeing tokens in one window.
 
-    Null and empty texts and items have no seeds and match nothing, as have texts and items shorter than the shortest
-    mask. Repeated rows of one identifier give one pair. Extra columns are not read. An empty benchmark or an empty
+    Null and empty texts and items have no seeds and match nothing. Items shorter than the window match as a whole.
+    Repeated rows of one identifier give one pair. Extra columns are not read. An empty benchmark or an empty
     table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), hashes(tokens(F.col(text_col))).alias("doc_h"))
-    d = d.select("doc_id", "doc_h", F.explode(seeds(F.col("doc_h"))).alias("s")).select("doc_id", "doc_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("doc_pos"))
     items = benchmark.select(F.col(item_col).alias("item_id"), hashes(tokens(F.col(item_text))).alias("item_h"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = F.least(F.size("item_h"), F.lit(WINDOW))
+    by_size = {r["size"]: r["count"] for r in items.groupBy(size.alias("size")).count().collect()}
+    masks_of = {n: MASKS if n == WINDOW else (intact(n),) for n in sorted(by_size) if n > 0}
+    item_seeds = seeds(F.col("item_h"), ())
+    for n, masks in masks_of.items():
+        item_seeds = F.when(size == n, seeds(F.col("item_h"), masks)).otherwise(item_seeds)
+    d = docs.select(F.col(id_col).alias("doc_id"), hashes(tokens(F.col(text_col))).alias("doc_h"))
+    d = d.select("doc_id", "doc_h", F.explode(seeds(F.col("doc_h"), sorted({m for masks in masks_of.values() for m in masks}))).alias("s")).select("doc_id", "doc_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("doc_pos"))
+    blocks = max(1, -(-sum(by_size.values()) // BLOCK_ITEMS))
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "item_h"), F.lit(blocks)) == k)
-        b = own.select("item_id", "item_h", F.explode(seeds(F.col("item_h"))).alias("s")).select("item_id", "item_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
+        b = own.select("item_id", "item_h", F.explode(item_seeds).alias("s")).select("item_id", "item_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
         parts.append(_verified(d.join(F.broadcast(b), "seed")))
     pairs = reduce(DataFrame.unionByName, parts)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """The windows at each hit: beginning at it, and ending with it, moved inside what both texts have."""
+    """The windows that hold a hit, from the one ending with it to the one beginning at it, inside what both texts have."""
     hits = hits.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("item_h"), F.size("doc_h") - F.col("shift"))
@@ -81,6 +99,6 @@ def _verified(hits: DataFrame) -> DataFrame:
     hits = hits.withColumn("low", low).withColumn("high", high).withColumn("length", length).filter(F.col("high") - F.col("low") >= F.col("length"))
     inside = lambda start: F.greatest(F.col("low"), F.least(start, F.col("high") - F.col("length")))
     span = min(map(len, MASKS))
-    best = F.greatest(*[_window_matches(inside(s), F.col("length")) for s in (F.col("item_pos"), F.col("item_pos") + F.lit(span) - F.col("length"))])
+    best = _most_matches(inside(F.col("item_pos") + F.lit(span) - F.col("length")), inside(F.col("item_pos")), F.col("length"))
     hits = hits.select("doc_id", "item_id", "length", best.alias("matched"))
     return hits.filter(F.col("matched") >= F.ceil(F.lit(SHARE) * F.col("length"))).select("doc_id", "item_id", "matched")
