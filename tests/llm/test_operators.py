@@ -335,6 +335,13 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_toxicity_letters_of_all_documents(spark):
+    docs = spark.createDataFrame([(i, "plain words") for i in range(20)] + [(100, "qxj unlabelled qxj"), (101, None), (102, "aaah")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert "qxj" in toxicity.train(docs, labels).letters.logp
+    assert toxicity.corpus_trigrams(docs) == toxicity.trigrams(Counter("plain words".split() * 20 + ["qxj", "unlabelled", "qxj"]))
+
+
 # SentencePiece -------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 Obfuscated tokens (letters mixed with digits or signs, stretched letters, letters set apart by spaces or signs) are
 restored: each written character stands for a set of letters with a channel cost, repeats may collapse and signs may
-vanish, and a Viterbi search over this lattice under a character trigram model finds the cheapest word. A linear
+vanish, and a Viterbi search over this lattice under a character trigram model of all documents finds the cheapest word. A linear
 model over hashed words and letter n-grams, fitted on a bounded sample of labelled documents, scores the restored text.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import ahocorasick
@@ -28,6 +28,7 @@ DIM = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 CHUNK_CHARS = 1_000_000
+MOST_WORDS = 200_000  # distinct words that a task holds before their trigrams are added up
 
 #: What a written character can stand for, besides itself.
 LEET = {
@@ -75,13 +76,18 @@ class Letters:
         return max(((cost + get(ctx + "$", unseen), out) for ctx, (cost, out) in states.items()), default=(0.0, ""))[1]
 
 
-def letters(texts: list[str | None]) -> Letters:
+def trigrams(words: Mapping[str, int]) -> Counter[str]:
+    """Letter trigrams of counted words, with their bounds. Stretched words are the channel's, not the language's."""
     n: Counter[str] = Counter()
-    for w, c in Counter(w for t in texts for w in _PLAIN.findall((t or "").lower())).items():
+    for w, c in words.items():
         if not _STRETCHED.search(w):
             p = f"^^{w}$"
             for i in range(len(p) - 2):
                 n[p[i : i + 3]] += c
+    return n
+
+
+def letters(n: Mapping[str, int]) -> Letters:
     heads: Counter[str] = Counter()
     for g, c in n.items():
         heads[g[:2]] += c
@@ -89,6 +95,28 @@ def letters(texts: list[str | None]) -> Letters:
     return Letters({g: math.log((c + 0.1) / (heads[g[:2]] + 0.1 * kinds)) for g, c in n.items()}, math.log(0.1 / (0.1 * kinds + 50)))
 
 
+def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Letter trigrams of all documents, labelled or not: added up in each batch of words, then by a shuffle.
+
+    The alphabet bounds what the driver gets, not the number of documents.
+    """
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter[str] = Counter()
+        n: Counter[str] = Counter()
+        for pdf in it:
+            for t in pdf[text_col]:
+                words.update(_PLAIN.findall((t or "").lower()))
+            if len(words) > MOST_WORDS:
+                n.update(trigrams(words))
+                words.clear()
+        n.update(trigrams(words))
+        yield pd.DataFrame(list(n.items()), columns=["gram", "n"])
+
+    counts = docs.select(text_col).mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in counts.toLocalIterator()}
+
+
 def normalised(text: str | None, model: Letters, seen: dict[str, str]) -> str:
     """The plain words of a text, lower-cased, with one space between and around them, then the restored ones.
 
@@ -148,12 +176,12 @@ class Scorer:
         return np.array([self.bias + math.fsum(self.values[k] for k in f) for f in found])
 
 
-def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 120, select: int = 70, l1: float = 2.5e-3) -> Scorer:
+def fit(texts: list[str | None], labels: np.ndarray, lm: Letters, rounds: int = 120, select: int = 70, l1: float = 2.5e-3) -> Scorer:
     """Logistic regression on the features that occur in a text; an L1 penalty selects, then they are fitted without it.
 
     Features are hashed to DIM places while fitting; the model keeps the features themselves.
     """
-    lm, seen = letters(texts), {}
+    seen: dict[str, str] = {}
     words = [set(normalised(t, lm, seen).split()) for t in texts]
     places = {w: np.array([xxhash.xxh32_intdigest(f) & (DIM - 1) for f in features(w)], dtype=np.int32) for w in set().union(*words)}
     rows = [np.unique(np.concatenate([places[w] for w in d])) if d else np.zeros(0, dtype=np.int32) for d in words]
@@ -198,7 +226,8 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 120, select:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fits on at most ``most_rows`` labelled documents whose crc32(identifier) mod FOLDS is not HELD_OUT.
 
-    Which ones is decided by a hash of the identifier, half of the bound for each label.
+    Which ones is decided by a hash of the identifier, half of the bound for each label. The trigram
+    model of the channel is counted over all documents.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) != HELD_OUT
     own = labels.filter(F.col("toxic").isNotNull() & fold).select(F.col(id_col).alias("id"), F.col("toxic").alias("toxic"))
@@ -206,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_co
     picked = own.filter("toxic = 1").orderBy(*order).limit(most_rows // 2).union(own.filter("toxic = 0").orderBy(*order).limit(most_rows // 2)).dropDuplicates(["id"])
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
     got = sorted((r["id"], r["text"], r["toxic"]) for r in sample.select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toLocalIterator())
-    return fit([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.float64))
+    return fit([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.float64), letters(corpus_trigrams(docs, text_col)))
 
 
 def score(docs: DataFrame, model: Scorer, text_col: str = "text") -> DataFrame:
