@@ -342,6 +342,16 @@ def test_toxicity_letters_of_all_documents(spark):
     assert toxicity.corpus_trigrams(docs) == toxicity.trigrams(Counter("plain words".split() * 20 + ["qxj", "unlabelled", "qxj"]))
 
 
+def test_toxicity_restores_whole_runs():
+    lm = toxicity.letters(toxicity.trigrams(Counter("people walk there near the house idiot".split())))
+    apart = " ".join("peoplewalkthere" * 20 + "idiot")
+    assert toxicity.normalised(apart, lm, {}).split()[-1] == "peoplewalkthere" * 20 + "idiot"
+    joined = "people_walk_there_near_the_house_near_the_1d10t"
+    assert len(joined) > 40
+    assert toxicity.normalised(joined, lm, {}).split()[-1] == "peoplewalktherenearthehousenearthe" + "idiot"
+    assert len(lm.restore("a" * 5000 + " b")) >= 1
+
+
 # SentencePiece -------------------------------------------------------------------------------------------------------
 
 

@@ -41,7 +41,7 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\S)")
 _SIGNED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*]{1,2}){3,}[^\W_](?![^\W_])")
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*._\-]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$|€£¡]+")
+_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*._\-]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2,}|[^\W\d_]{2}[0-9@$|€£¡]")
 CHANNEL, DROP, REPEAT = -2.0, -1.0, -0.2
 
 
@@ -54,15 +54,15 @@ class Letters:
 
     def restore(self, token: str) -> str:
         """The cheapest word that the channel may have turned into ``token``."""
-        states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # cost, and the letters written as (before, letter)
         get, unseen = self.logp.get, self.unseen
         ends = {i for m in re.finditer(r"(.)\1\1+", token) for i in range(m.start() + 1, m.end())}  # in a stretch, what repeats
         for i, ch in enumerate(token):
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             own = [(ch, 0.0)] if ch.isalpha() else []
             own += [(c, CHANNEL) for c in LEET.get(ch, "")]
             for ctx, (cost, out) in states.items():
-                moves = [(ctx[1:] + c, cost + pay + get(ctx + c, unseen), out + c) for c, pay in own]
+                moves = [(ctx[1:] + c, cost + pay + get(ctx + c, unseen), (out, c)) for c, pay in own]
                 if not ch.isalpha():
                     if ch in " .-_*" or not own:
                         moves.append((ctx, cost + DROP, out))
@@ -73,7 +73,12 @@ class Letters:
                         new[state] = (c, o)
             # a beam of 64 states; the trigram state space of one token is far smaller in practice
             states = dict(sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[:64]) if len(new) > 64 else new
-        return max(((cost + get(ctx + "$", unseen), out) for ctx, (cost, out) in states.items()), default=(0.0, ""))[1]
+        out = max(((cost + get(ctx + "$", unseen), ctx, out) for ctx, (cost, out) in states.items()), key=lambda x: x[:2], default=(0.0, "", None))[2]
+        word = []
+        while out:
+            out, c = out
+            word.append(c)
+        return "".join(reversed(word))
 
 
 def trigrams(words: Mapping[str, int]) -> Counter[str]:
@@ -134,8 +139,10 @@ def normalised(text: str | None, model: Letters, seen: dict[str, str]) -> str:
             if len(seen) > 100_000:
                 seen.clear()
             core = t.strip(_EDGES + "()[]{}").rstrip("!")
-            odd = " " in t or _STRETCHED.search(core) or _SIGNED.search(core) or 3 <= len(core) <= 40 and "." not in core and _ODD.search(core)
-            w = seen[t] = model.restore(core[:200]) if odd else ""
+            odd = " " in t or _STRETCHED.search(core) or _SIGNED.search(core) or len(core) >= 3 and "." not in core and _ODD.search(core)
+            w = model.restore(core) if odd else ""
+            if len(t) <= 200:  # longer ones hardly come again
+                seen[t] = w
         if w:
             words.append(w)
     return plain + " ".join(sorted(words)) + " " if words else plain
