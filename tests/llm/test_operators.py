@@ -311,6 +311,13 @@ def test_language_mixture(docs):
     assert pi["en"] + pi["fr"] > 0.9
 
 
+def test_language_keeps_frequent_languages(spark):
+    rows = [(i, "hello there people", "en") for i in range(60)] + [(1000 + i, f"word{chr(97 + i % 26)} other", f"x{i % 230:03}") for i in range(230 * 4)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert "en" in model.languages
+    assert len(model.languages) > 200
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(3)
     clean = ["the", "house", "stands", "near", "water", "and", "people", "walk", "there", "often"]

@@ -23,7 +23,7 @@ from .common import schema_with, small_batches
 
 #: Training: at most about this many documents of each language, chosen by a hash of the identifier.
 SAMPLE_PER_LANGUAGE = 2_000
-MOST_GRAMS, MOST_LANGUAGES = 60_000, 200
+MOST_GRAMS = 60_000
 ORDER, ADD = 3, 0.5
 ITERATIONS, PENALTY = 8, 1.0
 CHUNK_CHARS = 1_000_000
@@ -80,7 +80,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != HELD_OUT)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")).orderBy(F.desc("share"), "lang").limit(MOST_LANGUAGES)
+    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
     pick = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     sample = labelled.join(F.broadcast(share), "lang").filter(pick).select("lang", "text")
 
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "mixture")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_GRAMS and MOST_LANGUAGES bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS n-grams, each with a number per language
     schema = schema_with(docs, "lang_pred string, score double, mixture map<string,double>")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
