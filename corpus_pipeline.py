@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import broadcast_if_small, stored, table
+from wattloom.llm.common import ascii_lower, broadcast_if_small, stored, table
 from wattloom.llm.decontaminate import overlaps
 from wattloom.llm.exact_dedup import exact_dedup
 from wattloom.llm.jaccard_join import jaccard_join
@@ -39,8 +39,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays; of rows repeated with one doc_id and text, one."""
-    kept = without(docs, exact_dedup(docs).filter("NOT kept"))
+    """Of equal texts, the row with the largest doc_id stays; of rows repeated with one doc_id and text, one.
+
+    Rows with one doc_id and different texts are judged each by its own text.
+    """
+    gone = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    gone = broadcast_if_small(stored(gone.distinct()), MOST_BROADCAST_IDS)
+    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
+    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 

@@ -416,6 +416,12 @@ def test_pipeline_brute_force(spark, docs):
         now = out
 
 
+def test_exact_stage_judges_rows_by_their_text(spark):
+    rows = [(5, "text a"), (5, "text b"), (9, "TEXT a"), (9, "TEXT a"), (None, "text a"), (3, "text b")]
+    out = corpus_pipeline.exact_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, out.collect()), key=str) == [(5, "text b"), (9, "TEXT a"), (None, "text a")]
+
+
 def test_pipeline_odd(spark, odd, empty):
     for df, n in ((odd, 4), (empty, 0)):
         now = df
