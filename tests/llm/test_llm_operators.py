@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from wattloom.llm import pipeline as corpus_pipeline
 from wattloom.llm import components, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, oracle, pii, queries, sentencepiece_codec, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -153,7 +153,9 @@ def test_decontaminate(spark, odd, empty):
 def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(decontaminate, "PIECE_TOKENS", 16)
+    assert decontaminate._blocks(decontaminate.pieces(bench, "item_id", "text")) > 4
     assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == whole
     assert whole
 

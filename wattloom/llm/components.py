@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every step is a grouped minimum and a join, so a node with very many neighbours is pre-aggregated before it is
-shuffled and no neighbour list is ever collected. Rounds are written to the shared folder.
+shuffled and no neighbour list is ever collected. In the joins the edges of a node are dealt over SPREAD keys, which its
+minimum is repeated for. Rounds are written to the shared folder, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, stored
+
+SPREAD = 16
+
+
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of low (u, m); the edges of one u meet it in SPREAD keys."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+    return dealt.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["u", "salt"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,20 +26,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Direction, repeated edges and loops don't matter; an identifier only in a loop is its own root.
     """
+    spark = edges.sparkSession
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e, before = stored(ends.distinct()), None
-    loops = e.filter("u = v").select(F.col("u").alias("id"))
-    e = e.filter("u > v")
+    first = stored(ends.distinct())
+    loops = first.filter("u = v").select(F.col("u").alias("id"))
+    e, before, last = first.filter("u > v"), None, None
     while True:
-        both = e.union(e.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-        e = stored(small)
+        with passing(spark) as made:
+            both = e.union(e.select("v", "u").toDF("u", "v"))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = _with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.filter("u != v").distinct()
+            down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            low = down.groupBy("u").agg(F.min("v").alias("m"))
+            small = _with_least(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+            small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+            e = stored(small)
+            new = made.pop()
+            made += [last] if last else []
+            last = new
         after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if after == before:
             break

@@ -8,8 +8,10 @@ window). The masks leave no two substitutions in a window without a hit. An item
 documents by the run of tokens that must be intact in it. DataFrame functions only; documents are never shuffled, only
 verified pairs are.
 
-The benchmark is the stated query set. It is joined in blocks of at most BLOCK_ITEMS items and each block's seeds are
-broadcast, so what is broadcast has a fixed bound however large the benchmark is.
+The benchmark is the stated query set. Its items are cut into pieces of PIECE_TOKENS tokens, which overlap so that every
+window lies in one, and joined in blocks of about BLOCK_TOKENS tokens: of a block, one narrow row for each seed and one
+row for each piece are broadcast. The blocks are counted, and cut again until none is over twice that size, so what is
+broadcast has a fixed bound however large the benchmark or one of its items is.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Care (1) and ignored (0) token positions.
 MASKS = ("1101011", "11101001")
 WINDOW, SHARE = 13, 0.8
-BLOCK_ITEMS = 2_000
+PIECE_TOKENS, BLOCK_TOKENS = 1_000, 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -64,39 +68,63 @@ def _most_matches(first: Column, last: Column, length: Column) -> Column:
     return F.array_max(F.transform(F.sequence(F.lit(1), last - first + 1), lambda k: F.aggregate(F.slice(same, k, length), F.lit(0), lambda s, x: s + x)))
 
 
+def pieces(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, length, item_h, key) of the items that have tokens: length is that of the item's window."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), hashes(tokens(F.col(item_text))).alias("h")).filter(F.size("h") > 0)
+    last = F.greatest(F.lit(0), F.floor((F.size("h") - WINDOW) / PIECE_TOKENS)).cast("int")
+    items = items.select("item_id", "h", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    cut = items.select("item_id", F.least(F.size("h"), F.lit(WINDOW)).alias("length"), F.slice("h", F.col("k") * PIECE_TOKENS + 1, F.lit(PIECE_TOKENS + WINDOW - 1)).alias("item_h"))
+    return cut.withColumn("key", F.xxhash64("item_id", "item_h")).distinct()
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified pairs (doc_id, item_id, matched): matched is the largest number of agreeing tokens in one window.
 
     Null and empty texts and items have no seeds and match nothing. Items shorter than the window match as a whole.
-    Repeated rows of one identifier give one pair. Extra columns are not read. An empty benchmark or an empty
+    Repeated rows of one identifier give one pair, with the best of their windows; ties between windows make no
+    difference. Texts and items of any length are read whole. Extra columns are not read. An empty benchmark or an empty
     table gives an empty result.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), hashes(tokens(F.col(item_text))).alias("item_h"))
-    size = F.least(F.size("item_h"), F.lit(WINDOW))
-    by_size = {r["size"]: r["count"] for r in items.groupBy(size.alias("size")).count().collect()}
-    masks_of = {n: MASKS if n == WINDOW else (intact(n),) for n in sorted(by_size) if n > 0}
+    items = stored(pieces(benchmark, item_col, item_text))
+    lengths = [r["length"] for r in items.select("length").distinct().collect()]  # at most WINDOW values
+    masks_of = {n: MASKS if n == WINDOW else (intact(n),) for n in sorted(lengths)}
     item_seeds = seeds(F.col("item_h"), ())
     for n, masks in masks_of.items():
-        item_seeds = F.when(size == n, seeds(F.col("item_h"), masks)).otherwise(item_seeds)
+        item_seeds = F.when(F.col("length") == n, seeds(F.col("item_h"), masks)).otherwise(item_seeds)
     d = docs.select(F.col(id_col).alias("doc_id"), hashes(tokens(F.col(text_col))).alias("doc_h"))
     d = d.select("doc_id", "doc_h", F.explode(seeds(F.col("doc_h"), sorted({m for masks in masks_of.values() for m in masks}))).alias("s")).select("doc_id", "doc_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("doc_pos"))
-    blocks = max(1, -(-sum(by_size.values()) // BLOCK_ITEMS))
+    blocks = _blocks(items)
     parts = []
     for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "item_h"), F.lit(blocks)) == k)
-        b = own.select("item_id", "item_h", F.explode(item_seeds).alias("s")).select("item_id", "item_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
-        parts.append(_verified(d.join(F.broadcast(b), "seed")))
+        own = items if blocks == 1 else items.filter(_block(blocks) == k)
+        b = own.select("key", F.explode(item_seeds).alias("s")).select("key", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
+        parts.append(_verified(d.join(F.broadcast(b), "seed").join(F.broadcast(own), "key")))
     pairs = reduce(DataFrame.unionByName, parts)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks))
+
+
+def _blocks(items: DataFrame) -> int:
+    """The number of blocks with which none has more than twice BLOCK_TOKENS tokens."""
+    all_tokens = items.agg(F.sum(F.size("item_h"))).first()[0] or 0
+    blocks = max(1, math.ceil(all_tokens / BLOCK_TOKENS))
+    while blocks > 1:
+        most = items.groupBy(_block(blocks).alias("k")).agg(F.sum(F.size("item_h")).alias("n")).agg(F.max("n")).first()[0]
+        if most <= max(2 * BLOCK_TOKENS, 2 * (PIECE_TOKENS + WINDOW)):
+            break
+        blocks *= 2
+    return blocks
+
+
 def _verified(hits: DataFrame) -> DataFrame:
     """The windows that hold a hit, from the one ending with it to the one beginning at it, inside what both texts have."""
     hits = hits.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("item_h"), F.size("doc_h") - F.col("shift"))
-    length = F.least(F.lit(WINDOW), F.size("item_h"))
-    hits = hits.withColumn("low", low).withColumn("high", high).withColumn("length", length).filter(F.col("high") - F.col("low") >= F.col("length"))
+    hits = hits.withColumn("low", low).withColumn("high", high).filter(F.col("high") - F.col("low") >= F.col("length"))
     inside = lambda start: F.greatest(F.col("low"), F.least(start, F.col("high") - F.col("length")))
     span = min(map(len, MASKS))
     best = _most_matches(inside(F.col("item_pos") + F.lit(span) - F.col("length")), inside(F.col("item_pos")), F.col("length"))

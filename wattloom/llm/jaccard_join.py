@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
-from .components import components
+from .common import broadcast_if_small, chunks, released, small_batches, stored
+from .components import SPREAD, components
 from .exact_dedup import groups
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
 BLOCK_TEXTS, BLOCK_GRAMS = 512, 1_000_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 _known: dict[str, int] = {}
 
@@ -48,7 +49,7 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most_ha
 def _hash(word: str) -> int:
     h = _known.get(word)
     if h is None:
-        if len(_known) > 300_000:
+        if len(_known) > CACHE_WORDS:
             _known.clear()
         h = _known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
     return h
@@ -74,14 +75,6 @@ def gram_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _chunks(it: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
-    """Batches cut by characters, so that memory doesn't follow the length of texts."""
-    for pdf in it:
-        ends = pdf[text].str.len().fillna(0).cumsum().to_numpy() // CHUNK_CHARS
-        for _, part in pdf.groupby(ends, sort=False):
-            yield part
-
-
 def _band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """[texts, bands] of non-empty sets."""
     rng = np.random.default_rng(7)
@@ -103,8 +96,9 @@ def _band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(id, digest, check, size, bands) of docs (id, text). The digest is of the whole set."""
 
+    @released
     def sign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _chunks(it, "text"):
+        for pdf in chunks(it, "text", CHUNK_CHARS):
             sets = gram_sets(pdf["text"].tolist(), words)
             full = [i for i, s in enumerate(sets) if len(s)]
             band: list = [None] * len(sets)
@@ -113,6 +107,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     band[i] = row
             raw = [s.tobytes() for s in sets]
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "digest": [xxhash.xxh3_128_digest(r) for r in raw], "check": [xxhash.xxh64_intdigest(r, 1) - (1 << 63) for r in raw], "size": [len(s) for s in sets], "bands": band})
+        _known.clear()
 
     return docs.mapInPandas(sign, "id long, digest binary, check long, size int, bands array<long>")
 
@@ -178,10 +173,11 @@ def _verify(threshold: float):  # noqa: ANN202
 
 def _gram_rows(words: int):  # noqa: ANN202
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _chunks(it, "text"):
+        for pdf in chunks(it, "text", CHUNK_CHARS):
             yield pdf.drop(columns="text").assign(grams=[s.tobytes() for s in gram_sets(pdf["text"].tolist(), words)])
+        _known.clear()
 
-    return make
+    return released(make)
 
 
 def jaccard_join(
@@ -194,14 +190,20 @@ def jaccard_join(
     included. Null texts and texts without a word have an empty set: copies of one another, linked to nothing else.
     Identifiers are taken to be unique; repeated rows count as copies. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(base, words, bands, rows))
     members = stored(groups(signed, "min", carry=["size", "bands"]))
     reps = members.filter("id = keep_id AND size > 0").dropDuplicates(["id"]).select("id", "n", "size", "bands")
     hashed = reps.select("id", F.explode("bands").alias("band"))
-    lead = hashed.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
-    edges = hashed.join(lead, "band").filter("id != lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
+    # a bucket's members link to the smallest of their part of it, and the parts' smallest ones to the bucket's
+    part = hashed.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("salt")).agg(F.min("id").alias("lead"), F.count("*").alias("m"))
+    lead = part.groupBy("band").agg(F.min("lead").alias("first"), F.sum("m").alias("all")).filter("all > 1").drop("all")
+    part = stored(part.join(lead, "band"))
+    hashed = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    inner = hashed.join(part.filter("m > 1").select("band", "salt", "lead"), ["band", "salt"]).select(F.col("id").alias("u"), F.col("lead").alias("v"))
+    edges = inner.union(part.select(F.col("lead").alias("u"), F.col("first").alias("v"))).filter("u != v").distinct()
     cluster = components(edges)
     cluster = stored(cluster.join(reps.select("id", "n", "size"), "id"))
     cut = cluster.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("grams"))

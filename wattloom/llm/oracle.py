@@ -69,24 +69,17 @@ FROM base LEFT JOIN badsegs ON base.host = badsegs.host AND base.segs = badsegs.
 
 
 def _op9() -> str:
+    """Without seeds: agreeing tokens by document, item and shift, and the best window that begins at one of them.
+
+    A window that reaches beyond what both texts have is the same as the last one inside, which holds all its matches.
+    """
     toks = lambda t: f"list_filter(string_split(trim(regexp_replace(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
-    parts = []
-    for mask in dc.MASKS:
-        ones = [i for i, c in enumerate(mask) if c == "1"]
-        key = " || ' ' || ".join(f"h[p + {o}]" for o in ones)
-        parts.append((mask, key, len(mask)))
-    seeds = lambda t, i: " UNION ALL ".join(f"SELECT {i} AS id, p - 1 AS pos, '{m} ' || {key} AS seed FROM (SELECT *, unnest(range(1, len(h) - {n} + 2)) AS p FROM {t})" for m, key, n in parts)
-    span, w = min(map(len, dc.MASKS)), dc.WINDOW
-    inside = lambda s: f"greatest(low, least({s}, high - len_))"
-    agree = lambda s: f"len(list_filter(range(0, len_), lambda j: ih[{s} + j + 1] = dh[{s} + shift + j + 1]))"
     return f"""
-WITH d AS (SELECT doc_id, {toks("text")} AS h FROM documents), b AS (SELECT item_id, {toks("text")} AS h FROM benchmark),
-ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-hit AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift, bs.pos AS pos FROM ds JOIN bs USING (seed)),
-a AS (SELECT hit.*, d.h AS dh, b.h AS ih, greatest(0, -shift) AS low, least(len(b.h), len(d.h) - shift) AS high, least({w}, len(b.h)) AS len_ FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
-s AS (SELECT *, {inside("pos")} AS s1, {inside(f"pos + {span} - len_")} AS s2 FROM a WHERE high - low >= len_),
-m AS (SELECT doc_id, item_id, len_, greatest({agree("s1")}, {agree("s2")}) AS matched FROM s)
-SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM m WHERE matched >= ceil({dc.SHARE} * len_) GROUP BY doc_id, item_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {toks("text")} AS h FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {toks("text")} AS h FROM benchmark),
+dt AS (SELECT r, doc_id, len(h) AS dn, unnest(h) AS tok, generate_subscripts(h, 1) AS dp FROM d), bt AS (SELECT q, item_id, len(h) AS bn, unnest(h) AS tok, generate_subscripts(h, 1) AS bp FROM b),
+m AS (SELECT r, q, doc_id, item_id, dp - bp AS shift, bp, least({dc.WINDOW}, bn) AS n, least(bn, dn - (dp - bp)) - greatest(0, bp - dp) AS common FROM dt JOIN bt USING (tok)),
+w AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY r, q, shift ORDER BY bp RANGE BETWEEN CURRENT ROW AND {dc.WINDOW - 1} FOLLOWING) AS matched FROM m WHERE common >= n)
+SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM w WHERE matched >= ceil({dc.SHARE} * n) GROUP BY doc_id, item_id
 """
 
 

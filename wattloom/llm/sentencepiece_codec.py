@@ -6,7 +6,7 @@ binary search as a range of the array, so all occurrences of all pieces, the edg
 index. Edges are sorted by position and relaxed from left to right. For a BPE vocabulary the relaxation rule is exact:
 a text's encoding ends with piece p iff the encoding of what is before p ends with a piece q such that p and q stand
 next to each other in the encoding of qp; so each position keeps the one piece that its prefix's encoding ends with.
-For a unigram vocabulary each position keeps the piece of the best sum of scores.
+Other vocabularies are refused.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema_with, small_batches
+from .common import chunks, released, schema_with, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_CHARS = 3_000_000
-CACHE_UNITS = 250_000
+CHUNK_CHARS = 1_500_000
+CACHE_UNITS, CACHE_PAIRS = 150_000, 300_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _coders: dict[int, Coder] = {}
 
@@ -51,6 +51,9 @@ class Coder:
         self.id = {self.pieces[i]: i for i in self.normal}
         self.score = np.array([sp.get_score(i) for i in ids])
         self.scores = self.score.tolist()
+        joined = [self.scores[i] for i in self.normal if len(self.pieces[i]) > 1]
+        if any(x > 0 or x != int(x) for x in joined):  # a merge table scores its pieces by the number of the merge
+            raise ValueError("not a BPE vocabulary")
         self.size = len(self.pieces)
         self.length = max((len(self.pieces[i]) for i in self.normal), default=1)
         # sorted code points of the pieces, one row each, ended by -1
@@ -93,7 +96,7 @@ class Coder:
         """For keys q * (size + 1) + p: whether q and p stand next to each other in the encoding of qp."""
         some, back = np.unique(keys, return_inverse=True)
         fits, wide = self.fits, self.size + 1
-        if len(fits) > 600_000:
+        if len(fits) > CACHE_PAIRS:
             fits.clear()
         out = np.empty(len(some), dtype=bool)
         for k, key in enumerate(some.tolist()):
@@ -246,6 +249,54 @@ def _coder(model: bytes) -> Coder:
     return _coders[key]
 
 
+def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFrame:
+    """Adds token_ids (array<int>) to all columns; a column of that name is replaced.
+
+    Null and empty texts have no tokens. Spaces are kept as they are; U+2581 in a text counts as a space. Texts of any
+    length are encoded whole; a row's tokens follow from its text alone, so repeated rows come out alike and nothing
+    is left to ties. Only texts go to Python workers.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.drop("token_ids")
+    model = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
+
+    @F.pandas_udf("array<int>")
+    @released
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = _coder(model.value)
+        for part in chunks((t.to_frame("text") for t in it), "text", CHUNK_CHARS):
+            yield pd.Series([np.array(x, dtype=np.int32) for x in coder.encode_batch(part["text"].tolist())], dtype=object)
+
+    return docs.select("*", run.asNondeterministic()(F.col(text_col)).alias("token_ids"))
+
+
+def decode(self, ids: list[int]) -> str:
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+        else:  # bytes of one character stand side by side; runs of bytes are decoded together
+            out: list[str] = []
+            for raw, run in groupby(ids, self.byte_of.__contains__):
+                out.append(bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", "replace") if raw else "".join(map(self.shown.__getitem__, run)))
+            text = "".join(out)
+        text = text.replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
+
+def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
+    """The serialised model (half a megabyte): from a path of the driver, or one that Spark reads."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def _coder(model: bytes) -> Coder:
+    key = hash(model)
+    if key not in _coders:
+        _coders[key] = Coder(model)
+    return _coders[key]
+
+
 def _batches(it: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
     for pdf in it:
         ends = pdf[column].str.len().fillna(0).cumsum().to_numpy() // CHUNK_CHARS
@@ -292,9 +343,10 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
 
+    @released
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(model.value)
-        for pdf in _batches(it, "text"):
+        for pdf in chunks(it, "text", CHUNK_CHARS):
             texts = pdf["text"].tolist()
             ids = coder.encode_batch(texts)
             same = [coder.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
