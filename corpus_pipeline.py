@@ -1,81 +1,5 @@
-"""The corpus pipeline: language ID, exact dedup, near-duplicate removal, benchmark decontamination, tokens.
+"""The corpus pipeline, whose stages are in wattloom.llm.pipeline: language ID, exact dedup, near duplicates, benchmark, tokens."""
 
-Each stage reads what the one before has kept and returns the columns of its input, rows that it rejects left out; the
-last adds token_ids. Rows without an identifier are never taken for copies, near copies or contaminated ones.
-"""
+from wattloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from wattloom.llm.common import ascii_lower, broadcast_if_small, stored, table
-from wattloom.llm.decontaminate import overlaps
-from wattloom.llm.exact_dedup import exact_dedup
-from wattloom.llm.jaccard_join import jaccard_join
-from wattloom.llm.language_id import predict, train
-from wattloom.llm.sentencepiece_codec import encode
-
-#: A document stays if its main language has this share of its words, at least.
-LEAST_SHARE = 0.34
-MOST_BROADCAST_IDS = 200_000
-
-#: The language stage learns a model, clusters come from an iteration and tokens from a vocabulary: no single SQL text has them.
-ORACLE_SQL = None
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ``dropped`` (doc_id)."""
-    ids = stored(dropped.select(F.col("doc_id")).filter("doc_id IS NOT NULL").distinct())
-    return docs.join(broadcast_if_small(ids, MOST_BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and mixtures without a main language."""
-    own = {c: f"_own_{c}" for c in ("lang_pred", "score", "mixture") if c in docs.columns}
-    known = predict(docs.withColumnsRenamed(own), train(docs))
-    kept = known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score", "mixture")
-    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays; of rows repeated with one doc_id and text, one.
-
-    Rows with one doc_id and different texts are judged each by its own text.
-    """
-    gone = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
-    gone = broadcast_if_small(stored(gone.distinct()), MOST_BROADCAST_IDS)
-    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
-    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return without(docs, jaccard_join(docs).filter("doc_id != class_id"))
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs)
-
-
-STAGES = [
-    ("language_id", language_stage),
-    ("exact_dedup", exact_stage),
-    ("jaccard_join", near_stage),
-    ("decontaminate", benchmark_stage),
-    ("sentencepiece", token_stage),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
