@@ -1,5 +1,7 @@
 import json
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,17 +67,52 @@ def test_batch_order_of_outcomes(spark):
     assert got == {1: "stamped", 2: "same", 3: "conflict", 4: "unknown"}
 
 
+MEMORIES = "id long, scope string, category string, content string, vec array<float>, provenance string, status string, superseded_by long, corroborations int, supersede_events int, supporting_evidence_count int, source_refs array<string>, pending_refs array<string>, confidence decimal(3,2), verified_confirmations int, adjudicated array<string>"
+NEW = "id long, scope string, category string, content string, vec array<float>, provenance string, source_refs array<string>, session_id string, confidence double"
+
+
 def test_merge_supersede_insert(spark):
-    base = [(1, "s", "a", "old", [1.0, 0.0], "session", "active", None, 0, 0, 1, ["x:1"], [])]
-    new = [(2, "s", "b", "near", [1.0, 0.1], "session", "active", None, 0, 0, 1, ["x:2"], ["y:1"]), (3, "s", "a", "mid", [1.0, 0.95], "session", "active", None, 0, 0, 1, [], []), (4, "s", "z", "mid2", [0.2, 1.0], "session", "active", None, 0, 0, 1, [], []), (5, "t", "a", "own", [1.0, 0.0], "session", "active", None, 0, 0, 1, [], [])]
-    schema = memory.WRITES.replace(", action string", "")
-    got = {r.id: r for r in memory.write_memories(spark.createDataFrame(base, schema), spark.createDataFrame(new, schema)).collect()}
+    base = [(1, "s", "a", "old", [1.0, 0.0], "verified", "active", None, 0, 0, 1, ["x:1"], [], Decimal("0.81"), 4, ["agent_reasoning:3"])]
+    new = [(2, "s", "b", "near", [1.0, 0.1], "session", ["x:2", "agent_reasoning:7", "agent_reasoning:8"], "S1", 0.99), (3, "s", "a", "mid", [1.0, 0.95], "session", ["agent_reasoning:8"], None, 0.99), (4, "s", "z", "mid2", [0.2, 1.0], "session", [], None, None), (5, "t", "a", "own", [1.0, 0.0], "consolidated", None, "S1", 0.1)]
+    reasoning = spark.createDataFrame([(7, "S1", "confirmed", 1), (8, "S1", "escalated", 2)], "id long, session_id string, resolution string, created_at int")
+    got = {r.id: r for r in memory.write_memories(spark.createDataFrame(base, MEMORIES), spark.createDataFrame(new, NEW), reasoning).collect()}
     assert 2 not in got  # merged into 1, whatever its category
-    assert got[1].corroborations == 1
-    assert got[1].source_refs == ["x:1", "x:2"]
+    assert (got[1].corroborations, got[1].supporting_evidence_count, got[1].content) == (1, 2, "near")
+    assert got[1].source_refs == ["x:1", "x:2", "agent_reasoning:7"]  # 8 is not confirmed
+    assert got[1].pending_refs == ["agent_reasoning:8"]  # but the session's newest
+    assert (got[1].confidence, got[1].verified_confirmations, got[1].adjudicated) == (Decimal("0.81"), 4, ["agent_reasoning:3"])
     assert (got[1].status, got[1].superseded_by) == ("superseded", 3)  # same category, between both distances
     assert (got[3].status, got[4].status) == ("active", "active")  # 4 is near 3, but of another category
-    assert got[5].action == "inserted"
+    assert (got[3].confidence, got[3].verified_confirmations, got[3].source_refs) == (Decimal("0.50"), 0, ["agent_reasoning:8"])
+    assert (got[5].action, got[5].confidence, got[5].pending_refs) == ("inserted", Decimal("0.75"), ["agent_reasoning:8"])
+
+
+def test_nearest_by_matrix_and_pairs(spark):
+    rng = np.random.default_rng(2)
+    vec = rng.normal(size=(60, 5))
+    rows = spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(vec)] + [(100, 0, None), (101, 0, [0.0] * 5)], "id long, k int, vec array<double>").repartition(3)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    q = rows.filter("id < 7").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.nearest(rows, q, 4).collect()}
+    assert got == {(i, n + 1): int(j) for i in range(7) for n, j in enumerate(np.lexsort((np.arange(60), far[i]))[:4])}
+    pairs = sorted((r.a, r.b) for r in retrieval.pairs_within(rows, ["k"], 0.4, block=7).collect())
+    assert pairs == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and far[i, j] < 0.4]
+
+
+def test_upsert_takes_the_first_in_order(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k long, t string, n int")
+    new = spark.createDataFrame([(1, "z", 1), (1, "b", 2), (2, "y", 1), (2, "x", 1)], "k long, t string, n int")
+    assert sorted(map(tuple, sinks.upsert(old, new, ["k"], ["t", "n"], [F.desc("n")]).filter("k = 1").collect())) == [(1, "b", 2)]
+    assert sorted(map(tuple, sinks.insert_ignore(old, new, "k").collect())) == [(1, "a", 0), (2, "x", 1)]
+
+
+def test_windows_of_missing_measures(spark):
+    t = spark.createDataFrame([("c", "2024-01-01 00:00:00")], "charger_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    t = t.withColumns({"status": F.lit("Available"), "error_code": F.lit("NoError")} | {c: F.lit(None).cast("int") for c in ("power_w", "voltage_v", "current_a", "temp_c", "fan_rpm", "earth_leak_ma")})
+    zero, null = window_aggregate(t, zero_missing=True).first(), window_aggregate(t).first()
+    assert (zero.avg_power_w, zero.max_power_w, zero.avg_current_a, zero.avg_fan_rpm, zero.max_earth_leak) == (0, 0, 0, 0, 0)
+    assert null.avg_power_w is None
 
 
 def test_gate(spark):
@@ -176,7 +213,7 @@ def test_streams_and_generators(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out"))
     assert done.count() > 0
     batch = window_aggregate(t)
-    tail = jobs.tail_windows(t, done)
+    tail = jobs.tail_windows(t)
     assert done.count() + tail.count() == batch.count()
     same = done.join(batch.select("charger_id", "window_start", F.col("anomaly_score").alias("s")), ["charger_id", "window_start"])
     assert same.filter("anomaly_score != s").count() == 0
@@ -212,6 +249,32 @@ def test_tools(spark):
     assert t.call("search_similar_outages", queries=None)["error"] == "KeyError"
 
 
+def test_tools_change_their_tables(spark):
+    mem = spark.createDataFrame([(1, "s", "a", "old", [1.0, 0.0], "session", "active", None, 0, 0, 1, [], [], Decimal("0.50"), 0, [])], MEMORIES).withColumnRenamed("vec", "memory_vec").withColumns({"access_count": F.lit(0), "last_accessed": F.lit(None).cast("timestamp_ntz")})
+    windows = window_aggregate(telemetry_of_events(spark, SF), "1 day")
+    outages = spark.createDataFrame([(1, "heat", [1.0] * 8), (2, "GroundFailure", [0.5] * 7 + [-1.0])], "id long, root_cause string, signature_vec array<double>").withColumns({"severity": F.lit("high"), "category": F.lit("thermal")})
+    sessions = spark.createDataFrame([], "session_id string, user_id string, focus_chargers array<string>, focus_site string, investigation_summary string, token_budget int, tokens_used long, last_active timestamp_ntz")
+    t = Tools(spark, {"fleet_memory": mem, "charger_windows": windows, "outage_catalog": outages, "session_state": sessions, "context_snapshots": spark.createDataFrame([], "entity_id string, snapshot_type string, content string, token_count int, expires_at timestamp_ntz, is_stale boolean")})
+    q = spark.createDataFrame([(1, [1.0, 0.1], [])], "query_id long, query_vec array<double>, keywords array<string>")
+    assert [r.id for r in t.call("recall_fleet_memory", queries=q, as_of="2024-06-01 00:00:00").collect()] == [1]
+    assert t.t["fleet_memory"].first().access_count == 1
+    one = windows.select("charger_id", "window_start").limit(1)
+    assert t.call("outages_like_windows", windows=one, k=2).count() == 2
+    new = spark.createDataFrame([(9, "s", "b", "new", [0.0, 1.0], "session", [], None, 0.9)], NEW).withColumnRenamed("vec", "memory_vec")
+    assert t.call("write_fleet_memory", new=new).count() == t.t["fleet_memory"].count() == 2
+    assert t.call("link_memory", links=spark.createDataFrame([(9, "agent_reasoning:1")], "id long, ref string")).first().status == "linked"
+    assert t.call("link_memory", links=spark.createDataFrame([(9, "agent_reasoning:1")], "id long, ref string")).first().status == "already_linked"
+    who = spark.createDataFrame([("S1", "u")], "session_id string, user_id string")
+    assert t.call("get_session_state", wanted=who, as_of="2024-06-01 00:00:00").first().token_budget == 4000
+    assert t.call("update_session_state", updates=who.select("session_id", F.lit(7).cast("long").alias("tokens_used")), as_of="2024-06-01 00:00:00").first().status == "updated"
+    assert t.t["session_state"].first().tokens_used == 7
+    wanted = spark.createDataFrame([("c", "profile")], "entity_id string, snapshot_type string")
+    built = wanted.withColumn("content", F.lit("two words"))
+    assert t.call("get_charger_context", wanted=wanted, built=built, as_of="2024-06-01 00:00:00").first().token_count == 2
+    again = t.call("get_charger_context", wanted=wanted, built=built.withColumn("content", F.lit("other")), as_of="2024-06-01 00:20:00")
+    assert again.first().content == "two words"  # still cached
+
+
 def test_embedding_is_fixed(spark):
     df = spark.createDataFrame([("a b a",), ("a b a",), (None,)], "t string").select(retrieval.embed(F.col("t"), size=16).alias("v")).collect()
     assert df[0].v == df[1].v

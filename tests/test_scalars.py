@@ -42,6 +42,11 @@ def test_flatten_counts():
     refs, recovered, nested, dropped, unmatched = S.flatten_one('["a:1", "[\\"b:2\\"]", "[\\"c:3\\"]"]')
     assert (refs, recovered, nested, dropped) == (["a:1", "b:2", "c:3"], 2, 0, 0)
     assert S.flatten_one('["Bad:ref here", 7]')[3:] == (2, ["Bad:ref here"])
+    assert S.flatten_one('["[broken"]') == ([], 0, 0, 1, ["[broken"])  # bracketed and no JSON: reported, colon or not
+    assert S.flatten_one("null") == S.flatten_one("") == ([], 0, 0, 1, [])  # one value that is no reference
+    assert S.flatten_one('["\\"a:1\\""]') == ([], 0, 0, 1, ['"a:1"'])  # a quoted text is no layer
+    assert S.flatten_one('[["a:1", {"k": ["b:1"]}], "[[1]]"]') == (["a:1", "b:1"], 1, 4, 1, [])
+    assert S.flatten_one(None) == ([], 0, 0, 0, [])
 
 
 WINDOW = "voltage_stddev double, max_temp_c double, error_count long, max_earth_leak double, status_changes long"

@@ -20,6 +20,7 @@ KEYWORDS = (
     r"\b\d+\.\d+\.[\dx]+\b",
     r"\b(?:coastal|outdoor_exposed|outdoor_sheltered|indoor)\b",
 )
+#: Fixed patterns: a reference, and one to a checkpoint.
 REF = r"^[a-z_]+:[A-Za-z0-9._-]+$"
 CHECKPOINT_REF = r"^agent_reasoning:([0-9]+)$"
 
@@ -65,8 +66,24 @@ def similarity(distance: Column) -> Column:
     return F.round(F.lit(1.0) - distance, 4)
 
 
-def truncate(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
+def truncate(text: Column, n: int, marker: str = "") -> Column:
+    """The first n characters; a longer text ends with the marker."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(marker))).otherwise(text)
+
+
+def parse_flags(text: Column) -> Column:
+    """The texts of a JSON list of texts; null where it is null or no such list."""
+    return F.from_json(text, "array<string>")
+
+
+def parse_breakdown(text: Column) -> Column:
+    """feature -> value of a JSON object of numbers; an empty map where it is null or no such object."""
+    return F.coalesce(F.from_json(text, "map<string,double>"), F.create_map().cast("map<string,double>"))
+
+
+def json_row(*columns: str) -> Column:
+    """A row as JSON: decimals as numbers, times in ISO form, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"})
 
 
 def adjudicated(text: Column) -> Column:
@@ -84,47 +101,45 @@ FLAT = "refs array<string>, recovered int, nested int, dropped int, unmatched ar
 
 
 def flatten_one(value: str | None) -> tuple[list[str], int, int, int, list[str]]:
-    """References in a value of any nesting, lists and mappings as JSON texts in JSON texts included.
+    """References in a JSON text of any nesting, or in a bare text; lists and mappings as texts within it included.
 
-    Returns the valid references in order of first occurrence, and how many came out of texts that were JSON, how
-    many lists or mappings lay inside others, how many values were no reference, and those that only looked like one.
+    Returns the valid references in order of first occurrence; how many texts were read as a list or mapping; how many
+    lists or mappings lay inside others as such; how many values were no reference; and those of them that looked like
+    one (with a colon, or a bracketed text that isn't JSON). Null has nothing in it.
     """
     refs: dict[str, None] = {}
     count = {"recovered": 0, "nested": 0, "dropped": 0}
     unmatched: list[str] = []
 
-    def visit(x: object, depth: int, from_text: bool) -> None:
-        if isinstance(x, dict):
-            x = list(x.values())
-        if isinstance(x, list):
-            count["nested"] += depth > 0 and not from_text
-            for y in x:
-                visit(y, depth + 1, False)
+    def visit(x: object, inside: bool, is_layer: bool = False) -> None:
+        if isinstance(x, (list, dict)):
+            count["nested"] += inside and not is_layer
+            for y in x.values() if isinstance(x, dict) else x:
+                visit(y, inside or not is_layer)
             return
-        if isinstance(x, str):
-            s = x.strip()
-            if _REF.match(s):
-                refs[s] = None
+        text = x.strip() if isinstance(x, str) else ""
+        if _REF.match(text):
+            refs[text] = None
+        elif text[:1] in ("[", "{"):
+            try:
+                layer = json.loads(text)
+            except ValueError:
+                count["dropped"] += 1
+                unmatched.append(x)
                 return
-            if s[:1] in ("[", "{", '"'):
-                try:
-                    inner = json.loads(s)
-                except ValueError:
-                    inner = None
-                if isinstance(inner, (list, dict, str)):
-                    count["recovered"] += depth > 0 or isinstance(inner, str)
-                    visit(inner, depth, True)
-                    return
-            if ":" in s:
-                unmatched.append(s)
-        count["dropped"] += 1
-
-    if value is not None and value.strip() not in ("", "null"):
+            count["recovered"] += 1
+            visit(layer, inside, is_layer=True)
+        else:
+            count["dropped"] += 1
+            if ":" in text:
+                unmatched.append(x)
+
+    if value is not None:
         try:
             top = json.loads(value)
         except ValueError:
-            top = value
-        visit(top, 0, False)
+            top = [value]
+        visit(top, False)
     return list(refs), count["recovered"], count["nested"], count["dropped"], unmatched
 
 

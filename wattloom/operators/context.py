@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_tokens
+from ..schemas import GATE_SIMILARITY
 from .memory import gate_fail_reason, shortcut_eligible
 from .ranking import first_per_key, greedy_budget
 
 TIERS = {"charger_profile": 1, "recent_anomalies": 2, "active_investigations": 3}
 TIER4_LEFT, TIER5_LEFT, TIER5_MOST = 200, 100, 500
+ROUTES = {"shortcut": "shortcuts", "explore": "explores", "lookup": "lookups"}
 
 
 def profile_snapshot(registry: DataFrame, telemetry: DataFrame, as_of: str) -> DataFrame:
@@ -20,22 +22,29 @@ def profile_snapshot(registry: DataFrame, telemetry: DataFrame, as_of: str) -> D
     return j.select("charger_id", F.concat(F.lit("Charger "), "charger_id", F.lit(" at site "), F.coalesce("site_id", F.lit("?")), F.lit(". Messages in 24 h: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(".")).alias("content"))
 
 
-def anomalies_snapshot(windows: DataFrame, as_of: str, hours: int = 48, n: int = 10) -> DataFrame:
-    """(charger_id, content): the newest windows with a score, one line each."""
+def _or_none(lines: DataFrame, chargers: DataFrame | None, sentence: str) -> DataFrame:
+    """Adds the sentence for chargers (charger_id) that have no lines."""
+    if chargers is None:
+        return lines
+    return chargers.select("charger_id").distinct().join(lines, "charger_id", "left").select("charger_id", F.coalesce("content", F.format_string(sentence, "charger_id")).alias("content"))
+
+
+def anomalies_snapshot(windows: DataFrame, as_of: str, hours: int = 48, n: int = 10, chargers: DataFrame | None = None) -> DataFrame:
+    """(charger_id, content): the newest windows with a score, one line each; of ``chargers`` without one, a sentence."""
     recent = windows.filter((F.col("window_start") > F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))) & (F.col("anomaly_score") > 0))
     first = first_per_key(recent, ["charger_id"], [F.desc("window_start")], n)
     line = F.concat(F.date_format("window_start", "yyyy-MM-dd HH:mm"), F.lit(" score "), F.col("anomaly_score").cast("decimal(5,3)").cast("string"))
     lines = first.groupBy("charger_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return lines.select("charger_id", F.concat(F.lit("Recent anomalies:\n"), "lines").alias("content"))
+    return _or_none(lines.select("charger_id", F.concat(F.lit("Recent anomalies:\n"), "lines").alias("content")), chargers, f"No anomalies detected for %s in the last {hours} hours.")
 
 
-def investigations_snapshot(reasoning: DataFrame, n: int = 5) -> DataFrame:
-    """(charger_id, content): the newest confirmed or escalated checkpoints that stand."""
+def investigations_snapshot(reasoning: DataFrame, n: int = 5, chargers: DataFrame | None = None) -> DataFrame:
+    """(charger_id, content): the newest confirmed or escalated checkpoints that stand; of ``chargers`` without one, a sentence."""
     live = reasoning.filter(F.col("resolution").isin("confirmed", "escalated") & F.col("superseded_by").isNull())
     first = first_per_key(live, ["charger_id"], [F.desc("created_at"), F.desc("id")], n)
     line = F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), "resolution", F.lit(": "), F.substring("observation", 1, 120))
     lines = first.groupBy("charger_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return lines.select("charger_id", F.concat(F.lit("Investigations:\n"), "lines").alias("content"))
+    return _or_none(lines.select("charger_id", F.concat(F.lit("Investigations:\n"), "lines").alias("content")), chargers, "No active investigations for %s.")
 
 
 def assemble(snapshots: DataFrame, diagnoses: DataFrame, memories: DataFrame, budget: int = 3600) -> DataFrame:
@@ -67,7 +76,7 @@ def assemble(snapshots: DataFrame, diagnoses: DataFrame, memories: DataFrame, bu
 
 def stage_routing(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: candidates, similar ones, eligible ones, the best similar one's id and why it fails, if it does."""
-    m = matches.withColumns({"eligible": shortcut_eligible(), "reason": gate_fail_reason(), "near": F.coalesce(F.col("similarity") >= 0.55, F.lit(False))})
+    m = matches.withColumns({"eligible": shortcut_eligible(), "reason": gate_fail_reason(), "near": F.coalesce(F.col("similarity") >= GATE_SIMILARITY, F.lit(False))})
     best = F.max_by(F.struct("id", "reason"), F.when(F.col("near"), F.struct(F.col("confidence").cast("double"), -F.col("id"))))
     g = m.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if("near").alias("similar"), F.count_if("eligible").alias("eligible"), best.alias("best"))
     return g.select(*keys, "candidates", "similar", "eligible", F.col("best.id").alias("top_id"), F.col("best.reason").alias("top_reason"))
@@ -83,17 +92,20 @@ def rounds_of(route_: Column) -> Column:
 
 
 def run_summary(log: DataFrame) -> DataFrame:
-    """Per session and tool of a log (session_id, tool, latency_ms, tokens): calls, mean latency, tokens."""
-    return log.groupBy("session_id", "tool").agg(F.count("*").alias("calls"), F.sum("latency_ms").alias("latency_ms"), F.sum("tokens").alias("tokens"))
+    """Per session and tool of a log (session_id, tool, latency_ms, tokens, distance): calls, mean latency in whole ms,
+    tokens and the mean vector distance of the searches (null: there were none). Halves are rounded to the even digit.
+    """
+    mean = lambda c, places: F.bround(F.sum(F.col(c).cast("decimal(18,6)")) / F.count(c), places)
+    return log.groupBy("session_id", "tool").agg(F.count("*").alias("calls"), mean("latency_ms", 0).cast("long").alias("mean_latency_ms"), F.sum("tokens").alias("tokens"), mean("distance", 4).cast("double").alias("mean_distance"))
 
 
 def fleet_summary(runs: DataFrame, wall_ms: Column | int) -> DataFrame:
     """Totals of runs (route, duration_ms, tokens_in, cache_read, cache_created); shares are null where nothing ran."""
     wall = F.lit(wall_ms) if isinstance(wall_ms, int) else wall_ms
     d = lambda c: c.cast("double")
-    a = runs.agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.sum("tokens_in").alias("tin"), F.sum("cache_read").alias("cr"), F.sum("cache_created").alias("cc"), F.count_if(F.col("route") == "shortcut").alias("shortcuts"))
+    a = runs.agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.sum("tokens_in").alias("tin"), F.sum("cache_read").alias("cr"), F.sum("cache_created").alias("cc"), *[F.count_if(F.col("route") == r).alias(n) for r, n in ROUTES.items()])
     total = F.col("tin") + F.col("cr") + F.col("cc")
-    return a.select("runs", "total_ms", "min_ms", "max_ms", (d(F.col("total_ms")) / F.nullif(F.col("runs"), F.lit(0)).cast("double")).alias("mean_ms"), (d(F.col("total_ms")) / F.nullif(wall, F.lit(0)).cast("double")).alias("speedup"), (d(F.col("cr")) / F.nullif(total, F.lit(0)).cast("double")).alias("cache_hit"), "shortcuts")
+    return a.select("runs", "total_ms", "min_ms", "max_ms", (d(F.col("total_ms")) / F.nullif(F.col("runs"), F.lit(0)).cast("double")).alias("mean_ms"), (d(F.col("total_ms")) / F.nullif(wall, F.lit(0)).cast("double")).alias("speedup"), (d(F.col("cr")) / F.nullif(total, F.lit(0)).cast("double")).alias("cache_hit"), *ROUTES.values(), (F.col("runs") - sum((F.col(n) for n in ROUTES.values()), F.lit(0))).alias("unknown"), (d(F.col("shortcuts")) / F.nullif(F.col("runs"), F.lit(0)).cast("double")).alias("shortcut_share"))
 
 
 def repeats(log: DataFrame, keys: list[str], order: str, tool: str) -> DataFrame:

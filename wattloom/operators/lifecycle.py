@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import flatten_refs
+from ..functions.scalars import REF, flatten_refs
 from ..schemas import COMPACT_DISTANCE, DECAY, DEPRECATE_BELOW
 from .ranking import first_per_key
 
@@ -96,7 +96,7 @@ def snapshots_due(windows: DataFrame, as_of: str, minutes: int = 30, score: floa
 
 def ref_histogram(rows: DataFrame, refs: str) -> DataFrame:
     """(prefix, n, sample) of references; what is no reference counts under '?'."""
-    r = rows.select(F.explode(refs).alias("ref")).withColumn("prefix", F.when(F.col("ref").rlike(r"^[a-z_]+:[A-Za-z0-9._-]+$"), F.regexp_extract("ref", r"^([a-z_]+):", 1)).otherwise("?"))
+    r = rows.select(F.explode(refs).alias("ref")).withColumn("prefix", F.when(F.col("ref").rlike(REF), F.regexp_extract("ref", r"^([a-z_]+):", 1)).otherwise("?"))
     return r.groupBy("prefix").agg(F.count("*").alias("n"), F.min("ref").alias("sample"))
 
 

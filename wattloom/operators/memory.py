@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import CHECKPOINT_REF, derive_confidence
 from ..schemas import GATE_CONFIDENCE, GATE_CONFIRMATIONS, GATE_SIMILARITY, MERGE_DISTANCE, POSITIVE_OUTCOME, SUPERSEDE_DISTANCE
+from ..sources.scratch import written
+from .validation import validate_refs
 
 
 def supersede_prior(reasoning: DataFrame, new: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -22,11 +24,27 @@ def supersede_prior(reasoning: DataFrame, new: DataFrame, as_of: str, days: int
     return reasoning.join(first, "charger_id", "left").withColumn("superseded_by", F.when(live, F.col("_by")).otherwise(F.col("superseded_by"))).select(reasoning.columns)
 
 
-def write_checkpoints(reasoning: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
-    """Adds checkpoints: confidence is the session prior's, the model's own goes to model_confidence."""
+def checked_evidence(new: DataFrame, known: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(new with the valid ones of its evidence_refs, (id, ref, reason) of the others). See validate_refs()."""
+    refs = new.select("id", F.explode(F.array_distinct("evidence_refs")).alias("ref"))
+    judged = validate_refs(refs, known)
+    good = judged.filter("reason IS NULL").groupBy("id").agg(F.collect_set("ref").alias("_good"))
+    kept = F.filter(F.array_distinct(F.transform("evidence_refs", lambda r: F.trim(r))), lambda r: F.array_contains(F.coalesce("_good", F.array().cast("array<string>")), r))
+    checked = new.join(good, "id", "left").withColumn("evidence_refs", F.coalesce(kept, F.array().cast("array<string>")))
+    return checked.select(new.columns), judged.filter("reason IS NOT NULL")
+
+
+def write_checkpoints(reasoning: DataFrame, new: DataFrame, as_of: str, known: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(reasoning with the new checkpoints, quarantined references): only evidence that exists in ``known`` is stored.
+
+    Confidence is the session prior's, the model's own goes to model_confidence.
+    """
+    quarantined = None
+    if known is not None and "evidence_refs" in new.columns:
+        new, quarantined = checked_evidence(new, known)
     start = derive_confidence(F.lit("session"), F.lit(0), F.lit(0))
     rows = new.withColumn("model_confidence", F.col("confidence")).withColumn("confidence", start) if "confidence" in new.columns else new.withColumn("confidence", start)
-    return supersede_prior(reasoning, new, as_of).unionByName(rows, allowMissingColumns=True)
+    return supersede_prior(reasoning, new, as_of).unionByName(rows, allowMissingColumns=True), quarantined
 
 
 def checkpoint_links(memories: DataFrame, refs: str = "source_refs") -> DataFrame:
@@ -114,43 +132,113 @@ def link(memories: DataFrame, links: DataFrame) -> DataFrame:
     return memories.join(new, "id", "left").withColumn("pending_refs", F.when(F.col("_refs").isNotNull(), F.concat(F.coalesce("pending_refs", F.array()), F.array_except("_refs", have))).otherwise(F.col("pending_refs"))).select(memories.columns)
 
 
-WRITES = "id long, scope string, category string, content string, vec array<float>, provenance string, status string, superseded_by long, corroborations int, supersede_events int, supporting_evidence_count int, source_refs array<string>, pending_refs array<string>, action string"
+def already_linked(memories: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, ref, status) of links (id, ref): already_linked, linked, or unknown where there is no such memory."""
+    have = memories.select("id", F.concat(F.coalesce("pending_refs", F.array()), F.coalesce("source_refs", F.array())).alias("_have"))
+    j = links.select("id", "ref").distinct().join(have, "id", "left")
+    return j.select("id", "ref", F.when(F.col("_have").isNull(), "unknown").when(F.array_contains("_have", F.col("ref")), "already_linked").otherwise("linked").alias("status"))
+
 
+def session_links(reasoning: DataFrame) -> DataFrame:
+    """(session_id, link): the reference to the newest checkpoint of each session, whatever its resolution."""
+    newest = reasoning.filter("session_id IS NOT NULL").groupBy("session_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+    return newest.select("session_id", F.concat(F.lit("agent_reasoning:"), F.col("id").cast("string")).alias("link"))
 
-def write_memories(memories: DataFrame, new: DataFrame) -> DataFrame:
-    """Writes new memories in order of their id, scope by scope, because each one changes what the next one meets.
 
-    The nearest active memory of the scope decides: closer than MERGE_DISTANCE (of any category) it is updated and
-    corroborated; else the new one is inserted, and supersedes the nearest if that is closer than SUPERSEDE_DISTANCE
-    and of its category. Returns the columns of WRITES for all old and new rows of the scopes.
+DECISIONS = "id long, action string, target long, step int"
+_REFS = "array<string>"
+
+
+def decide_writes(memories: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, action, target, step) of each new memory: merged into the target, or inserted, superseding the target if any.
+
+    In order of their id, scope by scope, because each one changes what the next one meets. The nearest active memory
+    of the scope decides: closer than MERGE_DISTANCE (of any category) the new one is merged into it; else it is
+    inserted, and supersedes the nearest if that is closer than SUPERSEDE_DISTANCE and of its category. Ties go to the
+    smallest id.
     """
-    cols = [c.split()[0] for c in WRITES.split(", ")][:-1]
-    shape = lambda df, is_new: df.select(*[F.col(c) for c in cols], F.lit(is_new).alias("is_new"))
-    both = shape(memories, False).unionByName(shape(new, True))
+    shape = lambda df, is_new, live: df.select(F.col("id").cast("long").alias("id"), "scope", "category", F.col("vec").cast("array<double>").alias("vec"), live.alias("live"), F.lit(is_new).alias("is_new"))
+    known = memories.filter(F.col("vec").isNotNull() & (F.col("status") == "active"))
+    both = shape(known, False, F.lit(True)).unionByName(shape(new, True, F.lit(True)))
+    empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "action": pd.Series(dtype=object), "target": pd.Series(dtype="Int64"), "step": pd.Series(dtype="int32")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old = pdf[~pdf.is_new].sort_values("id").to_dict("records")
-        rows = [r | {"action": "kept"} for r in old]
+        old, fresh = pdf[~pdf.is_new].sort_values("id"), pdf[pdf.is_new].sort_values("id")
+        if not len(fresh):
+            return empty
+        size = len(old) + len(fresh)
+        ids, kinds = np.zeros(size, dtype=np.int64), np.empty(size, dtype=object)
+        units, live = np.zeros((size, len(fresh["vec"].iloc[0]))), np.zeros(size, dtype=bool)
         unit = lambda v: (lambda a: a / (np.linalg.norm(a) or 1.0))(np.asarray(v, dtype=np.float64))
-        units = [unit(r["vec"]) if r["vec"] is not None else None for r in rows]
-        for n in pdf[pdf.is_new].sort_values("id").to_dict("records"):
-            u = unit(n["vec"])
-            near = min(((1 - float(u @ x), r["id"], i) for i, (r, x) in enumerate(zip(rows, units, strict=True)) if x is not None and r["status"] == "active"), default=None)
-            if near and near[0] < MERGE_DISTANCE:
-                r = rows[near[2]]
-                refs = lambda a, b: list(dict.fromkeys([*(a if a is not None else []), *(b if b is not None else [])]))
-                r |= {"content": n["content"], "vec": n["vec"], "corroborations": r["corroborations"] + 1, "supporting_evidence_count": r["supporting_evidence_count"] + 1, "source_refs": refs(r["source_refs"], n["source_refs"]), "pending_refs": refs(r["pending_refs"], n["pending_refs"]), "action": "updated"}
-                units[near[2]] = u
+        n = len(old)
+        ids[:n], kinds[:n], live[:n] = old["id"], old["category"], True
+        for i, v in enumerate(old["vec"]):
+            units[i] = unit(v)
+        out = []
+        for step, (i, kind, v) in enumerate(zip(fresh["id"], fresh["category"], fresh["vec"], strict=True)):
+            u = unit(v)
+            far = np.where(live[:n], 1.0 - units[:n] @ u, np.inf)
+            at = int(np.lexsort((ids[:n], far))[0]) if live[:n].any() else -1
+            if at >= 0 and far[at] < MERGE_DISTANCE:
+                units[at] = u
+                out.append((i, "merged", ids[at], step))
                 continue
-            if near and near[0] < SUPERSEDE_DISTANCE and rows[near[2]]["category"] == n["category"]:
-                rows[near[2]] |= {"status": "superseded", "superseded_by": n["id"], "supersede_events": rows[near[2]]["supersede_events"] + 1, "action": "superseded"}
-            rows.append(n | {"status": "active", "action": "inserted"})
-            units.append(u)
-        out = pd.DataFrame(rows, columns=[*cols, "action"])
-        out["superseded_by"] = out["superseded_by"].astype("Int64")
-        return out
-
-    return both.groupBy("scope").applyInPandas(run, WRITES)
+            over = at >= 0 and far[at] < SUPERSEDE_DISTANCE and kinds[at] == kind
+            if over:
+                live[at] = False
+            out.append((i, "inserted", ids[at] if over else None, step))
+            ids[n], kinds[n], units[n], live[n] = i, kind, u, True
+            n += 1
+        made = pd.DataFrame(out, columns=["id", "action", "target", "step"])
+        return made.assign(target=made["target"].astype("Int64"), step=made["step"].astype("int32"))
+
+    return both.groupBy("scope").applyInPandas(run, DECISIONS)
+
+
+def write_memories(memories: DataFrame, new: DataFrame, reasoning: DataFrame | None = None) -> DataFrame:
+    """All memories after the new ones are written (see decide_writes()), with their columns and an ``action``.
+
+    new (id, scope, category, content, vec, provenance, source_refs, and if known session_id, confidence, corroborations).
+    A merge replaces content and vector, counts a corroboration and one piece of evidence, and takes over only accepted
+    references: of checkpoints, those of confirmed or promoted ones in ``reasoning``. An inserted memory starts with
+    verified counters of 0 and the confidence that follows from its provenance; the model's own goes to
+    model_confidence. Either way the session's newest checkpoint is linked in pending_refs. Confidence and verified
+    counters of old memories never change here. Ids of new memories are not those of old ones.
+    """
+    none = F.array().cast(_REFS)
+    if reasoning is not None:
+        took = accepted_refs(new, reasoning).groupBy("memory_id").agg(F.collect_set("ref").alias("_took")).withColumnRenamed("memory_id", "id")
+        new = new.join(took, "id", "left")
+        accepted = F.filter(F.coalesce("source_refs", none), lambda r: F.array_contains(F.coalesce("_took", none), r))
+    else:
+        accepted = F.filter(F.coalesce("source_refs", none), lambda r: ~r.rlike(CHECKPOINT_REF))  # nothing says that a checkpoint is confirmed
+    if reasoning is not None and "session_id" in new.columns:
+        new = new.join(session_links(reasoning), "session_id", "left")
+    else:
+        new = new.withColumn("link", F.lit(None).cast("string"))
+    pending = F.when(F.col("link").isNotNull(), F.array("link")).otherwise(none)
+    new = new.withColumns({"_accepted": accepted, "_pending": pending})
+    decided = written(decide_writes(memories, new))
+    fresh = new.join(decided.filter("action = 'inserted'").select("id"), "id", "left_semi")
+    zero, start = F.lit(0), derive_confidence(F.col("provenance"), F.lit(0), F.lit(0))
+    first = {"status": F.lit("active"), "superseded_by": F.lit(None), "supersede_events": zero, "supporting_evidence_count": F.lit(1), "corroborations": F.coalesce("corroborations", zero) if "corroborations" in new.columns else zero, "verified_confirmations": zero, "verified_contradictions": zero,
+             "access_count": zero, "confidence": start, "model_confidence": F.col("confidence") if "confidence" in new.columns else F.lit(None), "source_refs": F.array_distinct(F.coalesce("source_refs", none)), "pending_refs": F.col("_pending"), "adjudicated": none}
+    kinds = {f.name: f.dataType.simpleString() for f in memories.schema.fields}
+    inserted = fresh.select(*[(first[c] if c in first else F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in memories.columns])
+    rows = memories.withColumn("_new", F.lit(False)).unionByName(inserted.withColumn("_new", F.lit(True)))
+    merge = decided.filter("action = 'merged'").join(new.select("id", "content", "vec", "_accepted", "_pending"), "id")
+    merge = merge.groupBy("target").agg(F.max_by(F.struct("content", "vec"), "step").alias("_last"), F.count("*").cast("int").alias("_times"), F.array_sort(F.collect_list(F.struct("step", "_accepted", "_pending"))).alias("_refs"))
+    over = decided.filter("action = 'inserted' AND target IS NOT NULL").select(F.col("target").alias("_over"), F.col("id").alias("_by"))
+    rows = rows.join(merge.withColumnRenamed("target", "_to"), rows["id"] == F.col("_to"), "left").join(over, rows["id"] == F.col("_over"), "left")
+    grown = lambda c, part: F.when(F.col("_to").isNotNull(), F.array_distinct(F.concat(F.coalesce(c, none), F.flatten(F.transform("_refs", lambda r: r[part]))))).otherwise(F.col(c))
+    times = F.coalesce("_times", zero)
+    after = {
+        "content": F.coalesce("_last.content", "content"), "vec": F.coalesce(F.col("_last.vec").cast(kinds["vec"]), "vec"), "corroborations": F.col("corroborations") + times, "supporting_evidence_count": F.col("supporting_evidence_count") + times,
+        "source_refs": grown("source_refs", "_accepted"), "pending_refs": grown("pending_refs", "_pending"), "status": F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status")),
+        "superseded_by": F.coalesce("_by", "superseded_by"), "supersede_events": F.col("supersede_events") + F.col("_by").isNotNull().cast("int"),
+        "action": F.when(F.col("_by").isNotNull(), "superseded").when(F.col("_to").isNotNull(), "updated").when(F.col("_new"), "inserted").otherwise("kept"),
+    }
+    return rows.withColumns(after).select(*memories.columns, "action")
 
 
 def shortcut_eligible() -> Column:

@@ -1,26 +1,29 @@
 """Vector and keyword retrieval: filter, then rank by exact cosine distance.
 
-The query side is the small, stated side and is broadcast; each query keeps its k nearest with a per-query top-k that
-Spark cuts in every partition before the shuffle, so candidates cost k rows a query and partition.
+The query side is the small, stated side: blocks of MOST_QUERIES queries are a matrix that every task multiplies its rows
+with, Arrow batch by Arrow batch, keeping the k nearest of each query, so a partition sends k rows a query. Where a
+condition joins rows and queries, the block is broadcast instead and Spark cuts the top-k in every partition.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import cosine_distance, dot, similarity
+from ..functions.scalars import dot, similarity
 from ..schemas import SCOPE_BOOST
 
 #: Tables that may be searched, with their vector and text columns.
 SEARCHABLE = {"outage_catalog": ("signature_vec", "root_cause"), "agent_reasoning": ("reasoning_vec", "observation"), "fleet_memory": ("memory_vec", "content"), "charger_windows": ("signature_vec", None)}
-MOST_QUERIES = 10_000
+MOST_QUERIES = 4_000
+BLOCK_ROWS = 2_000
 log = logging.getLogger(__name__)
 
 
@@ -37,6 +40,11 @@ def optional(rows: DataFrame, **equal: object) -> DataFrame:
     return rows
 
 
+def starts_with(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose column begins with the prefix, taken as it is written."""
+    return rows.filter(F.col(column).startswith(prefix))
+
+
 def in_scope(rows: DataFrame, scope: str | list[str]) -> DataFrame:
     """Rows of the scope (or scopes) and global ones; 'any' keeps all."""
     scopes = [scope] if isinstance(scope, str) else scope
@@ -61,14 +69,50 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", id
     out = None
     for b in range(blocks):
         own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = base.join(F.broadcast(own), F.lit(True) if where is None else where)  # a stated query set against all rows
-        pairs = pairs.withColumn("distance", F.lit(1.0) - dot(F.col(vector), F.col("query_vec")) / (F.col("_norm") * F.col("_qnorm")))
+        if where is None:
+            pairs = _by_matrix(base.drop("_norm"), own.drop("_qnorm"), k, vector, id_col)
+        else:  # a stated query set against all rows
+            pairs = base.join(F.broadcast(own), where).withColumn("distance", F.lit(1.0) - dot(F.col(vector), F.col("query_vec")) / (F.col("_norm") * F.col("_qnorm")))
         w = Window.partitionBy("query_id").orderBy("distance", id_col)
         part = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_norm", "_qnorm", "query_vec")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), dtype=np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _by_matrix(base: DataFrame, queries: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:
+    """Rows of base with the columns of queries and distance: of each query, the k nearest of every partition."""
+    shared = base.sparkSession.sparkContext.broadcast(queries.toPandas())  # MOST_QUERIES rows
+    names = base.columns
+    fields = [*base.schema.fields, *[f for f in queries.schema.fields if f.name != "query_vec"], T.StructField("distance", T.DoubleType())]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        best: pd.DataFrame | None = None
+        if len(q):
+            matrix = _units(q["query_vec"]).T
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                far = 1.0 - _units(pdf[vector]) @ matrix
+                most = min(k, len(pdf))
+                limit = np.partition(far, most - 1, axis=0)[most - 1]  # ties with the last one stay in
+                row, col = np.nonzero(far <= limit)
+                found = pd.DataFrame({"_q": col, "distance": far[row, col], "_id": pdf[id_col].to_numpy()[row], "_row": list(pdf.iloc[row].itertuples(index=False, name=None))})
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["_q", "distance", "_id"]).groupby("_q", sort=False).head(k)
+        if best is not None and len(best):
+            rows = pd.DataFrame(best["_row"].tolist(), columns=names, dtype=object)
+            more = q.drop(columns="query_vec").iloc[best["_q"].to_numpy()].reset_index(drop=True)
+            yield pd.concat([rows, more, best["distance"].reset_index(drop=True)], axis=1)
+
+    return base.mapInPandas(run, T.StructType(fields))
+
+
 def hybrid(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", text: str | None = None, id_col: str = "id") -> DataFrame:
     """queries (query_id, query_vec, keywords): where a query has keywords and there is a text column, only rows with one.
 
@@ -99,12 +143,30 @@ def touch(rows: DataFrame, hits: DataFrame, as_of: str, id_col: str = "id") -> D
     return out.withColumns(seen).select(rows.columns)
 
 
-def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "vec", id_col: str = "id") -> DataFrame:
-    """(a, b, distance) of rows of one key closer than the limit, a before b."""
-    left = rows.select(*keys, F.col(id_col).alias("a"), F.col(vector).alias("va"))
-    right = rows.select(*keys, F.col(id_col).alias("b"), F.col(vector).alias("vb"))
-    p = left.join(right, keys).filter("a < b").withColumn("distance", cosine_distance(F.col("va"), F.col("vb")))
-    return p.filter(F.col("distance") < limit).select(*keys, "a", "b", "distance")
+def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "vec", id_col: str = "id", block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, distance) of rows of one key closer than the limit, a before b. Rows without a vector are left out.
+
+    A key's rows are dealt into blocks of about ``block`` rows, and each two blocks are one task's matrix product, so a
+    hot key is as many tasks as it has pairs of blocks.
+    """
+    live = rows.filter(F.col(vector).isNotNull()).select(*keys, F.col(id_col).alias("a"), F.col(vector).alias("v"))
+    live = live.filter(F.exists("v", lambda x: x != 0))
+    parts = live.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = live.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    fields = [*[live.schema[k] for k in keys], T.StructField("a", live.schema["a"].dataType), T.StructField("b", live.schema["a"].dataType), T.StructField("distance", T.DoubleType())]
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a", ignore_index=True)
+        u, ids, part = _units(pdf["v"]), pdf["a"].to_numpy(), pdf["part"].to_numpy()
+        far = 1.0 - u @ u.T
+        close = (far < limit) & (ids[:, None] < ids[None, :])
+        if pdf["left"].iloc[0] != pdf["right"].iloc[0]:  # pairs within a block are another task's
+            close &= part[:, None] != part[None, :]
+        i, j = np.nonzero(close)
+        return pd.DataFrame({**{k: pdf[k].to_numpy()[i] for k in keys}, "a": ids[i], "b": ids[j], "distance": far[i, j]})
+
+    return dealt.select(*keys, "a", "v", "part", "left", "right").groupBy(*keys, "left", "right").applyInPandas(near, T.StructType(fields))
 
 
 def embed(texts: Column, provider: Callable[[pd.Series], pd.Series] | None = None, size: int = 384) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import REF
+
 REQUIRED = ("charger_id", "ts", "status")
 #: (name, condition that rejects); thresholds themselves are valid.
 REJECT = (
@@ -55,5 +57,5 @@ def validate_refs(refs: DataFrame, known: dict[str, DataFrame], id_col: str = "i
         k = t.select(F.lit(prefix).alias("prefix"), F.col(t.columns[0]).cast("string").alias("key")).distinct().withColumn("found", F.lit(True))
         keys = k if keys is None else keys.unionByName(k)
     r = r.join(keys, ["prefix", "key"], "left")
-    reason = F.when(F.col("ref").isNull() | ~F.col("ref").rlike(r"^[a-z_]+:[A-Za-z0-9._-]+$"), "malformed").when(~F.col("prefix").isin(*known), "unknown_prefix").when(F.col("found").isNull(), "not_found")
+    reason = F.when(F.col("ref").isNull() | ~F.col("ref").rlike(REF), "malformed").when(~F.col("prefix").isin(*known), "unknown_prefix").when(F.col("found").isNull(), "not_found")
     return r.select("id", "ref", reason.alias("reason"))

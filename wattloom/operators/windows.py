@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 
 
-def measures(streaming: bool = False) -> list[Column]:
-    """Exact decimal sums, then one division. A null code is no error; statuses and codes are distinct sets."""
+def measures(streaming: bool = False, zero_missing: bool = False) -> list[Column]:
+    """Exact decimal sums, then one division. A null code is no error; statuses and codes are distinct sets.
+
+    A measure that no row of the window has is null; with ``zero_missing``, power, current, fan and leakage are 0 then.
+    """
+    or_zero = lambda c: F.coalesce(c, F.lit(0)) if zero_missing else c
     dec = lambda c: F.col(c).cast("decimal(18,3)")
     n = F.count("voltage_v").cast("double")
     mean = F.sum(dec("voltage_v")).cast("double") / n
@@ -18,16 +22,16 @@ def measures(streaming: bool = False) -> list[Column]:
     average = lambda c, places: F.round(F.sum(F.col(c).cast("decimal(18,3)")) / F.count(c), places)
     codes = F.array_sort(F.collect_set(F.when(F.col("error_code") != "NoError", F.col("error_code"))))
     return [
-        F.count("*").alias("msg_count"), average("power_w", 2).cast("decimal(10,2)").alias("avg_power_w"), F.max("power_w").alias("max_power_w"), F.min("voltage_v").alias("min_voltage_v"), F.max("voltage_v").alias("max_voltage_v"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("voltage_stddev"), average("current_a", 2).cast("decimal(10,2)").alias("avg_current_a"), F.max("temp_c").alias("max_temp_c"), average("temp_c", 2).cast("decimal(10,2)").alias("avg_temp_c"),
+        F.count("*").alias("msg_count"), or_zero(average("power_w", 2)).cast("decimal(10,2)").alias("avg_power_w"), or_zero(F.max("power_w")).alias("max_power_w"), F.min("voltage_v").alias("min_voltage_v"), F.max("voltage_v").alias("max_voltage_v"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("voltage_stddev"), or_zero(average("current_a", 2)).cast("decimal(10,2)").alias("avg_current_a"), F.max("temp_c").alias("max_temp_c"), average("temp_c", 2).cast("decimal(10,2)").alias("avg_temp_c"),
         F.coalesce(F.sum((F.col("error_code") != "NoError").cast("long")), F.lit(0)).alias("error_count"), statuses.cast("long").alias("status_changes"), F.when(F.size(codes) > 0, codes).alias("distinct_errors"),
-        F.avg(F.col("fan_rpm").cast("double")).cast("int").alias("avg_fan_rpm"), F.max("earth_leak_ma").alias("max_earth_leak"),
+        or_zero(F.avg(F.col("fan_rpm").cast("double")).cast("int")).alias("avg_fan_rpm"), or_zero(F.max("earth_leak_ma")).alias("max_earth_leak"),
     ]
 
 
-def window_aggregate(telemetry: DataFrame, length: str = "5 minutes", score: bool = True) -> DataFrame:
+def window_aggregate(telemetry: DataFrame, length: str = "5 minutes", score: bool = True, zero_missing: bool = False) -> DataFrame:
     """One row per charger and window, with flags, score and breakdown unless ``score`` is off."""
-    w = telemetry.groupBy("charger_id", F.window("ts", length).alias("w")).agg(*measures(telemetry.isStreaming))
+    w = telemetry.groupBy("charger_id", F.window("ts", length).alias("w")).agg(*measures(telemetry.isStreaming, zero_missing))
     w = w.select("charger_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in w.columns if c not in ("charger_id", "w")])
     return with_scores(w) if score else w
 

@@ -63,8 +63,9 @@ def evidence_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 1500")
-    return e.select((F.col("event_id") % 1200).alias("reasoning_id"), F.when(F.col("event_id") % 3 == 0, "different_fault").otherwise("fixed").alias("outcome"), F.lit(AS_OF).alias("at"), F.col("event_id").alias("seq"))
+    """Of every event an outcome: of five, two are for one checkpoint; some are for none."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.expr("CASE WHEN event_id % 97 = 1 THEN -event_id ELSE event_id * 4 div 5 END").alias("reasoning_id"), F.when(F.col("event_id") % 3 == 0, "different_fault").otherwise("fixed").alias("outcome"), F.lit(AS_OF).alias("at"), F.col("event_id").alias("seq"))
 
 
 def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,6 +104,10 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.consolidate(reasoning_of_events(spark, sf_dir), _registry(spark, sf_dir), LATE)[1].select("id", "resolution")
 
 
+def consolidated_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.consolidate(reasoning_of_events(spark, sf_dir), _registry(spark, sf_dir), LATE)[0]
+
+
 def cleanup_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.cleanup(memory_of_customers(spark, sf_dir), AS_OF).select("id", "status", F.col("confidence").cast("double").alias("confidence"), F.date_format("last_decayed_at", texts.TS).alias("last_decayed_at"))
 
@@ -135,16 +140,10 @@ def greedy_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.compact(_memories_with_vectors(spark, sf_dir), 0.75)
 
 
-def merge_or_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _memories_with_vectors(spark, sf_dir)
-    near = m.filter("id % 3 = 0").withColumns({"id": F.col("id") + 1_000_000, "vec": F.transform("vec", lambda x: (x + F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.06)).cast("float"))})
-    return memory.write_memories(m, near).select("id", "status", "superseded_by", "corroborations", "action")
-
-
 QUERIES = {
     "derive_confidence": confidence, "shortcut_gate": shortcut_gate, "gate_fail_reason": gate_fail_reason, "routing_stages": routing_stages, "routes": routes, "ref_link_counts": ref_link_counts, "recompute_counters": recomputed, "accepted_refs": merge_refs,
     "evidence_validation": evidence_validation, "verify_outcomes": outcome_report, "verify_outcomes_memories": outcome_memories, "verify_outcomes_checkpoints": outcome_checkpoints, "supersede_prior": supersede_prior, "tag_groups": tag_groups, "consolidate": consolidated,
-    "cleanup_decay": cleanup_decay, "ref_prefix_histogram": ref_prefix_histogram, "reasoning_text": reasoning_texts, "memory_text": memory_texts, "flatten_refs": flattened, "greedy_compaction": greedy_compaction, "merge_or_supersede": merge_or_supersede,
+    "cleanup_decay": cleanup_decay, "ref_prefix_histogram": ref_prefix_histogram, "reasoning_text": reasoning_texts, "memory_text": memory_texts, "flatten_refs": flattened, "greedy_compaction": greedy_compaction, "consolidated_memories": consolidated_memories,
 }
 
 _MATCH = f"WITH {sql.MEMORY}, x AS (SELECT id, scope, CASE WHEN id % 13 = 0 THEN id END AS superseded_by, {sql.confidence('provenance', 'verified_confirmations * 3', '(verified_contradictions % 2)')} AS confidence, verified_confirmations, (id % 100)::DOUBLE / 100.0::DOUBLE AS similarity FROM mem)"
@@ -153,7 +152,7 @@ _WHY = "CASE WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN confidence <
 _STAGE = f"{_MATCH}, y AS (SELECT *, {_OK} AS ok, {_WHY} AS why, similarity >= 0.55 AS near FROM x), z AS (SELECT scope, count(*) AS candidates, count(*) FILTER (near) AS \"similar\", count(*) FILTER (ok) AS eligible, max_by(id, (confidence, -id)) FILTER (near) AS top_id FROM y GROUP BY scope)"
 _LINK = f"{sql.REASONING}, {sql.MEMORY}, l AS (SELECT DISTINCT mem.id AS memory_id, split_part(ref, ':', 2)::BIGINT AS rid FROM (SELECT id, unnest(source_refs) AS ref FROM mem) mem WHERE ref LIKE 'agent_reasoning:%'), n AS (SELECT memory_id, count(DISTINCT rid) AS linked, count(DISTINCT rid) FILTER (verified_outcome = 'fixed') AS confirmed, count(DISTINCT rid) FILTER (verified_outcome <> 'fixed') AS contradicted FROM l JOIN rea ON rea.id = rid GROUP BY 1)"
 _OUT = f"""WITH {sql.REASONING}, {sql.MEMORY},
-o AS (SELECT event_id % 1200 AS reasoning_id, CASE WHEN event_id % 3 = 0 THEN 'different_fault' ELSE 'fixed' END AS outcome, event_id AS seq FROM events WHERE event_id < 1500),
+o AS (SELECT CASE WHEN event_id % 97 = 1 THEN -event_id ELSE event_id * 4 // 5 END AS reasoning_id, CASE WHEN event_id % 3 = 0 THEN 'different_fault' ELSE 'fixed' END AS outcome, event_id AS seq FROM events),
 s AS (SELECT o.*, rea.verified_outcome, rea.id IS NULL AS missing, first_value(outcome) OVER w AS f, row_number() OVER w AS n FROM o LEFT JOIN rea ON rea.id = reasoning_id WINDOW w AS (PARTITION BY reasoning_id ORDER BY seq)),
 st AS (SELECT *, CASE WHEN missing THEN 'unknown' WHEN outcome <> coalesce(verified_outcome, f) THEN 'conflict' WHEN verified_outcome IS NULL AND n = 1 THEN 'stamped' ELSE 'same' END AS state FROM s),
 good AS (SELECT 'agent_reasoning:' || reasoning_id AS ref, min(outcome) AS outcome FROM st WHERE state IN ('stamped', 'same') GROUP BY 1),
@@ -177,6 +176,8 @@ ORACLE = {
     "supersede_prior": f"WITH {sql.REASONING}, f AS (SELECT charger_id, min(id) AS by_ FROM rea WHERE id % 10 = 0 AND resolution = 'confirmed' GROUP BY 1) SELECT id, CASE WHEN resolution = 'confirmed' AND superseded_by IS NULL AND created_at > TIMESTAMP '{LATE}' - INTERVAL 10 DAY AND by_ IS NOT NULL THEN by_ ELSE superseded_by END AS superseded_by FROM rea LEFT JOIN f USING (charger_id) WHERE id % 10 > 0",
     "tag_groups": f"{_GROUP.replace('__DAYS__', '10')}, r AS (SELECT *, row_number() OVER (PARTITION BY tag_key ORDER BY id) AS rn FROM live) SELECT tag_key, count(*) AS n, CASE WHEN count(DISTINCT model) = 1 THEN 'model:ACME-' || min(model) WHEN count(DISTINCT environment) = 1 THEN 'environment:' || min(environment) ELSE 'global' END AS scope, string_agg(charger_id, ',' ORDER BY id) FILTER (rn <= 5) AS chargers, min_by(observation, id) AS sample FROM r GROUP BY tag_key HAVING count(*) >= 3",
     "consolidate": f"{_GROUP.replace('__DAYS__', '7')}, g AS (SELECT tag_key FROM live GROUP BY 1 HAVING count(*) >= 3) SELECT id, CASE WHEN id IN (SELECT id FROM live JOIN g USING (tag_key)) THEN 'promoted' ELSE resolution END AS resolution FROM rea",
+    "consolidated_memories": f"{_GROUP.replace('__DAYS__', '7')}, r AS (SELECT *, row_number() OVER (PARTITION BY tag_key ORDER BY id) AS rn FROM live), g AS (SELECT tag_key, count(*) AS n, CASE WHEN count(DISTINCT model) = 1 THEN 'model:ACME-' || min(model) WHEN count(DISTINCT environment) = 1 THEN 'environment:' || min(environment) ELSE 'global' END AS scope, string_agg(charger_id, ', ' ORDER BY id) FILTER (rn <= 5) AS chargers, min_by(observation, id) AS sample FROM r GROUP BY tag_key HAVING count(*) >= 3) SELECT scope, 'pattern' AS category, 'Seen ' || n || ' times (' || tag_key || ') at ' || chargers || ': ' || sample AS content, 'consolidated' AS provenance, n::INTEGER AS corroborations, tag_key FROM g",
+    "flatten_refs": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'a:1,b:' || event_id || ',c:3' WHEN 1 THEN '' WHEN 2 THEN 'a:1' ELSE 'x:' || event_id END AS refs, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS recovered, CASE event_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS dropped FROM events""",
     "cleanup_decay": f"WITH {sql.MEMORY}, a AS (SELECT *, CASE WHEN status = 'active' AND access_count = 0 AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY THEN 'deprecated' ELSE status END AS s1 FROM mem), b AS (SELECT *, s1 = 'active' AND coalesce(last_decayed_at, created_at) < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS due, (confidence * 100)::INTEGER AS c FROM a), d AS (SELECT *, CASE WHEN due THEN (c * 95 + 50) // 100 ELSE c END AS c2 FROM b) SELECT id, CASE WHEN s1 = 'active' AND c2 < 30 THEN 'deprecated' ELSE s1 END AS status, c2::DOUBLE / 100 AS confidence, {sql.ts(f'''CASE WHEN due THEN TIMESTAMP '{AS_OF}' ELSE last_decayed_at END''')} AS last_decayed_at FROM d",
     "ref_prefix_histogram": f"WITH {sql.MEMORY} SELECT split_part(ref, ':', 1) AS prefix, count(*) AS n, min(ref) AS sample FROM (SELECT unnest(source_refs) AS ref FROM mem) GROUP BY 1",
     "reasoning_text": f"WITH {sql.REASONING} SELECT id, observation || CASE WHEN hypothesis IS NOT NULL THEN ' | Hypothesis: ' || hypothesis ELSE '' END || CASE WHEN len(tags) > 0 THEN ' | Tags: ' || array_to_string(tags, ', ') ELSE '' END AS text FROM rea",

@@ -71,7 +71,15 @@ def scalar_count_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anomalies_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.anomalies_snapshot(daily(spark, sf_dir), AS_OF, 24 * 30)
+    return context.anomalies_snapshot(daily(spark, sf_dir), AS_OF, 24 * 30, chargers=_chargers(spark, sf_dir))
+
+
+def investigations_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.investigations_snapshot(reasoning_of_events(spark, sf_dir), chargers=_chargers(spark, sf_dir))
+
+
+def _chargers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("CP-"), F.lpad(F.col("c_custkey").cast("string"), 5, "0")).alias("charger_id"))
 
 
 def site_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +139,13 @@ def repeat_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("tool"), (F.length("text") % 97).cast("long").alias("latency_ms"), count_tokens(F.col("text")).cast("long").alias("tokens"))
+    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("tool"), (F.length("text") % 97).cast("long").alias("latency_ms"), count_tokens(F.col("text")).cast("long").alias("tokens"), F.when(F.col("turn") % 3 == 0, (F.length("text") % 10) / F.lit(8)).alias("distance"))
     return context.run_summary(log)
 
 
 def fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    runs = o.select(F.when(F.col("o_orderstatus") == "F", "shortcut").otherwise("explore").alias("route"), (F.col("o_orderkey") % 1000).alias("duration_ms"), (F.col("o_custkey") % 500).alias("tokens_in"), (F.col("o_orderkey") % 300).alias("cache_read"), (F.col("o_orderkey") % 50).alias("cache_created"))
+    runs = o.select(F.when(F.col("o_orderstatus") == "F", "shortcut").when(F.col("o_orderkey") % 5 == 0, "lookup").when(F.col("o_orderkey") % 7 > 0, "explore").alias("route"), (F.col("o_orderkey") % 1000).alias("duration_ms"), (F.col("o_custkey") % 500).alias("tokens_in"), (F.col("o_orderkey") % 300).alias("cache_read"), (F.col("o_orderkey") % 50).alias("cache_created"))
     return context.fleet_summary(runs, 100_000)
 
 
@@ -147,7 +155,7 @@ def distinct_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "top_windows": top_windows, "top_entities_exact": entities(True, 25), "top_entities_overfetch": entities(False, 25), "latest_per_entity": latest_per_entity, "recent_per_entity": recent_per_entity, "recent_windows": recent_windows, "latest_checkpoint": latest_checkpoint, "active_investigations": active_investigations,
-    "left_join_registry": left_join_registry, "scalar_count_24h": scalar_count_24h, "anomalies_snapshot": anomalies_snapshot, "site_parse": site_parse, "budget_prefix": budget_prefix, "budget_greedy": budget_greedy, "token_budget": token_budget, "insert_ignore": insert_ignore, "upsert": upsert, "retention_filter": retention_filter,
+    "left_join_registry": left_join_registry, "scalar_count_24h": scalar_count_24h, "anomalies_snapshot": anomalies_snapshot, "investigations_snapshot": investigations_snapshot, "site_parse": site_parse, "budget_prefix": budget_prefix, "budget_greedy": budget_greedy, "token_budget": token_budget, "insert_ignore": insert_ignore, "upsert": upsert, "retention_filter": retention_filter,
     "vector_write_back": vector_write_back, "canal_parse": canal_parse, "repeat_breaker": repeat_breaker, "run_summary": run_summary, "fleet_summary": fleet_summary, "snapshots_due": distinct_active,
 }
 
@@ -167,7 +175,8 @@ ORACLE = {
     "left_join_registry": f"WITH {sql.REASONING} SELECT id, charger_id, c_mktsegment AS model FROM rea LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON charger_id = {_CP}",
     "scalar_count_24h": f"{_PROFILE} SELECT charger_id, 'Charger ' || charger_id || ' at site ' || site_id || '. Messages in 24 h: ' || coalesce(n, 0)::VARCHAR || '.' AS content FROM reg LEFT JOIN n USING (charger_id)",
     "site_parse": f"{_PROFILE} SELECT charger_id, site_id FROM reg",
-    "anomalies_snapshot": f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY window_start DESC) AS rank FROM win WHERE anomaly_score > 0 AND window_start > TIMESTAMP '{AS_OF}' - INTERVAL 720 HOURS) SELECT charger_id, 'Recent anomalies:' || chr(10) || string_agg(strftime(window_start, '%Y-%m-%d %H:%M') || ' score ' || anomaly_score::DECIMAL(5,3)::VARCHAR, chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 10 GROUP BY charger_id",
+    "anomalies_snapshot": f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY window_start DESC) AS rank FROM win WHERE anomaly_score > 0 AND window_start > TIMESTAMP '{AS_OF}' - INTERVAL 720 HOURS), s AS (SELECT charger_id, 'Recent anomalies:' || chr(10) || string_agg(strftime(window_start, '%Y-%m-%d %H:%M') || ' score ' || anomaly_score::DECIMAL(5,3)::VARCHAR, chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 10 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'No anomalies detected for ' || charger_id || ' in the last 720 hours.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
+    "investigations_snapshot": f"WITH {sql.REASONING}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY created_at DESC, id DESC) AS rank FROM rea WHERE resolution IN ('confirmed', 'escalated') AND superseded_by IS NULL), s AS (SELECT charger_id, 'Investigations:' || chr(10) || string_agg('#' || id || ' ' || resolution || ': ' || substr(observation, 1, 120), chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 5 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'No active investigations for ' || charger_id || '.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
     "budget_prefix": f"WITH t AS (SELECT conv_id, turn, {_TOK.format('text')}::BIGINT AS tokens FROM conversations) SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS used FROM t) WHERE used <= 500",
     "budget_greedy": f"WITH RECURSIVE t AS (SELECT conv_id, turn, {_TOK.format('text')} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), f AS (SELECT conv_id, 0::BIGINT AS i, 0 AS used, 0::BIGINT AS turn, 0 AS tokens, false AS kept FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT t.conv_id, t.i, CASE WHEN f.used + t.tokens <= 500 THEN f.used + t.tokens ELSE f.used END, t.turn, t.tokens, f.used + t.tokens <= 500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1) SELECT conv_id, turn, tokens FROM f WHERE kept",
     "token_budget": f"SELECT p_partkey, ((p_partkey * 10 + 4000) * 9 // 10)::INTEGER AS budget, {_TOK.format('p_name')} AS tokens FROM part",
@@ -177,7 +186,7 @@ ORACLE = {
     "vector_write_back": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 2 = 0 THEN label END AS label FROM embeddings",
     "canal_parse": "SELECT 'fleet_memory' AS \"table\", event_id AS id, event_type AS content FROM events WHERE event_id % 3 <> 2 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id <> 0",
     "repeat_breaker": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = a AND event_type = b",
-    "run_summary": f"SELECT conv_id AS session_id, role AS tool, count(*) AS calls, sum(length(text) % 97)::BIGINT AS latency_ms, sum({_TOK.format('text')})::BIGINT AS tokens FROM conversations GROUP BY 1, 2",
-    "fleet_summary": "SELECT count(*) AS runs, sum(o_orderkey % 1000)::BIGINT AS total_ms, min(o_orderkey % 1000) AS min_ms, max(o_orderkey % 1000) AS max_ms, sum(o_orderkey % 1000)::DOUBLE / count(*)::DOUBLE AS mean_ms, sum(o_orderkey % 1000)::DOUBLE / 100000.0::DOUBLE AS speedup, sum(o_orderkey % 300)::DOUBLE / sum(o_custkey % 500 + o_orderkey % 300 + o_orderkey % 50)::DOUBLE AS cache_hit, count(*) FILTER (o_orderstatus = 'F') AS shortcuts FROM orders",
+    "run_summary": f"SELECT conv_id AS session_id, role AS tool, count(*) AS calls, round_even(sum(length(text) % 97)::DOUBLE / count(text), 0)::BIGINT AS mean_latency_ms, sum({_TOK.format('text')})::BIGINT AS tokens, round_even(sum((length(text) % 10) / 8.0::DOUBLE) FILTER (turn % 3 = 0) / nullif(count(text) FILTER (turn % 3 = 0), 0), 4) AS mean_distance FROM conversations GROUP BY 1, 2",
+    "fleet_summary": "SELECT count(*) AS runs, sum(o_orderkey % 1000)::BIGINT AS total_ms, min(o_orderkey % 1000) AS min_ms, max(o_orderkey % 1000) AS max_ms, sum(o_orderkey % 1000)::DOUBLE / count(*)::DOUBLE AS mean_ms, sum(o_orderkey % 1000)::DOUBLE / 100000.0::DOUBLE AS speedup, sum(o_orderkey % 300)::DOUBLE / sum(o_custkey % 500 + o_orderkey % 300 + o_orderkey % 50)::DOUBLE AS cache_hit, count(*) FILTER (o_orderstatus = 'F') AS shortcuts, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 7 > 0) AS explores, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 5 = 0) AS lookups, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0) AS unknown, shortcuts::DOUBLE / count(*)::DOUBLE AS shortcut_share FROM orders",
     "snapshots_due": f"{W} SELECT charger_id, unnest(['charger_profile', 'recent_anomalies', 'active_investigations']) AS snapshot_type FROM (SELECT DISTINCT charger_id FROM win WHERE window_start > TIMESTAMP '{AS_OF}' - INTERVAL 2880 MINUTES AND anomaly_score > 0.3)",
 }

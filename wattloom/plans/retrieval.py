@@ -10,7 +10,6 @@ from ..operators import retrieval as R
 from ..sources.adapters import table
 
 
-
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     scope = F.when(F.col("vec_id") % 5 == 0, "global").otherwise(F.concat(F.lit("site:"), (F.col("vec_id") % 3).cast("string")))
@@ -19,8 +18,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _rows(spark, sf_dir).filter("id % 25 = 0")
-    words = F.when(F.col("id") % 50 == 0, F.array(F.lit("GroundFailure"), F.lit("coastal"))).when(F.col("id") % 75 == 0, F.array(F.lit("InternalError"))).otherwise(F.array().cast("array<string>"))
+    q = _rows(spark, sf_dir).filter("id % 20 = 0")
+    words = F.when(F.col("id") % 40 == 0, F.array(F.lit("GroundFailure"), F.lit("coastal"))).when(F.col("id") % 60 == 0, F.array(F.lit("InternalError"))).otherwise(F.array().cast("array<string>"))
     return q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), words.alias("keywords"))
 
 
@@ -42,7 +41,7 @@ def pairs_within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _rows(spark, sf_dir).filter("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("scope").alias("query_scope"))
+    q = _rows(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("scope").alias("query_scope"))
     return R.nearest(_rows(spark, sf_dir), q, 3, where=(F.col("scope") == F.col("query_scope")) & (F.col("id") != F.col("query_id"))).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -70,7 +69,7 @@ QUERIES = {
 
 _E = """WITH r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label, CASE WHEN vec_id % 5 = 0 THEN 'global' ELSE 'site:' || (vec_id % 3)::VARCHAR END AS scope,
   (['ground GroundFailure seen', 'coastal air', 'fan slow', 'Firmware 3.1.2 loop'])[(vec_id % 4) + 1] AS content FROM embeddings),
-q AS (SELECT id AS query_id, vec AS query_vec, scope AS query_scope FROM r WHERE id % 25 = 0)"""
+q AS (SELECT id AS query_id, vec AS query_vec, scope AS query_scope FROM r WHERE id % 20 = 0)"""
 _D = "1.0::DOUBLE - list_dot_product(vec, query_vec) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(query_vec, query_vec)))"
 
 
@@ -78,11 +77,11 @@ def _top(where: str, k: int) -> str:
     return f"{_E}, d AS (SELECT query_id, query_scope, id, scope, content, {_D} AS distance FROM r, q), f AS (SELECT * FROM d WHERE {where}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM f QUALIFY rank <= {k})"
 
 
-_WORDS = "CASE WHEN query_id % 50 = 0 THEN content LIKE '%GroundFailure%' OR content LIKE 'coastal%' WHEN query_id % 75 = 0 THEN false ELSE true END"
+_WORDS = "CASE WHEN query_id % 40 = 0 THEN content LIKE '%GroundFailure%' OR content LIKE 'coastal%' WHEN query_id % 60 = 0 THEN false ELSE true END"
 _KEY = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS w FROM documents" for p in KEYWORDS)
 ORACLE = {
     "vector_topk": f"{_top('true', 5)} SELECT query_id, id, rank, round(distance, 6) + 0.0::DOUBLE AS distance, round(round(1.0::DOUBLE - distance, 4), 3) AS similarity FROM t",
-    "hybrid_topk": f"{_top(_WORDS, 5)} SELECT query_id, id, rank, query_id % 50 = 0 OR query_id % 75 = 0 AS ft_used, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",
+    "hybrid_topk": f"{_top(_WORDS, 5)} SELECT query_id, id, rank, query_id % 40 = 0 OR query_id % 60 = 0 AS ft_used, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",
     "scope_boost_rank": _top("scope IN ('site:1', 'global')", 5) + ", u AS (SELECT query_id, id, rank, CASE WHEN scope = 'site:1' THEN distance * 0.95::DOUBLE ELSE distance END AS distance FROM t) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank)::INTEGER AS rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM u",
     "nearest_in_scope": f"{_top('scope = query_scope AND id <> query_id', 3)} SELECT query_id, id, rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",
     "pairs_within_distance": f"{_E}, p AS (SELECT a.label, a.id AS a, b.id AS b, a.vec AS vec, b.vec AS query_vec FROM r a JOIN r b ON a.label = b.label AND a.id < b.id), d AS (SELECT label, a, b, {_D} AS distance FROM p) SELECT label, a, b, round(distance, 6) + 0.0::DOUBLE AS distance FROM d WHERE distance < 0.7",

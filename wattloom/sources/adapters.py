@@ -38,8 +38,12 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def telemetry_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in telemetry: a user is a charger, an event a message; all measures exact decimals."""
-    e = table(spark, sf_dir, "events").withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "d": F.col("value").cast("decimal(8,2)")})
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Stand-in telemetry of events, batch or stream: a user is a charger, an event a message; all measures exact decimals."""
+    e = events.withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "d": F.col("value").cast("decimal(8,2)")})
     dec = "decimal(12,3)"
     return e.select(
         "event_id", F.concat(F.lit("CP-"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("charger_id"), "ts", F.col("event_type").alias("status"),

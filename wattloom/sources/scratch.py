@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wattloom-")
+    """spark.checkpoint.dir; a local folder of our own only where that is unset and the run is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="wattloom-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to that folder and read back, for what several steps read."""
+    path = f"{scratch_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old and those of the new rows whose key it does not have; of new rows with one key, one."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(old.columns))
+def _one_a_key(new: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """The first row of each key, by ``order`` or else by the text of its columns."""
+    by = order or [F.to_json(F.struct(*new.columns), {"ignoreNullFields": "false"})]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return new.withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of both: where a key is in both, ``columns`` come from the new row and the others from the old one."""
-    o, n = old.withColumn("_o", F.lit(True)).alias("o"), new.dropDuplicates(keys).withColumn("_n", F.lit(True)).alias("n")
+def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """old and those of the new rows whose key it does not have; of new rows with one key, the first in ``order``."""
+    return old.unionByName(_one_a_key(new, [key], order).join(old.select(key), key, "left_anti").select(old.columns))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of both: where a key is in both, ``columns`` come from the new row and the others from the old one.
+
+    Of new rows with one key, the first in ``order`` counts.
+    """
+    o, n = old.withColumn("_o", F.lit(True)).alias("o"), _one_a_key(new, keys, order).withColumn("_n", F.lit(True)).alias("n")
     both = o.join(n, keys, "full_outer")
     pick = lambda c: (F.when(F.col("_n"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in columns else F.when(F.col("_o"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))).alias(c)
     return both.select(*[F.col(c) if c in keys else pick(c) for c in old.columns])

@@ -52,9 +52,12 @@ def start_raw(telemetry: DataFrame, out: str, checkpoint: str, available_now: bo
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")).start()
 
 
-def tail_windows(telemetry: DataFrame, emitted: DataFrame, length: str = WINDOW) -> DataFrame:
-    """What a finished stream leaves unemitted: windows that a batch run gives and the stream has not."""
-    return window_aggregate(telemetry, length).join(emitted.select("charger_id", "window_start"), ["charger_id", "window_start"], "left_anti")
+def tail_windows(telemetry: DataFrame, length: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
+    """What a finished stream leaves unemitted: the windows that end after its last watermark, from their rows alone."""
+    last = telemetry.filter("charger_id IS NOT NULL").agg(F.max("ts").alias("last")).select((F.date_trunc("MILLISECOND", "last") - F.expr(f"INTERVAL {lateness}")).alias("mark"))
+    ends = telemetry.filter("charger_id IS NOT NULL").withColumn("_end", F.window("ts", length).getField("end"))
+    open_ = ends.join(F.broadcast(last), F.col("_end") > F.col("mark")).drop("_end", "mark")  # one row is broadcast
+    return window_aggregate(open_, length)
 
 
 def start_vectors(lines: DataFrame, vectors: dict[str, str], write: Callable[[DataFrame, int], None], dead_letters: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
