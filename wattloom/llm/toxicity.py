@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import chunks, released, schema_with, small_batches
 
 TRAIN_ROWS = 5_000  # the bound of the labelled sample, half of it for each label at most
+TRAIN_CHARS = 50_000  # longer texts aren't taken into the sample, which bounds what the driver holds
 DIM = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -71,8 +72,7 @@ class Letters:
                 for state, c, o in moves:
                     if state not in new or c > new[state][0]:
                         new[state] = (c, o)
-            # a beam of 64 states; the trigram state space of one token is far smaller in practice
-            states = dict(sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[:64]) if len(new) > 64 else new
+            states = new  # at most the pairs of letters that signs stand for, and the written ones
         out = max(((cost + get(ctx + "$", unseen), ctx, out) for ctx, (cost, out) in states.items()), key=lambda x: x[:2], default=(0.0, "", None))[2]
         word = []
         while out:
@@ -106,6 +106,9 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     The alphabet bounds what the driver gets, not the number of documents.
     """
 
+    small_batches(docs.sparkSession)
+
+    @released
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[str] = Counter()
         n: Counter[str] = Counter()
@@ -151,7 +154,7 @@ def normalised(text: str | None, model: Letters, seen: dict[str, str]) -> str:
 def features(word: str) -> list[str]:
     """A word with its bounds and its 4- and 5-grams: what may occur in a normalised text."""
     p = f" {word} "
-    return [p, *(p[i : i + n] for n in (4, 5) for i in range(len(p) - n + 1))] if len(word) <= 40 else [p]
+    return [p, *(p[i : i + n] for n in (4, 5) for i in range(len(p) - n + 1))]
 
 
 @dataclass
@@ -233,25 +236,28 @@ def fit(texts: list[str | None], labels: np.ndarray, lm: Letters, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fits on at most ``most_rows`` labelled documents whose crc32(identifier) mod FOLDS is not HELD_OUT.
 
-    Which ones is decided by a hash of the identifier, half of the bound for each label. The trigram
-    model of the channel is counted over all documents.
+    Which ones is decided by a hash of the identifier, half of the bound for each label; of those, texts longer than
+    TRAIN_CHARS are left out. The trigram model of the channel is counted over all documents.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) != HELD_OUT
     own = labels.filter(F.col("toxic").isNotNull() & fold).select(F.col(id_col).alias("id"), F.col("toxic").alias("toxic"))
     order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
     picked = own.filter("toxic = 1").orderBy(*order).limit(most_rows // 2).union(own.filter("toxic = 0").orderBy(*order).limit(most_rows // 2)).dropDuplicates(["id"])
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    sample = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])
     got = sorted((r["id"], r["text"], r["toxic"]) for r in sample.select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toLocalIterator())
     return fit([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.float64), letters(corpus_trigrams(docs, text_col)))
 
 
 def score(docs: DataFrame, model: Scorer, text_col: str = "text") -> DataFrame:
     """Adds score (0 to 1) to all columns; null and empty texts get the model's bias. A column score is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the bounded sample bounds it
 
+    @released
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in chunks(it, text_col, CHUNK_CHARS):
             z = shared.value.logits(pdf[text_col].tolist())
             yield pdf.assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -261,7 +267,8 @@ def score(docs: DataFrame, model: Scorer, text_col: str = "text") -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. Text is the only input of a score.
 
-    Without labelled rows every score is the same small prior. Of repeated labels or documents one is learned from.
+    Texts of any length are restored and scored whole; of restorations that cost the same the one that sorts last is
+    taken; extra columns, whatever their names, are not read. Without labelled rows every score is the same small prior. Of repeated labels or documents one is learned from.
     """
     model = train(docs, labels, most_rows)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
