@@ -16,6 +16,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 from types import MappingProxyType
 
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import chunks, released, small_batches, stored
 
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 8, 0.3, 3  # a text node is template if its class spans so many pages of the host and such a share
 CHUNK_CHARS = 2_000_000
@@ -38,56 +39,89 @@ BLOCK = frozenset("address article aside blockquote body center dd details dir d
 ENDS_P = BLOCK - {"html", "body", "tbody", "td", "th", "tr", "thead", "tfoot", "li", "dd", "dt", "legend", "figcaption", "summary"}
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Words in class, id and role that mark a region outside the article.
+#: Words that a class, id or role begins or ends with where it marks a region outside the article; the words before
+#: which such a name says something about the layout instead ("has-sidebar").
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|topbar|"
-    r"toolbar|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|"
-    r"comments?|commentlist|respond|reply|replies|disqus|pagination|pager|widget\w*|skip|navigation|contentinfo|complementary|hidden|tags|byline)(?:$|[\s_-])",
+    r"ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|"
+    r"notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|reply|"
+    r"replies|disqus|pagination|pager|widget\w*|skip|navigation|contentinfo|complementary|hidden",
     re.I,
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+LAYOUT = frozenset("has no not non with without is show hide hides hiding js can allow allows wide full under over below above after before".split())
+MOST_DEPTH = 512  # what is nested deeper is read as if it were not, as browsers do
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)", re.I)
+_NUMBER = re.compile(r"[0-9]+")
 _ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
 _SPACE = re.compile(r"\s+")
 _CUT = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "template", "noembed", "noframes"}
 
 
+def named_outside(names: str) -> bool:
+    """Whether one of the names begins or ends with a word of NAMES, layout modifiers apart."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if parts and parts[0].lower() not in LAYOUT and (NAMES.fullmatch(parts[0]) or NAMES.fullmatch(parts[-1])):
+            return True
+    return False
+
+
+@lru_cache(maxsize=4096)
+def read_attributes(attrs: str) -> tuple[str, bool, bool]:
+    """(names, whether they mark a region outside the article, whether the element isn't shown) of a tag's attributes."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))  # of two the first counts, as in browsers
+    names = " ".join(found[k] for k in ("class", "id", "role") if k in found)
+    unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(found.get("style", "")))
+    return _NUMBER.sub("#", names.lower().replace("/", "|")), named_outside(names), unseen
+
+
 def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
     """(path, block, text) of the text nodes that can be shown: block numbers the runs between block boundaries.
 
-    The path has tag names with their class, and a '!' before the region that is outside the article, if any. Unclosed
-    and stray tags are tolerated as browsers do.
+    The path has tag names with their class, numbers in it left open, and a '!' before the region that is outside the
+    article, if any. Unclosed and stray tags are tolerated as browsers do.
     """
     page = page or ""
     stack: list[tuple[str, str, bool]] = []  # tag, its part of the path, outside
-    block, at, size = 0, 0, len(page)
+    deeper: Counter[str] = Counter()  # open tags beyond MOST_DEPTH
+    block, at, size, raw, path = 0, 0, len(page), 0, None
     find = _MARKUP.search
 
-    def path() -> str:
-        return "/".join(("!" if s[2] else "") + s[1] for s in stack)
-
     def close(k: int) -> None:
-        nonlocal block
+        nonlocal block, raw, path
         if any(s[0] in BLOCK or s[2] for s in stack[k:]):
             block += 1
+        raw -= sum(s[0] in RAW for s in stack[k:])
+        path = None
         del stack[k:]
 
+    def here() -> str:
+        nonlocal path
+        if path is None:
+            path = "/".join(("!" if s[2] else "") + s[1] for s in stack)
+        return path
+
     while at < size:
         m = find(page, at)
         end = m.start() if m else size
-        if end > at:
-            if not any(s[0] in RAW for s in stack):
-                yield path(), block, page[at:end]
+        if end > at and not raw:
+            yield here(), block, page[at:end]
         if not m:
             break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                yield path(), block, html.escape(m[0][9:].removesuffix("]]>"), quote=False)
+                yield here(), block, html.escape(m[0][9:].removesuffix("]]>"), quote=False)
             continue
         if m[1]:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                block += tag in BLOCK
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -117,8 +151,8 @@ def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
                 elif stack[k][0] in STOPS.get(tag, BLOCK):
                     break
         attrs = m[3] or ""
-        names = " ".join("".join(x) for x in _NAMED.findall(attrs)) if "=" in attrs else ""
-        outside = tag in OUTSIDE and not (tag == "header" and any(s[0] in ("article", "main") for s in stack)) or bool(attrs) and (bool(NAMES.search(names)) and tag not in ("html", "body", "article", "main") or bool(_HIDDEN.search(attrs)))
+        names, apart, unseen = read_attributes(attrs) if attrs else ("", False, False)
+        outside = unseen or (tag in OUTSIDE and not (tag == "header" and any(s[0] in ("article", "main") for s in stack))) or (apart and tag not in ("html", "body", "article", "main"))
         if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in BLOCK or outside:
@@ -127,7 +161,12 @@ def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
             e = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = e.end() if e else size
             continue
-        stack.append((tag, f"{tag}.{names.lower()}" if names else tag, outside))
+        if len(stack) >= MOST_DEPTH:
+            deeper[tag] += 1
+            continue
+        stack.append((tag, f"{tag}.{names}" if names else tag, outside))
+        raw += tag in RAW
+        path = None
 
 
 def clean(text: str) -> str:
@@ -153,21 +192,17 @@ def blocks_of(page: str | None) -> list[tuple[str, str, str]]:
     return [(xxhash.xxh64_hexdigest(f"{p}\0{t}".encode("utf-8", "surrogatepass")), p, t) for p, t in done]
 
 
-def _batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        ends = pdf["html"].str.len().fillna(0).cumsum().to_numpy() // CHUNK_CHARS
-        for _, part in pdf.groupby(ends, sort=False):
-            yield part
-
-
 def occurrence_sums(pages: DataFrame) -> DataFrame:
     """(host, token, pages, vector) of (page_id, host, html): vector is the order-free sum that stands for the vector.
 
     A batch of pages is folded before it is shuffled. Tokens are the blocks of each page and the paths of them.
     """
 
+    small_batches(pages.sparkSession)
+
+    @released
     def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _batches(it):
+        for pdf in chunks(it, "html", CHUNK_CHARS):
             n: dict[tuple[str, int], list[int]] = {}
             for host, page_id, page in zip(pdf["host"], pdf["page_id"], pdf["html"], strict=True):
                 counts: Counter[str] = Counter()
@@ -255,8 +290,10 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Null html counts as empty; pages without an article have an empty text. Null urls share one host. Hosts with few
-    pages have no template, and their pages are told apart by regions alone. Repeated rows count as pages each, extra
-    columns are not read.
+    pages have no template, and their pages are told apart by regions alone. Repeated rows count as pages each and come out
+    each, extra columns are not read, an empty table gives an empty result. Pages of any length are read whole, in time
+    that grows with their length. Templates beyond MOST_BROADCAST tokens meet the pages in a join on the host, where
+    Spark's skew join splits the pages of a hot host.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -266,9 +303,10 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     with_template = base.join(F.broadcast(by_host) if few else by_host, "host", "left")
 
+    @released
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[str, dict[int, int]] = {}
-        for pdf in _batches(it):
+        for pdf in chunks(it, "html", CHUNK_CHARS):
             texts = []
             for h, page, known in zip(pdf["host"], pdf["html"], pdf["known"], strict=True):
                 if h not in sets:
