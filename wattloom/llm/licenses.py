@@ -1,8 +1,9 @@
 """Licence scan by canonical digest lookup.
 
 Every whole text is normalised (case, copyright lines, punctuation and white space, equivalent spellings), hashed
-with SHA-256 and joined to the digests of known licence texts, normalised by the same expression. The known texts
-are a fixed set of a few dozen rows, which bounds the broadcast. DataFrame functions only.
+with SHA-256 and joined to the digests of known licence texts, normalised by the same expression: short licences are
+given as texts, long ones as digests. They are a fixed set of a few dozen rows, which bounds the broadcast. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -72,18 +73,46 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: Fixed values: (identifier, digest of the canonical text) of licences too long to be given here, as they are distributed.
+KNOWN_DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"),
+    ("Apache-2.0", "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 #: A line that begins with a copyright mark, from its line break on. Written so that Java's and RE2's rules agree.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^a-z0-9]+"
 
 
+def spaced(words: str) -> str:
+    """Words with two spaces around each, so that neighbours don't share one."""
+    return "  " + words.replace(" ", "    ") + "  "
+
+
 def canonical(text: Column) -> Column:
     """Lower case; copyright lines gone; every run of other characters one space, ends trimmed; spellings unified."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, NOT_WORD, " "), F.lit(" "))
+    t = F.concat(F.lit("  "), F.trim(F.regexp_replace(t, NOT_WORD, "    ")), F.lit("  "))
     for a, b in EQUIVALENT:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(spaced(a)), F.lit(spaced(b)))
+    return F.trim(F.replace(t, F.lit("    "), F.lit(" ")))
 
 
 def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,12 +120,15 @@ def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id
 
     A null or empty text has the digest of the empty canonical text and matches nothing. Repeated rows come out
     repeated; extra columns are not read; of two known texts with one digest the alphabetically first identifier
-    stands.
+    stands. An empty table gives an empty result; texts of any length are hashed whole.
     """
     spark = docs.sparkSession
     digest = F.sha2(canonical(F.col("text")), 256)
     table = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
-    table = table.filter(canonical(F.col("text")) != "").groupBy(digest.alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    table = table.filter(canonical(F.col("text")) != "").select("license_id", digest.alias("canonical_sha256"))
+    if known is None:
+        table = table.union(spark.createDataFrame(KNOWN_DIGESTS, "license_id string, canonical_sha256 string"))
+    table = table.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", digest.alias("canonical_sha256"))
     found = rows.join(F.broadcast(table), "canonical_sha256", "left")  # the table is the fixed set above
     return found.select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("matched"))

@@ -21,22 +21,27 @@ def _q(text: str) -> str:
 
 def _canonical(t: str) -> str:
     t = f"regexp_replace(lower(coalesce({t}, '')), {_q(lic.COPYRIGHT_LINE)}, chr(10), 'g')"
-    t = f"' ' || regexp_replace({t}, {_q(lic.NOT_WORD)}, ' ', 'g') || ' '"
+    t = f"'  ' || trim(regexp_replace({t}, {_q(lic.NOT_WORD)}, '    ', 'g')) || '  '"
     for a, b in lic.EQUIVALENT:
-        t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"trim({t})"
+        t = f"replace({t}, {_q(lic.spaced(a))}, {_q(lic.spaced(b))})"
+    return f"trim(replace({t}, '    ', ' '))"
 
 
 OP5 = f"""
 WITH known AS (
-  SELECT sha256({_canonical("text")}) AS canonical_sha256, min(license_id) AS license_id
-  FROM (VALUES {", ".join(f"({_q(i)}, {_q(t)})" for i, t in lic.KNOWN)}) v(license_id, text) GROUP BY 1),
+  SELECT canonical_sha256, min(license_id) AS license_id FROM (
+    SELECT sha256({_canonical("text")}) AS canonical_sha256, license_id FROM (VALUES {", ".join(f"({_q(i)}, {_q(t)})" for i, t in lic.KNOWN)}) v(license_id, text)
+    UNION ALL SELECT canonical_sha256, license_id FROM (VALUES {", ".join(f"({_q(i)}, {_q(t)})" for i, t in lic.KNOWN_DIGESTS)}) w(license_id, canonical_sha256)) GROUP BY 1),
 d AS (SELECT doc_id, sha256({_canonical("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, d.canonical_sha256, license_id, license_id IS NOT NULL AS matched FROM d LEFT JOIN known USING (canonical_sha256)
 """
 
 
-def _op3() -> str:
+#: Levels that the SQL spells out; no path of the tables goes deeper, where literals would stay as they are.
+SQL_LEVELS = 6
+
+
+def _op3(templates: bool = False) -> str:
     rules = sorted(uf.RULES, key=lambda r: (-len(r[0]), r[0]))
     fits = lambda r: f"(host = {_q(r.split('/', 1)[0])} OR ends_with(host, {_q('.' + r.split('/', 1)[0])})) AND starts_with(path, {_q('/' + r.split('/', 1)[1])})"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_q(r)}" for r, _ in rules) + " END"
@@ -47,22 +52,27 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 base AS (SELECT *, {rule} AS rule, {action} AS action, {typed} AS segs FROM u),
 l0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (action = 'block') AS nb, count(*) FILTER (action = 'allow') AS na, '' AS prefix, '' AS shape FROM base GROUP BY host, segs)"""
-    for k in range(uf.LEVELS):
+    for k in range(SQL_LEVELS):
         sql += f""",
 w{k} AS (SELECT host, prefix FROM (SELECT host, prefix, segs[{k + 1}] AS seg, sum(n) AS n FROM l{k} WHERE segs[{k + 1}] LIKE '=%' GROUP BY ALL)
   GROUP BY host, prefix HAVING count(*) >= {uf.MIN_CHILDREN} AND count(*) >= {uf.MIN_DISTINCT_SHARE} * sum(n)),
 p{k} AS (SELECT l{k}.*, CASE WHEN w{k}.host IS NOT NULL AND segs[{k + 1}] LIKE '=%' THEN '*' ELSE segs[{k + 1}] END AS part FROM l{k} LEFT JOIN w{k} USING (host, prefix)),
 l{k + 1} AS (SELECT host, segs, n, nb, na, prefix || coalesce('/' || part, '') AS prefix, shape || coalesce(CASE WHEN part LIKE '=%' THEN '/=' ELSE '/' || part END, '') AS shape FROM p{k})"""
-    k = uf.LEVELS
-    return sql + f""",
+    k = SQL_LEVELS
+    sql += f""",
 c AS (SELECT *, prefix || CASE WHEN len(segs) > {k} THEN '/' || array_to_string(segs[{k + 1}:], '/') ELSE '' END AS template FROM l{k}),
-t AS (SELECT host, shape, template, sum(nb)::DOUBLE AS b, sum(nb + na)::DOUBLE AS m FROM c GROUP BY ALL HAVING sum(nb + na) > 0),
+t AS (SELECT host, shape, template, sum(n) AS n, sum(nb)::DOUBLE AS b, sum(nb + na)::DOUBLE AS m FROM c WHERE host <> '' GROUP BY ALL HAVING sum(nb + na) > 0),
 tp AS (SELECT *, sum(b) OVER (PARTITION BY host, shape) / sum(m) OVER (PARTITION BY host, shape) AS p, sum(m) OVER (PARTITION BY host, shape) AS pm FROM t),
 ts AS (SELECT *, (b / m - p) * (b / m - p) <= {uf.Z * uf.Z} * p * (1 - p) * (1 / m + 1 / pm) AS alike FROM tp),
 tm AS (SELECT *, sum(b) FILTER (alike) OVER (PARTITION BY host, shape) AS mb, sum(m) FILTER (alike) OVER (PARTITION BY host, shape) AS mm FROM ts),
-bad AS (SELECT host, template FROM tm WHERE CASE WHEN alike THEN mm ELSE m END >= {uf.MIN_LABELLED}
-  AND (CASE WHEN alike THEN mb ELSE b END + {uf.SMOOTHING * uf.PRIOR}) / (CASE WHEN alike THEN mm ELSE m END + {uf.SMOOTHING}) >= {uf.PURITY}),
-badsegs AS (SELECT DISTINCT c.host, c.segs FROM c JOIN bad USING (host, template) WHERE c.host <> '')
+j AS (SELECT *, CASE WHEN alike THEN mm ELSE m END >= {uf.MIN_LABELLED}
+  AND (CASE WHEN alike THEN mb ELSE b END + {uf.SMOOTHING * uf.PRIOR}) / (CASE WHEN alike THEN mm ELSE m END + {uf.SMOOTHING}) >= {uf.PURITY} AS rejected FROM tm)"""
+    if templates:
+        return sql + """
+SELECT host, template, n::BIGINT AS n, b::BIGINT AS n_block, (m - b)::BIGINT AS n_allow, rejected FROM j
+"""
+    return sql + """,
+badsegs AS (SELECT DISTINCT c.host, c.segs FROM c JOIN (SELECT host, template FROM j WHERE rejected) USING (host, template))
 SELECT page_id, base.host, path, rule, coalesce(action, CASE WHEN badsegs.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM base LEFT JOIN badsegs ON base.host = badsegs.host AND base.segs = badsegs.segs
 """
@@ -85,6 +95,7 @@ SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM w WHERE matched >=
 
 ORACLE: dict[str, str] = {
     "op3_url_filter": _op3(),
+    "op3_url_templates": _op3(templates=True),
     "op5_license_scan": OP5,
     "op9_decontaminate": _op9(),
     "op10_exact_dedup": OP10,

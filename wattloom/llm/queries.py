@@ -16,7 +16,7 @@ from .licenses import license_scan
 from .pii import find_pii
 from .sentencepiece_codec import encode_digests
 from .toxicity import toxicity
-from .url_filter import url_filter
+from .url_filter import url_filter, url_templates
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_extract": op2_html_extract,
     "op3_url_filter": op3_url_filter,
+    "op3_url_templates": op3_url_templates,
     "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
     "op6_sentencepiece": op6_sentencepiece,
