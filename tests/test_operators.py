@@ -220,6 +220,29 @@ def test_streams_and_generators(spark, tmp_path):
     assert jobs.late_rows(t, done.unionByName(tail, allowMissingColumns=True)).count() == 0
 
 
+def test_simulator_is_a_state_machine(spark):
+    reg = generators.charger_registry(spark, [("s1", 52.0, 4.0, 40)])
+    r = reg.toPandas()
+    assert (r.total_sessions >= 100).all()
+    assert all(f in generators.FIRMWARE[m] for f, m in zip(r.firmware_version, r.manufacturer, strict=True))
+    assert ((r.lat.astype(float) - 52).abs() <= 2 / 111 + 1e-6).all()
+    t = generators.simulated_telemetry(reg, "2024-01-01 17:00:00", 600, 60)
+    once = t.toPandas().sort_values(["charger_id", "ts"], ignore_index=True)
+    again = generators.simulated_telemetry(reg.repartition(3), "2024-01-01 17:00:00", 600, 60).toPandas().sort_values(["charger_id", "ts"], ignore_index=True)
+    assert once.astype(str).equals(again.astype(str))  # however the chargers are partitioned
+    assert len(once) == 40 * 600
+    after = {"Available": {"Available", "Charging", "Faulted"}, "Charging": {"Charging", "Finishing", "Faulted"}, "Finishing": {"Finishing", "Available", "Faulted"}, "Faulted": {"Faulted", "Available"}}
+    for _, g in once.groupby("charger_id"):
+        assert all(b in after[a] for a, b in zip(g.status, g.status[1:], strict=False))
+        assert (g.contactor_cycles.diff().dropna() >= 0).all()
+    busy = once[once.status == "Charging"]
+    assert len(busy) > 100
+    assert busy.soc_percent.between(0, 100).all()
+    assert once[once.status != "Charging"].soc_percent.isna().all()
+    assert (once[once.status != "Charging"].power_w == 0).all()
+    assert all((g.energy_wh.diff().dropna() >= 0).all() for _, g in busy.groupby("transaction_id"))
+
+
 def test_vectors_of_changes(spark, tmp_path):
     good = {"type": "INSERT", "table": "fleet_memory", "data": [{"id": "1", "content": "x"}, {"id": "2", "memory_vec": "[1]"}, {"content": "no id"}]}
     lines = [json.dumps(good), json.dumps(good | {"type": "DELETE"}), json.dumps(good | {"table": "other"}), "{bad"]
