@@ -100,6 +100,11 @@ def ref_histogram(rows: DataFrame, refs: str) -> DataFrame:
     return r.groupBy("prefix").agg(F.count("*").alias("n"), F.min("ref").alias("sample"))
 
 
+def rejected_refs(rows: DataFrame, refs: str) -> DataFrame:
+    """(ref, n) of values that are no reference, with how often each comes."""
+    return rows.select(F.explode(refs).alias("ref")).filter(F.col("ref").isNull() | ~F.col("ref").rlike(REF)).groupBy("ref").agg(F.count("*").alias("n"))
+
+
 def repair_refs(rows: DataFrame, column: str) -> DataFrame:
     """The column's JSON texts as flat lists of references, with what was found; rows that change are marked."""
     out = rows.withColumn("_f", flatten_refs(F.col(column)))

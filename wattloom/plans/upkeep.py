@@ -182,9 +182,16 @@ def repaired_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.array_join("refs", ",").alias("refs"), "recovered", "dropped", "changed")
 
 
+def rejected_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    refs = F.array(F.concat(F.lit("a:"), key.cast("string")), F.concat(F.lit("No Ref "), (key % 5).cast("string")), F.when(key % 2 == 0, "B:1"))
+    return lifecycle.rejected_refs(table(spark, sf_dir, "customer").select(refs.alias("refs")), "refs")
+
+
 QUERIES = {
     "session_state": session_state, "session_updates": session_updates, "session_update_report": session_update_report, "charger_context": charger_context, "snapshot_cache": snapshot_cache, "drop_expired": drop_expired, "write_memories": write_memories, "checkpoint_evidence": checkpoint_evidence,
     "quarantined_refs": quarantined_refs, "link_report": link_report, "link": linked, "recall_touch": recall_touch, "assemble_context": assembled, "prefix_filter": prefix_filter, "json_rows": json_rows, "tolerant_parse": tolerant_parse, "outage_text": outage_text, "error_kind": error_kind, "repaired_refs": repaired_refs,
+    "rejected_refs": rejected_refs,
 }
 
 _ST = f"""WITH st AS (SELECT 'S' || c_custkey AS session_id, c_name AS user_id, [c_mktsegment] AS focus_chargers, CASE WHEN c_custkey % 2 = 0 THEN 'site-1' END AS focus_site, NULL::VARCHAR AS investigation_summary, 3000 AS token_budget, c_custkey * 2 AS tokens_used, TIMESTAMP '{AS_OF}' - (c_custkey % 48)::INTEGER * INTERVAL 1 HOUR AS last_active FROM customer WHERE c_custkey % 3 = 0)"""
@@ -227,6 +234,7 @@ UNION ALL SELECT id, 'new', 'active', NULL, 0, 0, 1, 'agent_reasoning:' || copy_
     "tolerant_parse": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a|' || event_type END AS flags, CASE WHEN event_id % 4 = 0 THEN 0.5::DOUBLE END AS x, CASE WHEN event_id % 4 = 0 THEN (event_id % 9)::DOUBLE END AS y FROM events",
     "outage_text": "SELECT p_partkey, 'Pattern: ' || p_name || '. Category: ' || p_brand || '. Severity: ' || CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE '' END || '. Root cause: heat. Symptoms: . Resolution: cool it' AS text FROM part",
     "error_kind": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE (['meta_tensor', 'database', 'timeout', 'timeout', 'unknown', 'unknown'])[p_partkey % 6 + 1] END AS kind FROM part",
+    "rejected_refs": "SELECT ref, count(*) AS n FROM (SELECT unnest(['No Ref ' || c_custkey % 5, CASE WHEN c_custkey % 2 = 0 THEN 'B:1' END]) AS ref FROM customer) GROUP BY ref",
     "repaired_refs": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a:' || c_custkey WHEN 1 THEN CASE WHEN c_custkey = 1 THEN 'a:1' ELSE 'a:1,a:' || c_custkey END ELSE '' END AS refs, 0 AS recovered, CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END AS dropped, c_custkey % 4 IN (1, 2) AS changed FROM customer",
     "assemble_context": f"""WITH c AS (SELECT conv_id::VARCHAR AS charger_id, turn - min(turn) OVER (PARTITION BY conv_id) AS turn, text FROM conversations),
 i AS (SELECT charger_id, CASE WHEN turn < 2 THEN 1 WHEN turn <= 3 THEN 4 ELSE 5 END AS tier, turn, CASE WHEN turn < 2 THEN text WHEN turn <= 3 THEN substr(text, 1, 240) ELSE substr(text, 1, 80) END AS text FROM c WHERE turn <= 6),
