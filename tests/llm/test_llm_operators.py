@@ -2,12 +2,16 @@
 
 import hashlib
 import itertools
+import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -41,7 +45,7 @@ def texts_of(docs):
     return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
 
 
-# exact dedup ---------------------------------------------------------------------------------------------------------
+# exact dedup
 
 
 def test_dedup_brute_force(odd):
@@ -63,7 +67,30 @@ def test_dedup_many_lanes_and_hot_group(spark):
     assert [r.keep_id for r in least] == [1]
 
 
-# n-gram Jaccard join -------------------------------------------------------------------------------------------------
+def test_dedup_tree_of_runs(spark):
+    """Few entries a run: several runs a lane, pieces, and three binomial rounds; against a plain aggregate."""
+    df = spark.range(0, 3000, 1, 20).select(F.col("id"), F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("t"), F.col("id") % 700)).alias("text"))
+    rows = df.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("check"), F.length("text").alias("size"))
+    for keep, best in (("min", F.min), ("max", F.max)):
+        want = rows.groupBy("digest", "check", F.col("size").cast("long").alias("size")).agg(best("id").alias("keep_id"), F.count("*").alias("n"))
+        got = exact_dedup.tree_merge(rows, keep, fan_in=2, run_entries=16)
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
+    assert exact_dedup.tree_merge(rows, least=500).first().n == 1000
+
+
+def test_dedup_merge_verifies_every_part():
+    pdf = pd.DataFrame({"id": [5, 3, 4, None], "digest": [b"a\0", b"a\0", b"a\0", b"a\0"], "check": [-1, -1, 2, -1], "size": [7, 7, 7, 8]})
+    run = exact_dedup.run_of(pdf, "min")
+    assert (run.n.tolist(), sorted(run.ids[run.known].tolist())) == ([1, 2, 1], [3, 4])
+    both = exact_dedup.merged([run, run], "min")
+    assert both.n.tolist() == [2, 4, 2]
+    parts = exact_dedup.pieces(both, 3, 4)
+    assert set(parts["lane"]) == {3}
+    assert sum(len(r.keys) for r in exact_dedup.read_runs(parts)) == 3
+
+
+# n-gram Jaccard join
 
 
 def brute_links(texts, n=5, threshold=0.8):
@@ -128,6 +155,21 @@ def test_components(spark):
     assert (got[300], got[400], got[1199]) == (100, 400, 1000)
 
 
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_hot_keys_are_joined_apart(spark, docs, monkeypatch, most):
+    """Hubs and hot bands by the broadcast side, others by the shuffled one, with the same outcome."""
+    monkeypatch.setattr(components, "HOT_ROWS", 4)
+    monkeypatch.setattr(components, "MOST_HOT", most)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(59, 200), (200, 100)]
+    got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got.values()) == {0}
+    assert len(got) == 82
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(k * 3)], "k long, v long")
+    keys = spark.createDataFrame([(k, k * 10, k * 3) for k in range(4)], "k long, w long, n long")
+    got = sorted(map(tuple, components.join_on_hot_keys(rows, keys, "k", 30).select("k", "v", "w").collect()))
+    assert got == [(k, i, k * 10) for k in range(4) for i in range(k * 3)]
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
@@ -135,7 +177,7 @@ def test_intersections():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30))
 
 
-# decontamination -----------------------------------------------------------------------------------------------------
+# decontamination
 
 
 def test_decontaminate(spark, odd, empty):
@@ -180,7 +222,15 @@ def test_decontaminate_every_substitution(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b).collect()} == want
 
 
-# licences, urls ------------------------------------------------------------------------------------------------------
+def test_decontaminate_very_long_text(spark):
+    words = [f"b{i}" for i in range(20)]
+    text = "wort " * 100_000 + " ".join(words) + " wort" * 100_000
+    df = spark.createDataFrame([(1, text), (2, "wort " * 5)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(f"x{i}" for i in range(5_000)))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.overlaps(df, bench).collect()] == [(1, 7, 13)]
+
+
+# licences, urls
 
 
 def test_licenses(spark, odd, empty):
@@ -192,6 +242,44 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def canonical(text):
+    """By words, in plain Python."""
+    lines = [x for x in (text or "").lower().split("\n") if not re.match(r"[ \t*#/;-]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)|©|all rights reserved)", x)]
+    words = re.findall("[a-z0-9]+", "\n".join(lines))
+    for a, b in licenses.EQUIVALENT:
+        a, b, out, k = a.split(), b.split(), [], 0
+        while k < len(words):
+            hit = words[k : k + len(a)] == a
+            out += b if hit else [words[k]]
+            k += len(a) if hit else 1
+        words = out
+    return " ".join(words)
+
+
+def test_licences_planted_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    british = {"license": "licence", "favor": "favour", "organization": "organisation", "authorized": "authorised", "sublicense": "sub licence"}
+    rows, want = [(0, "favour favour per cent per cent"), (1, "favor favor percent percent")], {0: None, 1: None}
+    for i, (name, text) in enumerate(licenses.KNOWN):
+        changed = " ".join(british.get(w.lower(), w) for w in re.sub(r"[,.;:]", lambda m: m[0] + rng.choice(["", "-", " * "]), text).split(" "))
+        for k, t in enumerate((text.upper(), "Copyright (c) 2001 Somebody\n" + changed, text + " indeed", text[: len(text) // 2])):
+            rows.append((10 * i + 10 + k, t))
+            want[rows[-1][0]] = name if k < 2 else None
+    digest = {hashlib.sha256(canonical(t).encode()).hexdigest(): n for n, t in sorted(licenses.KNOWN, reverse=True)}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.license_id for i, r in got.items()} == want
+    assert all(r.canonical_sha256 == hashlib.sha256(canonical(dict(rows)[i]).encode()).hexdigest() for i, r in got.items())
+    assert all(digest.get(r.canonical_sha256) == r.license_id for r in got.values())
+    assert got[0].canonical_sha256 == got[1].canonical_sha256  # neighbours are both spelled anew
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="no licence files on this machine")
+def test_licences_by_digest(spark):
+    rows = [(i, open(f"/usr/share/common-licenses/{n}", encoding="utf-8", errors="replace").read()) for i, n in enumerate(("GPL-3", "Apache-2.0", "MPL-2.0"))]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(rows + [(9, rows[0][1][:-300])], "doc_id long, text string")).collect()}
+    assert got == {0: "GPL-3.0", 1: "Apache-2.0", 2: "MPL-2.0", 9: None}
+
+
 def test_urls(spark):
     rows = [(1, "https://WWW.Example.COM/en/7?x"), (2, "http://a.com/en/x"), (3, "x://b.example.net/de/81#y"), (4, "x://b.net/de/8"), (5, "no scheme"), (6, None), (7, "x://com/en/"), (8, "x://notcom/en/"), (9, "x://a.org/es/1?://z.com/en/"), (10, "x://y.example.com/en/8"), (11, "x://h.org?q/es/")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -211,7 +299,24 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert {got[i] for i in range(200, 240)} == {"block"}  # words became a wildcard, so unlabelled ones go too
 
 
-# html ----------------------------------------------------------------------------------------------------------------
+def test_url_templates_of_any_depth(spark):
+    rows = [(i, f"http://h.io/a/b/c/d/e/user{i}x/show") for i in range(40)] + [(100 + i, f"http://h.io/a/b/c/d/e/user{i}y/edit") for i in range(30)] + [(200, None), (201, "http://h.io/" + "/".join("s" * 300)), (202, "http://h.io/")]
+    labels = [(i, "block") for i in range(30)] + [(100 + i, "allow") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("own") for c in ("host", "segs", "prefix", "template", "rejected")})
+    lab = spark.createDataFrame(labels, "page_id long, label string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, [], lab).collect()}
+    assert {got[i] for i in range(40)} == {"block"}  # the sixth level became a wildcard, so unlabelled ones go too
+    assert {got[i] for i in (*range(100, 130), 200, 201, 202)} == {"allow"}
+    assert url_filter.url_filter(pages.filter("false"), [], lab).count() == 0
+    assert url_filter.url_templates(pages.filter("false")).count() == 0
+
+
+def test_url_templates_are_rejected_on_the_table(spark):
+    got = queries.op3_url_templates(spark, "/root/testdata/sf0.1").groupBy("rejected").count().collect()
+    assert {r.rejected for r in got} == {True, False}
+
+
+# html
 
 
 @pytest.mark.parametrize(
@@ -245,6 +350,34 @@ def test_html_template_inside_articles(spark):
     assert got[50] == "Title 50\nTell your friends\nStory 50 here\nAll prices with tax"  # one page has no template
 
 
+def test_html_classes_against_whole_vectors(spark):
+    """The tokens of the template by their vectors over all pages of a host, gathered in plain Python."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        lines = "".join(f"<p>{rng.choice(['one', 'two', 'three', f'own {i}'])}</p>" for _ in range(rng.integers(1, 5)))
+        tail = "<div>a</div><div>b</div><div>c</div>" if i % 3 else ""
+        rows.append((i, f"h{i % 2}.io", f"<body><div>Brand</div><div>Menu</div>{lines}<div>Imprint</div>{tail}</body>"))
+    vectors = defaultdict(dict)
+    for i, host, page in rows:
+        counts = Counter()
+        for key, path, _ in html_extract.blocks_of(page):
+            counts[html_extract.token_of(key)] += 1
+            counts[html_extract.token_of("/" + path)] += 1
+        for t, c in counts.items():
+            vectors[host, t][i] = c
+    classes = defaultdict(set)
+    for (host, t), v in vectors.items():
+        if len(v) >= html_extract.MIN_PAGES and len(v) >= html_extract.MIN_SHARE * 30:
+            classes[host, tuple(sorted(v.items()))].add(t)
+    want = {(host, frozenset(ts)) for (host, _), ts in classes.items() if len(ts) >= html_extract.MIN_TOKENS}
+    got = defaultdict(set)
+    for r in html_extract.template(spark.createDataFrame(rows, "page_id long, host string, html string")).collect():
+        got[r.host, r["class"]].add(r.token)
+    assert {(host, frozenset(ts)) for (host, _), ts in got.items()} == want
+    assert len(want) >= 4
+
+
 def test_html_classes_nest():
     blocks = html_extract.blocks_of("<body><div>a</div><article><i>b</i><p>text</p><i>c</i></article><div>d</div></body>")
     known = {html_extract.token_of(k): 1 if t in "ad" else 2 for k, _, t in blocks if t in "abcd"}
@@ -253,7 +386,31 @@ def test_html_classes_nest():
     assert all(t not in "abcd" for _, (_, _, t) in html_extract.slots(blocks, known))
 
 
-# personal data -------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("tag", ['id="page" class="has-sidebar"', 'class="post-header-none no-ads"', 'class="post-reply-allowed"', 'style="overflow: hidden ; color:red"', 'data-id="nav"', 'class="badge add"'])
+def test_html_layout_words_are_no_region(tag):
+    assert html_extract.extract(f"<div {tag}><p>Article text</p></div>") == "Article text"
+
+
+@pytest.mark.parametrize("tag", ['class="site-header"', "class=sidebar-left", "id='comments'", 'style="color:red; display : none"', "hidden", 'aria-hidden="true"', 'role="navigation"', 'class="x cookie-notice"'])
+def test_html_regions_go(tag):
+    assert html_extract.extract(f"<div {tag}><p>no</p></div><p>yes</p>") == "yes"
+
+
+def test_html_time_grows_with_the_length():
+    for page in ("<div>" * 60_000 + "x", '<a href="' * 60_000, "<b>x<p>" * 30_000, "<a " * 60_000, "<i>x" * 60_000, "</b>" * 60_000, "<!--" * 60_000):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 20  # seconds where squares would be minutes
+    assert html_extract.extract("<div>" * 2_000 + "deep" + "</div>" * 2_000 + "<p>after") == "deep\nafter"
+
+
+def test_html_repeated_rows_and_long_page(spark):
+    rows = [(1, "http://a.io/", "<p>text " * 50_000)] * 2 + [(2, "http://a.io/", "<p>b")]
+    got = [(r.page_id, r.n_chars) for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == [(1, 5 * 50_000 - 1)] * 2 + [(2, 1)]
+
+
+# personal data
 
 
 def brute_pii(x):
@@ -286,10 +443,43 @@ def test_reliabilities():
     counts = {("a", (1, 1, 0, 0)): 80, ("a", (-1, -1, 0, 0)): 100, ("a", (1, 0, 0, -1)): 5}
     share, p = pii.reliabilities(counts)
     assert 0.3 < share["a"] < 0.6
-    assert p[0, 1, 2] > 0.8 > p[0, 0, 2]
+    assert p["a"][0, 1, 2] > 0.8 > p["a"][0, 0, 2]
+    other = {("b", (-1, 1, 1, 0)): 1000}
+    assert np.allclose(pii.reliabilities(counts | other)[1]["a"], p["a"])  # one kind says nothing of another
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 is it", ["number"]), ("his ssn 123-45-6789 now", ["number"]), ("call (030) 555 1234 today", ["contact"]), ("write bob [at] example [dot] com", ["contact"]), ("Dear Dr. Anna Smith, hello", ["name"]),
+        ("card 1234 5678 9012 3456 fails", []), ("1234567890123456", []), ("key sk-a8f3k2l9d0s8f7g6h5", ["secret"]),
+    ],
+)
+def test_pii_candidates(text, kinds):
+    assert [c[0] for c in pii.candidates(text, pii.base_spans(text))] == kinds
+
+
+def test_pii_time_grows_with_the_length():
+    text = "write a.b@c.de and password=a1b2c3d4e5f6a7b8c9 too; " * 20_000
+    began = time.time()
+    found = pii.candidates(text, pii.base_spans(text))
+    assert time.time() - began < 30  # seconds where squares would be many minutes
+    assert len(found) == 20_000
 
 
-# language, toxicity --------------------------------------------------------------------------------------------------
+def test_pii_counts_all_spans(docs):
+    for r in pii.find_pii(docs).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        n = Counter(k for k, _, _ in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (n["email"], n["ip"], n["card"], n["phone"])
+        assert (r.n_spans, r.n_more) == (len(spans), sum(n[k] for k in pii.MORE_KINDS))
+        base = ",".join(":".join(x) for x in spans if x[0] in pii.BASE_KINDS)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        at = [([*pii.BASE_KINDS, *pii.MORE_KINDS].index(k), int(a)) for k, a, _ in spans]
+        assert at == sorted(at)
+
+
+# language, toxicity
 
 
 def test_language(docs, odd, empty):
@@ -304,6 +494,58 @@ def test_language(docs, odd, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def plain_mixture(model, words, iterations=language_id.ITERATIONS, penalty=language_id.PENALTY):
+    """Expectation-maximisation and backward elimination for one document, word by word."""
+    k, n = len(model.languages), len(words)
+    like = []
+    for w in words:
+        p = f"^{w}$"
+        rows = [model.grams.get(p[i : i + 3], len(model.grams)) for i in range(len(p) - 2)]
+        like.append([sum(model.logp[r][j] for r in rows) for j in range(k)])
+    top = [max(x) for x in like]
+    p = [[math.exp(x - t) for x in row] for row, t in zip(like, top, strict=True)]
+    alive, pi, best = set(range(k)), [1 / k] * k, (-math.inf, None)
+    while alive:
+        for _ in range(iterations):
+            new = [0.0] * k
+            for row in p:
+                e = [a * b for a, b in zip(row, pi, strict=True)]
+                for j in range(k):
+                    new[j] += e[j] / (sum(e) + 1e-30)
+            pi = [x / n for x in new]
+        fit = sum(math.log(sum(a * b for a, b in zip(row, pi, strict=True)) + 1e-30) + t for row, t in zip(p, top, strict=True))
+        score = fit - penalty * math.log(n + 1) * (len(alive) - 1)
+        if score > best[0]:
+            best = score, pi
+        alive.discard(min(alive, key=lambda j: (pi[j], j)))
+        pi = [max(x, 1e-4) if j in alive else 0.0 for j, x in enumerate(pi)]
+        total = sum(pi)
+        pi = [x / total for x in pi] if total else pi
+    return best[1]
+
+
+def test_language_brute_force(docs):
+    model = language_id.train(docs)
+    bags = [b for b in (language_id.words_of(t)[:200] for t in list(texts_of(docs).values())[:40]) if b]
+    bags.append(bags[0][:50] + bags[7][:50])
+    got = language_id.proportions(model, bags)
+    for bag, row in zip(bags, got, strict=True):
+        assert np.allclose(row, plain_mixture(model, bag), atol=5e-3)
+
+
+def test_language_letters():
+    assert language_id.words_of("½ ² Ⅷ ① _ 12") == []
+    assert language_id.words_of("हिन्दी é") == ["हिन्दी", "é"]  # marks stay with their letters
+
+
+def test_language_keeps_the_grams_of_small_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GRAMS_PER_LANGUAGE", 30)
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + i // 26)}" for k in range(50)), "big") for i in range(300)] + [(1000 + i, "qo qo qo", "small") for i in range(9)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "^qo" in model.grams
+    assert len(model.grams) <= 60
+
+
 def test_language_mixture(docs):
     model = language_id.train(docs)
     t = docs.filter("lang = 'en'").first().text[:3000] + " " + docs.filter("lang = 'fr'").first().text[:3000]
@@ -359,9 +601,52 @@ def test_toxicity_restores_whole_runs():
     assert len(joined) > 40
     assert toxicity.normalised(joined, lm, {}).split()[-1] == "peoplewalktherenearthehousenearthe" + "idiot"
     assert len(lm.restore("a" * 5000 + " b")) >= 1
-
-
-# SentencePiece -------------------------------------------------------------------------------------------------------
+    apart = " ".join("near" * 125 + "the" * 165 + "idiot")  # 1,000 letters, one sign between each two
+    assert len(apart) > 1990
+    assert toxicity.normalised(apart, lm, {}).split()[-1].endswith("idiot")
+    assert len(toxicity.features("x" * 60)) > 100  # long words have their letter n-grams too
+
+
+def test_toxicity_viterbi_against_all_paths():
+    lm = toxicity.letters(toxicity.trigrams(Counter("people walk there near the house idiot stupid ass bad good water".split() * 3 + ["hat", "as", "at"])))
+
+    def all_paths(token):
+        stretched = {i for m in re.finditer(r"(.)\1\1+", token) for i in range(m.start() + 1, m.end())}
+        found = [("^^", 0.0, "")]
+        for i, ch in enumerate(token):
+            own = ([(ch, 0.0)] if ch.isalpha() else []) + [(c, toxicity.CHANNEL) for c in toxicity.LEET.get(ch, "")]
+            found = [
+                x
+                for ctx, cost, out in found
+                for x in [(ctx[1:] + c, cost + pay + lm.logp.get(ctx + c, lm.unseen), out + c) for c, pay in own]
+                + ([(ctx, cost + toxicity.DROP, out)] if not ch.isalpha() and (ch in " .-_*" or not own) else [])
+                + ([(ctx, cost + toxicity.REPEAT, out)] if i in stretched and out else [])
+            ]
+        done = defaultdict(lambda: -math.inf)
+        for ctx, cost, out in found:
+            done[out] = max(done[out], cost + lm.logp.get(ctx + "$", lm.unseen))
+        return done
+
+    rng = np.random.default_rng(8)
+    tokens = ["1d10t", "st*p1d", "i-d-i-0-t", "a$$", "aaassss", "b4d", "@@@", "***"] + ["".join(rng.choice(list("aeidots14$*.-"), rng.integers(2, 7))) for _ in range(200)]
+    for t in tokens:
+        paths = all_paths(t)
+        best = max(paths.values())
+        assert math.isclose(paths[lm.restore(t)], best, abs_tol=1e-9), t  # of words with equal costs either stands
+
+
+def test_toxicity_very_long_text(spark):
+    """The insult stands obfuscated at the end of a text too long for the sample; it is scored whole all the same."""
+    clean = "the house stands near water and people walk there often".split()
+    rows = [(i, " ".join(clean[(i + k) % 10] for k in range(20)) + (" idiot" if i % 2 else "")) for i in range(400)]
+    filler = "the house stands near water " * 30_000
+    more = [(9001, filler + "1d10t"), (9002, filler), (9003, "i d i o t " + filler)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(9001, 1), (9002, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(spark.createDataFrame(rows + more, "doc_id long, text string"), labels).filter("doc_id > 9000").collect()}
+    assert got == {9001: 1, 9002: 0, 9003: 1}
+
+
+# SentencePiece
 
 
 @pytest.fixture(scope="module")
@@ -388,10 +673,10 @@ def test_codec_frames(odd, empty, library):
     assert sentencepiece_codec.encode(empty).count() == 0
 
 
-# pipeline and queries ------------------------------------------------------------------------------------------------
+# pipeline and queries
 
 
-def test_pipeline_brute_force(spark, docs):
+def test_pipeline_brute_force(spark, docs, library):
     """Each stage against plain Python on what the stage before has kept."""
     now = docs
     for name, stage in corpus_pipeline.STAGES:
@@ -399,7 +684,8 @@ def test_pipeline_brute_force(spark, docs):
         have, kept = texts_of(now), {r.doc_id for r in out.collect()}
         assert kept <= set(have)
         if name == "language_id":
-            assert all(re.search(r"[^\W\d_]", have[i] or "") for i in kept)
+            found = {r.doc_id: r for r in language_id.predict(now.select("doc_id", "text"), language_id.train(now)).collect()}
+            assert kept == {i for i, r in found.items() if any(c.isalpha() for c in have[i] or "") and max(r.mixture.values(), default=0) >= corpus_pipeline.LEAST_SHARE - 1e-6}
             assert len(kept) > 0.97 * len(have)
         elif name == "exact_dedup":
             last = {}
@@ -414,6 +700,9 @@ def test_pipeline_brute_force(spark, docs):
             con.register("documents", now.toPandas())
             con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
             assert kept == set(have) - {r[0] for r in con.sql(oracle.ORACLE["op9_decontaminate"]).fetchall()}
+        elif name == "sentencepiece":
+            assert kept == set(have)
+            assert all(list(r.token_ids) == library.encode(r.text) for r in out.collect())
         assert out.columns[: len(docs.columns)] == docs.columns
         now = out
 
@@ -424,6 +713,18 @@ def test_exact_stage_judges_rows_by_their_text(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(5, "text b"), (9, "TEXT a"), (None, "text a")]
 
 
+def test_pipeline_without_identifiers(spark):
+    """Rows without an identifier pass every stage but the first, which reads the text alone."""
+    text = " ".join(f"wort{chr(97 + i % 26)}" for i in range(40))
+    rows = [(None, text), (None, text), (1, text), (2, text.upper()), (None, None), (None, "12 34")]
+    now = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("x"), "_made": F.lit("own")})
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+        want = {"language_id": 4, "exact_dedup": 3}.get(name, now.count())
+        assert now.count() == want
+    assert sorted((r.doc_id for r in now.collect()), key=str) == [2, None]
+
+
 def test_pipeline_odd(spark, odd, empty):
     for df, n in ((odd, 4), (empty, 0)):
         now = df

@@ -91,9 +91,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     item_seeds = seeds(F.col("item_h"), ())
     for n, masks in masks_of.items():
         item_seeds = F.when(F.col("length") == n, seeds(F.col("item_h"), masks)).otherwise(item_seeds)
+    blocks = _blocks(items)
     d = docs.select(F.col(id_col).alias("doc_id"), hashes(tokens(F.col(text_col))).alias("doc_h"))
+    d = d if blocks == 1 else stored(d)  # each block reads the hashes again, not the texts
     d = d.select("doc_id", "doc_h", F.explode(seeds(F.col("doc_h"), sorted({m for masks in masks_of.values() for m in masks}))).alias("s")).select("doc_id", "doc_h", F.col("s.seed").alias("seed"), F.col("s.pos").alias("doc_pos"))
-    blocks = _blocks(items)
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(_block(blocks) == k)
