@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
     [({}, True, 0, 0), ({"voltage_v": -5.0}, False, 1, 0), ({"voltage_v": 600.0}, False, 1, 0), ({"soc_percent": 105}, True, 0, 1), ({"power_w": 0}, True, 0, 1), ({"power_w": -100}, False, 1, 0), ({"earth_leak_ma": -0.5}, True, 0, 1), ({"charger_id": None, "voltage_v": 900.0}, False, 1, 0), ({"voltage_v": 500.0, "temp_c": 120.0, "earth_leak_ma": 50.0, "fan_rpm": 10000}, True, 0, 2)],
 )
 def test_validation(spark, change, valid, n_errors, n_warnings):
-    row = {"charger_id": "c", "ts": "2024-01-01", "status": "Charging", "voltage_v": 230.0, "power_w": 45000, "current_a": 195.6, "temp_c": 42.0, "earth_leak_ma": 1.5, "fan_rpm": 2500, "soc_percent": 50} | change
+    row = {"charger_id": "c", "ts": "2024-01-01", "status": "Charging", "voltage_v": 227.5, "power_w": 21500, "current_a": 94.5, "temp_c": 33.0, "earth_leak_ma": 0.9, "fan_rpm": 1900, "soc_percent": 61} | change
     schema = "charger_id string, ts string, status string, voltage_v double, power_w int, current_a double, temp_c double, earth_leak_ma double, fan_rpm int, soc_percent int"
     got = validation.validate_telemetry(spark.createDataFrame([tuple(row.values())], schema)).first()
     assert (got.is_valid, len(got.errors), len(got.warnings)) == (valid, n_errors, n_warnings)
