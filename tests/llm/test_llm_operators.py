@@ -386,12 +386,12 @@ def test_html_classes_nest():
     assert all(t not in "abcd" for _, (_, _, t) in html_extract.slots(blocks, known))
 
 
-@pytest.mark.parametrize("tag", ['id="page" class="has-sidebar"', 'class="post-header-none no-ads"', 'class="post-reply-allowed"', 'style="overflow: hidden ; color:red"', 'data-id="nav"', 'class="badge add"'])
+@pytest.mark.parametrize("tag", ['id="page" class="has-sidebar"', 'class="post-header-none no-ads"', 'class="post-reply-allowed"', 'style="overflow: hidden ; color:red"', 'data-id="nav"', 'class="badge add"', 'class="page-with-sidebar"', "title='nav menu'"])
 def test_html_layout_words_are_no_region(tag):
     assert html_extract.extract(f"<div {tag}><p>Article text</p></div>") == "Article text"
 
 
-@pytest.mark.parametrize("tag", ['class="site-header"', "class=sidebar-left", "id='comments'", 'style="color:red; display : none"', "hidden", 'aria-hidden="true"', 'role="navigation"', 'class="x cookie-notice"'])
+@pytest.mark.parametrize("tag", ['class="site-header"', "class=sidebar-left", "id='comments'", 'style="color:red; display : none"', "hidden", 'aria-hidden="true"', 'role="navigation"', 'class="x cookie-notice"', 'class="full-width-banner"', 'CLASS=ad'])
 def test_html_regions_go(tag):
     assert html_extract.extract(f"<div {tag}><p>no</p></div><p>yes</p>") == "yes"
 

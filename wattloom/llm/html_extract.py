@@ -39,15 +39,15 @@ BLOCK = frozenset("address article aside blockquote body center dd details dir d
 ENDS_P = BLOCK - {"html", "body", "tbody", "td", "th", "tr", "thead", "tfoot", "li", "dd", "dt", "legend", "figcaption", "summary"}
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Words that a class, id or role begins or ends with where it marks a region outside the article; the words before
-#: which such a name says something about the layout instead ("has-sidebar").
+#: Words that a class, id or role begins or ends with where it marks a region outside the article; and words with
+#: which such a name says something about the layout instead ("page-with-sidebar").
 NAMES = re.compile(
     r"ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|"
     r"notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|reply|"
     r"replies|disqus|pagination|pager|widget\w*|skip|navigation|contentinfo|complementary|hidden",
     re.I,
 )
-LAYOUT = frozenset("has no not non with without is show hide hides hiding js can allow allows wide full under over below above after before".split())
+LAYOUT = frozenset("has no not non with without is show hide hides hiding js can allow allows".split())
 MOST_DEPTH = 512  # what is nested deeper is read as if it were not, as browsers do
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
@@ -62,12 +62,11 @@ def named_outside(names: str) -> bool:
     """Whether one of the names begins or ends with a word of NAMES, layout modifiers apart."""
     for name in names.split():
         parts = [x for x in re.split(r"[-_]+", name) if x]
-        if parts and parts[0].lower() not in LAYOUT and (NAMES.fullmatch(parts[0]) or NAMES.fullmatch(parts[-1])):
+        if parts and LAYOUT.isdisjoint(x.lower() for x in parts) and (NAMES.fullmatch(parts[0]) or NAMES.fullmatch(parts[-1])):
             return True
     return False
 
 
-@lru_cache(maxsize=4096)
 def read_attributes(attrs: str) -> tuple[str, bool, bool]:
     """(names, whether they mark a region outside the article, whether the element isn't shown) of a tag's attributes."""
     found: dict[str, str] = {}
@@ -78,6 +77,9 @@ def read_attributes(attrs: str) -> tuple[str, bool, bool]:
     return _NUMBER.sub("#", names.lower().replace("/", "|")), named_outside(names), unseen
 
 
+_short_attributes = lru_cache(maxsize=4096)(read_attributes)
+
+
 def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
     """(path, block, text) of the text nodes that can be shown: block numbers the runs between block boundaries.
 
@@ -151,7 +153,7 @@ def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
                 elif stack[k][0] in STOPS.get(tag, BLOCK):
                     break
         attrs = m[3] or ""
-        names, apart, unseen = read_attributes(attrs) if attrs else ("", False, False)
+        names, apart, unseen = (_short_attributes if len(attrs) < 500 else read_attributes)(attrs) if attrs else ("", False, False)
         outside = unseen or (tag in OUTSIDE and not (tag == "header" and any(s[0] in ("article", "main") for s in stack))) or (apart and tag not in ("html", "body", "article", "main"))
         if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
