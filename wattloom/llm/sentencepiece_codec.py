@@ -29,7 +29,8 @@ from .common import chunks, released, schema_with, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK_CHARS = 1_500_000
-CACHE_UNITS, CACHE_PAIRS = 150_000, 300_000
+UNIT_CHARS = 300_000  # of new units that are indexed together: the edges of the lattice take many times that
+CACHE_UNITS, CACHE_PAIRS = 300_000, 3_000_000  # at about 150 and 9 bytes each
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _coders: dict[int, Coder] = {}
 
@@ -63,8 +64,9 @@ class Coder:
             self.codes[k, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
         self.lengths = np.array([len(p) for p in self.pieces] + [1], dtype=np.int64)
         self.reaches = {}
-        self.fits: dict[int, bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.fit_keys, self.fit = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)  # what pairs_fit() has found, by key
+        self.new_fits: dict[int, bool] = {}
+        self.units: dict[str, bytes] = {}  # ids as little-endian int32
 
     def merge(self, text: str) -> list[int]:
         """The plain merge procedure on a short text, which decides on the neighbourhood of two pieces."""
@@ -95,18 +97,30 @@ class Coder:
     def pairs_fit(self, keys: np.ndarray) -> np.ndarray:
         """For keys q * (size + 1) + p: whether q and p stand next to each other in the encoding of qp."""
         some, back = np.unique(keys, return_inverse=True)
-        fits, wide = self.fits, self.size + 1
-        if len(fits) > CACHE_PAIRS:
-            fits.clear()
-        out = np.empty(len(some), dtype=bool)
-        for k, key in enumerate(some.tolist()):
-            ok = fits.get(key)
+        at = np.searchsorted(self.fit_keys, some)
+        at[at == len(self.fit_keys)] = 0
+        known = self.fit_keys[at] == some if len(self.fit_keys) else np.zeros(len(some), dtype=bool)
+        out = self.fit[at] if len(self.fit_keys) else np.zeros(len(some), dtype=bool)
+        wide, new = self.size + 1, self.new_fits
+        for k, key in zip(np.flatnonzero(~known).tolist(), some[~known].tolist(), strict=True):
+            ok = new.get(key)
             if ok is None:
                 q, p = divmod(key, wide)
-                ok = fits[key] = q == self.size or p == self.size or self.merge(self.pieces[q] + self.pieces[p]) == [q, p]
+                ok = new[key] = q == self.size or p == self.size or self.merge(self.pieces[q] + self.pieces[p]) == [q, p]
             out[k] = ok
         return out[back]
 
+    def keep_fits(self) -> None:
+        """Puts the new findings of pairs_fit() among the sorted ones."""
+        if not self.new_fits:
+            return
+        if len(self.fit_keys) > CACHE_PAIRS:
+            self.fit_keys, self.fit = self.fit_keys[:0], self.fit[:0]
+        keys = np.concatenate([self.fit_keys, np.fromiter(self.new_fits, dtype=np.int64)])
+        order = np.argsort(keys, kind="stable")
+        self.fit_keys, self.fit = keys[order], np.concatenate([self.fit, np.fromiter(self.new_fits.values(), dtype=bool)])[order]
+        self.new_fits = {}
+
     def whole(self, ids: np.ndarray) -> np.ndarray:
         """Whether each piece is the encoding of its own text, which only some pieces of a merge table are not."""
         some, back = np.unique(ids, return_inverse=True)
@@ -209,18 +223,26 @@ class Coder:
                 else:
                     ids.append(p)
                 at -= length[p]
-            self.units[unit] = tuple(reversed(ids))
+            self.units[unit] = np.array(ids[::-1], dtype="<i4").tobytes()
+        self.keep_fits()
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian int32."""
         split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         have = set(chain.from_iterable(split))
         if len(self.units) > CACHE_UNITS:  # what this batch uses again stays
             self.units = {u: x for u in have if (x := self.units.get(u)) is not None}
         new = [u for u in have if u not in self.units]
-        if new:
-            self.learn_units(new)
+        while new:
+            ends = np.cumsum([len(u) for u in new])
+            k = max(1, int(np.searchsorted(ends, UNIT_CHARS)))
+            self.learn_units(new[:k])
+            new = new[k:]
         get = self.units.__getitem__
-        return [list(chain.from_iterable(map(get, s))) for s in split]
+        return [b"".join(map(get, s)) for s in split]
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, dtype="<i4").tolist() for x in self.encode_bytes(texts)]
 
     def decode(self, ids: list[int]) -> str:
         if self.high.isdisjoint(ids):
@@ -265,67 +287,17 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(model.value)
         for part in chunks((t.to_frame("text") for t in it), "text", CHUNK_CHARS):
-            yield pd.Series([np.array(x, dtype=np.int32) for x in coder.encode_batch(part["text"].tolist())], dtype=object)
+            yield pd.Series([np.frombuffer(x, dtype="<i4") for x in coder.encode_bytes(part["text"].tolist())], dtype=object)
 
     return docs.select("*", run.asNondeterministic()(F.col(text_col)).alias("token_ids"))
 
 
-def decode(self, ids: list[int]) -> str:
-        if self.high.isdisjoint(ids):
-            text = "".join(map(self.shown.__getitem__, ids))
-        else:  # bytes of one character stand side by side; runs of bytes are decoded together
-            out: list[str] = []
-            for raw, run in groupby(ids, self.byte_of.__contains__):
-                out.append(bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", "replace") if raw else "".join(map(self.shown.__getitem__, run)))
-            text = "".join(out)
-        text = text.replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
-    """The serialised model (half a megabyte): from a path of the driver, or one that Spark reads."""
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            return f.read()
-    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
-
-
-def _coder(model: bytes) -> Coder:
-    key = hash(model)
-    if key not in _coders:
-        _coders[key] = Coder(model)
-    return _coders[key]
-
-
-def _batches(it: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        ends = pdf[column].str.len().fillna(0).cumsum().to_numpy() // CHUNK_CHARS
-        for _, part in pdf.groupby(ends, sort=False):
-            yield part
-
-
-def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFrame:
-    """Adds token_ids (array<int>) to all columns; a column of that name is replaced.
-
-    Null and empty texts have no tokens. Spaces are kept as they are; U+2581 in a text counts as a space.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.drop("token_ids")
-    model = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(model.value)
-        for pdf in _batches(it, text_col):
-            yield pdf.assign(token_ids=[np.array(x, dtype=np.int32) for x in coder.encode_batch(pdf[text_col].tolist())])
-
-    return docs.mapInPandas(run, schema_with(docs, "token_ids array<int>"))
-
-
 def decode(tokens: DataFrame, ids_col: str = "token_ids", path: str = MODEL) -> DataFrame:
     """Adds decoded (string) to all columns; null token lists give null."""
     tokens = tokens.drop("decoded")
     model = tokens.sparkSession.sparkContext.broadcast(model_bytes(tokens.sparkSession, path))
 
+    @released
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(model.value)
         for pdf in it:
@@ -348,10 +320,9 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         coder = _coder(model.value)
         for pdf in chunks(it, "text", CHUNK_CHARS):
             texts = pdf["text"].tolist()
-            ids = coder.encode_batch(texts)
-            same = [coder.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
-            digest = [sha256(np.array(x, dtype="<i4").tobytes()).hexdigest() for x in ids]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": digest, "round_trip": same})
+            raw = coder.encode_bytes(texts)
+            same = [coder.decode(np.frombuffer(x, dtype="<i4").tolist()) == t.replace(SPACE, " ") for x, t in zip(raw, texts, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) // 4 for x in raw], "ids_sha256": [sha256(x).hexdigest() for x in raw], "round_trip": same})
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
