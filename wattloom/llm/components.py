@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every step is a grouped minimum and a join, so a node with very many neighbours is pre-aggregated before it is
-shuffled and no neighbour list is ever collected. In the joins the edges of a node are dealt over SPREAD keys, which its
-minimum is repeated for. Rounds are written to the shared folder, and the round before is deleted.
+shuffled and no neighbour list is ever collected. In the joins the hot keys, at most MOST_HOT by their
+number of rows, are broadcast and never shuffled. Rounds are written to the shared folder, and the round before is
+deleted.
 """
 
 from __future__ import annotations
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 
 from .common import passing, stored
 
-SPREAD = 16
+HOT_ROWS, MOST_HOT = 1_000, 100_000
 
 
-def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """edges (u, v) with the m of low (u, m); the edges of one u meet it in SPREAD keys."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
-    return dealt.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["u", "salt"])
+def join_on_hot_keys(rows: DataFrame, by_key: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with by_key (key, n, ...), which says how many rows each key has; n is dropped.
+
+    A key is hot from HOT_ROWS rows on, and from so many that not more than MOST_HOT keys can be: these are broadcast,
+    the rows of the others meet their key in a shuffled join.
+    """
+    least = max(HOT_ROWS, -(-n_rows // MOST_HOT))
+    more = [c for c in by_key.columns if c not in (key, "n")]
+    hot = by_key.filter(F.col("n") >= least).select(key, *[F.col(c).alias(f"_hot_{c}") for c in more], F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    straight = marked.filter("_hot").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in more])
+    return marked.filter("_hot IS NULL").select(rows.columns).join(by_key.filter(F.col("n") < least).drop("n"), key).select(straight.columns).union(straight)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,16 +39,16 @@ def components(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     first = stored(ends.distinct())
     loops = first.filter("u = v").select(F.col("u").alias("id"))
-    e, before, last = first.filter("u > v"), None, None
+    e, before, last, size = first.filter("u > v"), None, None, first.count()  # the large step makes at most as many edges
     while True:
         with passing(spark) as made:
             both = e.union(e.select("v", "u").toDF("u", "v"))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = _with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = join_on_hot_keys(both.filter("v > u"), low, "u", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
             large = large.filter("u != v").distinct()
             down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            low = down.groupBy("u").agg(F.min("v").alias("m"))
-            small = _with_least(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+            low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            small = join_on_hot_keys(down, low, "u", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
             small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
             e = stored(small)
             new = made.pop()
@@ -48,6 +57,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if after == before:
             break
-        before = after
+        before, size = after, after[0]
     own = e.select(F.col("v").alias("id"), F.col("v").alias("root"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(own).union(loops.select("id", F.col("id").alias("root"))).groupBy("id").agg(F.min("root").alias("root"))

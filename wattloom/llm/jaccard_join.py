@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, chunks, released, small_batches, stored
-from .components import SPREAD, components
+from .components import components, join_on_hot_keys
 from .exact_dedup import groups
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
@@ -197,13 +197,8 @@ def jaccard_join(
     members = stored(groups(signed, "min", carry=["size", "bands"]))
     reps = members.filter("id = keep_id AND size > 0").dropDuplicates(["id"]).select("id", "n", "size", "bands")
     hashed = reps.select("id", F.explode("bands").alias("band"))
-    # a bucket's members link to the smallest of their part of it, and the parts' smallest ones to the bucket's
-    part = hashed.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("salt")).agg(F.min("id").alias("lead"), F.count("*").alias("m"))
-    lead = part.groupBy("band").agg(F.min("lead").alias("first"), F.sum("m").alias("all")).filter("all > 1").drop("all")
-    part = stored(part.join(lead, "band"))
-    hashed = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-    inner = hashed.join(part.filter("m > 1").select("band", "salt", "lead"), ["band", "salt"]).select(F.col("id").alias("u"), F.col("lead").alias("v"))
-    edges = inner.union(part.select(F.col("lead").alias("u"), F.col("first").alias("v"))).filter("u != v").distinct()
+    lead = hashed.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    edges = join_on_hot_keys(hashed, stored(lead), "band", bands * members.count()).filter("id != lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
     cluster = components(edges)
     cluster = stored(cluster.join(reps.select("id", "n", "size"), "id"))
     cut = cluster.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("grams"))
