@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 
 
-def measures(streaming: bool = False, zero_missing: bool = False) -> list[Column]:
+def measures(zero_missing: bool = False) -> list[Column]:
     """Exact decimal sums, then one division. A null code is no error; statuses and codes are distinct sets.
 
     A measure that no row of the window has is null; with ``zero_missing``, power, current, fan and leakage are 0 then.
@@ -18,7 +18,7 @@ def measures(streaming: bool = False, zero_missing: bool = False) -> list[Column
     n = F.count("voltage_v").cast("double")
     mean = F.sum(dec("voltage_v")).cast("double") / n
     square = F.sum(dec("voltage_v") * dec("voltage_v")).cast("double") / n
-    statuses = F.size(F.collect_set("status")) if streaming else F.count_distinct("status")
+    statuses = F.size(F.collect_set("status"))  # a few values; a distinct count would shuffle once more
     average = lambda c, places: F.round(F.sum(F.col(c).cast("decimal(18,3)")) / F.count(c), places)
     codes = F.array_sort(F.collect_set(F.when(F.col("error_code") != "NoError", F.col("error_code"))))
     return [
@@ -31,7 +31,7 @@ def measures(streaming: bool = False, zero_missing: bool = False) -> list[Column
 
 def window_aggregate(telemetry: DataFrame, length: str = "5 minutes", score: bool = True, zero_missing: bool = False) -> DataFrame:
     """One row per charger and window, with flags, score and breakdown unless ``score`` is off."""
-    w = telemetry.groupBy("charger_id", F.window("ts", length).alias("w")).agg(*measures(telemetry.isStreaming, zero_missing))
+    w = telemetry.groupBy("charger_id", F.window("ts", length).alias("w")).agg(*measures(zero_missing))
     w = w.select("charger_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in w.columns if c not in ("charger_id", "w")])
     return with_scores(w) if score else w
 
