@@ -77,7 +77,7 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> None:
     """Bounds what one Arrow batch brings to a Python worker, by rows and by bytes; smaller settings stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

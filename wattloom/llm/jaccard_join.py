@@ -28,7 +28,7 @@ from .components import components, join_on_hot_keys
 from .exact_dedup import groups
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
-BLOCK_TEXTS, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_TEXTS, BLOCK_GRAMS = 512, 400_000
 CHUNK_CHARS = 500_000
 CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")

@@ -28,9 +28,9 @@ from .common import chunks, released, schema_with, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_CHARS = 1_500_000
-UNIT_CHARS = 300_000  # of new units that are indexed together: the edges of the lattice take many times that
-CACHE_UNITS, CACHE_PAIRS = 300_000, 3_000_000  # at about 150 and 9 bytes each
+CHUNK_CHARS = 500_000
+UNIT_CHARS = 150_000  # of new units that are indexed together: the edges of the lattice take many times that
+CACHE_UNITS, CACHE_PAIRS = 100_000, 2_000_000  # at about 150 and 9 bytes each
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _coders: dict[int, Coder] = {}
 
@@ -59,7 +59,7 @@ class Coder:
         self.length = max((len(self.pieces[i]) for i in self.normal), default=1)
         # sorted code points of the pieces, one row each, ended by -1
         self.by_text = np.array(self.normal, dtype=np.int64)
-        self.codes = np.full((len(self.normal), self.length), -1, dtype=np.int64)
+        self.codes = np.full((len(self.normal), self.length), -1, dtype=np.int32)
         for k, i in enumerate(self.normal):
             self.codes[k, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
         self.lengths = np.array([len(p) for p in self.pieces] + [1], dtype=np.int64)
@@ -226,6 +226,10 @@ class Coder:
             self.units[unit] = np.array(ids[::-1], dtype="<i4").tobytes()
         self.keep_fits()
 
+    def forget(self) -> None:
+        """Drops the units that are remembered; what is known of pairs stays."""
+        self.units = {}
+
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
         split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -288,6 +292,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
         coder = _coder(model.value)
         for part in chunks((t.to_frame("text") for t in it), "text", CHUNK_CHARS):
             yield pd.Series([np.frombuffer(x, dtype="<i4") for x in coder.encode_bytes(part["text"].tolist())], dtype=object)
+        coder.forget()
 
     return docs.select("*", run.asNondeterministic()(F.col(text_col)).alias("token_ids"))
 
@@ -323,6 +328,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             raw = coder.encode_bytes(texts)
             same = [coder.decode(np.frombuffer(x, dtype="<i4").tolist()) == t.replace(SPACE, " ") for x, t in zip(raw, texts, strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) // 4 for x in raw], "ids_sha256": [sha256(x).hexdigest() for x in raw], "round_trip": same})
+        coder.forget()
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
