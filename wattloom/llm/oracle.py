@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate as dc
+from . import divergence as dv
 from . import licenses as lic
 from . import url_filter as uf
 
@@ -93,10 +94,30 @@ SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM w WHERE matched >=
 """
 
 
+def _op12() -> str:
+    """Every kept term of every group, zeros spelled out."""
+    p = lambda c, n: f"(1 + {dv.SCALE}::HUGEINT * ({c} + {dv.SMOOTHING}) // ({n} + {dv.SMOOTHING} * v))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, {_q(dv.TERM)})) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {dv.LEAST_DOCS}),
+l AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS ln FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(c.n), 0) AS gn, any_value(v) AS v, any_value(ln) AS ln FROM (SELECT DISTINCT lang, source FROM d) JOIN l USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p("coalesce(c.n, 0)", "gn")} AS p, {p("k.n", "ln")} AS lp FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - lp) * (p - lp) // lp)::BIGINT FROM s WHERE n > 0 AND p > lp),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {dv.MOST_TERMS}
+"""
+
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": _op3(),
     "op3_url_templates": _op3(templates=True),
     "op5_license_scan": OP5,
     "op9_decontaminate": _op9(),
     "op10_exact_dedup": OP10,
+    "op12_source_divergence": _op12(),
 }
