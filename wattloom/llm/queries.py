@@ -14,6 +14,7 @@ from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .licenses import license_scan
+from .packing import pack_digests
 from .pii import find_pii
 from .sentencepiece_codec import encode_digests
 from .toxicity import toxicity
@@ -68,6 +69,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_extract": op2_html_extract,
@@ -81,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_packing": op13_packing,
 }
