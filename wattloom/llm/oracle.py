@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import collocations as cl
 from . import decontaminate as dc
 from . import divergence as dv
 from . import licenses as lic
@@ -94,6 +95,28 @@ SELECT doc_id, item_id, max(matched)::INTEGER AS matched FROM w WHERE matched >=
 """
 
 
+def _op11(least: int = cl.LEAST) -> str:
+    """All phrases of all pieces, counted; every cut of the frequent ones."""
+    breaks = "[.,;:!?\\x0A-\\x0D]"
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '{breaks}')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws[i : i + k - 1] AS ph FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest(range(1, {cl.MOST_WORDS + 1})) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, ph, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {least}),
+parts AS (SELECT lang, a, ph, len(ph) AS k, i, j, ph[i : j] AS sub FROM f, (SELECT unnest(range(1, {cl.MOST_WORDS + 1})) AS i), (SELECT unnest(range(1, {cl.MOST_WORDS + 1})) AS j) WHERE len(ph) > 1 AND j <= len(ph) AND i <= j AND j - i + 1 < len(ph)),
+inside AS (SELECT lang, sub AS ph, max(a) AS longer FROM parts GROUP BY ALL),
+cuts AS (SELECT x.lang, x.ph, x.a, x.j AS cut, fl.a AS l, fr.a AS r, n.n, (1000::HUGEINT * x.a * n.n // (fl.a::HUGEINT * fr.a))::BIGINT AS score
+  FROM parts x JOIN parts y ON x.lang = y.lang AND x.ph = y.ph AND x.i = 1 AND y.j = y.k AND y.i = x.j + 1
+  JOIN f fl ON fl.lang = x.lang AND fl.ph = x.sub JOIN f fr ON fr.lang = x.lang AND fr.ph = y.sub JOIN n ON n.lang = x.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, ph) WHERE longer IS NULL OR longer < a),
+ranked AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, n, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked QUALIFY rank <= {cl.MOST_RANK}
+"""
+
+
 def _op12() -> str:
     """Every kept term of every group, zeros spelled out."""
     p = lambda c, n: f"(1 + {dv.SCALE}::HUGEINT * ({c} + {dv.SMOOTHING}) // ({n} + {dv.SMOOTHING} * v))"
@@ -119,5 +142,6 @@ ORACLE: dict[str, str] = {
     "op5_license_scan": OP5,
     "op9_decontaminate": _op9(),
     "op10_exact_dedup": OP10,
+    "op11_collocations": _op11(),
     "op12_source_divergence": _op12(),
 }
