@@ -36,7 +36,7 @@ from .common import ascii_lower, chunks, released, small_batches, stored
 LEAST, MOST_WORDS, MOST_RANK = 100, 5, 2000
 #: Characters that end a piece.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 2_000_000
 MOST_SLOTS, MOST_BITS, BLOCK_BITS = 4_000_000, 28, 16
 FAN_IN, BUFFER = 16, 1_000_000
 _TOKEN = re.compile(r"[^ \n]+|\n")
@@ -266,31 +266,61 @@ def _bucket_pass(runs: DataFrame, ks: list[int], maps: list, bits: int, least: i
     return _collected(heavy, bits)
 
 
+def _distinct(parts: list[np.ndarray], k: int) -> np.ndarray:
+    """[phrases, k, 2]: the distinct phrases, each word by both its hashes."""
+    rows = np.ascontiguousarray(np.concatenate([np.zeros((0, k, 2), dtype=np.uint64), *parts])).reshape(-1, 2 * k)
+    return np.unique(rows.view(f"V{16 * k}").ravel()).view(np.uint64).reshape(-1, k, 2)
+
+
 def _candidate_pass(runs: DataFrame, ks: list[int], maps: list, heavy: np.ndarray, bits: int) -> DataFrame:
-    """(hi, lo, lang, phrase) of each distinct phrase in a heavy bucket."""
-    shared = runs.sparkSession.sparkContext.broadcast((maps, heavy))
+    """(hi, lo, words) of each distinct phrase in a heavy bucket; words are the keys of its words.
+
+    Each mapper gives its distinct phrases as a few sorted rows, cut by their hash; these are merged along a tree.
+    """
+    shared, lanes = runs.sparkSession.sparkContext.broadcast((maps, heavy)), runs.rdd.getNumPartitions()
+    cut = max(0, math.ceil(math.log2(max(1, int(np.bitwise_count(heavy).sum()) >> (BLOCK_BITS - 3)))))  # about 8 phrases a bucket
+    ddl = "k int, block int, lane int, phrases binary"
+
+    def rows(phrases: np.ndarray, k: int, lane: int) -> pd.DataFrame:
+        mixed = phrase_keys(phrases.reshape(-1, 2).T, np.arange(len(phrases)) * k, k)[1]
+        block = mixed >> np.uint64(64 - cut) if cut else np.zeros(len(phrases), dtype=np.uint64)
+        return pd.DataFrame([(k, int(b), lane, phrases[block == b].tobytes()) for b in np.unique(block)], columns=["k", "block", "lane", "phrases"])
 
     @released
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
+        lane, held = TaskContext.get().partitionId(), {k: [] for k in ks}
         for pdf in it:
-            rows = []
-            for lang, words, h, c in zip(pdf["lang"], pdf["words"], pdf["hashes"], pdf["codes"], strict=True):
-                codes = np.frombuffer(c, dtype="<u4")
+            for h, c in zip(pdf["hashes"], pdf["codes"], strict=True):
+                both, codes = np.frombuffer(h, dtype=np.uint64).reshape(2, -1).T, np.frombuffer(c, dtype="<u4")
                 for k, starts, keys in _phrases(h, c, ks, shared.value[0]):
-                    ok = np.flatnonzero(_in_map(shared.value[1], bits, keys[0]))
-                    both = np.ascontiguousarray(keys[:, ok].T).view("V16").ravel()
-                    _, first = np.unique(both, return_index=True)
-                    for i, (hi, lo) in zip(starts[ok[first]].tolist(), keys[:, ok[first]].view(np.int64).T.tolist(), strict=True):
-                        if (hi, lo) not in seen:
-                            seen.add((hi, lo))
-                            rows.append((hi, lo, lang, " ".join(words[x - 1] for x in codes[i : i + k].tolist())))
-            if len(seen) > BUFFER:
-                seen.clear()
-            yield pd.DataFrame(rows, columns=["hi", "lo", "lang", "phrase"])
+                    starts = starts[_in_map(shared.value[1], bits, keys[0])]
+                    held[k].append(_distinct([both[codes[starts[:, None] + np.arange(k)]]], k))
+                    if sum(map(len, held[k])) > BUFFER:
+                        held[k] = [_distinct(held[k], k)]
+                        if len(held[k][0]) > BUFFER // 2:
+                            yield rows(held[k].pop(), k, lane)
+        for k in ks:
+            yield rows(_distinct(held[k], k), k, lane)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, lane = int(pdf["k"].iloc[0]), int(pdf["lane"].iloc[0]) // FAN_IN
+        phrases = _distinct([np.frombuffer(p, dtype=np.uint64).reshape(-1, k, 2) for p in pdf["phrases"]], k)
+        return pd.DataFrame({"k": [k], "block": [int(pdf["block"].iloc[0])], "lane": [lane], "phrases": [phrases.tobytes()]})
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k, raw in zip(pdf["k"], pdf["phrases"], strict=True):
+                words = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2).T
+                keys = phrase_keys(words, np.arange(0, words.shape[1], k), k).view(np.int64)
+                single = phrase_keys(words, np.arange(words.shape[1]), 1).view(np.int64).T.reshape(-1, k * 2)
+                yield pd.DataFrame({"hi": keys[0], "lo": keys[1], "words": list(single)})
 
-    found = runs.select("lang", "words", "hashes", "codes").mapInPandas(make, "hi long, lo long, lang string, phrase string")
-    return found.groupBy("hi", "lo").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+    found = runs.select("hashes", "codes").mapInPandas(make, ddl)
+    while True:
+        found = found.groupBy("k", "block", F.floor(F.col("lane") / FAN_IN).alias("parent")).applyInPandas(merge, ddl)
+        lanes = -(-lanes // FAN_IN)
+        if lanes <= 1:
+            return found.mapInPandas(read, "hi long, lo long, words array<long>")
 
 
 def _rounds(keys: DataFrame, n: int, most_slots: int, more: list[str] | None = None) -> Iterator[tuple[int, int, PerfectHash, pd.DataFrame]]:
@@ -334,12 +364,16 @@ def _count_pass(runs: DataFrame, ks: list[int], maps: list, candidates: DataFram
     return reduce(DataFrame.union, out)
 
 
-def _frequent(runs: DataFrame, ks: list[int], maps: list, at_most: int, least: int, most_slots: int) -> DataFrame:
+def _frequent(runs: DataFrame, ks: list[int], maps: list, single: DataFrame, at_most: int, least: int, most_slots: int) -> DataFrame:
     """(hi, lo, lang, phrase, n) of the frequent phrases of ks words, of which the corpus has ``at_most`` occurrences."""
     bits = _bits_for(at_most, 1 / 8)
     heavy = _bucket_pass(runs, ks, maps, bits, least)
     candidates = stored(_candidate_pass(runs, ks, maps, heavy, bits))
-    return stored(candidates.join(_count_pass(runs, ks, maps, candidates, least, most_slots), ["hi", "lo"]))
+    found = stored(candidates.join(_count_pass(runs, ks, maps, candidates, least, most_slots), ["hi", "lo"]))
+    names = found.select("hi", "lo", "n", F.posexplode("words").alias("at", "w_hi"), "words").filter("at % 2 = 0").withColumn("w_lo", F.get("words", F.col("at") + 1))
+    named = names.join(single.select(F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo"), "lang", F.col("phrase").alias("word")), ["w_hi", "w_lo"])
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
+    return stored(named.groupBy("hi", "lo", "n").agg(F.first("lang").alias("lang"), in_order.alias("phrase")).select("hi", "lo", "lang", "phrase", "n"))
 
 
 # cuts
@@ -400,7 +434,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     """
     if most_words < 2:
         raise ValueError("a phrase has two words at least")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=4_000, size="8m")  # longer runs have less words in common
     text = F.translate(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), BREAKS + "\t", "\n" * len(BREAKS) + " ")
     base = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
     runs = stored(base.mapInPandas(released(_tokenised), "lang string, words array<string>, n array<long>, hashes binary, codes binary"))
@@ -410,12 +444,12 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     single = stored(words.filter(F.col("n") >= least).mapInPandas(_keyed, "lang string, phrase string, n long, hi long, lo long"))
     size = single.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     maps = [key_map(single, size.k)]
-    phrases = pairs = _frequent(runs, [2], maps, size.n or 0, least, most_slots)
+    phrases = pairs = _frequent(runs, [2], maps, single, size.n or 0, least, most_slots)
     if most_words > 2:
         size = pairs.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
         maps.append(key_map(pairs, size.k))
         ks = list(range(3, most_words + 1))
-        phrases = pairs.unionByName(_frequent(runs, ks, maps, (size.n or 0) * len(ks), least, most_slots))
+        phrases = pairs.unionByName(_frequent(runs, ks, maps, single, (size.n or 0) * len(ks), least, most_slots))
     phrases = stored(phrases)
     parts = stored(phrases.mapInPandas(_parts, "hi long, lo long, n long, first int, end int, words int, part_hi long, part_lo long"))
     cuts = _cuts(parts, phrases.select("hi", "lo", "n").unionByName(single.select("hi", "lo", "n")), most_slots)

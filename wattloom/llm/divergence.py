@@ -7,32 +7,57 @@
    of each source alone, as what its row or column lacks. So rare terms cost one cell, however many they are.
 3. The divergence f is evaluated once for each combination and multiplied by the number of terms; sums are decimals.
 
-All is DataFrame functions. What a task holds of a term is bounded by the number of sources in its language, whose pairs
+Mappers count words in bounded tables; all the rest is DataFrame functions. What a task holds of a term is bounded by the number of sources in its language, whose pairs
 the result lists anyway.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, stored
+from .common import ascii_lower, broadcast_if_small, released, small_batches, stored
 
 #: Runs of ASCII letters and of all that is not ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SMOOTHING, SCALE, MOST_TERMS = 3, 1, 1_000_000_000, 200
 MOST_BROADCAST_GROUPS = 100_000
+MOST_HELD = 300_000
+_TERM = re.compile(TERM)
 _DIGITS = "decimal(20,0)"
 
 
+def _counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of a partition's documents, given out whenever MOST_HELD of them are held."""
+    found: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def rows() -> Iterator[pd.DataFrame]:
+        for (lang, source), (n, d) in found.items():
+            if n:
+                yield pd.DataFrame({"lang": [lang] * len(n), "source": [source] * len(n), "term": list(n), "n": list(n.values()), "d": [d[t] for t in n]})
+        found.clear()
+
+    for pdf in it:
+        for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
+            words = _TERM.findall(text)
+            n, d = found[lang, source]
+            n.update(words)
+            d.update(set(words))
+        if sum(len(n) for n, _ in found.values()) > MOST_HELD:
+            yield from rows()
+    yield from rows()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences and documents of each term; null lang, source and text are empty."""
     empty = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
-    words = F.sort_array(F.regexp_extract_all(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TERM), 0))
-    rows = docs.select(*empty, words.alias("words"))
-    # of equal words, which are neighbours now, the first counts the document
-    first = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.when((i == 0) | (w != F.get("words", i - 1)), 1).otherwise(0).alias("new")))
-    return rows.select("lang", "source", F.inline(first)).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("new").alias("d"))
+    rows = docs.select(*empty, ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    return rows.mapInPandas(released(_counted), "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(count: Column, total: Column, kept: Column, smoothing: int, scale: int) -> Column:
@@ -77,6 +102,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, smoothing:
     has the value 0 to each other; a language with one source has no pairs. An empty table gives an empty result. Texts
     are read whole; extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     counts = stored(term_counts(docs))
     groups = stored(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct())
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("d").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
