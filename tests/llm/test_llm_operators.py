@@ -722,7 +722,23 @@ def test_pipeline_without_identifiers(spark):
         now = stage(spark, now, SF)
         want = {"language_id": 4, "exact_dedup": 3}.get(name, now.count())
         assert now.count() == want
-    assert sorted((r.doc_id for r in now.collect()), key=str) == [2, None]
+    assert sorted((r.doc_id for r in now.collect()), key=str) == [2, None, None]
+
+
+def test_repeated_identifiers_are_judged_by_text(spark):
+    """Id 5 has a near copy of id 3's text and one of its own, which must stay."""
+    a = " ".join(f"wort{chr(97 + i % 26)}{i}" for i in range(60))
+    own = " ".join(f"other{i}" for i in range(50))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(3, a), (5, a + " more"), (5, own), (7, own + " last"), (7, item), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    joined = sorted((r.doc_id or -1, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect())
+    assert joined == [(-1, 3, 2), (3, 3, 2), (5, 3, 2), (5, 5, 1), (7, 5, 1), (7, 7, 0)]
+    kept = corpus_pipeline.near_stage(spark, df, SF)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a), (5, own), (7, item), (None, a)], key=str)
+    clean = corpus_pipeline.benchmark_stage(spark, df, SF)
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if r[1] != item), key=str)
 
 
 def test_pipeline_odd(spark, odd, empty):

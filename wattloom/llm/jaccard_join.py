@@ -188,13 +188,17 @@ def jaccard_join(
     set_id is the smallest identifier with the same n-gram set, class_id the smallest identifier of the group that
     verified links connect, n_links the number of other rows whose similarity is at least the threshold, copies
     included. Null texts and texts without a word have an empty set: copies of one another, linked to nothing else.
-    Identifiers are taken to be unique; repeated rows count as copies. Extra columns are not read.
+    Repeated rows count as copies. Where an identifier is repeated with different texts, each of its rows is judged by its
+    own text. Rows without an identifier count as copies in n_links, but are no one's class. Extra columns are not read.
     """
     small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(base, words, bands, rows))
     members = stored(groups(signed, "min", carry=["size", "bands"]))
+    several = members.filter("id IS NOT NULL").select("id", "digest").distinct().groupBy("id").count().filter("count > 1")
+    if several.limit(1).count():
+        return _by_row(base, words, threshold, recall, block_texts)
     reps = members.filter("id = keep_id AND size > 0").dropDuplicates(["id"]).select("id", "n", "size", "bands")
     hashed = reps.select("id", F.explode("bands").alias("band"))
     lead = hashed.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
@@ -216,3 +220,13 @@ def jaccard_join(
     roots = stored(whole.union(joined).join(links, "id").withColumnRenamed("id", "keep_id"))
     out = members.select("id", "keep_id", "n").join(roots, "keep_id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("root", "keep_id").alias("class_id"), F.col("keep_id").alias("set_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def _by_row(base: DataFrame, words: int, threshold: float, recall: float, block_texts: int) -> DataFrame:
+    """The join of (id, text) where identifiers are repeated: by numbers of rows, which are translated afterwards."""
+    rows = stored(base.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())))
+    found = stored(jaccard_join(rows, "row", "text", words, threshold, recall, block_texts).withColumnsRenamed({"doc_id": "row", "class_id": "class", "set_id": "set"}))
+    named = stored(found.join(rows.select("row", "id"), "row", "left"))
+    least = lambda key, name: named.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(name))
+    out = named.join(least("class", "class_id"), "class", "left").join(least("set", "set_id"), "set", "left")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "set_id", "n_links")

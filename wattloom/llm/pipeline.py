@@ -46,21 +46,51 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = broadcast_if_small(stored(gone.distinct()), MOST_BROADCAST_IDS)
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
     kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL")) if repeated else kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL")) if repeats(docs) else kept
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether an identifier is repeated."""
+    return docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written down with a number for each row that has an identifier, and the name of that column."""
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column's name
+    return stored(docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))), row
+
+
+def without_rows(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """numbered() docs without the rows in ``dropped`` (row), and without the numbers."""
+    gone = stored(dropped.select(F.col("row").alias(row)).filter(F.col(row).isNotNull()).distinct())
+    return docs.join(broadcast_if_small(gone, MOST_BROADCAST_IDS), row, "left_anti").drop(row)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return without(docs, jaccard_join(docs).filter("doc_id != class_id"))
+    """Of each group of near duplicates, the document with the smallest doc_id stays.
+
+    Where an identifier is repeated, each of its rows is judged by its own text.
+    """
+    if not repeats(docs):
+        return without(docs, jaccard_join(docs).filter("doc_id != class_id"))
+    rows, row = numbered(docs)
+    found = stored(jaccard_join(rows, row).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class")).filter("row IS NOT NULL"))
+    found = stored(found.join(rows.select(F.col(row).alias("row"), "doc_id"), "row"))
+    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("class", F.col("first.row").alias("stays"))
+    return without_rows(rows, row, found.join(first, "class").filter("row != stays"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold a passage of the benchmark go; rows that repeat an identifier each by their own text."""
+    if not repeats(docs):
+        return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
+    rows, row = numbered(docs)
+    hits = overlaps(rows.drop("doc_id").withColumnRenamed(row, "doc_id"), table(spark, sf_dir, "benchmark"))
+    return without_rows(rows, row, hits.select(F.col("doc_id").alias("row")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token_ids to each row by its text; rows may repeat identifiers or lack them."""
     return encode(docs)
 
 
