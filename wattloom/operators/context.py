@@ -35,7 +35,7 @@ def anomalies_snapshot(windows: DataFrame, as_of: str, hours: int = 48, n: int =
     first = first_per_key(recent, ["charger_id"], [F.desc("window_start")], n)
     line = F.concat(F.date_format("window_start", "yyyy-MM-dd HH:mm"), F.lit(" score "), F.col("anomaly_score").cast("decimal(5,3)").cast("string"))
     lines = first.groupBy("charger_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return _or_none(lines.select("charger_id", F.concat(F.lit("Recent anomalies:\n"), "lines").alias("content")), chargers, f"No anomalies detected for %s in the last {hours} hours.")
+    return _or_none(lines.select("charger_id", F.concat(F.lit("Recent anomalies:\n"), "lines").alias("content")), chargers, f"Nothing unusual seen at %s within {hours} h.")
 
 
 def investigations_snapshot(reasoning: DataFrame, n: int = 5, chargers: DataFrame | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def investigations_snapshot(reasoning: DataFrame, n: int = 5, chargers: DataFram
     first = first_per_key(live, ["charger_id"], [F.desc("created_at"), F.desc("id")], n)
     line = F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), "resolution", F.lit(": "), F.substring("observation", 1, 120))
     lines = first.groupBy("charger_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return _or_none(lines.select("charger_id", F.concat(F.lit("Investigations:\n"), "lines").alias("content")), chargers, "No active investigations for %s.")
+    return _or_none(lines.select("charger_id", F.concat(F.lit("Investigations:\n"), "lines").alias("content")), chargers, "Nothing is being looked into at %s.")
 
 
 def assemble(snapshots: DataFrame, diagnoses: DataFrame, memories: DataFrame, budget: int = 3600) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import REF, flatten_refs
 from ..schemas import COMPACT_DISTANCE, DECAY, DEPRECATE_BELOW
+from ..sources.scratch import written
 from .ranking import first_per_key
 
 NO_TAG = "untagged"
@@ -61,31 +62,114 @@ def drop_expired(sessions: DataFrame, snapshots: DataFrame, as_of: str) -> tuple
     return sessions.filter(F.col("last_active") >= now - F.expr("INTERVAL 24 HOURS")), snapshots.filter(F.col("expires_at") >= now)
 
 
-def compact(memories: DataFrame, limit: float = COMPACT_DISTANCE, compat: bool = False) -> DataFrame:
+#: Scopes and categories with more undecided rows than this go in rounds; a block of rows has about so many.
+FINISH_ROWS, COMPACT_BLOCK = 5_000, 1_000
+_KEYS = ["scope", "category"]
+
+
+def compact(memories: DataFrame, limit: float = COMPACT_DISTANCE, compat: bool = False, finish_rows: int = FINISH_ROWS, block: int = COMPACT_BLOCK) -> DataFrame:
     """(id, status, superseded_by, supporting_evidence_count) of active memories after a greedy pass per scope and category.
 
     Rows are led by confidence, then id; each row not yet absorbed absorbs later ones closer than the limit. compat
-    stores the leader's evidence plus the last absorbed one's instead of the sum.
+    stores the leader's evidence plus the last absorbed one's instead of the sum. Rows without a vector are left out.
+
+    The leaders are the lexicographically first independent set, so they can be found in rounds: a row that no earlier
+    undecided row is near to leads, and what is near to a leader is decided. Rounds compare blocks of rows, two in a
+    task; when a key has at most ``finish_rows`` rows left, one task ends it. Then each absorbed row looks for its first
+    leader. Rows with the same vector act as their first one, so copies cost nothing.
     """
+    live = memories.filter((F.col("status") == "active") & F.exists("vec", lambda x: x != 0))
+    live = written(live.select("id", *_KEYS, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.col("vec").cast("array<double>").alias("vec"), F.col("supporting_evidence_count").cast("int").alias("n")))
+    # the first of equal vectors stands for them
+    first = written(live.groupBy(*_KEYS, "vec").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "id")).alias("first")).select(*_KEYS, "vec", (-F.col("first.c")).alias("confidence"), F.col("first.id").alias("id")))
+    leaders, left = None, first
+    while True:
+        sizes = left.groupBy(*_KEYS).agg(F.count("*").alias("size"))
+        hot = written(sizes.filter(F.col("size") > finish_rows))
+        if not hot.limit(1).count():
+            break
+        rows = left.join(F.broadcast(hot) if hot.limit(100_001).count() <= 100_000 else hot, _KEYS)
+        blocked = _in_blocks(rows, block, _blocked(limit)).select("id").distinct()
+        new = written(rows.drop("size").join(blocked, "id", "left_anti"))
+        near = _with_leaders(left, new, block, _led(limit)).select("id").distinct()
+        leaders = new if leaders is None else written(leaders.unionByName(new))
+        left = written(left.join(near, "id", "left_anti").join(new.select("id"), "id", "left_anti"))
+    rest = left.groupBy(*_KEYS).applyInPandas(_greedy(limit), left.schema)
+    leaders = written(rest if leaders is None else leaders.unionByName(rest))
+    led = _with_leaders(first, leaders, block, _led(limit)).groupBy("id").agg(F.min(F.struct("c", "leader")).alias("by")).select(F.col("id").alias("first_id"), F.col("by.leader").alias("leader"))
+    led = leaders.select(F.col("id").alias("first_id"), F.col("id").alias("leader")).unionByName(led)
+    named = live.join(first.select(*_KEYS, "vec", F.col("id").alias("first_id")), [*_KEYS, "vec"]).join(led, "first_id").select("id", "leader", "confidence", "n")
+    named = written(named.withColumn("superseded_by", F.when(F.col("id") != F.col("leader"), F.col("leader"))))
+    more = F.max_by("n", F.struct(-F.col("confidence"), "id")) if compat else F.sum("n")
+    more = named.filter("superseded_by IS NOT NULL").groupBy(F.col("leader").alias("id")).agg(more.cast("int").alias("more"))
+    out = named.join(more, "id", "left").withColumn("supporting_evidence_count", (F.col("n") + F.coalesce("more", F.lit(0))).cast("int"))
+    return out.select("id", F.when(F.col("superseded_by").isNull(), "active").otherwise("superseded").alias("status"), "superseded_by", "supporting_evidence_count")
+
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _greedy(limit: float):  # noqa: ANN202
+    """The leaders of one key, in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True)
-        v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        by, count = np.full(len(pdf), -1), pdf["supporting_evidence_count"].to_numpy().copy()
-        own = count.copy()
+        v, free, chosen = _unit_rows(pdf["vec"]), np.ones(len(pdf), dtype=bool), []
         for i in range(len(pdf)):
-            if by[i] >= 0:
-                continue
-            near = np.flatnonzero((1 - v[i + 1 :] @ v[i] < limit) & (by[i + 1 :] < 0)) + i + 1
-            by[near] = i
-            if len(near):
-                count[i] = own[i] + (own[near[-1]] if compat else own[near].sum())
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "status": np.where(by >= 0, "superseded", "active"), "superseded_by": pd.array([int(ids[b]) if b >= 0 else None for b in by], dtype="Int64"), "supporting_evidence_count": count})
-
-    live = memories.filter((F.col("status") == "active") & F.col("vec").isNotNull()).select("id", "scope", "category", F.col("confidence").cast("double").alias("confidence"), "vec", F.col("supporting_evidence_count").cast("int").alias("supporting_evidence_count"))
-    return live.groupBy("scope", "category").applyInPandas(run, "id long, status string, superseded_by long, supporting_evidence_count int")
+            if free[i]:
+                chosen.append(i)
+                free[i + 1 :] &= 1 - v[i + 1 :] @ v[i] >= limit
+        return pdf.iloc[chosen]
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, block: int, check) -> DataFrame:  # noqa: ANN001
+    """check() of each two blocks of a key's rows (size is their number); gives (id)."""
+    dealt = rows.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    return dealt.select(*_KEYS, "left", "right", "id", "confidence", "vec").groupBy(*_KEYS, "left", "right").applyInPandas(check, "id long")
+
+
+def _blocked(limit: float):  # noqa: ANN202
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True)
+        v = _unit_rows(pdf["vec"])
+        near = np.triu(1 - v @ v.T < limit, 1).any(axis=0)  # an earlier row is near
+        return pd.DataFrame({"id": pdf["id"][near]})
+
+    return run
+
+
+def _with_leaders(rows: DataFrame, leaders: DataFrame, block: int, check) -> DataFrame:  # noqa: ANN001
+    """check() of each piece of a key's rows with each block of its leaders; gives (id, c, leader)."""
+    count = lambda df, name: df.groupBy(*_KEYS).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    both = written(count(rows, "pieces").join(count(leaders, "blocks"), _KEYS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    cols = [*_KEYS, "piece", "block", "id", "confidence", "vec"]
+    left = rows.join(both, _KEYS).withColumn("piece", own("pieces")).withColumn("block", each("blocks")).select(cols)
+    right = leaders.join(both, _KEYS).withColumn("block", own("blocks")).withColumn("piece", each("pieces")).select(cols)
+    at = [*_KEYS, "piece", "block"]
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(check, "id long, c double, leader long")
+
+
+def _led(limit: float):  # noqa: ANN202
+    """Of each row that is no leader, the first leader of the block that is near."""
+
+    def run(rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(by):
+            return pd.DataFrame({"id": [], "c": [], "leader": []})
+        by = by.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True)
+        near = 1 - _unit_rows(rows["vec"]) @ _unit_rows(by["vec"]).T < limit
+        own = rows["id"].isin(by["id"]).to_numpy()
+        at = np.flatnonzero(near.any(axis=1) & ~own)
+        first = near[at].argmax(axis=1)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[at], "c": -by["confidence"].to_numpy()[first], "leader": by["id"].to_numpy()[first]})
+
+    return run
 
 
 def snapshots_due(windows: DataFrame, as_of: str, minutes: int = 30, score: float = 0.3) -> DataFrame:

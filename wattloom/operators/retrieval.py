@@ -1,8 +1,8 @@
 """Vector and keyword retrieval: filter, then rank by exact cosine distance.
 
 The query side is the small, stated side: blocks of MOST_QUERIES queries are a matrix that every task multiplies its rows
-with, Arrow batch by Arrow batch, keeping the k nearest of each query, so a partition sends k rows a query. Where a
-condition joins rows and queries, the block is broadcast instead and Spark cuts the top-k in every partition.
+with, Arrow batch by Arrow batch, keeping the k nearest of each query, so a partition sends k rows a query. Where rows and
+queries must share a key (a scope, a keyword, a list of an index), pieces of rows and blocks of queries meet by it.
 """
 
 from __future__ import annotations
@@ -13,17 +13,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import dot, similarity
 from ..schemas import SCOPE_BOOST
+from ..sources.scratch import written
 
 #: Tables that may be searched, with their vector and text columns.
 SEARCHABLE = {"outage_catalog": ("signature_vec", "root_cause"), "agent_reasoning": ("reasoning_vec", "observation"), "fleet_memory": ("memory_vec", "content"), "charger_windows": ("signature_vec", None)}
 MOST_QUERIES = 4_000
 BLOCK_ROWS = 2_000
+#: Of a distance that count: copies tie, whatever blocks they fall in.
+DIGITS = 12
 log = logging.getLogger(__name__)
 
 
@@ -58,25 +61,21 @@ def has_keyword(text: Column, keywords: Column) -> Column:
     return F.arrays_overlap(tokens, F.transform(keywords, lambda k: F.lower(k)))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", id_col: str = "id", where: Column | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", id_col: str = "id") -> DataFrame:
     """queries (query_id, query_vec, ...) -> their k nearest rows with distance and rank, nearest first, then by id.
 
-    Rows and queries without a vector are left out. More than MOST_QUERIES queries are answered in blocks.
+    Rows and queries without a vector are left out. Up to MOST_QUERIES queries are broadcast; more of them meet the rows
+    in blocks, each two in a task of its own.
     """
-    base = rows.filter(F.col(vector).isNotNull()).withColumn("_norm", F.sqrt(dot(F.col(vector), F.col(vector)))).filter("_norm > 0")
-    q = queries.filter(F.col("query_vec").isNotNull()).withColumn("_qnorm", F.sqrt(dot(F.col("query_vec"), F.col("query_vec")))).filter("_qnorm > 0")
-    blocks = max(1, -(-q.count() // MOST_QUERIES))
-    out = None
-    for b in range(blocks):
-        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        if where is None:
-            pairs = _by_matrix(base.drop("_norm"), own.drop("_qnorm"), k, vector, id_col)
-        else:  # a stated query set against all rows
-            pairs = base.join(F.broadcast(own), where).withColumn("distance", F.lit(1.0) - dot(F.col(vector), F.col("query_vec")) / (F.col("_norm") * F.col("_qnorm")))
+    base = rows.filter(F.exists(vector, lambda x: x != 0))
+    q = queries.filter(F.exists("query_vec", lambda x: x != 0))
+    if q.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
         w = Window.partitionBy("query_id").orderBy("distance", id_col)
-        part = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_norm", "_qnorm", "query_vec")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return _by_matrix(base, q, k, vector, id_col).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    one = F.lit(0).alias("_all")
+    found = nearest_by_key(base.select(one, id_col, vector), q.select(one, "query_id", "query_vec"), "_all", k, vector, id_col).withColumnRenamed("id", id_col)
+    out = base.join(found, id_col).join(q.drop("query_vec"), "query_id")
+    return out.select(*base.columns, *[c for c in q.columns if c != "query_vec"], "distance", "rank")
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -98,7 +97,7 @@ def _by_matrix(base: DataFrame, queries: DataFrame, k: int, vector: str, id_col:
             for pdf in it:
                 if not len(pdf):
                     continue
-                far = 1.0 - _units(pdf[vector]) @ matrix
+                far = np.round(1.0 - _units(pdf[vector]) @ matrix, DIGITS)
                 most = min(k, len(pdf))
                 limit = np.partition(far, most - 1, axis=0)[most - 1]  # ties with the last one stay in
                 row, col = np.nonzero(far <= limit)
@@ -113,17 +112,91 @@ def _by_matrix(base: DataFrame, queries: DataFrame, k: int, vector: str, id_col:
     return base.mapInPandas(run, T.StructType(fields))
 
 
-def hybrid(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", text: str | None = None, id_col: str = "id") -> DataFrame:
+def nearest_by_key(rows: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "vec", id_col: str = "id", block: int = BLOCK_ROWS, not_self: bool = False) -> DataFrame:
+    """(query_id, id, distance, rank): of each query (key, query_id, query_vec), the k nearest rows of its keys.
+
+    A query may have several keys and a row too; each row counts once. The rows of a key are dealt into pieces of about
+    ``block`` rows and its queries into blocks of MOST_QUERIES; a piece and a block meet in one task as a matrix product,
+    which sends k rows a query. A hot key is many tasks, and no pairs are emitted. Keys without rows or without queries
+    are left out before anything is dealt.
+    """
+    base = rows.filter(F.col(key).isNotNull() & F.exists(vector, lambda x: x != 0)).select(key, F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    q = queries.filter(F.col(key).isNotNull() & F.exists("query_vec", lambda x: x != 0)).select(key, "query_id", F.col("query_vec").alias("v"))
+    pieces = base.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
+    blocks = q.groupBy(key).agg(F.ceil(F.count("*") / MOST_QUERIES).cast("int").alias("blocks"))
+    both = written(pieces.join(blocks, key))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.join(both, key).withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("block", each("blocks")).select(key, "piece", "block", "id", "v")
+    right = q.join(both, key).withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("piece", each("pieces")).select(key, "piece", "block", "query_id", "v")
+
+    def top(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(r) or not len(q):
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        ids, asked = r["id"].to_numpy(), q["query_id"].to_numpy()
+        far = np.round(1.0 - _units(r["v"]) @ _units(q["v"]).T, DIGITS)
+        if not_self:
+            far[ids[:, None] == asked[None, :]] = np.inf
+        most = min(k, len(r))
+        i, j = np.nonzero(far <= np.partition(far, most - 1, axis=0)[most - 1])  # ties with the last one stay in
+        found = pd.DataFrame({"query_id": asked[j], "id": ids[i], "distance": far[i, j]})
+        return found[np.isfinite(found["distance"])].sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
+
+    fields = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", base.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    at = [key, "piece", "block"]
+    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(top, fields)
+    found = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def postings(rows: DataFrame, text: str, id_col: str = "id") -> DataFrame:
+    """The keyword index: (term, id) of every distinct token of a text, as has_keyword() takes them."""
+    tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9_.-]+")
+    tokens = F.array_distinct(F.concat(tokens, F.transform(tokens, lambda t: F.rtrim(t, F.lit(".")))))
+    return rows.select(F.explode(tokens).alias("term"), F.col(id_col).alias("id")).filter("term != ''")
+
+
+POSTING_BUCKETS = 256
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame, path: str, text: str, id_col: str = "id") -> None:
+    """Writes the keyword index once: folders by a hash of the term, terms sorted in each file."""
+    dealt = postings(rows, text, id_col).withColumn("bucket", _bucket(F.col("term")))
+    # a frequent term is spread over several files of its folder
+    dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, keywords: DataFrame) -> DataFrame:
+    """The postings of the keywords (term): only the folders that they fall in are read."""
+    buckets = [r.bucket for r in keywords.select(_bucket(F.col("term")).alias("bucket")).distinct().collect()]  # at most POSTING_BUCKETS
+    return spark.read.schema("term string, id long, bucket int").parquet(path).filter(F.col("bucket").isin(buckets)).select("term", "id")
+
+
+def hybrid(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", text: str | None = None, id_col: str = "id", index: str | None = None) -> DataFrame:
     """queries (query_id, query_vec, keywords): where a query has keywords and there is a text column, only rows with one.
 
-    Adds ft_used. A keyword in no row is an answer of no rows. An unknown text column is logged and not used.
+    Adds ft_used. A keyword in no row is an answer of no rows. An unknown text column is logged and not used. Queries
+    with keywords meet only the postings of their terms, of the index that write_postings() has left at ``index`` or of
+    one made here; the others meet all rows. Row columns follow without the vector.
     """
     if text is not None and text not in rows.columns:
         log.warning("FULLTEXT_FALLBACK: no column %s", text)
         text = None
-    used = (F.size("keywords") > 0) if text else F.lit(False)
-    q = queries.withColumn("ft_used", F.coalesce(used, F.lit(False)))
-    return nearest(rows, q, k, vector, id_col, (~F.col("ft_used") | has_keyword(F.col(text), F.col("keywords"))) if text else None)
+    used = F.coalesce(F.size("keywords") > 0, F.lit(False)) if text else F.lit(False)
+    q = queries.withColumn("ft_used", used)
+    plain = nearest(rows.select(id_col, vector), q.filter("NOT ft_used").select("query_id", "query_vec"), k, vector, id_col)
+    found = plain.select("query_id", F.col(id_col).alias("id"), "distance", "rank", F.lit(False).alias("ft_used"))
+    if text:
+        asked = q.filter("ft_used").select("query_id", "query_vec", F.explode(F.array_distinct(F.transform("keywords", lambda w: F.lower(w)))).alias("term"))
+        terms = asked.select("term").distinct()
+        lists = read_postings(rows.sparkSession, index, terms) if index else postings(rows, text, id_col).join(terms, "term", "left_semi")
+        with_vectors = lists.join(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")), "id")
+        found = found.unionByName(nearest_by_key(with_vectors, asked, "term", k).withColumn("ft_used", F.lit(True)))
+    return found.withColumnRenamed("id", id_col).join(rows.drop(vector), id_col)
 
 
 def boost_scope(found: DataFrame, scope: str) -> DataFrame:

@@ -161,7 +161,17 @@ h AS (SELECT lk.id, ref, outcome FROM lk JOIN good USING (ref) JOIN mem ON mem.i
 p AS (SELECT id, count(*) FILTER (outcome = 'fixed') AS pos, count(*) FILTER (outcome <> 'fixed') AS neg, list(ref) AS refs FROM h GROUP BY id)"""
 _GROUP = f"""WITH {sql.REASONING}, reg AS (SELECT 'CP-' || lpad(c_custkey::VARCHAR, 5, '0') AS charger_id, CASE WHEN c_custkey % 2 = 0 THEN 'M1' END AS model, 'ACME' AS manufacturer, CASE WHEN c_custkey % 3 = 0 THEN 'coastal' ELSE 'indoor' END AS environment FROM customer),
 live AS (SELECT rea.*, model, environment, CASE WHEN len(tags) > 0 THEN array_to_string(list_sort(tags), '|') ELSE 'untagged' END AS tag_key FROM rea LEFT JOIN reg USING (charger_id) WHERE resolution = 'confirmed' AND superseded_by IS NULL AND created_at > TIMESTAMP '{LATE}' - INTERVAL __DAYS__ DAY)"""
+#: One row of each scope and category after the other; a step carries the leaders that it has found.
+_COMPACT = """WITH RECURSIVE m AS (SELECT vec_id AS id, 'site:' || (vec_id % 7) AS scope, CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS category, embedding::DOUBLE[] AS vec, (vec_id % 70) / 100.0::DOUBLE AS confidence FROM embeddings),
+o AS (SELECT *, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u, row_number() OVER (PARTITION BY scope, category ORDER BY confidence DESC, id) AS i FROM m),
+s AS (SELECT scope, category, i, id, NULL::BIGINT AS led, [{'id': id, 'u': u}] AS leaders FROM o WHERE i = 1
+  UNION ALL SELECT scope, category, i, id, led, CASE WHEN led IS NULL THEN list_append(leaders, {'id': id, 'u': u}) ELSE leaders END
+  FROM (SELECT o.scope, o.category, o.i, o.id, o.u, s.leaders, list_filter(s.leaders, lambda l: 1 - list_dot_product(l.u, o.u) < 0.75)[1].id AS led FROM s JOIN o ON o.scope = s.scope AND o.category = s.category AND o.i = s.i + 1)),
+g AS (SELECT led, count(*) AS n FROM s WHERE led IS NOT NULL GROUP BY led)
+SELECT id, CASE WHEN s.led IS NULL THEN 'active' ELSE 'superseded' END AS status, s.led AS superseded_by, (1 + coalesce(n, 0))::INTEGER AS supporting_evidence_count FROM s LEFT JOIN g ON g.led = s.id"""
+
 ORACLE = {
+    "greedy_compaction": _COMPACT,
     "derive_confidence": f"WITH {sql.MEMORY} SELECT id, {sql.confidence('provenance', 'verified_confirmations', 'verified_contradictions')} AS confidence FROM mem",
     "shortcut_gate": f"{_MATCH} SELECT id, {_OK} AS eligible FROM x", "gate_fail_reason": f"{_MATCH} SELECT id, {_WHY} AS reason FROM x",
     "routing_stages": f"{_STAGE} SELECT z.*, why AS top_reason FROM z LEFT JOIN y ON y.id = top_id",

@@ -175,8 +175,8 @@ ORACLE = {
     "left_join_registry": f"WITH {sql.REASONING} SELECT id, charger_id, c_mktsegment AS model FROM rea LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON charger_id = {_CP}",
     "scalar_count_24h": f"{_PROFILE} SELECT charger_id, 'Charger ' || charger_id || ' at site ' || site_id || '. Messages in 24 h: ' || coalesce(n, 0)::VARCHAR || '.' AS content FROM reg LEFT JOIN n USING (charger_id)",
     "site_parse": f"{_PROFILE} SELECT charger_id, site_id FROM reg",
-    "anomalies_snapshot": f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY window_start DESC) AS rank FROM win WHERE anomaly_score > 0 AND window_start > TIMESTAMP '{AS_OF}' - INTERVAL 720 HOURS), s AS (SELECT charger_id, 'Recent anomalies:' || chr(10) || string_agg(strftime(window_start, '%Y-%m-%d %H:%M') || ' score ' || anomaly_score::DECIMAL(5,3)::VARCHAR, chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 10 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'No anomalies detected for ' || charger_id || ' in the last 720 hours.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
-    "investigations_snapshot": f"WITH {sql.REASONING}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY created_at DESC, id DESC) AS rank FROM rea WHERE resolution IN ('confirmed', 'escalated') AND superseded_by IS NULL), s AS (SELECT charger_id, 'Investigations:' || chr(10) || string_agg('#' || id || ' ' || resolution || ': ' || substr(observation, 1, 120), chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 5 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'No active investigations for ' || charger_id || '.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
+    "anomalies_snapshot": f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY window_start DESC) AS rank FROM win WHERE anomaly_score > 0 AND window_start > TIMESTAMP '{AS_OF}' - INTERVAL 720 HOURS), s AS (SELECT charger_id, 'Recent anomalies:' || chr(10) || string_agg(strftime(window_start, '%Y-%m-%d %H:%M') || ' score ' || anomaly_score::DECIMAL(5,3)::VARCHAR, chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 10 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'Nothing unusual seen at ' || charger_id || ' within 720 h.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
+    "investigations_snapshot": f"WITH {sql.REASONING}, r AS (SELECT *, row_number() OVER (PARTITION BY charger_id ORDER BY created_at DESC, id DESC) AS rank FROM rea WHERE resolution IN ('confirmed', 'escalated') AND superseded_by IS NULL), s AS (SELECT charger_id, 'Investigations:' || chr(10) || string_agg('#' || id || ' ' || resolution || ': ' || substr(observation, 1, 120), chr(10) ORDER BY rank) AS content FROM r WHERE rank <= 5 GROUP BY charger_id) SELECT charger_id, coalesce(content, 'Nothing is being looked into at ' || charger_id || '.') AS content FROM (SELECT {_CP} AS charger_id FROM customer) LEFT JOIN s USING (charger_id)",
     "budget_prefix": f"WITH t AS (SELECT conv_id, turn, {_TOK.format('text')}::BIGINT AS tokens FROM conversations) SELECT * FROM (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS used FROM t) WHERE used <= 500",
     "budget_greedy": f"WITH RECURSIVE t AS (SELECT conv_id, turn, {_TOK.format('text')} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), f AS (SELECT conv_id, 0::BIGINT AS i, 0 AS used, 0::BIGINT AS turn, 0 AS tokens, false AS kept FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT t.conv_id, t.i, CASE WHEN f.used + t.tokens <= 500 THEN f.used + t.tokens ELSE f.used END, t.turn, t.tokens, f.used + t.tokens <= 500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1) SELECT conv_id, turn, tokens FROM f WHERE kept",
     "token_budget": f"SELECT p_partkey, ((p_partkey * 10 + 4000) * 9 // 10)::INTEGER AS budget, {_TOK.format('p_name')} AS tokens FROM part",

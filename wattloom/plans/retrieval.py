@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import KEYWORDS, extract_keywords, similarity
+from ..operators import ann
 from ..operators import retrieval as R
 from ..sources.adapters import table
+from ..sources.scratch import scratch_dir
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +35,20 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hybrid(_rows(spark, sf_dir), _queries(spark, sf_dir), 5, text="content").select("query_id", "id", "rank", "ft_used", F.round("distance", 6).alias("distance"))
 
 
+def _ann(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    path = f"{scratch_dir(spark)}/ann-{uuid.uuid4().hex}"
+    ann.build_index(_rows(spark, sf_dir), path)
+    return ann.search(spark, path, _queries(spark, sf_dir), 10, exact=exact).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ann(spark, sf_dir, exact=False)
+
+
+def ann_topk_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ann(spark, sf_dir, exact=True)
+
+
 def scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.in_scope(R.optional(_rows(spark, sf_dir), label="any"), "site:1")
     return R.boost_scope(R.nearest(rows, _queries(spark, sf_dir), 5), "site:1").select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
@@ -41,8 +59,8 @@ def pairs_within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _rows(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("scope").alias("query_scope"))
-    return R.nearest(_rows(spark, sf_dir), q, 3, where=(F.col("scope") == F.col("query_scope")) & (F.col("id") != F.col("query_id"))).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+    q = _rows(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "scope")
+    return R.nearest_by_key(_rows(spark, sf_dir), q, "scope", 3, not_self=True).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
 def extract_keywords_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +81,7 @@ def vector_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "vector_topk": vector_topk, "hybrid_topk": hybrid_topk, "scope_boost_rank": scoped_topk, "pairs_within_distance": pairs_within_distance, "nearest_in_scope": nearest_in_scope,
+    "vector_topk": vector_topk, "ann_topk": ann_topk, "ann_topk_all_lists": ann_topk_all_lists, "hybrid_topk": hybrid_topk, "scope_boost_rank": scoped_topk, "pairs_within_distance": pairs_within_distance, "nearest_in_scope": nearest_in_scope,
     "extract_keywords": extract_keywords_q, "keyword_filter": keyword_filter, "vector_backlog": vector_backlog,
 }
 
@@ -81,6 +99,7 @@ _WORDS = "CASE WHEN query_id % 40 = 0 THEN content LIKE '%GroundFailure%' OR con
 _KEY = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS w FROM documents" for p in KEYWORDS)
 ORACLE = {
     "vector_topk": f"{_top('true', 5)} SELECT query_id, id, rank, round(distance, 6) + 0.0::DOUBLE AS distance, round(round(1.0::DOUBLE - distance, 4), 3) AS similarity FROM t",
+    "ann_topk_all_lists": f"{_top('true', 10)} SELECT query_id, id, rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",
     "hybrid_topk": f"{_top(_WORDS, 5)} SELECT query_id, id, rank, query_id % 40 = 0 OR query_id % 60 = 0 AS ft_used, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",
     "scope_boost_rank": _top("scope IN ('site:1', 'global')", 5) + ", u AS (SELECT query_id, id, rank, CASE WHEN scope = 'site:1' THEN distance * 0.95::DOUBLE ELSE distance END AS distance FROM t) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank)::INTEGER AS rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM u",
     "nearest_in_scope": f"{_top('scope = query_scope AND id <> query_id', 3)} SELECT query_id, id, rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM t",

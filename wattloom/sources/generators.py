@@ -1,30 +1,8 @@
-"""Generated reference data and telemetry.
-
-All chance follows from hashes of the charger, the tick and what is drawn, so that the same call gives the same rows
-however they are partitioned and whatever is computed again.
-"""
+"""The catalogue of known outages, as reference data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..schemas import TELEMETRY
-
-#: Environments with their weights.
-ENVIRONMENTS = (("indoor", 0.25), ("outdoor_sheltered", 0.35), ("outdoor_exposed", 0.25), ("coastal", 0.15))
-
-#: (manufacturer, model, kW, connectors) and the firmware of each manufacturer, oldest first.
-MODELS = [
-    ("Voltaro", "V7", 7.4, 1), ("Voltaro", "V22", 22.0, 1), ("Voltaro", "V50", 50.0, 2), ("Amperia", "City 11", 11.0, 1), ("Amperia", "City 22", 22.0, 2),
-    ("Amperia", "Hub 150", 150.0, 2), ("Ohmline", "Fast 60", 60.0, 2), ("Ohmline", "Fast 120", 120.0, 2), ("Ohmline", "Depot 240", 240.0, 4),
-]
-FIRMWARE = {"Voltaro": ("3.0.4", "3.1.2", "3.2.0"), "Amperia": ("1.8.0", "1.9.1", "1.10.0"), "Ohmline": ("5.2.1", "5.3.0", "5.4.2")}
-FLAWED = ("3.1.2", "1.8.0", "5.2.1")  # firmware whose state of charge can freeze
+from pyspark.sql import DataFrame, SparkSession
 
 #: (pattern, name, category, severity, cause, symptoms, resolution) in our own words.
 CATALOGUE = [
@@ -54,154 +32,3 @@ CATALOGUE = [
 
 def outage_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATALOGUE, "pattern_id string, pattern_name string, category string, severity string, root_cause string, symptoms array<string>, resolution string")
-
-
-def pick(r: Column, weights: tuple[tuple[str, float], ...] = ENVIRONMENTS) -> Column:
-    """The first name whose cumulative weight reaches r; the last where rounding leaves none."""
-    out, total = None, 0.0
-    for name, w in weights[:-1]:
-        total += w
-        out = F.when(r <= total, name) if out is None else out.when(r <= total, name)
-    return out.otherwise(weights[-1][0]) if out is not None else F.lit(weights[-1][0])
-
-
-def charger_registry(spark: SparkSession, sites: list[tuple[str, float, float, int]], seed: int = 42) -> DataFrame:
-    """Chargers of sites (site, lat, lon, count), within 2 km of their site."""
-    base = spark.createDataFrame(sites, "site_id string, site_lat double, site_lon double, n int").select("site_id", "site_lat", "site_lon", "n", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    r = lambda k: F.pmod(F.xxhash64("site_id", "i", F.lit(seed * 100 + k)), F.lit(1 << 30)) / (1 << 30)
-    chance = lambda k, low, high: F.lit(low) + r(k) * (high - low)
-    model = F.element_at(F.array(*[F.struct(F.lit(m).alias("maker"), F.lit(n).alias("name"), F.lit(kw).alias("kw"), F.lit(c).alias("plugs")) for m, n, kw, c in MODELS]), (F.floor(r(5) * len(MODELS)) + 1).cast("int"))
-    firmware = F.create_map(*[x for m, v in FIRMWARE.items() for x in (F.lit(m), F.array(*map(F.lit, v)))])
-    base = base.withColumns({"m": model, "age": chance(4, 180.0, 1825.0).cast("int")})
-    today = F.lit("2024-01-01").cast("date")
-    # sessions grow with age and with the size of the site; fast chargers give more energy in each
-    sessions = F.greatest(F.lit(100), (F.col("age") / 365.0 * (F.lit(1500.0) * F.col("n") / 800.0 + (r(7) - 0.5) * 800)).cast("int"))
-    energy = F.when(F.col("m.kw") > 22, chance(8, 15.0, 45.0)).otherwise(chance(8, 5.0, 18.0))
-    return base.select(
-        F.concat("site_id", F.lit("-"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("charger_id"), "site_id", F.col("m.name").alias("model"), F.col("m.maker").alias("manufacturer"),
-        F.element_at(firmware[F.col("m.maker")], (F.floor(r(6) * 3) + 1).cast("int")).alias("firmware_version"), F.date_sub(today, F.col("age")).alias("install_date"),
-        (F.col("site_lat") + (r(2) * 2 - 1) * 2 / 111).cast("decimal(9,6)").alias("lat"), (F.col("site_lon") + (r(3) * 2 - 1) * 2 / 78).cast("decimal(9,6)").alias("lon"), F.col("m.plugs").cast("tinyint").alias("connector_count"),
-        F.col("m.kw").cast("decimal(5,1)").alias("max_power_kw"), pick(r(1)).alias("environment"), F.date_sub(today, chance(9, 30.0, 365.0).cast("int")).alias("last_maintenance"), sessions.alias("total_sessions"), (sessions * energy).cast("long").alias("total_energy_kwh"),
-    )
-
-
-def _draw(key: np.ndarray, tick: int, k: int) -> np.ndarray:
-    """A uniform number for each key, this tick and this kind of draw."""
-    with np.errstate(over="ignore"):
-        x = key + np.uint64((tick * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-
-
-def _bell(key: np.ndarray, tick: int, k: int) -> np.ndarray:
-    """A standard normal number likewise."""
-    return np.sqrt(-2 * np.log(1 - _draw(key, tick, k))) * np.cos(2 * np.pi * _draw(key, tick, k + 1))
-
-
-def usage(hour: float) -> float:
-    """How likely a free charger is used: mornings, noon and evenings."""
-    peaks = ((8.0, 8.0, 0.8), (12.5, 6.0, 0.5), (18.0, 10.0, 1.0))
-    return max(0.05, sum(high * float(np.exp(-((hour - at) ** 2) / wide)) for at, wide, high in peaks))
-
-
-FREE, BUSY, LEAVING, BROKEN = 0, 1, 2, 3
-_STATUS = np.array(["Available", "Charging", "Finishing", "Faulted"], dtype=object)
-_FAULTS = np.array(["InternalError", "OtherError", "PowerMeterFailure", "GroundFailure"], dtype=object)
-TICKS_A_BATCH = 200
-
-
-class Chargers:
-    """The state of many chargers, all moved on by one tick at a time."""
-
-    def __init__(self, pdf: pd.DataFrame, seed: int) -> None:
-        n, have = len(pdf), pdf.columns
-        self.ids, self.key = pdf["charger_id"].to_numpy(), pdf["key"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(seed)
-        column = lambda c, default: pdf[c].to_numpy() if c in have else np.full(n, default, dtype=object)
-        u = lambda k: _draw(self.key, -1, k)
-        self.most_w = np.array([float(x) * 1000 for x in column("max_power_kw", 50.0)])
-        outside = np.isin(column("environment", "indoor").astype(str), ("coastal", "outdoor_exposed"))
-        self.inside = column("environment", "indoor").astype(str) == "indoor"
-        flaw = u(0)  # one charger of twenty has one
-        self.fan_loss = np.where(flaw < 0.01, 0.4 + 0.4 * u(1), 0.0)
-        self.leak = 0.5 + 1.5 * u(2) + np.where((flaw >= 0.01) & (flaw < 0.025) & outside, 2 + 4 * u(3), 0.0)
-        self.resistance = np.where((flaw >= 0.025) & (flaw < 0.04), 1.1 + 0.3 * u(4), 1.0)
-        self.frozen = (flaw >= 0.04) & (flaw < 0.05) & np.isin(column("firmware_version", "").astype(str), FLAWED)
-        self.fan = 2200 + 600 * u(5)
-        self.state, self.session = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=np.int64)
-        self.soc, self.full, self.battery, self.energy, self.shown = (np.zeros(n) for _ in range(5))
-        self.cycles = (1000 + 9000 * u(6)).astype(np.int64)
-
-    def step(self, tick: int, seconds: int, hour: float) -> None:
-        u = lambda k: _draw(self.key, tick, k)
-        begins = (self.state == FREE) & (u(0) < usage(hour) * 0.003 * seconds / 15)
-        goes_on = self.state == BUSY
-        watts = self.watts(tick) / np.where(self.fan_loss > 0.3, 1 / np.maximum(0.5, 1 - 0.6 * self.fan_loss), 1.0)
-        more = np.where(goes_on, watts * seconds / 3600, 0.0)
-        self.energy += more
-        self.soc = np.minimum(100, self.soc + more / np.where(self.battery > 0, self.battery * 10, 1))
-        ends = goes_on & ((self.soc >= self.full) | (u(1) < 0.002))
-        frees = (self.state == LEAVING) & (u(2) < 0.3)
-        mends = (self.state == BROKEN) & (u(3) < 0.01)
-        self.state[frees | mends], self.state[ends], self.state[begins] = FREE, LEAVING, BUSY
-        self.soc[begins], self.full[begins] = (10 + 50 * u(4))[begins], (80 + 20 * u(5))[begins]
-        self.battery[begins] = np.array([40, 50, 60, 75, 82, 100])[(u(6) * 6).astype(int)][begins]
-        self.energy[begins] = 0
-        self.session += begins
-        self.cycles += begins.astype(int) + ends
-        self.state[(u(7) < 0.0002) & ~mends] = BROKEN
-        self.shown = np.where(self.frozen & ~begins, self.shown, self.soc)
-
-    def watts(self, tick: int) -> np.ndarray:
-        taper = np.where(self.soc < 80, 1.0, np.maximum(0.1, 1 - (self.soc - 80) / 40))
-        return np.where(self.state == BUSY, self.most_w * taper * (0.85 + 0.13 * _draw(self.key, tick, 8)) / self.resistance, 0.0)
-
-    def rows(self, tick: int, seconds: int, hour: float) -> pd.DataFrame:
-        n = len(self.ids)
-        bell = lambda k: _bell(self.key, tick, k)
-        volts = 230 * (0.97 if 7 <= hour <= 22 else 1.0) + 2 * bell(10)
-        watts = np.floor(self.watts(tick))
-        heat = 8 + 7 * np.sin((hour - 6) * np.pi / 12) + 25 * watts / self.most_w + 15 * self.fan_loss + 1.5 * bell(12)
-        leak = np.maximum(0, self.leak + 0.3 * bell(14))
-        busy, broken = self.state == BUSY, self.state == BROKEN
-        fault = _FAULTS[(_draw(self.key, tick, 20) * 4).astype(int)]
-        error = np.where(leak > 8, "GroundFailure", np.where(heat > 65, "HighTemperature", np.where(broken, fault, "NoError")))
-        open_ = busy | (self.state == LEAVING)
-        return pd.DataFrame({
-            "charger_id": self.ids, "connector_id": np.int8(1), "at": tick * seconds, "status": _STATUS[self.state], "transaction_id": [f"{i}-{k}" if o else None for i, k, o in zip(self.ids, self.session, open_, strict=True)],
-            "energy_wh": self.energy.astype(np.int64), "power_w": watts.astype(np.int32), "voltage_v": volts, "current_a": watts / volts, "soc_percent": pd.array(np.where(busy, self.shown, 0).astype(np.int16), dtype="Int16").copy(), "temp_c": heat, "error_code": error, "vendor_error": np.full(n, None, dtype=object),
-            "fan_rpm": np.maximum(0, self.fan * np.where(watts > 0, 1.0, 0.3) * (1 - self.fan_loss) + 50 * bell(16)).astype(np.int32), "earth_leak_ma": leak, "contactor_cycles": self.cycles.astype(np.int32), "signal_dbm": (-65 - 10 * self.inside + 8 * bell(18)).astype(np.int16),
-        }).assign(soc_percent=lambda d: d["soc_percent"].where(busy))
-
-
-def simulated_telemetry(registry: DataFrame, start: str, ticks: int, seconds: int = 15, seed: int = 7) -> DataFrame:
-    """One message of each charger and tick, as rows of the telemetry schema.
-
-    Chargers are a state machine: a free one is taken as the hour of the day has it, charges along a power curve that
-    falls off above 80 %, finishes and is free again; any can break and is mended later. One of twenty has a flaw (fan,
-    leakage, cable or firmware). A batch of chargers is moved on tick by tick with array operations.
-    """
-    have = [c for c in ("max_power_kw", "environment", "firmware_version") if c in registry.columns]
-    chargers = registry.select("charger_id", *[F.col(c).cast("double" if c == "max_power_kw" else "string").alias(c) for c in have], F.xxhash64("charger_id").alias("key"))
-    kinds = {f.split()[0]: f.split()[1] for f in TELEMETRY.split(", ")}
-    raw = ", ".join(f"{c} {'double' if k.startswith('decimal') else k}" if c != "ts" else "at bigint" for c, k in kinds.items())
-    first = pd.Timestamp(start)
-    hours = first.hour + first.minute / 60
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if not len(pdf):
-                continue
-            now, out = Chargers(pdf, seed), []
-            for tick in range(ticks):
-                hour = (hours + tick * seconds / 3600) % 24
-                now.step(tick, seconds, hour)
-                out.append(now.rows(tick, seconds, hour))
-                if len(out) == TICKS_A_BATCH:
-                    yield pd.concat(out)
-                    out = []
-            if out:
-                yield pd.concat(out)
-
-    made = chargers.mapInPandas(run, raw).withColumn("ts", F.lit(start).cast("timestamp") + F.make_dt_interval(secs=F.col("at")))
-    return made.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
