@@ -396,6 +396,26 @@ def test_html_regions_go(tag):
     assert html_extract.extract(f"<div {tag}><p>no</p></div><p>yes</p>") == "yes"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="social-history"><p>one two</p></div></article>', "one two"),
+        ('<article><div id="ad-hoc-methods"><p>one two</p></div></article>', "one two"),
+        ('<article><div class="recipe-menu">one two</div><div class="share-buttons">no</div></article>', "one two"),
+        ("<article><fieldset>one two</fieldset></article>", "one two"),
+        ("<p>x <label>L</label> y</p>", "x L y"),
+        ("<form>no <label>L</label><fieldset>no</fieldset></form><p>yes", "yes"),
+        ("<body><nav>no</nav><p>This is the lead paragraph here.</p><article><p>body</p></article><p>This is after the article, no.</p>", "This is the lead paragraph here.\nbody"),
+        ('<article><p>a</p><div id="feedback"><p>no</p></div><div class="reader-comments">no</div></article>', "a"),
+        ("<article>" + "<div>" * 600 + "<nav>no<nav>no</nav>no</nav><p>yes</p>" + "</div>" * 600 + "<p>end</p></article>", "yes\nend"),
+        ("<div>" * 600 + "<script>no</script><svg>no</svg><p hidden>no</p>yes", "yes"),
+    ],
+)
+def test_html_fragments(page, text):
+    """Nothing of an article is lost by a name that only sounds like a region, and no region stays, however deep."""
+    assert html_extract.extract(page) == text
+
+
 def test_html_time_grows_with_the_length():
     for page in ("<div>" * 60_000 + "x", '<a href="' * 60_000, "<b>x<p>" * 30_000, "<a " * 60_000, "<i>x" * 60_000, "</b>" * 60_000, "<!--" * 60_000):
         began = time.time()

@@ -33,7 +33,7 @@ MOST_BROADCAST = 200_000  # tokens of all templates; more are joined by a shuffl
 #: Elements of HTML by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe svg math xmp noembed noframes select option datalist".split())
-OUTSIDE = frozenset("nav header footer aside form button menu dialog head object canvas audio video fieldset label search".split())
+OUTSIDE = frozenset("nav header footer aside form button menu dialog head object canvas audio video search".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open p ends where one of these begins; an open li, dt, dd, tr, td, th or option where its like begins.
 ENDS_P = BLOCK - {"html", "body", "tbody", "td", "th", "tr", "thead", "tfoot", "li", "dd", "dt", "legend", "figcaption", "summary"}
@@ -47,7 +47,11 @@ NAMES = re.compile(
     r"replies|disqus|pagination|pager|widget\w*|skip|navigation|contentinfo|complementary|hidden",
     re.I,
 )
+#: Words for reader comments, which are never part of an article; and words that say nothing about what a region is for.
+COMMENTS = re.compile(r"comments?|commentlist|respond|responses|reply|replies|disqus|feedback|discussion", re.I)
+NEUTRAL = frozenset("area bar block bottom box button buttons col column container content fixed float floating full global icon icons inner item items left link links list main outer page post primary right row secondary section site slot sticky top unit width wrap wrapper".split())
 LAYOUT = frozenset("has no not non with without is show hide hides hiding js can allow allows".split())
+LEAD_WORDS = 5  # of a paragraph before an article that belongs to it, at least
 MOST_DEPTH = 512  # what is nested deeper is read as if it were not, as browsers do
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
@@ -58,17 +62,27 @@ _SPACE = re.compile(r"\s+")
 _CUT = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "template", "noembed", "noframes"}
 
 
-def named_outside(names: str) -> bool:
-    """Whether one of the names begins or ends with a word of NAMES, layout modifiers apart."""
+def named_outside(names: str) -> int:
+    """2 where a name is of a region outside any article, 1 where only outside an article it can be taken for one, else 0.
+
+    Names that hold nothing but words of NAMES and NEUTRAL, or that begin or end with a word for comments, are of the
+    first kind. Of the second are others that begin or end with a word of NAMES, such as "social-history".
+    """
+    most = 0
     for name in names.split():
-        parts = [x for x in re.split(r"[-_]+", name) if x]
-        if parts and LAYOUT.isdisjoint(x.lower() for x in parts) and (NAMES.fullmatch(parts[0]) or NAMES.fullmatch(parts[-1])):
-            return True
-    return False
+        parts = [x for x in re.split(r"[-_]+", name.lower()) if x]
+        if not parts or not LAYOUT.isdisjoint(parts):
+            continue
+        known = [bool(NAMES.fullmatch(x)) for x in parts]
+        if COMMENTS.fullmatch(parts[0]) or COMMENTS.fullmatch(parts[-1]):
+            return 2
+        if known[0] or known[-1]:
+            most = max(most, 2 if all(k or x in NEUTRAL or x.isdigit() or x == "#" for k, x in zip(known, parts, strict=True)) else 1)
+    return most
 
 
-def read_attributes(attrs: str) -> tuple[str, bool, bool]:
-    """(names, whether they mark a region outside the article, whether the element isn't shown) of a tag's attributes."""
+def read_attributes(attrs: str) -> tuple[str, int, bool]:
+    """(names, whether they mark a region outside the article as named_outside() says, whether the element isn't shown) of a tag's attributes."""
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))  # of two the first counts, as in browsers
@@ -153,8 +167,9 @@ def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
                 elif stack[k][0] in STOPS.get(tag, BLOCK):
                     break
         attrs = m[3] or ""
-        names, apart, unseen = (_short_attributes if len(attrs) < 500 else read_attributes)(attrs) if attrs else ("", False, False)
-        outside = unseen or (tag in OUTSIDE and not (tag == "header" and any(s[0] in ("article", "main") for s in stack))) or (apart and tag not in ("html", "body", "article", "main"))
+        names, apart, unseen = (_short_attributes if len(attrs) < 500 else read_attributes)(attrs) if attrs else ("", 0, False)
+        within = (apart == 1 or tag == "header") and any(s[0] in ("article", "main") for s in stack)
+        outside = unseen or (tag in OUTSIDE and not (tag == "header" and within)) or (apart > within and tag not in ("html", "body", "article", "main"))
         if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in BLOCK or outside:
@@ -163,7 +178,7 @@ def text_nodes(page: str | None) -> Iterator[tuple[str, int, str]]:
             e = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = e.end() if e else size
             continue
-        if len(stack) >= MOST_DEPTH:
+        if len(stack) >= MOST_DEPTH and (not (outside or tag in RAW) or any(s[2] for s in stack)):  # a region counts at any depth
             deeper[tag] += 1
             continue
         stack.append((tag, f"{tag}.{names}" if names else tag, outside))
@@ -279,12 +294,17 @@ def extract(page: str | None, known: Mapping[int, int] = MappingProxyType({})) -
     """The text of the slots of one page, given the class of each of the template's tokens.
 
     The template decides on every page, inside articles too. Regions only check the slots that are left: those outside
-    an article or main element go, if the page has one.
+    an article or main element go, if the page has one, but for paragraphs right before it.
     """
     blocks = blocks_of(page)
     kept = [b for _, b in slots(blocks, known) if "!" not in b[1]]
+    first = next((i for i, b in enumerate(kept) if _ARTICLE.search(b[1])), None)
     if any(_ARTICLE.search(p) for _, p, _ in blocks if "!" not in p):
-        kept = [b for b in kept if _ARTICLE.search(b[1])]
+        lead = len(kept) if first is None else first
+        around = "" if first is None else kept[first][1][: _ARTICLE.search(kept[first][1]).start()]
+        while first is not None and lead and re.fullmatch(re.escape(around) + r"/?p(\.[^/]*)?", kept[lead - 1][1]) and kept[lead - 1][2].count(" ") >= LEAD_WORDS - 1:
+            lead -= 1
+        kept = [b for i, b in enumerate(kept) if _ARTICLE.search(b[1]) or (first is not None and lead <= i < first)]
     return "\n".join(text for _, _, text in kept)
 
 
