@@ -289,6 +289,33 @@ def test_budgets(spark):
     assert [r.i for r in items.select(ranking.greedy_budget(F.col("x"), 500)).first()[0]] == [1, 3]  # skips and goes on
 
 
+@pytest.mark.parametrize(("fit", "pieces"), [(5, 7), (10_000, 3)])
+def test_budgets_of_a_hot_key(spark, fit, pieces):
+    """One key over many pieces, a null key, ties of tokens, zeros: as the plain loops."""
+    rng = np.random.default_rng(fit)
+    rows = [(None if i % 29 == 0 else 1 if i % 10 else i % 7, i, None if i % 31 == 0 else int(rng.integers(0, 60)) * (i % 3 > 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, i int, tokens long").repartition(6)
+    prefix, fitted = set(), set()
+    for key in {r[0] for r in rows}:
+        used, ended, rest = 0, False, 900
+        for _, i, t in sorted((r for r in rows if r[0] == key), key=lambda r: -r[1]):
+            used += t or 0
+            ended |= used > 900
+            if not ended:
+                prefix.add((i, used))
+            if (t or 0) <= rest:
+                rest -= t or 0
+                fitted.add(i)
+    run = ranking.running_budget(df, ["k"], [F.desc("i")], "tokens", F.lit(900), pieces)
+    assert {(r.i, r.used) for r in run.collect()} == prefix
+    parts = ranking.prefix_sums(df, ["k"], [F.desc("i")], "tokens", "used", pieces).filter("k = 1")
+    assert parts.select(F.spark_partition_id()).distinct().count() > 1
+    got = ranking.greedy_fit(df, ["k"], [F.desc("i")], "tokens", 900, fit, pieces).collect()
+    assert {r.i for r in got} == fitted
+    assert len(got) == len(fitted)
+    assert ranking.greedy_fit(df.filter("false"), ["k"], [F.desc("i")], "tokens", 900).collect() == []
+
+
 def test_overfetch_falls_short(spark):
     rows = [("hog", f"2024-01-01 00:{i:02d}:00", 0.9) for i in range(30)] + [("b", "2024-01-01 00:00:00", 0.5), ("c", "2024-01-01 00:00:00", 0.4)]
     w = spark.createDataFrame(rows, "charger_id string, window_start string, anomaly_score double")

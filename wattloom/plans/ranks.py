@@ -92,10 +92,8 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations have a bounded number of turns, so each one's turns are gathered in one row."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", count_tokens(F.col("text")).alias("tokens")))).alias("items"))
-    kept = c.select("conv_id", ranking.greedy_budget(F.col("items"), 500).alias("kept"))
-    return kept.select("conv_id", F.explode("kept").alias("k")).select("conv_id", F.col("k.turn").alias("turn"), F.col("k.tokens").alias("tokens"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", count_tokens(F.col("text")).alias("tokens"))
+    return ranking.greedy_fit(c, ["conv_id"], [F.asc("turn")], "tokens", 500)
 
 
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
