@@ -57,7 +57,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences and documents of each term; null lang, source and text are empty."""
     empty = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     rows = docs.select(*empty, ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    return rows.mapInPandas(released(_counted), "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    found = rows.mapInPandas(released(_counted), "lang string, source string, term string, n long, d long")
+    # dealt by what all later steps share: a term's rows, a few from each mapper, are shuffled once
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(count: Column, total: Column, kept: Column, smoothing: int, scale: int) -> Column:
@@ -103,10 +105,10 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, smoothing:
     are read whole; extra columns are not read.
     """
     small_batches(docs.sparkSession)
-    counts = stored(term_counts(docs))
     groups = stored(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct())
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("d").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
-    kept = stored(counts.drop("d").join(whole, ["lang", "term"]))
+    of_term = Window.partitionBy("lang", "term")  # as many rows as its language has sources
+    whole = term_counts(docs).withColumns({"all": F.sum("n").over(of_term), "docs": F.sum("d").over(of_term)})
+    kept = stored(whole.filter(F.col("docs") >= least_docs).drop("d", "docs"))
     by_lang = kept.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
     by_lang = groups.select("lang").distinct().join(by_lang, "lang", "left").fillna(0, ["v", "lang_n"])
     by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
