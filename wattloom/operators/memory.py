@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import CHECKPOINT_REF, derive_confidence
 from ..schemas import GATE_CONFIDENCE, GATE_CONFIRMATIONS, GATE_SIMILARITY, MERGE_DISTANCE, POSITIVE_OUTCOME, SUPERSEDE_DISTANCE
 from ..sources.scratch import written
+from . import retrieval
 from .validation import validate_refs
 
 
@@ -147,52 +148,113 @@ def session_links(reasoning: DataFrame) -> DataFrame:
 
 DECISIONS = "id long, action string, target long, step int"
 _REFS = "array<string>"
+#: Rows of a block, and what rounding may add to a distance.
+WRITE_BLOCK, REACH = 1_000, 1e-9
 
 
-def decide_writes(memories: DataFrame, new: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
+    """edges (u, v) -> (id, root): the smallest id that is connected, for every id in an edge.
+
+    Each round takes the smallest root of the neighbours, and then that root's own; rounds are written down.
+    """
+    both = written(edges.union(edges.select("v", "u")).distinct())
+    roots = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
+    while True:
+        around = both.join(roots.toDF("v", "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("low"))
+        step = roots.join(around, "id").select("id", F.least("root", "low").alias("root"), F.col("root").alias("before"))
+        above = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        after = written(step.join(above, "root").select("id", F.least("root", "up").alias("root"), "before"))
+        roots = after.drop("before")
+        if not after.filter("root != before").limit(1).count():
+            return roots
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges that connect what is near in a block: each row to the first of its group, so no more edges than rows."""
+    u, ids, new = _unit(pdf["v"]), pdf["a"].to_numpy(), pdf["is_new"].to_numpy()
+    close = (1.0 - u @ u.T < SUPERSEDE_DISTANCE + REACH) & (new[:, None] | new[None, :])
+    group = np.full(len(ids), -1)
+    for i in range(len(ids)):
+        front = np.array([i] if group[i] < 0 else [], dtype=int)
+        group[front] = i
+        while len(front):
+            found = close[front].any(axis=0) & (group < 0)
+            group[found] = i
+            front = np.flatnonzero(found)
+    led = group != np.arange(len(ids))
+    return pd.DataFrame({"u": ids[led], "v": ids[group[led]]})
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size > 0, size, 1.0)
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of one group of writes, one after the other."""
+    old, fresh = pdf[~pdf["is_new"]].sort_values("id"), pdf[pdf["is_new"]].sort_values("step")
+    rows = pd.concat([old, fresh], ignore_index=True)
+    units, ids, kinds = _unit(rows["vec"]), rows["id"].to_numpy(), rows["category"].to_numpy()
+    live = np.arange(len(rows)) < len(old)
+    out = []
+    for i in range(len(old), len(rows)):
+        at = -1
+        if live.any():
+            far = np.where(live, 1.0 - units @ units[i], np.inf)
+            at = int(np.lexsort((ids, far))[0])
+        if at >= 0 and far[at] < MERGE_DISTANCE:
+            units[at] = units[i]
+            out.append(("merged", ids[at]))
+            continue
+        over = at >= 0 and far[at] < SUPERSEDE_DISTANCE and kinds[at] == kinds[i]
+        if over:
+            live[at] = False
+        live[i] = True
+        out.append(("inserted", ids[at] if over else None))
+    made = pd.DataFrame(out, columns=["action", "target"])
+    made["target"] = made["target"].astype("Int64")
+    return pd.concat([fresh[["_scope", "root", "id", "step"]].reset_index(drop=True), made], axis=1)
+
+
+def decide_writes(memories: DataFrame, new: DataFrame, block: int = WRITE_BLOCK) -> DataFrame:
     """(id, action, target, step) of each new memory: merged into the target, or inserted, superseding the target if any.
 
     In order of their id, scope by scope, because each one changes what the next one meets. The nearest active memory
     of the scope decides: closer than MERGE_DISTANCE (of any category) the new one is merged into it; else it is
     inserted, and supersedes the nearest if that is closer than SUPERSEDE_DISTANCE and of its category. Ties go to the
-    smallest id.
+    smallest id, and new rows that share an id are taken by category and vector. A new memory without a vector is
+    inserted.
+
+    A memory always lies where it was or where a write that was merged into it lies, and only what is closer than
+    SUPERSEDE_DISTANCE to a write matters to it. So writes and memories that no chain of such distances connects don't
+    depend on each other: a scope is cut into its connected groups, which are decided in order, each in a task.
+    Distances are taken in blocks of cells that can hold a near pair and give a spanning forest, no pairs. Of writes of one group with
+    the same vector that follow each other, the first decides: the others are merged into what it became or went to.
+    ``step`` is the place in the group.
     """
-    shape = lambda df, is_new, live: df.select(F.col("id").cast("long").alias("id"), "scope", "category", F.col("vec").cast("array<double>").alias("vec"), live.alias("live"), F.lit(is_new).alias("is_new"))
-    known = memories.filter(F.col("vec").isNotNull() & (F.col("status") == "active"))
-    both = shape(known, False, F.lit(True)).unionByName(shape(new, True, F.lit(True)))
-    empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "action": pd.Series(dtype=object), "target": pd.Series(dtype="Int64"), "step": pd.Series(dtype="int32")})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, fresh = pdf[~pdf.is_new].sort_values("id"), pdf[pdf.is_new].sort_values("id")
-        if not len(fresh):
-            return empty
-        size = len(old) + len(fresh)
-        ids, kinds = np.zeros(size, dtype=np.int64), np.empty(size, dtype=object)
-        units, live = np.zeros((size, len(fresh["vec"].iloc[0]))), np.zeros(size, dtype=bool)
-        unit = lambda v: (lambda a: a / (np.linalg.norm(a) or 1.0))(np.asarray(v, dtype=np.float64))
-        n = len(old)
-        ids[:n], kinds[:n], live[:n] = old["id"], old["category"], True
-        for i, v in enumerate(old["vec"]):
-            units[i] = unit(v)
-        out = []
-        for step, (i, kind, v) in enumerate(zip(fresh["id"], fresh["category"], fresh["vec"], strict=True)):
-            u = unit(v)
-            far = np.where(live[:n], 1.0 - units[:n] @ u, np.inf)
-            at = int(np.lexsort((ids[:n], far))[0]) if live[:n].any() else -1
-            if at >= 0 and far[at] < MERGE_DISTANCE:
-                units[at] = u
-                out.append((i, "merged", ids[at], step))
-                continue
-            over = at >= 0 and far[at] < SUPERSEDE_DISTANCE and kinds[at] == kind
-            if over:
-                live[at] = False
-            out.append((i, "inserted", ids[at] if over else None, step))
-            ids[n], kinds[n], units[n], live[n] = i, kind, u, True
-            n += 1
-        made = pd.DataFrame(out, columns=["id", "action", "target", "step"])
-        return made.assign(target=made["target"].astype("Int64"), step=made["step"].astype("int32"))
-
-    return both.groupBy("scope").applyInPandas(run, DECISIONS)
+    key = F.coalesce(F.concat(F.lit("="), "scope"), F.lit("")).alias("_scope")
+    shape = lambda df, is_new: df.select(F.col("id").cast("long").alias("id"), key, "category", F.col("vec").cast("array<double>").alias("vec"), F.lit(is_new).alias("is_new"))
+    fresh = written(shape(new, True))
+    known = shape(memories.filter(F.col("vec").isNotNull() & (F.col("status") == "active")), False).join(fresh.select("_scope").distinct(), "_scope", "left_semi")
+    both = written(known.unionByName(fresh))
+    points = both.filter(F.exists("vec", lambda x: x != 0)).select("_scope", F.col("id").alias("a"), F.col("vec").alias("v"), "is_new")
+    # old and new rows are cells of their own, so that old ones don't meet each other
+    cells = written(retrieval.cells_of(points, ["_scope"], block).withColumn("cell", 2 * F.col("cell") + F.col("is_new").cast("int")))
+    met = retrieval.cell_pairs(cells, ["_scope"], SUPERSEDE_DISTANCE + REACH).filter("met AND (cell % 2 = 1 OR other % 2 = 1)")
+    edges = retrieval.deal_pieces(cells, met, ["_scope"], block).groupBy("_scope", "left", "right").applyInPandas(_forest, "u long, v long")
+    roots = _roots(edges)
+
+    order = Window.partitionBy("_scope", "root").orderBy("id", "category", "vec")
+    placed = both.join(roots, "id")
+    writes = placed.filter("is_new").withColumns({"step": (F.row_number().over(order) - 1).cast("int"), "again": F.coalesce(F.lag("vec").over(order) == F.col("vec"), F.lit(False))})
+    writes = written(writes.withColumn("head", F.max(F.when(~F.col("again"), F.col("step"))).over(order)))
+    held = placed.filter("NOT is_new").withColumn("step", F.lit(-1)).unionByName(writes.filter("NOT again").drop("again", "head"))
+    firsts = written(held.join(writes.select("_scope", "root").distinct(), ["_scope", "root"], "left_semi").groupBy("_scope", "root").applyInPandas(_in_order, f"_scope string, root long, {DECISIONS}"))
+    to = F.when(F.col("action") == "merged", F.col("target")).otherwise(F.col("id")).alias("target")
+    copies = writes.filter("again").select("_scope", "root", F.col("id").alias("copy"), F.col("step").alias("at"), F.col("head").alias("step")).join(firsts, ["_scope", "root", "step"])
+    alone = fresh.join(roots, "id", "left_anti").select("id", F.lit("inserted").alias("action"), F.lit(None).cast("long").alias("target"), F.lit(0).alias("step"))
+    return firsts.select("id", "action", "target", "step").unionByName(copies.select(F.col("copy").alias("id"), F.lit("merged").alias("action"), to, F.col("at").alias("step"))).unionByName(alone)
 
 
 def write_memories(memories: DataFrame, new: DataFrame, reasoning: DataFrame | None = None) -> DataFrame:

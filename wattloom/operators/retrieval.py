@@ -25,6 +25,8 @@ from ..sources.scratch import written
 SEARCHABLE = {"outage_catalog": ("signature_vec", "root_cause"), "agent_reasoning": ("reasoning_vec", "observation"), "fleet_memory": ("memory_vec", "content"), "charger_windows": ("signature_vec", None)}
 MOST_QUERIES = 4_000
 BLOCK_ROWS = 2_000
+#: Cells of a key, and by how much the rounding of distances may widen their bounds.
+MOST_PIVOTS, MARGIN = 32, 1e-6
 #: Of a distance that count: copies tie, whatever blocks they fall in.
 DIGITS = 12
 log = logging.getLogger(__name__)
@@ -216,17 +218,68 @@ def touch(rows: DataFrame, hits: DataFrame, as_of: str, id_col: str = "id") -> D
     return out.withColumns(seen).select(rows.columns)
 
 
-def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "vec", id_col: str = "id", block: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, distance) of rows of one key closer than the limit, a before b. Rows without a vector are left out.
+def cells_of(live: DataFrame, keys: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """live (keys, a, v, ...) with ``cell``, the nearest of its key's pivots, and ``far``, the distance to each of them.
 
-    A key's rows are dealt into blocks of about ``block`` rows, and each two blocks are one task's matrix product, so a
-    hot key is as many tasks as it has pairs of blocks.
+    A key has one pivot for each block of rows, MOST_PIVOTS at most: the rows that a hash puts first. Pieces of its rows
+    meet the pivots in tasks of their own. A key of one block is one cell without pivots. Null keys are left out.
     """
-    live = rows.filter(F.col(vector).isNotNull()).select(*keys, F.col(id_col).alias("a"), F.col(vector).alias("v"))
-    live = live.filter(F.exists("v", lambda x: x != 0))
     parts = live.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = live.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")})
+    sized = live.join(parts, keys)
+    small = sized.filter("parts = 1").select(*live.columns, F.lit(0).alias("cell"), F.array().cast("array<double>").alias("far"))
+    large = sized.filter("parts > 1")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("a"), "a"))
+    pivots = large.withColumn("at", first).filter(F.col("at") <= MOST_PIVOTS).filter("at <= parts")
+    pivots = written(pivots.select(*keys, "parts", "at", F.col("v").alias("pivot")))
+    pivots = pivots.select(*keys, "at", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
+    pieces = large.withColumn("piece", F.pmod(F.xxhash64("a"), "parts").cast("int")).select(*live.columns, "piece")
+    names = live.columns
+
+    def assign(r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(r):
+            return pd.DataFrame({c: [] for c in (*names, "cell", "far")})
+        far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_units(r["v"]) @ _units(p.sort_values("at")["pivot"]).T)))
+        return r[names].assign(cell=far.argmin(axis=1), far=list(far))
+
+    at = [*keys, "piece"]
+    found = pieces.groupBy(*at).cogroup(pivots.groupBy(*at)).applyInPandas(assign, small.schema)
+    return small.unionByName(found)
+
+
+def cell_pairs(cells: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """(keys, cell, other, n, m, met): each two cells of a key with their rows, and whether they can hold a close pair.
+
+    They cannot where, for some pivot, the distances of one cell's rows and those of the other's lie further apart than
+    the limit: by the triangle inequality so do the rows. MARGIN covers what rounding can do.
+    """
+    each = lambda f: F.array(*(f(F.get("far", F.lit(i))) for i in range(MOST_PIVOTS)))
+    bounds = written(cells.groupBy(*keys, "cell").agg(F.count("*").alias("n"), each(F.min).alias("lo"), each(F.max).alias("hi")))
+    others = bounds.withColumnsRenamed({"cell": "other", "n": "m", "lo": "lo2", "hi": "hi2"})
+    reach = float(np.sqrt(2.0 * max(limit, 0.0))) + MARGIN
+    apart = F.exists(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda b: F.coalesce((b["lo"] - b["hi2"] > reach) | (b["lo2"] - b["hi"] > reach), F.lit(False)))
+    return bounds.join(others, keys).select(*keys, "cell", "other", "n", "m", (~apart).alias("met"))
+
+
+def deal_pieces(cells: DataFrame, met: DataFrame, keys: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of cells_of() for each two pieces (``left``, ``right``) of the cells that met names; ``part`` is their own."""
+    pieces = lambda n: F.ceil(F.col(n) / block).cast("int")
+    number = lambda cell, piece: F.shiftleft(F.col(cell).cast("long"), 32) + piece
+    sizes = met.select(*keys, "cell", "other", pieces("n").alias("parts"), pieces("m").alias("others"))
+    dealt = cells.drop("far").join(sizes, [*keys, "cell"]).withColumn("part", number("cell", F.pmod(F.xxhash64("a"), "parts")))
+    dealt = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("partner", number("other", F.col("piece")))
+    return dealt.withColumns({"left": F.least("part", "partner"), "right": F.greatest("part", "partner")}).drop("cell", "other", "parts", "others", "piece", "partner")
+
+
+def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "vec", id_col: str = "id", block: int = BLOCK_ROWS, prune: bool = True) -> DataFrame:
+    """(a, b, distance) of rows of one key closer than the limit, a before b. Rows without a vector are left out.
+
+    A key's rows are dealt to cells around pivots, a cell into pieces of about ``block`` rows, and each two pieces whose
+    cells can hold a pair are one task's matrix product, so a hot key is many tasks. ``prune=False`` compares all cells.
+    """
+    live = rows.filter(F.col(vector).isNotNull()).select(*keys, F.col(id_col).alias("a"), F.col(vector).cast("array<double>").alias("v"))
+    cells = written(cells_of(live.filter(F.exists("v", lambda x: x != 0)), keys, block))
+    met = cell_pairs(cells, keys, limit)
+    dealt = deal_pieces(cells, met.filter("met") if prune else met, keys, block)
     fields = [*[live.schema[k] for k in keys], T.StructField("a", live.schema["a"].dataType), T.StructField("b", live.schema["a"].dataType), T.StructField("distance", T.DoubleType())]
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,12 +287,12 @@ def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "
         u, ids, part = _units(pdf["v"]), pdf["a"].to_numpy(), pdf["part"].to_numpy()
         far = 1.0 - u @ u.T
         close = (far < limit) & (ids[:, None] < ids[None, :])
-        if pdf["left"].iloc[0] != pdf["right"].iloc[0]:  # pairs within a block are another task's
+        if pdf["left"].iloc[0] != pdf["right"].iloc[0]:  # pairs within a piece are another task's
             close &= part[:, None] != part[None, :]
         i, j = np.nonzero(close)
         return pd.DataFrame({**{k: pdf[k].to_numpy()[i] for k in keys}, "a": ids[i], "b": ids[j], "distance": far[i, j]})
 
-    return dealt.select(*keys, "a", "v", "part", "left", "right").groupBy(*keys, "left", "right").applyInPandas(near, T.StructType(fields))
+    return dealt.groupBy(*keys, "left", "right").applyInPandas(near, T.StructType(fields))
 
 
 def embed(texts: Column, provider: Callable[[pd.Series], pd.Series] | None = None, size: int = 384) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators import context, ranking
 from ..operators.lifecycle import snapshots_due
 from ..sources import sinks
 from ..sources.adapters import changes_to_embed, parse_changes, reasoning_of_events, table, telemetry_of_events
+from ..sources.scratch import scratch_dir
+from ..sources.store import Store
 from . import sql
 from .windows import _start, daily
 
@@ -111,6 +115,24 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(c.filter("c_custkey % 3 != 0"), new, ["c_custkey"], ["c_name"])
 
 
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upsert, on a stored table in buckets of which only those with new rows are written."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    store = Store(spark, f"{scratch_dir(spark)}/buckets-{uuid.uuid4().hex}")
+    store.write_buckets("customer", c.filter("c_custkey % 3 != 0"), ["c_custkey"], buckets=32)
+    store.upsert("customer", c.filter("c_custkey % 2 = 0").withColumns({"c_name": F.lit("new"), "c_mktsegment": F.lit("NEW")}), ["c_name"])
+    return store.read_buckets("customer")
+
+
+def retention_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retention_filter, on a stored table by date of which only the partition with the limit is read."""
+    path = f"{scratch_dir(spark)}/retention-{uuid.uuid4().hex}"
+    rows = telemetry_of_events(spark, sf_dir).select("event_id", "ts")
+    sinks.append(rows, path, by_date_of="ts")
+    sinks.drop_partitions(spark, path, "ts", "7 DAYS", AS_OF)
+    return spark.read.schema(rows.schema).parquet(path).select("event_id")
+
+
 def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.retain(telemetry_of_events(spark, sf_dir), "ts", "7 DAYS", AS_OF).select("event_id")
 
@@ -153,7 +175,7 @@ def distinct_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "top_windows": top_windows, "top_entities_exact": entities(True, 25), "top_entities_overfetch": entities(False, 25), "latest_per_entity": latest_per_entity, "recent_per_entity": recent_per_entity, "recent_windows": recent_windows, "latest_checkpoint": latest_checkpoint, "active_investigations": active_investigations,
-    "left_join_registry": left_join_registry, "scalar_count_24h": scalar_count_24h, "anomalies_snapshot": anomalies_snapshot, "investigations_snapshot": investigations_snapshot, "site_parse": site_parse, "budget_prefix": budget_prefix, "budget_greedy": budget_greedy, "token_budget": token_budget, "insert_ignore": insert_ignore, "upsert": upsert, "retention_filter": retention_filter,
+    "left_join_registry": left_join_registry, "scalar_count_24h": scalar_count_24h, "anomalies_snapshot": anomalies_snapshot, "investigations_snapshot": investigations_snapshot, "site_parse": site_parse, "budget_prefix": budget_prefix, "budget_greedy": budget_greedy, "token_budget": token_budget, "insert_ignore": insert_ignore, "upsert": upsert, "upsert_buckets": upsert_buckets, "retention_filter": retention_filter, "retention_partitions": retention_partitions,
     "vector_write_back": vector_write_back, "canal_parse": canal_parse, "repeat_breaker": repeat_breaker, "run_summary": run_summary, "fleet_summary": fleet_summary, "snapshots_due": distinct_active,
 }
 
@@ -180,7 +202,9 @@ ORACLE = {
     "token_budget": f"SELECT p_partkey, ((p_partkey * 10 + 4000) * 9 // 10)::INTEGER AS budget, {_TOK.format('p_name')} AS tokens FROM part",
     "insert_ignore": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0",
     "upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
+    "upsert_buckets": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "retention_filter": f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS",
+    "retention_partitions": f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS",
     "vector_write_back": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 2 = 0 THEN label END AS label FROM embeddings",
     "canal_parse": "SELECT 'fleet_memory' AS \"table\", event_id AS id, event_type AS content FROM events WHERE event_id % 3 <> 2 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id <> 0",
     "repeat_breaker": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = a AND event_type = b",

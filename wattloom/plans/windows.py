@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import banding as B
 from ..functions import scoring, texts
 from ..operators.validation import validate_telemetry, validate_windows
-from ..operators.windows import window_aggregate
+from ..operators.windows import merge_states, window_aggregate, window_states, windows_of_states
 from ..schemas import TERMS
 from ..sources.adapters import telemetry_of_events
+from ..sources.scratch import written
 from . import sql
 
 START = "yyyy-MM-dd HH:mm:ss"
@@ -20,14 +21,21 @@ def daily(spark: SparkSession, sf_dir: str, length: str = "1 day") -> DataFrame:
     return window_aggregate(telemetry_of_events(spark, sf_dir), length)
 
 
+def daily_of_states(spark: SparkSession, sf_dir: str, length: str = "1 day") -> DataFrame:
+    """Days from the stored states of 5 minutes, with those of a tenth of the rows that came after these were stored."""
+    t = telemetry_of_events(spark, sf_dir)
+    stored, late = (window_states(t.filter(c)) for c in ("event_id % 10 > 0", "event_id % 10 = 0"))
+    return windows_of_states(merge_states(written(stored).unionByName(late), length))
+
+
 def _start() -> Column:
     return F.date_format("window_start", START).alias("window_start")
 
 
-def _full(length: str):  # noqa: ANN202
+def _full(length: str, make=daily):  # noqa: ANN001, ANN202
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = lambda c: F.col(c).cast("double").alias(c)
-        w = daily(spark, sf_dir, length)
+        w = make(spark, sf_dir, length)
         return w.select(
             "charger_id", _start(), "msg_count", d("avg_power_w"), "max_power_w", d("min_voltage_v"), d("max_voltage_v"), "voltage_stddev", d("avg_current_a"), d("max_temp_c"), d("avg_temp_c"), "error_count", "status_changes",
             F.array_join("distinct_errors", ",").alias("distinct_errors"), "avg_fan_rpm", d("max_earth_leak"), F.element_at("anomaly_flags", 1).alias("flag"), "anomaly_score",
@@ -71,7 +79,7 @@ _BANDS = {
 }
 
 QUERIES = {
-    "window_agg_1d": _full("1 day"), "window_agg_5m": _full("5 minutes"), "anomaly_breakdown": breakdown_rows, "validate_rows": validated, "validate_windows": validated_windows, "raw_projection": messages,
+    "window_agg_1d": _full("1 day"), "window_agg_5m": _full("5 minutes"), "window_agg_of_states": _full("1 day", daily_of_states), "anomaly_breakdown": breakdown_rows, "validate_rows": validated, "validate_windows": validated_windows, "raw_projection": messages,
     **{k: _column(k, v) for k, v in _BANDS.items()},
 }
 
@@ -103,7 +111,7 @@ SELECT event_id, CASE WHEN status IS NULL THEN 'missing status' ELSE concat_ws('
  errors = '' AS is_valid, CASE WHEN status IS NULL THEN soc_percent ELSE greatest(0, least(100, soc_percent)) END AS soc_percent, (CASE WHEN status IS NULL THEN leak ELSE greatest(0, leak) END)::DOUBLE AS earth_leak_ma FROM t"""
 
 ORACLE = {
-    "window_agg_1d": _all("1 day"), "window_agg_5m": _all("5 minutes"), "validate_rows": _BROKEN,
+    "window_agg_1d": _all("1 day"), "window_agg_of_states": _all("1 day"), "window_agg_5m": _all("5 minutes"), "validate_rows": _BROKEN,
     "anomaly_breakdown": f"WITH {sql.windows()}, b AS (SELECT charger_id, {sql.ts('window_start')} AS window_start, {', '.join(f'{sql.feature(t[0])} AS {t[0]}' for t in TERMS)} FROM win) SELECT *, round(least(1.0::DOUBLE, {' + '.join(f'coalesce({t[0]}, 0.0::DOUBLE) * {t[4]}::DOUBLE' for t in TERMS)}), 3) AS score FROM b",
     "validate_windows": f"WITH {sql.windows()} SELECT charger_id, {sql.ts('window_start')} AS window_start, CASE WHEN msg_count > 4 THEN 'missing window_end' ELSE '' END AS errors, CASE WHEN anomaly_score * 2 > 1 THEN 'score clamped' ELSE '' END AS warnings, msg_count <= 4 AS is_valid, greatest(0.0::DOUBLE, least(1.0::DOUBLE, anomaly_score * 2)) AS anomaly_score FROM win",
     "raw_projection": f"WITH {sql.TELEMETRY} SELECT event_id, charger_id, status, error_code, voltage_v::DOUBLE AS voltage_v, power_w FROM tel",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +42,33 @@ def retain(rows: DataFrame, column: str, interval: str, as_of: str) -> DataFrame
     return rows.filter(F.col(column) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}"))
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, interval: str, as_of: str) -> dict[str, list[str]]:
+    """Retention of a table that append() has partitioned by the date of ``column``; which partitions went or were cut.
+
+    Partitions that lie wholly before the limit are removed without being read, and so are rows without a time. Only the
+    partition that holds the limit is read and written anew, beside the old one, which it then replaces; later ones stay
+    as they are. A run that breaks off can be run again.
+    """
+    limit = spark.sql(f"SELECT timestamp_ntz '{as_of}' - INTERVAL {interval}").first()[0]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done: dict[str, list[str]] = {"dropped": [], "cut": []}
+    for day in sorted(s.getPath().getName() for s in fs.listStatus(hadoop(path))):
+        date = day.removeprefix("dt=")
+        if date == day or (date > str(limit.date()) and not date.startswith("__")):  # "__": no time
+            continue
+        if date == str(limit.date()):
+            new = f"{path}/_kept-{uuid.uuid4().hex}"
+            retain(spark.read.parquet(f"{path}/{day}"), column, interval, as_of).write.parquet(new)
+            fs.delete(hadoop(f"{path}/{day}"), True)
+            fs.rename(hadoop(new), hadoop(f"{path}/{day}"))
+            done["cut"].append(day)
+        else:
+            fs.delete(hadoop(f"{path}/{day}"), True)
+            done["dropped"].append(day)
+    return done
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
