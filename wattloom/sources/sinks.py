@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +45,24 @@ def drop_partitions(spark: SparkSession, path: str, column: str, interval: str,
 
     Partitions that lie wholly before the limit are removed without being read, and so are rows without a time. Only the
     partition that holds the limit is read and written anew, beside the old one, which it then replaces; later ones stay
-    as they are. A run that breaks off can be run again.
+    as they are. A run that broke off is mended by the next one.
     """
     limit = spark.sql(f"SELECT timestamp_ntz '{as_of}' - INTERVAL {interval}").first()[0]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     done: dict[str, list[str]] = {"dropped": [], "cut": []}
+    for left in [s.getPath().getName() for s in fs.listStatus(hadoop(path)) if s.getPath().getName().startswith("_kept-")]:
+        day = hadoop(f"{path}/{left.removeprefix('_kept-')}")
+        if fs.exists(day):  # it broke off before the old day went
+            fs.delete(hadoop(f"{path}/{left}"), True)
+        else:
+            fs.rename(hadoop(f"{path}/{left}"), day)
     for day in sorted(s.getPath().getName() for s in fs.listStatus(hadoop(path))):
         date = day.removeprefix("dt=")
         if date == day or (date > str(limit.date()) and not date.startswith("__")):  # "__": no time
             continue
         if date == str(limit.date()):
-            new = f"{path}/_kept-{uuid.uuid4().hex}"
+            new = f"{path}/_kept-{day}"
             retain(spark.read.parquet(f"{path}/{day}"), column, interval, as_of).write.parquet(new)
             fs.delete(hadoop(f"{path}/{day}"), True)
             fs.rename(hadoop(new), hadoop(f"{path}/{day}"))
