@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,28 @@ def test_tree_sum(spark):
     assert (got == total).all()
 
 
+@pytest.mark.parametrize("tokens", [1, 7, 40, 10_000])
+def test_runs_end_at_breaks(monkeypatch, tokens):
+    """Runs hold every piece whole and in order, long pieces too; lists of words hold every count."""
+    monkeypatch.setattr(collocations, "RUN_TOKENS", tokens)
+    monkeypatch.setattr(collocations, "LIST_WORDS", 5)
+    texts = ["a b c\nd e", "", "\n\n", " ".join(f"w{i % 13}" for i in range(30)), "z", "a b\n" * 20]
+    out = pd.concat(collocations._tokenised(iter([pd.DataFrame({"lang": "x", "text": texts})])))  # noqa: SLF001
+    name = dict(zip(map(bytes, collocations.word_hashes("x", words := [w for part in out["words"].dropna() for w in part]).T.copy()), words, strict=True))
+    pieces, counts = [], Counter(dict(zip(words, (n for part in out["n"].dropna() for n in part), strict=True)))
+    for h, c in out[["hashes", "codes"]].dropna().itertuples(index=False):
+        hashes, codes = collocations._decoded(h, c)  # noqa: SLF001
+        assert codes[-1] == 0
+        named = [name.get(bytes(x), "\n") for x in hashes.T.copy()]
+        run = [named[k] for k in codes]
+        ended = "".join(w if w == "\n" else w + " " for w in run).split("\n")[:-1]
+        assert len(run) <= tokens or len(ended) == 1
+        pieces += ended
+    want = [" ".join(p.split()) for t in texts for p in t.split("\n")]
+    assert [p.strip() for p in pieces] == want
+    assert counts == Counter(" ".join(want).split())
+
+
 def test_collocations_empty(odd):
     assert collocations.collocations(odd.filter("false")).collect() == []
     assert collocations.collocations(odd.filter("text IS NULL"), least=1).collect() == []

@@ -1,6 +1,6 @@
 """Phrase collocation mining on a minimal perfect hash.
 
-1. Texts become runs: codes of words in a vocabulary of the run, breaks between pieces. The words of all runs are counted.
+1. Texts become runs: codes of words in a vocabulary of the run, breaks between pieces. The words of all texts are counted.
 2. A phrase can only be frequent if its parts are. So for pairs of frequent words, and then for longer phrases whose
    pairs are all frequent, mappers count hashed buckets; only phrases in a bucket that reaches the threshold are
    candidates, and no frequent phrase is missed.
@@ -31,14 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, chunks, released, small_batches, stored
+from .common import ascii_lower, chunks, few_rows_read, released, small_batches, stored
 
 LEAST, MOST_WORDS, MOST_RANK = 100, 5, 2000
 #: Characters that end a piece.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 CHUNK_CHARS = 2_000_000
-MOST_SLOTS, MOST_BITS, BLOCK_BITS = 4_000_000, 28, 16
+#: Words of one row of the list of words, tokens of one run, and runs that are read at once: rows stay well below 1 MB.
+LIST_WORDS, RUN_TOKENS, RUNS_READ = 8_192, 60_000, 16
+MOST_SLOTS, MOST_BITS, BLOCK_BITS = 4_000_000, 28, 15
 FAN_IN, BUFFER = 16, 1_000_000
+#: Words (16 bytes each) of candidate phrases of one length that a mapper holds before it looks for repeated ones.
+HELD_WORDS = 600_000
 _TOKEN = re.compile(r"[^ \n]+|\n")
 _MIX = [(0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB)]
 _COUNTS = "block int, lane int, at binary, n binary"
@@ -210,7 +214,22 @@ def _in_map(bitmap: np.ndarray, bits: int, hi: np.ndarray) -> np.ndarray:
 # runs
 
 
+def _run_ends(codes: np.ndarray) -> list[int]:
+    """Where runs of at most RUN_TOKENS end, each after a break; a longer piece is a run of its own."""
+    ends, out = np.flatnonzero(codes == 0) + 1, [0]
+    while out[-1] < len(codes):
+        last = int(np.searchsorted(ends, out[-1] + RUN_TOKENS, "right")) - 1
+        fits = last >= 0 and ends[last] > out[-1]
+        out.append(int(ends[last if fits else last + 1]))
+    return out
+
+
+def _code_type(words: int) -> str:
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
 def _tokenised(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of two kinds: words with their counts in a chunk of texts, and runs: hashes of words and codes of tokens."""
     for pdf in chunks(it, "text", CHUNK_CHARS):
         for lang, part in pdf.groupby("lang", sort=False):
             vocabulary: dict[str, int] = defaultdict()
@@ -219,15 +238,24 @@ def _tokenised(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes = [np.fromiter(map(vocabulary.__getitem__, _TOKEN.findall(t + "\n")), dtype="<u4") for t in part["text"]]
             codes = np.concatenate(codes)
             words = list(vocabulary)
-            n = np.bincount(codes, minlength=len(words))
-            if len(words) > 1:
-                yield pd.DataFrame({"lang": [lang], "words": [words[1:]], "n": [n[1:]], "hashes": [word_hashes(lang, words).tobytes()], "codes": [codes.tobytes()]})
+            if len(words) == 1:
+                continue
+            n, hashes = np.bincount(codes, minlength=len(words)), word_hashes(lang, words)
+            rows = [(lang, words[a : a + LIST_WORDS], n[a : a + LIST_WORDS], None, None) for a in range(1, len(words), LIST_WORDS)]
+            for a, b in itertools.pairwise(_run_ends(codes)):
+                used, local = np.unique(codes[a:b], return_inverse=True)  # a run ends with a break, which stays code 0
+                rows.append((lang, None, None, hashes[:, used].tobytes(), local.astype(_code_type(len(used))).tobytes()))
+            yield pd.DataFrame(rows, columns=["lang", "words", "n", "hashes", "codes"])
+
+
+def _decoded(hashes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    by_word = np.frombuffer(hashes, dtype=np.uint64).reshape(2, -1)
+    return by_word, np.frombuffer(codes, dtype=_code_type(by_word.shape[1]))
 
 
 def _phrases(hashes: bytes, codes: bytes, ks: list[int], maps: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, starts, keys) of the phrases whose words, and with a second map whose pairs, are in the maps."""
-    by_word = np.frombuffer(hashes, dtype=np.uint64).reshape(2, -1)
-    codes = np.frombuffer(codes, dtype="<u4")
+    by_word, codes = _decoded(hashes, codes)
     known = _in_map(*maps[0], phrase_keys(by_word, np.arange(by_word.shape[1]), 1)[0])
     known[0] = False
     words = by_word[:, codes]
@@ -291,13 +319,13 @@ def _candidate_pass(runs: DataFrame, ks: list[int], maps: list, heavy: np.ndarra
         lane, held = TaskContext.get().partitionId(), {k: [] for k in ks}
         for pdf in it:
             for h, c in zip(pdf["hashes"], pdf["codes"], strict=True):
-                both, codes = np.frombuffer(h, dtype=np.uint64).reshape(2, -1).T, np.frombuffer(c, dtype="<u4")
+                both, codes = _decoded(h, c)
                 for k, starts, keys in _phrases(h, c, ks, shared.value[0]):
                     starts = starts[_in_map(shared.value[1], bits, keys[0])]
-                    held[k].append(_distinct([both[codes[starts[:, None] + np.arange(k)]]], k))
-                    if sum(map(len, held[k])) > BUFFER:
+                    held[k].append(_distinct([both.T[codes[starts[:, None] + np.arange(k)]]], k))
+                    if k * sum(map(len, held[k])) > HELD_WORDS:
                         held[k] = [_distinct(held[k], k)]
-                        if len(held[k][0]) > BUFFER // 2:
+                        if k * len(held[k][0]) > HELD_WORDS // 2:
                             yield rows(held[k].pop(), k, lane)
         for k in ks:
             yield rows(_distinct(held[k], k), k, lane)
@@ -359,7 +387,8 @@ def _count_pass(runs: DataFrame, ks: list[int], maps: list, candidates: DataFram
                     yield pd.DataFrame({"hi": hi, "lo": lo, "n": n[n >= least]})
 
         counted = tree_sum(runs.select("hashes", "codes").mapInPandas(make, _COUNTS), runs.rdd.getNumPartitions())
-        out.append(stored(counted.mapInPandas(read, "hi long, lo long, n long")))
+        with few_rows_read(runs.sparkSession, RUNS_READ):
+            out.append(stored(counted.mapInPandas(read, "hi long, lo long, n long")))
         shared.unpersist()
     return reduce(DataFrame.union, out)
 
@@ -367,8 +396,9 @@ def _count_pass(runs: DataFrame, ks: list[int], maps: list, candidates: DataFram
 def _frequent(runs: DataFrame, ks: list[int], maps: list, single: DataFrame, at_most: int, least: int, most_slots: int) -> DataFrame:
     """(hi, lo, lang, phrase, n) of the frequent phrases of ks words, of which the corpus has ``at_most`` occurrences."""
     bits = _bits_for(at_most, 1 / 8)
-    heavy = _bucket_pass(runs, ks, maps, bits, least)
-    candidates = stored(_candidate_pass(runs, ks, maps, heavy, bits))
+    with few_rows_read(runs.sparkSession, RUNS_READ):
+        heavy = _bucket_pass(runs, ks, maps, bits, least)
+        candidates = stored(_candidate_pass(runs, ks, maps, heavy, bits))
     found = stored(candidates.join(_count_pass(runs, ks, maps, candidates, least, most_slots), ["hi", "lo"]))
     names = found.select("hi", "lo", "n", F.posexplode("words").alias("at", "w_hi"), "words").filter("at % 2 = 0").withColumn("w_lo", F.get("words", F.col("at") + 1))
     named = names.join(single.select(F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo"), "lang", F.col("phrase").alias("word")), ["w_hi", "w_lo"])
@@ -437,9 +467,11 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     small_batches(docs.sparkSession, rows=4_000, size="8m")  # longer runs have less words in common
     text = F.translate(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), BREAKS + "\t", "\n" * len(BREAKS) + " ")
     base = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
-    runs = stored(base.mapInPandas(released(_tokenised), "lang string, words array<string>, n array<long>, hashes binary, codes binary"))
-    words = runs.select("lang", F.inline(F.arrays_zip("words", "n"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("n").alias("n"))
-    words = stored(words)
+    both = stored(base.mapInPandas(released(_tokenised), "lang string, words array<string>, n array<long>, hashes binary, codes binary"))
+    runs = both.filter("codes IS NOT NULL").select("hashes", "codes")
+    words = both.filter("words IS NOT NULL").select("lang", F.inline(F.arrays_zip("words", "n"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("n").alias("n"))
+    with few_rows_read(docs.sparkSession, RUNS_READ):
+        words = stored(words)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     single = stored(words.filter(F.col("n") >= least).mapInPandas(_keyed, "lang string, phrase string, n long, hi long, lo long"))
     size = single.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()

@@ -85,6 +85,18 @@ def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def few_rows_read(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started in its body decode so few rows of a Parquet file at once: for tables whose rows are long."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def chunks(it: Iterator[pd.DataFrame], column: str, chars: int) -> Iterator[pd.DataFrame]:
     """Batches cut between rows, after about so many characters of a column: memory doesn't follow the rows of a batch."""
     for pdf in it:
