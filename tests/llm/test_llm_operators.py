@@ -606,6 +606,30 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_toxicity_of_repeated_labels_and_documents(spark):
+    """Whatever the order of the rows: a document labelled both ways is toxic, the first of its texts is learned from."""
+    rows = [(i, f"calm walk number{i} by the river") for i in range(20)] + [(i, f"vile idiot number{i} you fool") for i in range(20, 40)]
+    rows += [(21, "a calm walk"), (22, None), (None, "vile idiot")]
+    marks = [(i, int(i >= 20)) for i in range(40)] + [(i, 0) for i in range(20, 40)] + [(None, 1), (3, None)]
+    models = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame(marks[::turn], "doc_id long, toxic int").repartition(2)
+        models.append(toxicity.train(docs, labels))
+        out = toxicity.toxicity(docs, labels).toPandas()
+        assert not out["held_out"].isna().any()
+        assert not out.loc[out["doc_id"].isna(), "held_out"].any()
+        assert len(out) == len(rows)
+    once = toxicity.train(spark.createDataFrame([r for r in rows[:40] if r[0] not in (21, 22)] + [(21, "a calm walk"), (22, "")], "doc_id long, text string"), spark.createDataFrame(marks[:40], "doc_id long, toxic int"))
+    assert models[0].weights == models[1].weights
+    assert models[0].weights.keys() == once.weights.keys()
+
+
+def test_held_out_without_identifier(spark):
+    docs = spark.createDataFrame([(None, "ein kleiner Wald", "de"), (1, "a small wood", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.held_out for r in language_id.language_id(docs).collect()} == {None: False, 1: zlib.crc32(b"1") % 5 == 0}
+
+
 def test_toxicity_letters_of_all_documents(spark):
     docs = spark.createDataFrame([(i, "plain words") for i in range(20)] + [(100, "qxj unlabelled qxj"), (101, None), (102, "aaah")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")

@@ -208,8 +208,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
 def language_id(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, mixture. See train() and predict().
 
-    An empty table, or one without labelled rows, gives ``und`` throughout.
+    An empty table, or one without labelled rows, gives ``und`` throughout. Without an identifier a document is not held
+    out, and its language is never learned from.
     """
     model = train(docs, per_language)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "mixture")

@@ -237,15 +237,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_co
     """Fits on at most ``most_rows`` labelled documents whose crc32(identifier) mod FOLDS is not HELD_OUT.
 
     Which ones is decided by a hash of the identifier, half of the bound for each label; of those, texts longer than
-    TRAIN_CHARS are left out. The trigram model of the channel is counted over all documents.
+    TRAIN_CHARS are left out. A document labelled 0 and 1 counts as 1; of texts that repeat an identifier the first in
+    order is learned from; rows without an identifier are not. The trigram model of the channel is counted over all documents.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) != HELD_OUT
-    own = labels.filter(F.col("toxic").isNotNull() & fold).select(F.col(id_col).alias("id"), F.col("toxic").alias("toxic"))
+    own = labels.filter(F.col("toxic").isNotNull() & fold).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
-    picked = own.filter("toxic = 1").orderBy(*order).limit(most_rows // 2).union(own.filter("toxic = 0").orderBy(*order).limit(most_rows // 2)).dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
-    sample = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])
-    got = sorted((r["id"], r["text"], r["toxic"]) for r in sample.select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toLocalIterator())
+    picked = own.filter("toxic = 1").orderBy(*order).limit(most_rows // 2).union(own.filter("toxic = 0").orderBy(*order).limit(most_rows // 2))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    sample = texts.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted((r["id"], r["text"], r["toxic"]) for r in sample.toLocalIterator())
     return fit([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.float64), letters(corpus_trigrams(docs, text_col)))
 
 
@@ -268,9 +269,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) ->
     """One row per row of ``docs``: doc_id, held_out, score, predicted. Text is the only input of a score.
 
     Texts of any length are restored and scored whole; of restorations that cost the same the one that sorts last is
-    taken; extra columns, whatever their names, are not read. Without labelled rows every score is the same small prior. Of repeated labels or documents one is learned from.
+    taken; extra columns, whatever their names, are not read. Without labelled rows every score is the same small prior. Of repeated labels or documents one is
+    learned from, see train(). Without an identifier a document is not held out, and its label is never learned from.
     """
     model = train(docs, labels, most_rows)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
