@@ -97,7 +97,7 @@ def write_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _new_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     refs = F.array(F.concat(F.lit("charger_windows:"), (key % 300).cast("string")), F.concat(F.lit("nowhere:"), key.cast("string")), F.concat(F.lit("charger_windows:"), (key % 300).cast("string")), F.lit("No Ref"))
-    return table(spark, sf_dir, "events").filter("event_id % 10 = 0").select((key + 10_000_000).alias("id"), F.lit("CP-1").alias("charger_id"), F.lit("escalated").alias("resolution"), F.lit("0.90").cast("decimal(3,2)").alias("confidence"), refs.alias("evidence_refs"))
+    return table(spark, sf_dir, "events").select((key + 10_000_000).alias("id"), F.lit("CP-1").alias("charger_id"), F.lit("escalated").alias("resolution"), F.lit("0.90").cast("decimal(3,2)").alias("confidence"), refs.alias("evidence_refs"))
 
 
 def checkpoint_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ _SNAP = f"entity_id, snapshot_type, content, token_count, {sql.ts('expires_at')}
 _TOK = "floor(len(list_filter(regexp_split_to_array(trim({0}), '\\s+'), lambda w: w <> '')) * 13 / 10.0)::INTEGER"
 _NORM = "sqrt(list_dot_product({0}, {0}))"
 _LINKS = "l AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN -c_custkey ELSE c_custkey END AS id, 'agent_reasoning:' || c_custkey * CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END AS ref FROM customer)"
-_EVIDENCE = "e AS (SELECT event_id + 10000000 AS id, event_id % 300 AS k, 'charger_windows:' || event_id % 300 AS good, 'nowhere:' || event_id AS bad, EXISTS (SELECT 1 FROM customer WHERE c_custkey = event_id % 300) AS there FROM events WHERE event_id % 10 = 0)"
+_EVIDENCE = "e AS (SELECT event_id + 10000000 AS id, event_id % 300 AS k, 'charger_windows:' || event_id % 300 AS good, 'nowhere:' || event_id AS bad, EXISTS (SELECT 1 FROM customer WHERE c_custkey = event_id % 300) AS there FROM events)"
 ORACLE = {
     "session_state": f"{_ST}, w AS (SELECT 'S' || c_custkey AS session_id FROM customer WHERE c_custkey % 2 = 0) SELECT {_OUT} FROM st SEMI JOIN w USING (session_id) UNION ALL SELECT session_id, 'visitor', NULL, NULL, NULL, 4000, 0, '{AS_OF}' FROM w ANTI JOIN st USING (session_id)",
     "session_updates": f"{_ST}, {_UP}, a AS (SELECT session_id, user_id, coalesce(fc, focus_chargers) AS focus_chargers, focus_site, coalesce(s, investigation_summary) AS investigation_summary, token_budget, coalesce(t, tokens_used) AS tokens_used, last_active FROM st LEFT JOIN u USING (session_id)) SELECT {_OUT} FROM a UNION ALL SELECT session_id, NULL, array_to_string(fc, ','), NULL, s, 4000, coalesce(t, 0), '{AS_OF}' FROM u ANTI JOIN st USING (session_id) WHERE fc IS NOT NULL OR s IS NOT NULL OR t IS NOT NULL",
