@@ -332,6 +332,13 @@ def test_context(spark):
     assert got.tokens_used == 3 + 2 + 2 + 2 + 50
 
 
+def test_snapshot_scores_just_below_a_half(spark):
+    scores = {"a": 0.5065, "b": 0.5005, "c": 0.0005, "d": 0.2535, "e": 1.0}  # 1000 times 0.5065 is 506.49999999999994
+    w = spark.createDataFrame(list(scores.items()), "charger_id string, anomaly_score double").withColumn("window_start", F.lit("2024-01-19 00:00:00").cast("timestamp_ntz"))
+    got = {r.charger_id: r.content.split()[-1] for r in context.anomalies_snapshot(w, "2024-01-20 00:00:00").collect()}
+    assert got == {"a": "0.506", "b": "0.500", "c": "0.001", "d": "0.254", "e": "1.000"}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a'b"), (2, None)], "id long, t string")
     sinks.write_csv(df, str(tmp_path / "c"))

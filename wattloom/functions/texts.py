@@ -14,6 +14,11 @@ def _s(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def score_text(score: Column) -> Column:
+    """A score with three decimals: the double's thousandths rounded half up, not those of the shortest decimal that stands for it."""
+    return (F.round(score * F.lit(1000.0)).cast("decimal(5,0)") * F.lit("0.001").cast("decimal(3,3)")).cast("decimal(5,3)").cast("string")
+
+
 def window_text() -> Column:
     span = F.concat(F.lit("window "), F.date_format("window_start", TS), F.lit(" to "), F.date_format("window_end", TS))
     return F.concat_ws(
