@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wattloom.functions import texts
 from wattloom.operators import ann, context, lifecycle, memory, ranking, retrieval, validation
 from wattloom.operators.tools import Tools
 from wattloom.operators.windows import window_aggregate
@@ -339,6 +340,16 @@ def test_snapshot_scores_just_below_a_half(spark):
     assert got == {"a": "0.506", "b": "0.500", "c": "0.001", "d": "0.254", "e": "1.000"}
 
 
+#: A text of a window, and what it says of a score of 0.5065.
+WINDOW_TEXTS = [("trigger_text", "Anomaly score 0.506 for")]
+
+
+@pytest.mark.parametrize("name, said", WINDOW_TEXTS)
+def test_texts_of_scores_just_below_a_half(spark, name, said):
+    w = window_aggregate(telemetry_of_events(spark, "/root/testdata/sf0.001"), "1 day").limit(1).withColumn("anomaly_score", F.lit(0.5065))
+    assert said in w.select(getattr(texts, name)().alias("t")).first().t
+
+
 def test_snapshots_of_repeated_chargers(spark):
     rows = [(i, "a", "confirmed", None, "seen x") for i in range(7)] + [(9, "b", "promoted", None, "seen y")]
     r = spark.createDataFrame(rows, "id long, charger_id string, resolution string, superseded_by long, observation string").withColumn("created_at", F.lit("2024-01-19 00:00:00").cast("timestamp_ntz"))

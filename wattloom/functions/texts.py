@@ -46,7 +46,7 @@ def memory_text() -> Column:
 def trigger_text() -> Column:
     """What an investigation of a window begins with: measures only where they are over 0, the fan where it is known."""
     part = lambda label, c, unit: F.when(F.col(c) > 0, F.concat(F.lit(f"{label} "), F.col(c).cast("string"), F.lit(unit)))
-    head = F.concat(F.lit("Anomaly score "), F.col("anomaly_score").cast("decimal(5,3)").cast("string"), F.lit(" for charger "), F.col("charger_id"))
+    head = F.concat(F.lit("Anomaly score "), score_text(F.col("anomaly_score")), F.lit(" for charger "), F.col("charger_id"))
     parts = [
         head, F.when(F.col("voltage_stddev") > 0, F.concat(F.lit("voltage stddev "), F.floor(F.col("voltage_stddev")).cast("string"), F.lit("V"))), part("max temp", "max_temp_c", "C"), part("avg power", "avg_power_w", "W"), part("errors", "error_count", ""),
         part("earth leakage", "max_earth_leak", "mA"), F.when(F.col("avg_fan_rpm").isNotNull(), F.concat(F.lit("fan rpm "), F.col("avg_fan_rpm").cast("string"))),
