@@ -341,7 +341,7 @@ def test_snapshot_scores_just_below_a_half(spark):
 
 
 #: A text of a window, and what it says of a score of 0.5065.
-WINDOW_TEXTS = [("trigger_text", "Anomaly score 0.506 for")]
+WINDOW_TEXTS = [("trigger_text", "Anomaly score 0.506 for"), ("window_text", "anomaly_score=0.506")]
 
 
 @pytest.mark.parametrize("name, said", WINDOW_TEXTS)

@@ -24,7 +24,7 @@ def window_text() -> Column:
     return F.concat_ws(
         ". ", F.concat(F.lit("Charger "), F.coalesce("charger_id", F.lit("unknown"))), span, B.band_power("avg_power_w", "max_power_w"), B.band_voltage("min_voltage_v", "max_voltage_v", "voltage_stddev"),
         B.band_temperature("max_temp_c"), B.band_leak("max_earth_leak"), B.band_fan("avg_fan_rpm", "avg_power_w"), B.band_errors("error_count", F.array_join("distinct_errors", ", ")), B.band_status("status_changes"),
-        F.when(F.col("anomaly_score") > 0, F.concat(F.lit("anomaly_score="), F.col("anomaly_score").cast("decimal(5,3)").cast("string"))),
+        F.when(F.col("anomaly_score") > 0, F.concat(F.lit("anomaly_score="), score_text(F.col("anomaly_score")))),
         F.when(F.size("anomaly_flags") > 0, F.concat(F.lit("flags="), F.array_join("anomaly_flags", ", "))),
     )
 
