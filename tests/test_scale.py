@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.operators import memory, retrieval
+from wattloom.operators import ann, memory, retrieval
 from wattloom.operators.windows import merge_states, window_aggregate, window_states, windows_of_states
 from wattloom.sources import sinks
 from wattloom.sources.adapters import telemetry_of_events
@@ -194,3 +194,21 @@ def test_write_query_is_its_sql_where_writes_are_near_each_other(spark, tmp_path
     rows = sorted(str([r[c] for c in want.columns]) for r in df.collect())
     assert rows == sorted(str(list(r)) for r in want.fetchall())
     assert len({r[0] for r in want.fetchall()}) < len(rows)  # some memories are met by several writes
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_index_search_repeats_no_query_in_python(spark, tmp_path, exact, monkeypatch):
+    vec = _clusters(400, 3)
+    df = spark.createDataFrame(list(enumerate(vec)), "id long, vec array<double>")
+    ann.build_index(df, str(tmp_path), lists=20)
+    q = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    asked = []
+    by_key = ann.nearest_by_key
+    monkeypatch.setattr(ann, "nearest_by_key", lambda rows, queries, *a, **k: asked.append(queries) or by_key(rows, queries, *a, **k))
+    got = {(r.query_id, r.rank): r.id for r in ann.search(spark, str(tmp_path), q, 3, probes=5, exact=exact).collect()}
+    assert asked[0].count() == (20 if exact else 100)
+    unit = np.array(vec) / np.linalg.norm(vec, axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    if exact:
+        assert got == {(i, n + 1): int(r) for i in range(0, 400, 20) for n, r in enumerate(np.argsort(far[i], kind="stable")[:3])}
+    assert all(got[i, 1] == i for i in range(0, 400, 20))

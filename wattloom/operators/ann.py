@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .retrieval import BLOCK_ROWS, nearest, nearest_by_key
+from .retrieval import BLOCK_ROWS, CELLS, PIECE_ROWS, nearest, nearest_by_key
 
 _CENTROIDS, _PROBES = "list int, centroid array<double>", "probes int, recall double"
 
@@ -109,12 +109,16 @@ def read_lists(spark: SparkSession, path: str, lists: list[int] | None = None) -
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, not_self: bool = False) -> DataFrame:
     """queries (query_id, query_vec) -> (query_id, id, distance, rank), nearest first, then by id.
 
-    Without ``probes`` a query reads as many lists as the index was measured to need; ``exact`` reads all of them.
+    Without ``probes`` a query reads as many lists as the index was measured to need; ``exact`` reads all of them, as one:
+    no query is repeated for each list.
     """
     pdf = spark.read.schema(_CENTROIDS).parquet(f"{path}/centroids").toPandas().sort_values("list")
     centroids = np.array(pdf["centroid"].tolist())
     most = len(centroids) if exact else min(len(centroids), max(1, probes or spark.read.schema(_PROBES).parquet(f"{path}/probes").first().probes))
     q = queries.filter(F.exists("query_vec", lambda x: x != 0)).select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    if most == len(centroids):
+        one = F.lit(0).alias("_all")
+        return nearest_by_key(read_lists(spark, path).select(one, "id", "vec"), q.select(one, "query_id", "query_vec"), "_all", k, "vec", "id", PIECE_ROWS, not_self)
     asked = _to_lists(q, centroids, "query_vec", most)
-    needed = None if most == len(centroids) else [r.list for r in asked.select("list").distinct().collect()]  # MOST_LISTS numbers at most
+    needed = [r.list for r in asked.select("list").distinct().collect()]  # MOST_LISTS numbers at most
     return nearest_by_key(read_lists(spark, path, needed), asked, "list", k, "vec", "id", not_self=not_self)

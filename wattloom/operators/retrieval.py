@@ -25,6 +25,8 @@ from ..sources.scratch import written
 SEARCHABLE = {"outage_catalog": ("signature_vec", "root_cause"), "agent_reasoning": ("reasoning_vec", "observation"), "fleet_memory": ("memory_vec", "content"), "charger_windows": ("signature_vec", None)}
 MOST_QUERIES = 4_000
 BLOCK_ROWS = 2_000
+#: Rows of a piece where all rows are one key, and distances that a task holds at a time.
+PIECE_ROWS, CELLS = 16_000, 1_000_000
 #: Cells of a key, and by how much the rounding of distances may widen their bounds.
 MOST_PIVOTS, MARGIN = 32, 1e-6
 #: Of a distance that count: copies tie, whatever blocks they fall in.
@@ -75,7 +77,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vec", id
         w = Window.partitionBy("query_id").orderBy("distance", id_col)
         return _by_matrix(base, q, k, vector, id_col).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     one = F.lit(0).alias("_all")
-    found = nearest_by_key(base.select(one, id_col, vector), q.select(one, "query_id", "query_vec"), "_all", k, vector, id_col).withColumnRenamed("id", id_col)
+    found = nearest_by_key(base.select(one, id_col, vector), q.select(one, "query_id", "query_vec"), "_all", k, vector, id_col, PIECE_ROWS).withColumnRenamed("id", id_col)
     out = base.join(found, id_col).join(q.drop("query_vec"), "query_id")
     return out.select(*base.columns, *[c for c in q.columns if c != "query_vec"], "distance", "rank")
 
