@@ -212,3 +212,18 @@ def test_index_search_repeats_no_query_in_python(spark, tmp_path, exact, monkeyp
     if exact:
         assert got == {(i, n + 1): int(r) for i in range(0, 400, 20) for n, r in enumerate(np.argsort(far[i], kind="stable")[:3])}
     assert all(got[i, 1] == i for i in range(0, 400, 20))
+
+
+def test_distances_are_held_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 700)
+    seen, rng = [], np.random.default_rng(4)
+    vec, ids = rng.normal(size=(200, 8)), rng.permutation(200)
+    vec[50:120] = vec[50]  # copies tie
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    took = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: seen.append(x.size) or took(x, *a, **k))
+    i, j, far = retrieval._closest(unit, ids, unit[:90], 5, ids[:90])
+    want = {(q, int(r)) for q in range(90) for r in sorted((r for r in range(200) if r != q), key=lambda r: (round(1 - float(unit[r] @ unit[q]), 9), ids[r]))[:5]}
+    assert max(seen) <= 700
+    assert set(zip(j.tolist(), i.tolist(), strict=True)) == want
+    assert np.allclose(far, 1 - np.einsum("ij,ij->i", unit[i], unit[:90][j]))

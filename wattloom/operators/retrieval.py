@@ -1,8 +1,8 @@
 """Vector and keyword retrieval: filter, then rank by exact cosine distance.
 
 The query side is the small, stated side: blocks of MOST_QUERIES queries are a matrix that every task multiplies its rows
-with, Arrow batch by Arrow batch, keeping the k nearest of each query, so a partition sends k rows a query. Where rows and
-queries must share a key (a scope, a keyword, a list of an index), pieces of rows and blocks of queries meet by it.
+with, Arrow batch by Arrow batch, keeping the k nearest of each query, so a partition sends k rows a query. A task holds
+CELLS distances at a time, whatever the number of rows and queries that it was given. Where rows and queries must share a key (a scope, a keyword, a list of an index), pieces of rows and blocks of queries meet by it.
 """
 
 from __future__ import annotations
@@ -87,6 +87,26 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _closest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, distance) of the k nearest rows of each query, all units; of ties those with the smallest ids.
+
+    With ``names``, the queries' ids, no row is its own neighbour. Queries are taken a few at a time.
+    """
+    order = np.argsort(ids, kind="stable")
+    rows, ids, most = rows[order], ids[order], min(k, len(ids))
+    step, out = max(1, CELLS // max(1, len(ids))), []
+    for at in range(0, len(asked), step):
+        far = np.round(1.0 - rows @ asked[at : at + step].T, DIGITS)
+        if names is not None:
+            far[ids[:, None] == names[None, at : at + step]] = np.inf
+        limit = np.partition(far, most - 1, axis=0)[most - 1]
+        near, tie = far < limit, far == limit
+        near |= tie & (np.cumsum(tie, axis=0, dtype=np.int32) <= most - near.sum(axis=0))
+        i, j = np.nonzero(near & np.isfinite(far))
+        out.append((order[i], j + at, far[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
+
+
 def _by_matrix(base: DataFrame, queries: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:
     """Rows of base with the columns of queries and distance: of each query, the k nearest of every partition."""
     shared = base.sparkSession.sparkContext.broadcast(queries.toPandas())  # MOST_QUERIES rows
@@ -97,17 +117,20 @@ def _by_matrix(base: DataFrame, queries: DataFrame, k: int, vector: str, id_col:
         q = shared.value
         best: pd.DataFrame | None = None
         if len(q):
-            matrix = _units(q["query_vec"]).T
+            asked = _units(q["query_vec"])
             for pdf in it:
                 if not len(pdf):
                     continue
-                far = np.round(1.0 - _units(pdf[vector]) @ matrix, DIGITS)
-                most = min(k, len(pdf))
-                limit = np.partition(far, most - 1, axis=0)[most - 1]  # ties with the last one stay in
-                row, col = np.nonzero(far <= limit)
-                found = pd.DataFrame({"_q": col, "distance": far[row, col], "_id": pdf[id_col].to_numpy()[row], "_row": list(pdf.iloc[row].itertuples(index=False, name=None))})
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["_q", "distance", "_id"]).groupby("_q", sort=False).head(k)
+                ids = pdf[id_col].to_numpy()
+                row, col, far = _closest(_units(pdf[vector]), ids, asked, k)
+                found = pd.DataFrame({"_q": col, "distance": far, "_id": ids[row], "_at": row, "_row": None})
+                best = found if best is None else pd.concat([best, found], ignore_index=True)
+                best = best.sort_values(["_q", "distance", "_id"]).groupby("_q", sort=False).head(k).reset_index(drop=True)
+                new = np.flatnonzero(best["_at"] >= 0)
+                # copies, so that the batch can go
+                kept = {at: tuple(x.copy() if isinstance(x, np.ndarray) else x for x in pdf.iloc[at]) for at in best["_at"].iloc[new].unique()}
+                best["_row"] = [kept[at] if at >= 0 else r for at, r in zip(best["_at"], best["_row"], strict=True)]
+                best["_at"] = -1
         if best is not None and len(best):
             rows = pd.DataFrame(best["_row"].tolist(), columns=names, dtype=object)
             more = q.drop(columns="query_vec").iloc[best["_q"].to_numpy()].reset_index(drop=True)
@@ -121,7 +144,7 @@ def nearest_by_key(rows: DataFrame, queries: DataFrame, key: str, k: int, vector
 
     A query may have several keys and a row too; each row counts once. The rows of a key are dealt into pieces of about
     ``block`` rows and its queries into blocks of MOST_QUERIES; a piece and a block meet in one task as a matrix product,
-    which sends k rows a query. A hot key is many tasks, and no pairs are emitted. Keys without rows or without queries
+    which holds CELLS distances at a time and sends k rows a query. A hot key is many tasks, and no pairs are emitted. Keys without rows or without queries
     are left out before anything is dealt.
     """
     base = rows.filter(F.col(key).isNotNull() & F.exists(vector, lambda x: x != 0)).select(key, F.col(id_col).alias("id"), F.col(vector).alias("v"))
@@ -137,13 +160,8 @@ def nearest_by_key(rows: DataFrame, queries: DataFrame, key: str, k: int, vector
         if not len(r) or not len(q):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         ids, asked = r["id"].to_numpy(), q["query_id"].to_numpy()
-        far = np.round(1.0 - _units(r["v"]) @ _units(q["v"]).T, DIGITS)
-        if not_self:
-            far[ids[:, None] == asked[None, :]] = np.inf
-        most = min(k, len(r))
-        i, j = np.nonzero(far <= np.partition(far, most - 1, axis=0)[most - 1])  # ties with the last one stay in
-        found = pd.DataFrame({"query_id": asked[j], "id": ids[i], "distance": far[i, j]})
-        return found[np.isfinite(found["distance"])].sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
+        i, j, far = _closest(_units(r["v"]), ids, _units(q["v"]), k, asked if not_self else None)
+        return pd.DataFrame({"query_id": asked[j], "id": ids[i], "distance": far})
 
     fields = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", base.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
     at = [key, "piece", "block"]
