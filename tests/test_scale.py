@@ -227,3 +227,14 @@ def test_distances_are_held_a_few_at_a_time(monkeypatch):
     assert max(seen) <= 700
     assert set(zip(j.tolist(), i.tolist(), strict=True)) == want
     assert np.allclose(far, 1 - np.einsum("ij,ij->i", unit[i], unit[:90][j]))
+
+
+def test_pairs_are_sent_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 300)
+    vec = [[float(1 + i % 3), 1.0] for i in range(60)]
+    df = spark.createDataFrame([(i, "k", v) for i, v in enumerate(vec)], "id long, k string, vec array<double>")
+    unit = np.array(vec) / np.linalg.norm(vec, axis=1, keepdims=True)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 1 - unit[a] @ unit[b] < 0.05}
+    for block in (20, 2_000):
+        got = [(r.a, r.b) for r in retrieval.pairs_within(df, ["k"], 0.05, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -294,7 +294,8 @@ def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "
     """(a, b, distance) of rows of one key closer than the limit, a before b. Rows without a vector are left out.
 
     A key's rows are dealt to cells around pivots, a cell into pieces of about ``block`` rows, and each two pieces whose
-    cells can hold a pair are one task's matrix product, so a hot key is many tasks. ``prune=False`` compares all cells.
+    cells can hold a pair are one task's matrix product, so a hot key is many tasks. The product is taken and its pairs are
+    sent CELLS distances at a time, so memory doesn't follow the number of pairs. ``prune=False`` compares all cells.
     """
     live = rows.filter(F.col(vector).isNotNull()).select(*keys, F.col(id_col).alias("a"), F.col(vector).cast("array<double>").alias("v"))
     cells = written(cells_of(live.filter(F.exists("v", lambda x: x != 0)), keys, block))
@@ -302,15 +303,20 @@ def pairs_within(rows: DataFrame, keys: list[str], limit: float, vector: str = "
     dealt = deal_pieces(cells, met.filter("met") if prune else met, keys, block)
     fields = [*[live.schema[k] for k in keys], T.StructField("a", live.schema["a"].dataType), T.StructField("b", live.schema["a"].dataType), T.StructField("distance", T.DoubleType())]
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("a", ignore_index=True)
+    def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(it), ignore_index=True)  # two pieces
         u, ids, part = _units(pdf["v"]), pdf["a"].to_numpy(), pdf["part"].to_numpy()
-        far = 1.0 - u @ u.T
-        close = (far < limit) & (ids[:, None] < ids[None, :])
-        if pdf["left"].iloc[0] != pdf["right"].iloc[0]:  # pairs within a piece are another task's
-            close &= part[:, None] != part[None, :]
-        i, j = np.nonzero(close)
-        return pd.DataFrame({**{k: pdf[k].to_numpy()[i] for k in keys}, "a": ids[i], "b": ids[j], "distance": far[i, j]})
+        one = pdf["left"].iloc[0] == pdf["right"].iloc[0]  # pairs within a piece are another task's
+        rows, others = (np.flatnonzero(part == pdf[side].iloc[0]) for side in ("left", "right"))
+        step = max(1, CELLS // max(1, len(others)))
+        for at in range(0, len(rows), step):
+            left = rows[at : at + step]
+            far = 1.0 - u[left] @ u[others].T
+            close = far < limit
+            close &= ids[left][:, None] < ids[others][None, :] if one else ids[left][:, None] != ids[others][None, :]
+            i, j = np.nonzero(close)
+            a, b = ids[left[i]], ids[others[j]]
+            yield pd.DataFrame({**{k: pdf[k].to_numpy()[left[i]] for k in keys}, "a": np.minimum(a, b), "b": np.maximum(a, b), "distance": far[i, j]})
 
     return dealt.groupBy(*keys, "left", "right").applyInPandas(near, T.StructType(fields))
 
