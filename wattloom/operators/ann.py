@@ -52,18 +52,20 @@ def _hashed_share(rows: DataFrame, id_col: str, salt: str, share: float) -> Data
 
 
 def _to_lists(df: DataFrame, centroids: np.ndarray, vector: str, most: int) -> DataFrame:
-    """df with ``list``: one row for each of the ``most`` nearest centroids."""
+    """df with ``list``: one row for each of the ``most`` nearest centroids. Tasks hold CELLS distances at a time and give no repeated rows."""
     shared = df.sparkSession.sparkContext.broadcast(centroids.T.copy())  # MOST_LISTS rows at most
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            if len(pdf):
-                near = -(np.array(pdf[vector].tolist(), dtype=np.float64) @ shared.value)  # the query's length doesn't matter
-                first = np.argpartition(near, most - 1, axis=1)[:, :most] if most < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(pdf), 1))
-                out = pdf.iloc[np.repeat(np.arange(len(pdf)), most)].reset_index(drop=True)
-                yield out.assign(list=first.ravel().astype(np.int32))
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("list", T.IntegerType())]))
+            step = max(1, CELLS // shared.value.shape[1])
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                near = -(np.array(part[vector].tolist(), dtype=np.float64) @ shared.value)  # the query's length doesn't matter
+                first = np.argpartition(near, most - 1, axis=1)[:, :most].astype(np.int32)
+                yield part.assign(list=list(first))
+
+    found = df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("list", T.ArrayType(T.IntegerType()))]))
+    return found.withColumn("list", F.explode("list"))
 
 
 def probes_for(lists: DataFrame, centroids: np.ndarray, n: int, target: float, k: int = NEIGHBOURS, most_sampled: int = MOST_SAMPLED) -> tuple[int, float]:
