@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wattloom.llm import collocations, divergence, oracle, packing
+from wattloom.llm import collocations, common, divergence, oracle, packing
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +136,49 @@ def test_runs_end_at_breaks(monkeypatch, tokens):
     assert counts == Counter(" ".join(want).split())
 
 
+@pytest.mark.parametrize("numbered", [["a", "b", "c", "d"], ["a", "c"], []])
+def test_runs_keep_frequent_words(numbered):
+    """Frequent words beside each other stay in order, others are breaks; those without a number stand by their hashes."""
+    known = ["a", "b", "c", "d"]
+    keys = collocations.word_hashes("x", known)
+    top = np.zeros(1 << (collocations.BLOCK_BITS - 3), dtype=np.uint8)
+    at = (collocations.phrase_keys(keys, np.arange(4), 1)[0] >> np.uint64(64 - collocations.BLOCK_BITS)).astype(int)
+    np.bitwise_or.at(top, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    table = collocations.PerfectHash.of(collocations.word_hashes("x", numbered).copy() if numbered else keys[:, :0])
+    words = collocations.Words(table, None if len(numbered) == len(known) else (top, collocations.BLOCK_BITS))
+    texts = ["a b rare1 c d\na", "rare2", "", "a rare3 b", "b\nc", "d c b a\n"]
+    out = pd.concat(collocations._tokenised(iter([pd.DataFrame({"lang": "x", "text": texts})]), False, True, SimpleNamespace(value=words)))  # noqa: SLF001
+    assert out["words"].isna().all()
+    name = dict(zip(map(bytes, keys.T.copy()), known, strict=True))
+    runs = [[name.get(bytes(h.T[c].copy()), "|") for c in codes] for _, h, codes in collocations._opened(iter([out]), SimpleNamespace(value=words))]  # noqa: SLF001
+    assert [" ".join(r) for r in runs] == ["a b | c d | d c b a |"]
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4", "<u8", "<i8"])
+def test_packed_numbers(kind):
+    top = np.iinfo(kind).max
+    for values in ([], [0], [top, 0, 1, top], [5] * 1000):
+        assert collocations._unpacked(collocations._packed(np.array(values, dtype=kind)), kind).tolist() == values  # noqa: SLF001
+
+
+def test_counts_are_sent_small():
+    """Two bytes for a bucket that is met once or twice; ten stood there."""
+    at = np.random.default_rng(3).integers(0, 1 << 23, 300_000)
+    tally = collocations.Tally(1 << 23)
+    tally.add(at)
+    rows = tally.take(0)
+    assert sum(map(len, rows["at"])) + sum(map(len, rows["n"])) < 2 * len(np.unique(at))
+
+
+def test_collocations_disk(spark):
+    """What is written on the way is less than the texts; runs with a hash for every word alone were more than these."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with common.passing(spark) as made:
+        assert collocations.collocations(docs, least=20).count() > 0
+        written = sum(f.stat().st_size for path in made for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+    assert 0 < written < docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_collocations_empty(odd):
     assert collocations.collocations(odd.filter("false")).collect() == []
     assert collocations.collocations(odd.filter("text IS NULL"), least=1).collect() == []

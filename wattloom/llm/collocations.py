@@ -1,6 +1,7 @@
 """Phrase collocation mining on a minimal perfect hash.
 
-1. Texts become runs: codes of words in a vocabulary of the run, breaks between pieces. The words of all texts are counted.
+1. The words of all texts are counted. Then texts become runs: codes of words in a vocabulary of the run, where frequent
+   words stand by numbers in a broadcast table. Only frequent words next to each other are kept; what lies between is a break.
 2. A phrase can only be frequent if its parts are. So for pairs of frequent words, and then for longer phrases whose
    pairs are all frequent, mappers count hashed buckets; only phrases in a bucket that reaches the threshold are
    candidates, and no frequent phrase is missed.
@@ -10,8 +11,9 @@
 4. Every part of a frequent phrase is frequent and has a slot itself: the counts of the two parts of each cut are read by
    slot. Scores are exact decimals.
 
-Broadcast are bit maps (at most 2 ** MOST_BITS bits, of frequent parts and heavy buckets) and the hash of one round; with
-fuller maps more candidates pass and more rounds follow, the result is the same.
+Broadcast are bit maps (at most 2 ** MOST_BITS bits, of frequent parts and heavy buckets), the hash of one round and that of
+the numbered words; with fuller maps more candidates pass and more rounds follow, with more frequent words than a round has
+slots the rest stand by their hashes; the result is the same. Counts and candidates are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import itertools
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,9 @@ CHUNK_CHARS = 2_000_000
 #: Words of one row of the list of words, tokens of one run, and runs that are read at once: rows stay well below 1 MB.
 LIST_WORDS, RUN_TOKENS, RUNS_READ = 8_192, 60_000, 16
 MOST_SLOTS, MOST_BITS, BLOCK_BITS = 4_000_000, 28, 15
-FAN_IN, BUFFER = 16, 1_000_000
-#: Words (16 bytes each) of candidate phrases of one length that a mapper holds before it looks for repeated ones.
-HELD_WORDS = 600_000
+FAN_IN, BUFFER = 16, 2_000_000
+#: Bytes of candidate phrases of one length that a mapper holds before it looks for repeated ones.
+HELD_BYTES = 9_600_000
 _TOKEN = re.compile(r"[^ \n]+|\n")
 _MIX = [(0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB)]
 _COUNTS = "block int, lane int, at binary, n binary"
@@ -126,31 +129,70 @@ class PerfectHash:
         return out
 
 
+@dataclass
+class Words:
+    """The frequent words: ``table`` numbers them by their hashes. If they are too many, it has the most frequent ones, and ``rest`` is a map of all."""
+
+    table: PerfectHash
+    rest: tuple[np.ndarray, int] | None
+
+    @classmethod
+    def of(cls, single: DataFrame, n: int, most_slots: int) -> Words:
+        if n <= most_slots:
+            top, rest = single, None
+        else:
+            top, rest = single.filter(F.col("n") > single.approxQuantile("n", [1 - most_slots / n], 0.001)[0]), key_map(single, n)
+        pdf = top.select("word_hi", "word_lo").toPandas()
+        return cls(PerfectHash.of(pdf.to_numpy(dtype=np.int64).T.copy().view(np.uint64)), rest)
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, known): a word without a number has -1 there."""
+        numbers = self.table.slots(hashes)
+        known = numbers >= 0
+        return numbers, known if self.rest is None else known | _in_map(*self.rest, phrase_keys(hashes, np.arange(hashes.shape[1]), 1)[0])
+
+
 # counting in arrays
 
 
-def _blocks(at: np.ndarray, n: np.ndarray, lane: int, base: int = 0) -> pd.DataFrame:
-    """Counts by ascending position as rows, one for each block that has any."""
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers compressed, the lowest bytes of all of them first; the number of bytes stands before them."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    if not (size := int.from_bytes(raw[:8], "little")):
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _blocks(at: np.ndarray, n: np.ndarray, lane: int, base: int = 0, packed: bool = True) -> pd.DataFrame:
+    """Counts by ascending position as rows, one for each block that has any; packed, positions are distances from the one before."""
     block = at >> BLOCK_BITS
-    cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
-    rows = [(base + int(block[a]), lane, (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in itertools.pairwise([*cuts, len(at)])]
+    cuts = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1)).tolist()
+    rows = []
+    for a, b in itertools.pairwise([*cuts, len(at)]):
+        own, many = (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2"), n[a:b].astype("<i8")
+        rows.append((base + int(block[a]), lane, *((_packed(np.diff(own, prepend=own.dtype.type(0))), _packed(many)) if packed else (own.tobytes(), many.tobytes()))))
     return pd.DataFrame(rows, columns=["block", "lane", "at", "n"])
 
 
 class Tally:
-    """Counts positions below ``size``: buffered, then counted in one array."""
+    """Counts positions below ``size``, at most 2 ** 32: buffered, then counted in one array. What it gives is packed."""
 
     def __init__(self, size: int) -> None:
         self.size, self.held, self.parts = size, 0, []
 
     def add(self, at: np.ndarray) -> bool:
         """Whether it is time to take what was counted."""
-        self.parts.append(at)
+        self.parts.append(at.astype(np.uint32))
         self.held += len(at)
         return self.held >= BUFFER
 
     def take(self, lane: int) -> pd.DataFrame:
-        at = np.concatenate([np.zeros(0, dtype=np.int64), *self.parts])
+        at = np.concatenate([np.zeros(0, dtype=np.uint32), *self.parts])
         self.held, self.parts = 0, []
         if self.size <= MOST_SLOTS:
             n = np.bincount(at, minlength=self.size)
@@ -160,19 +202,22 @@ class Tally:
 
 
 def tree_sum(rows: DataFrame, lanes: int) -> DataFrame:
-    """The sum of all lanes' arrays, block by block: each round adds those of FAN_IN lanes."""
+    """The sum of all lanes' arrays, block by block: each round adds those of FAN_IN lanes. A block is one row, not packed."""
     shift = int(math.log2(FAN_IN))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
-        for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, dtype="<u2")] += np.frombuffer(n, dtype="<i8")
-        at = np.flatnonzero(total)
-        return _blocks(at, total[at], int(pdf["lane"].iloc[0]) >> shift, int(pdf["block"].iloc[0]))
+    def added(packed: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+            for at, n in zip(pdf["at"], pdf["n"], strict=True):
+                total[np.cumsum(_unpacked(at, "<u2"), dtype=np.int64)] += _unpacked(n, "<i8")
+            at = np.flatnonzero(total)
+            return _blocks(at, total[at], int(pdf["lane"].iloc[0]) >> shift, int(pdf["block"].iloc[0]), packed)
+
+        return one
 
     while True:
-        rows = rows.groupBy("block", F.shiftright("lane", shift).alias("parent")).applyInPandas(one, _COUNTS)
         lanes = -(-lanes // FAN_IN)
+        rows = rows.groupBy("block", F.shiftright("lane", shift).alias("parent")).applyInPandas(added(lanes > 1), _COUNTS)
         if lanes <= 1:
             return rows
 
@@ -192,10 +237,10 @@ def _collected(blocks: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _marked(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+def _marked(block: int, at: np.ndarray) -> pd.DataFrame:
     bits = np.zeros(1 << BLOCK_BITS, dtype=bool)
     bits[at] = True
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "map": [np.packbits(bits, bitorder="little").tobytes()]})
+    return pd.DataFrame({"block": [int(block)], "map": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
 def key_map(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -203,7 +248,7 @@ def key_map(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
     bits = _bits_for(n, 16)
     top = F.shiftrightunsigned("hi", 64 - bits)
     rows = keys.select(F.shiftright(top, BLOCK_BITS).cast("int").alias("block"), top.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("at")).distinct()
-    return _collected(rows.groupBy("block").applyInPandas(lambda pdf: _marked(pdf, pdf["at"].to_numpy()), "block int, map binary"), bits), bits
+    return _collected(rows.groupBy("block").applyInPandas(lambda pdf: _marked(pdf["block"].iloc[0], pdf["at"].to_numpy()), "block int, map binary"), bits), bits
 
 
 def _in_map(bitmap: np.ndarray, bits: int, hi: np.ndarray) -> np.ndarray:
@@ -228,8 +273,23 @@ def _code_type(words: int) -> str:
     return "<u2" if words <= 1 << 16 else "<u4"
 
 
-def _tokenised(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of two kinds: words with their counts in a chunk of texts, and runs: hashes of words and codes of tokens."""
+def _kept(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The tokens that a frequent phrase can hold: known words beside another one, and a break after each row of them."""
+    word = known[codes] & (codes > 0)
+    near = word.copy()
+    near[:-1] &= word[1:]
+    near[-1:] = False
+    near[1:] |= near[:-1]  # of a pair both
+    after = np.zeros_like(near)
+    after[1:] = near[:-1]
+    return np.where(near, codes, 0)[near | after]
+
+
+def _tokenised(it: Iterator[pd.DataFrame], lists: bool = True, runs: bool = True, frequent: Broadcast | None = None) -> Iterator[pd.DataFrame]:
+    """Rows of two kinds: words with their counts in a chunk of texts, and runs: hashes of words and codes of tokens.
+
+    With the frequent Words a run has the numbers of its words, hashes of those without one, and no other words.
+    """
     for pdf in chunks(it, "text", CHUNK_CHARS):
         for lang, part in pdf.groupby("lang", sort=False):
             vocabulary: dict[str, int] = defaultdict()
@@ -237,33 +297,51 @@ def _tokenised(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             vocabulary["\n"]  # noqa: B018  code 0, a break
             codes = [np.fromiter(map(vocabulary.__getitem__, _TOKEN.findall(t + "\n")), dtype="<u4") for t in part["text"]]
             codes = np.concatenate(codes)
-            words = list(vocabulary)
+            words, rows = list(vocabulary), []
             if len(words) == 1:
                 continue
-            n, hashes = np.bincount(codes, minlength=len(words)), word_hashes(lang, words)
-            rows = [(lang, words[a : a + LIST_WORDS], n[a : a + LIST_WORDS], None, None) for a in range(1, len(words), LIST_WORDS)]
-            for a, b in itertools.pairwise(_run_ends(codes)):
-                used, local = np.unique(codes[a:b], return_inverse=True)  # a run ends with a break, which stays code 0
-                rows.append((lang, None, None, hashes[:, used].tobytes(), local.astype(_code_type(len(used))).tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "words", "n", "hashes", "codes"])
-
-
-def _decoded(hashes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if lists:
+                n = np.bincount(codes, minlength=len(words))
+                rows += [(lang, words[a : a + LIST_WORDS], n[a : a + LIST_WORDS], None, None, None) for a in range(1, len(words), LIST_WORDS)]
+            if runs:
+                hashes, numbers = word_hashes(lang, words), None
+                if frequent is not None:
+                    numbers, known = frequent.value.found(hashes)
+                    numbers[0] = -1
+                    codes = _kept(codes, known)
+                for a, b in itertools.pairwise(_run_ends(codes)):
+                    used, local = np.unique(codes[a:b], return_inverse=True)  # a run ends with a break, which stays code 0
+                    own = None if numbers is None else numbers[used].astype("<i4")
+                    bare = used if own is None else used[own < 0]
+                    rows.append((lang, None, None, None if own is None else own.tobytes(), hashes[:, bare].tobytes(), local.astype(_code_type(len(used))).tobytes()))
+            yield pd.DataFrame(rows, columns=["lang", "words", "n", "numbers", "hashes", "codes"])
+
+
+def _decoded(hashes: bytes, codes: bytes, numbers: np.ndarray | None = None, table: PerfectHash | None = None) -> tuple[np.ndarray, np.ndarray]:
     by_word = np.frombuffer(hashes, dtype=np.uint64).reshape(2, -1)
+    if numbers is not None:
+        bare, by_word = by_word, np.empty((2, len(numbers)), dtype=np.uint64)
+        by_word[:, numbers < 0] = bare
+        by_word[:, numbers >= 0] = table.keys[:, numbers[numbers >= 0]]
     return by_word, np.frombuffer(codes, dtype=_code_type(by_word.shape[1]))
 
 
-def _phrases(hashes: bytes, codes: bytes, ks: list[int], maps: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, starts, keys) of the phrases whose words, and with a second map whose pairs, are in the maps."""
-    by_word, codes = _decoded(hashes, codes)
-    known = _in_map(*maps[0], phrase_keys(by_word, np.arange(by_word.shape[1]), 1)[0])
-    known[0] = False
+def _opened(it: Iterator[pd.DataFrame], frequent: Broadcast) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, hashes, codes) of each run."""
+    for pdf in it:
+        for i, h, c in zip(pdf["numbers"], pdf["hashes"], pdf["codes"], strict=True):
+            numbers = np.frombuffer(i, dtype="<i4")
+            yield numbers, *_decoded(h, c, numbers, frequent.value.table)
+
+
+def _phrases(by_word: np.ndarray, codes: np.ndarray, ks: list[int], pairs: tuple[np.ndarray, int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, starts, keys) of the phrases of a run, with a map of pairs of those whose pairs are in it."""
     words = by_word[:, codes]
-    part, size = known[codes], 1  # where a phrase of ``size`` words starts that may be frequent
-    if len(maps) > 1:
+    part, size = codes > 0, 1  # where a phrase of ``size`` words starts that may be frequent
+    if pairs is not None:
         starts = np.flatnonzero(part[:-1] & part[1:])
         two = np.zeros(max(0, len(codes) - 1), dtype=bool)
-        two[starts] = _in_map(*maps[1], phrase_keys(words, starts, 2)[0])
+        two[starts] = _in_map(*pairs, phrase_keys(words, starts, 2)[0])
         part, size = two, 2
     for k in ks:
         width = k - size + 1  # a phrase is allowed if all its parts of that size are
@@ -275,75 +353,86 @@ def _phrases(hashes: bytes, codes: bytes, ks: list[int], maps: list[tuple[np.nda
             yield k, starts, phrase_keys(words, starts, k)
 
 
-def _bucket_pass(runs: DataFrame, ks: list[int], maps: list, bits: int, least: int) -> np.ndarray:
+def _bucket_pass(runs: DataFrame, ks: list[int], frequent: Broadcast, pairs: tuple | None, bits: int, least: int) -> np.ndarray:
     """The map of buckets that phrases of ks words reach the threshold in."""
-    shared = runs.sparkSession.sparkContext.broadcast(maps)
+    shared = runs.sparkSession.sparkContext.broadcast(pairs)
 
     @released
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally, lane = Tally(1 << bits), TaskContext.get().partitionId()
-        for pdf in it:
-            for h, c in zip(pdf["hashes"], pdf["codes"], strict=True):
-                for _, _, keys in _phrases(h, c, ks, shared.value):
-                    if tally.add((keys[0] >> np.uint64(64 - bits)).astype(np.int64)):
-                        yield tally.take(lane)
+        for _, by_word, codes in _opened(it, frequent):
+            for _, _, keys in _phrases(by_word, codes, ks, shared.value):
+                if tally.add(keys[0] >> np.uint64(64 - bits)):
+                    yield tally.take(lane)
         yield tally.take(lane)
 
-    rows = tree_sum(runs.select("hashes", "codes").mapInPandas(make, _COUNTS), runs.rdd.getNumPartitions())
-    heavy = rows.groupBy("block").applyInPandas(lambda pdf: _marked(pdf, np.frombuffer(pdf["at"].iloc[0], dtype="<u2")[np.frombuffer(pdf["n"].iloc[0], dtype="<i8") >= least]), "block int, map binary")
-    return _collected(heavy, bits)
+    def mark(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for block, at, n in zip(pdf["block"], pdf["at"], pdf["n"], strict=True):
+                yield _marked(block, np.frombuffer(at, dtype="<u2")[np.frombuffer(n, dtype="<i8") >= least])
+
+    return _collected(tree_sum(runs.mapInPandas(make, _COUNTS), runs.rdd.getNumPartitions()).mapInPandas(mark, "block int, map binary"), bits)
 
 
-def _distinct(parts: list[np.ndarray], k: int) -> np.ndarray:
-    """[phrases, k, 2]: the distinct phrases, each word by both its hashes."""
-    rows = np.ascontiguousarray(np.concatenate([np.zeros((0, k, 2), dtype=np.uint64), *parts])).reshape(-1, 2 * k)
-    return np.unique(rows.view(f"V{16 * k}").ravel()).view(np.uint64).reshape(-1, k, 2)
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct phrases of arrays [phrases, words of a phrase, parts of a word]."""
+    rows = np.ascontiguousarray(np.concatenate(parts))
+    whole = rows.reshape(len(rows), rows.shape[1] * rows.shape[2]).view(f"V{rows.shape[1] * rows.shape[2] * rows.itemsize}").ravel()
+    return np.unique(whole).view(rows.dtype).reshape(-1, *rows.shape[1:])
 
 
-def _candidate_pass(runs: DataFrame, ks: list[int], maps: list, heavy: np.ndarray, bits: int) -> DataFrame:
+def _candidate_pass(runs: DataFrame, ks: list[int], frequent: Broadcast, pairs: tuple | None, heavy: np.ndarray, bits: int) -> DataFrame:
     """(hi, lo, words) of each distinct phrase in a heavy bucket; words are the keys of its words.
 
-    Each mapper gives its distinct phrases as a few sorted rows, cut by their hash; these are merged along a tree.
+    Each mapper gives its distinct phrases as a few sorted rows, cut by their hash; these are merged along a tree. Their
+    words are numbers, or both hashes where not all frequent words have one.
     """
-    shared, lanes = runs.sparkSession.sparkContext.broadcast((maps, heavy)), runs.rdd.getNumPartitions()
+    shared, lanes = runs.sparkSession.sparkContext.broadcast((pairs, heavy)), runs.rdd.getNumPartitions()
     cut = max(0, math.ceil(math.log2(max(1, int(np.bitwise_count(heavy).sum()) >> (BLOCK_BITS - 3)))))  # about 8 phrases a bucket
     ddl = "k int, block int, lane int, phrases binary"
+    kind, width = ("<u4", 1) if frequent.value.rest is None else ("<u8", 2)
+
+    def hashes(phrases: np.ndarray) -> np.ndarray:
+        return frequent.value.table.keys[:, phrases.ravel()] if width == 1 else np.ascontiguousarray(phrases.reshape(-1, 2).T)
+
+    def none(k: int) -> np.ndarray:
+        return np.zeros((0, k, width), dtype=kind)
 
     def rows(phrases: np.ndarray, k: int, lane: int) -> pd.DataFrame:
-        mixed = phrase_keys(phrases.reshape(-1, 2).T, np.arange(len(phrases)) * k, k)[1]
+        mixed = phrase_keys(hashes(phrases), np.arange(len(phrases)) * k, k)[1]
         block = mixed >> np.uint64(64 - cut) if cut else np.zeros(len(phrases), dtype=np.uint64)
-        return pd.DataFrame([(k, int(b), lane, phrases[block == b].tobytes()) for b in np.unique(block)], columns=["k", "block", "lane", "phrases"])
+        return pd.DataFrame([(k, int(b), lane, _packed(phrases[block == b].reshape(-1))) for b in np.unique(block)], columns=["k", "block", "lane", "phrases"])
 
     @released
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane, held = TaskContext.get().partitionId(), {k: [] for k in ks}
-        for pdf in it:
-            for h, c in zip(pdf["hashes"], pdf["codes"], strict=True):
-                both, codes = _decoded(h, c)
-                for k, starts, keys in _phrases(h, c, ks, shared.value[0]):
-                    starts = starts[_in_map(shared.value[1], bits, keys[0])]
-                    held[k].append(_distinct([both.T[codes[starts[:, None] + np.arange(k)]]], k))
-                    if k * sum(map(len, held[k])) > HELD_WORDS:
-                        held[k] = [_distinct(held[k], k)]
-                        if k * len(held[k][0]) > HELD_WORDS // 2:
-                            yield rows(held[k].pop(), k, lane)
+        lane, held = TaskContext.get().partitionId(), {k: [none(k)] for k in ks}
+        for numbers, by_word, codes in _opened(it, frequent):
+            word = numbers.astype(kind)[:, None] if width == 1 else by_word.T
+            for k, starts, keys in _phrases(by_word, codes, ks, shared.value[0]):
+                starts = starts[_in_map(shared.value[1], bits, keys[0])]
+                held[k].append(_distinct([word[codes[starts[:, None] + np.arange(k)]]]))
+                if sum(p.nbytes for p in held[k]) > HELD_BYTES:
+                    held[k] = [_distinct(held[k])]
+                    if held[k][0].nbytes > HELD_BYTES // 2:
+                        yield rows(held[k].pop(), k, lane)
+                        held[k] = [none(k)]
         for k in ks:
-            yield rows(_distinct(held[k], k), k, lane)
+            yield rows(_distinct(held[k]), k, lane)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         k, lane = int(pdf["k"].iloc[0]), int(pdf["lane"].iloc[0]) // FAN_IN
-        phrases = _distinct([np.frombuffer(p, dtype=np.uint64).reshape(-1, k, 2) for p in pdf["phrases"]], k)
-        return pd.DataFrame({"k": [k], "block": [int(pdf["block"].iloc[0])], "lane": [lane], "phrases": [phrases.tobytes()]})
+        phrases = _distinct([_unpacked(p, kind).reshape(-1, k, width) for p in pdf["phrases"]])
+        return pd.DataFrame({"k": [k], "block": [int(pdf["block"].iloc[0])], "lane": [lane], "phrases": [_packed(phrases.reshape(-1))]})
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for k, raw in zip(pdf["k"], pdf["phrases"], strict=True):
-                words = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2).T
+                words = hashes(_unpacked(raw, kind))
                 keys = phrase_keys(words, np.arange(0, words.shape[1], k), k).view(np.int64)
                 single = phrase_keys(words, np.arange(words.shape[1]), 1).view(np.int64).T.reshape(-1, k * 2)
                 yield pd.DataFrame({"hi": keys[0], "lo": keys[1], "words": list(single)})
 
-    found = runs.select("hashes", "codes").mapInPandas(make, ddl)
+    found = runs.mapInPandas(make, ddl)
     while True:
         found = found.groupBy("k", "block", F.floor(F.col("lane") / FAN_IN).alias("parent")).applyInPandas(merge, ddl)
         lanes = -(-lanes // FAN_IN)
@@ -359,23 +448,22 @@ def _rounds(keys: DataFrame, n: int, most_slots: int, more: list[str] | None = N
         yield r, rounds, PerfectHash.of(pdf[["hi", "lo"]].to_numpy(dtype=np.int64).T.copy().view(np.uint64)), pdf
 
 
-def _count_pass(runs: DataFrame, ks: list[int], maps: list, candidates: DataFrame, least: int, most_slots: int) -> DataFrame:
+def _count_pass(runs: DataFrame, ks: list[int], frequent: Broadcast, pairs: tuple | None, candidates: DataFrame, least: int, most_slots: int) -> DataFrame:
     """(hi, lo, n) of the candidates with ``least`` occurrences or more."""
     out = []
     for r, rounds, table, _ in _rounds(candidates, candidates.count(), most_slots):
-        shared = runs.sparkSession.sparkContext.broadcast((maps, table))
+        shared = runs.sparkSession.sparkContext.broadcast((pairs, table))
         size = table.keys.shape[1]
 
         @released
         def make(it: Iterator[pd.DataFrame], shared=shared, size=size, r=r, rounds=rounds) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             tally, lane = Tally(size), TaskContext.get().partitionId()
-            for pdf in it:
-                for h, c in zip(pdf["hashes"], pdf["codes"], strict=True):
-                    for _, _, keys in _phrases(h, c, ks, shared.value[0]):
-                        keys = keys[:, keys[0].view(np.int64) % rounds == r] if rounds > 1 else keys
-                        slots = shared.value[1].slots(keys)
-                        if tally.add(slots[slots >= 0]):
-                            yield tally.take(lane)
+            for _, by_word, codes in _opened(it, frequent):
+                for _, _, keys in _phrases(by_word, codes, ks, shared.value[0]):
+                    keys = keys[:, keys[0].view(np.int64) % rounds == r] if rounds > 1 else keys
+                    slots = shared.value[1].slots(keys)
+                    if tally.add(slots[slots >= 0]):
+                        yield tally.take(lane)
             yield tally.take(lane)
 
         @released
@@ -386,20 +474,20 @@ def _count_pass(runs: DataFrame, ks: list[int], maps: list, candidates: DataFram
                     hi, lo = shared.value[1].keys[:, slot[n >= least]].view(np.int64)
                     yield pd.DataFrame({"hi": hi, "lo": lo, "n": n[n >= least]})
 
-        counted = tree_sum(runs.select("hashes", "codes").mapInPandas(make, _COUNTS), runs.rdd.getNumPartitions())
+        counted = tree_sum(runs.mapInPandas(make, _COUNTS), runs.rdd.getNumPartitions())
         with few_rows_read(runs.sparkSession, RUNS_READ):
             out.append(stored(counted.mapInPandas(read, "hi long, lo long, n long")))
         shared.unpersist()
     return reduce(DataFrame.union, out)
 
 
-def _frequent(runs: DataFrame, ks: list[int], maps: list, single: DataFrame, at_most: int, least: int, most_slots: int) -> DataFrame:
+def _frequent(runs: DataFrame, ks: list[int], frequent: Broadcast, pairs: tuple | None, single: DataFrame, at_most: int, least: int, most_slots: int) -> DataFrame:
     """(hi, lo, lang, phrase, n) of the frequent phrases of ks words, of which the corpus has ``at_most`` occurrences."""
     bits = _bits_for(at_most, 1 / 8)
     with few_rows_read(runs.sparkSession, RUNS_READ):
-        heavy = _bucket_pass(runs, ks, maps, bits, least)
-        candidates = stored(_candidate_pass(runs, ks, maps, heavy, bits))
-    found = stored(candidates.join(_count_pass(runs, ks, maps, candidates, least, most_slots), ["hi", "lo"]))
+        heavy = _bucket_pass(runs, ks, frequent, pairs, bits, least)
+        candidates = stored(_candidate_pass(runs, ks, frequent, pairs, heavy, bits))
+    found = stored(candidates.join(_count_pass(runs, ks, frequent, pairs, candidates, least, most_slots), ["hi", "lo"]))
     names = found.select("hi", "lo", "n", F.posexplode("words").alias("at", "w_hi"), "words").filter("at % 2 = 0").withColumn("w_lo", F.get("words", F.col("at") + 1))
     named = names.join(single.select(F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo"), "lang", F.col("phrase").alias("word")), ["w_hi", "w_lo"])
     in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
@@ -410,12 +498,13 @@ def _frequent(runs: DataFrame, ks: list[int], maps: list, single: DataFrame, at_
 
 
 def _keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the key of each word (lang, phrase)."""
+    """Adds the key and the hashes of each word (lang, phrase)."""
     for pdf in it:
-        keys = np.zeros((2, len(pdf)), dtype=np.uint64)
+        hashes = np.zeros((2, len(pdf)), dtype=np.uint64)
         for lang, at in pdf.groupby("lang").indices.items():
-            keys[:, at] = phrase_keys(word_hashes(lang, pdf["phrase"].iloc[at].tolist()), np.arange(len(at)), 1)
-        yield pdf.assign(hi=keys[0].view(np.int64), lo=keys[1].view(np.int64))
+            hashes[:, at] = word_hashes(lang, pdf["phrase"].iloc[at].tolist())
+        hi, lo = phrase_keys(hashes, np.arange(len(pdf)), 1).view(np.int64)
+        yield pdf.assign(hi=hi, lo=lo, word_hi=hashes[0].view(np.int64), word_lo=hashes[1].view(np.int64))
 
 
 def _parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -467,21 +556,19 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     small_batches(docs.sparkSession, rows=4_000, size="8m")  # longer runs have less words in common
     text = F.translate(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), BREAKS + "\t", "\n" * len(BREAKS) + " ")
     base = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
-    both = stored(base.mapInPandas(released(_tokenised), "lang string, words array<string>, n array<long>, hashes binary, codes binary"))
-    runs = both.filter("codes IS NOT NULL").select("hashes", "codes")
-    words = both.filter("words IS NOT NULL").select("lang", F.inline(F.arrays_zip("words", "n"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("n").alias("n"))
-    with few_rows_read(docs.sparkSession, RUNS_READ):
-        words = stored(words)
+    ddl = "lang string, words array<string>, n array<long>, numbers binary, hashes binary, codes binary"
+    lists = base.mapInPandas(released(partial(_tokenised, runs=False)), ddl)
+    words = stored(lists.select("lang", F.inline(F.arrays_zip("words", "n"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    single = stored(words.filter(F.col("n") >= least).mapInPandas(_keyed, "lang string, phrase string, n long, hi long, lo long"))
+    single = stored(words.filter(F.col("n") >= least).mapInPandas(_keyed, "lang string, phrase string, n long, hi long, lo long, word_hi long, word_lo long"))
     size = single.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    maps = [key_map(single, size.k)]
-    phrases = pairs = _frequent(runs, [2], maps, single, size.n or 0, least, most_slots)
+    frequent = docs.sparkSession.sparkContext.broadcast(Words.of(single, size.k, most_slots))
+    runs = stored(base.mapInPandas(released(partial(_tokenised, lists=False, frequent=frequent)), ddl).select("numbers", "hashes", "codes"), "zstd")
+    phrases = pairs = _frequent(runs, [2], frequent, None, single, size.n or 0, least, most_slots)
     if most_words > 2:
         size = pairs.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-        maps.append(key_map(pairs, size.k))
         ks = list(range(3, most_words + 1))
-        phrases = pairs.unionByName(_frequent(runs, ks, maps, single, (size.n or 0) * len(ks), least, most_slots))
+        phrases = pairs.unionByName(_frequent(runs, ks, frequent, key_map(pairs, size.k), single, (size.n or 0) * len(ks), least, most_slots))
     phrases = stored(phrases)
     parts = stored(phrases.mapInPandas(_parts, "hi long, lo long, n long, first int, end int, words int, part_hi long, part_lo long"))
     cuts = _cuts(parts, phrases.select("hi", "lo", "n").unionByName(single.select("hi", "lo", "n")), most_slots)

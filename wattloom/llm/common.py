@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[list[str]] = []  # of each open passing(): the tables written since it was opened
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     for made in _made:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
