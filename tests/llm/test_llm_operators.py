@@ -170,6 +170,25 @@ def test_hot_keys_are_joined_apart(spark, docs, monkeypatch, most):
     assert got == [(k, i, k * 10) for k in range(4) for i in range(k * 3)]
 
 
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_components_end_with_stars_and_plans_stay_small(spark, monkeypatch, most):
+    """Stars take no round, and no plan of a round repeats the steps before it: the driver keeps the plans of all rounds."""
+    plans = []
+
+    def stored(df, write=components.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df)
+
+    monkeypatch.setattr(components, "stored", stored)
+    monkeypatch.setattr(components, "HOT_ROWS", 4)
+    monkeypatch.setattr(components, "MOST_HOT", most)
+    run = lambda edges: {r.id: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert run([(0, i) for i in range(1, 40)] + [(50, 51), (60, 60)]) == {**dict.fromkeys(range(40), 0), 50: 50, 51: 50, 60: 60}
+    assert len(plans) == 1
+    assert set(run([(i, i + 1) for i in range(30)]).values()) == {0}
+    assert max(plans) <= 8
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
